@@ -20,6 +20,9 @@ _VALUES = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(_U) | _U(1)
 _VALUES[65:91] = _VALUES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: For plain words ASCII punctuation separates too.
+_BREAK = np.ones(256, bool)
+_BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LANES = _rng.integers(1, 2**63, 5, dtype=np.int64).astype(_U) | _U(1)
@@ -45,13 +48,13 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _words(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _words(raw: np.ndarray, starts: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words of a slice, and where they start and end; ``starts``: first bytes of its texts."""
     n = len(raw)
     if not n:
         return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
     up, down = _power_tables(n + 1)
-    solid = ~_SPACE[raw]
+    solid = ~space[raw]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     inner = starts[(starts > 0) & (starts < n)]
@@ -80,23 +83,24 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)), off
 
 
-def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_hashes(texts: pa.Array, plain: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For run after run of texts: the index of the first, word offsets of each text, word hashes."""
+    space = _BREAK if plain else _SPACE
     raw, off = _bytes_of(texts)
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE, "right")) - 1)
         if off[j] - off[i] <= SLICE:
-            h, s, _ = _words(raw[off[i] : off[j]], off[i:j] - off[i])
+            h, s, _ = _words(raw[off[i] : off[j]], off[i:j] - off[i], space)
             yield i, np.searchsorted(s, off[i : j + 1] - off[i]), h
         else:  # one long text, in pieces
             at, end, parts = int(off[i]), int(off[j]), []
             while at < end:
                 to = min(at + SLICE, end)
-                while to < end and not _SPACE[raw[to - 1]]:  # never cut a word
-                    more = np.flatnonzero(_SPACE[raw[to : min(to + 65536, end)]])
+                while to < end and not space[raw[to - 1]]:  # never cut a word
+                    more = np.flatnonzero(space[raw[to : min(to + 65536, end)]])
                     to = to + int(more[0]) + 1 if len(more) else min(to + 65536, end)
-                parts.append(_words(raw[at:to], np.zeros(1, np.int64))[0])
+                parts.append(_words(raw[at:to], np.zeros(1, np.int64), space)[0])
                 at = to
             h = np.concatenate(parts)
             yield i, np.array([0, len(h)]), h
