@@ -1,9 +1,10 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 Features of a whole text: lexicon hits (count, distinct, per word, most within a window), the same after
-undoing obfuscation (digits and signs for letters, letters set apart), second-person words near hits,
-share of capitals, of punctuation, of obfuscated words, exclamation marks, length. The lexicon is a short
-fixed list and the words that the training rows show to be tied to the label (binomial tail). Trees are
+undoing obfuscation (digits and signs for letters, letters set apart), words that share a stem with the
+lexicon, second-person words near hits, share of capitals, of punctuation, of obfuscated words, exclamation marks, length. The lexicon is a short
+fixed list and the words, and stems of six letters, that the training rows show to be tied to the label
+(binomial tail). Trees are
 depth-3 regression trees on 32 quantile bins with logistic loss. Scores go through an isotonic map fitted
 on out-of-fold scores, where a fold's features come from a lexicon learned without that fold.
 
@@ -48,7 +49,8 @@ _LETTERS = re.compile(r"[\W\d_]+")
 _PUNCT = re.compile(r"[^\w\s]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _RUN = re.compile(r"(.)\1{2,}")
-NAMES = ("hits", "distinct", "density", "window", "hidden", "hidden_density", "second_near", "second_density", "capitals", "punctuation", "exclaims", "length")
+STEM = 6
+NAMES = ("hits", "distinct", "stems", "stem_density", "density", "window", "hidden", "hidden_density", "second_near", "second_density", "capitals", "punctuation", "exclaims", "length")
 
 
 def features(text: str, lexicon: frozenset[str]) -> list[float]:
@@ -75,8 +77,9 @@ def features(text: str, lexicon: frozenset[str]) -> list[float]:
             hidden += 1
             at.append(i)
     size = max(len(text), 1)
+    stems = sum(("^" + w[:STEM]) in lexicon for w in words if len(w) >= STEM and w not in lexicon)
     return [
-        len(at) - 0.0, len({words[i] for i in at}), len(at) / n, most, hidden, hidden / n, near, sum(map(SECOND_PERSON.__contains__, words)) / n,
+        len(at) - 0.0, len({words[i] for i in at}), stems, stems / n, len(at) / n, most, hidden, hidden / n, near, sum(map(SECOND_PERSON.__contains__, words)) / n,
         len(_UPPER.findall(text)) / size, len(_PUNCT.findall(text)) / size, text.count("!") / size, float(np.log1p(len(words))),
     ]
 
@@ -89,9 +92,11 @@ def _tail(t: int, n: int, share: float) -> float:
 
 
 def learn_lexicon(words: list[set[str]], labels: np.ndarray) -> frozenset[str]:
+    """Words tied to the label; stems are written with a leading ^."""
     toxic, clean = Counter(), Counter()
     for w, y in zip(words, labels, strict=True):
         (toxic if y else clean).update(w)
+        (toxic if y else clean).update({"^" + x[:STEM] for x in w if len(x) >= STEM})
     share = float(np.clip(labels.mean(), 0.01, 0.99))
     found = {w for w, t in toxic.items() if len(w) > 2 and t >= 4 and t > 3 * clean[w] * share / (1 - share) and t >= 0.6 * (t + clean[w]) and _tail(t, t + clean[w], share) < -5}
     return SEED_WORDS | found

@@ -102,7 +102,7 @@ def _split(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
             words = [h[o:e].view(np.int64) for _, off, h in word_hashes(b.column(1), plain=True) for o, e in zip(off[:-1], off[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.int64()))], ["item_id", "words"])
 
-    return items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col)).mapInArrow(run, "item_id long, words array<long>").where("size(words) > 0")
+    return items.select(F.col(id_col).cast("long").alias("item_id"), F.lower(text_col)).mapInArrow(run, "item_id long, words array<long>").where("size(words) > 0")
 
 
 def document_frequencies(docs: DataFrame, model: Model) -> tuple[np.ndarray, int]:
@@ -119,7 +119,7 @@ def document_frequencies(docs: DataFrame, model: Model) -> tuple[np.ndarray, int
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(df[some], n), pa.int64())], ["term", "n"])
 
-    rows = docs.select("__text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select(F.lower("__text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(len(model.vocabulary), np.int64)
     real = rows[rows["term"] >= 0]
     df[real["term"].to_numpy()] = real["n"].to_numpy()
@@ -277,7 +277,7 @@ def search(docs: DataFrame, model: Model) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "th", "item_id", "common_words", "item_words", "share", "cosine"])
 
-    return docs.select("__id", F.xxhash64("__text"), "__text").mapInArrow(run, schema)
+    return docs.select("__id", F.xxhash64("__text"), F.lower("__text")).mapInArrow(run, schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
