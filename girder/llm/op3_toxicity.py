@@ -2,11 +2,10 @@
 
 Features of a whole text: lexicon hits (count, distinct, per word, most within a window), the same after
 undoing obfuscation (digits and signs for letters, letters set apart), words that share a stem with the
-lexicon, second-person words near hits, share of capitals, of punctuation, of obfuscated words, exclamation marks, length. The lexicon is a short
-fixed list and the words, and stems of six letters, that the training rows show to be tied to the label
-(binomial tail). Trees are
-depth-3 regression trees on 32 quantile bins with logistic loss. Scores go through an isotonic map fitted
-on out-of-fold scores, where a fold's features come from a lexicon learned without that fold.
+lexicon, second-person words near hits, share of capitals, of punctuation, of obfuscated words, exclamation
+marks, length. The lexicon is a short fixed list and the words, and stems of six letters, that the training
+rows show to be tied to the label (binomial tail). Trees are depth-3 regression trees on 32 quantile bins
+with logistic loss. Scores go through an isotonic map fitted on out-of-fold scores, where a fold's features come from a lexicon learned without that fold.
 
 Training rows: at most ``TRAIN_ROWS`` labelled rows with texts up to ``TRAIN_BYTES`` bytes, in a hash order
 of their ids, none of the held-out fold. Scoring covers every whole text, one batch at a time.
@@ -42,7 +41,7 @@ SEED_WORDS = frozenset("idiot idiots moron morons stupid loser losers scum trash
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi vous votre ton ta usted ustedes tú ti vosotros".split())
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"[^\W\d_]*(?:[^\W\d_][0-9@$!|*+.\-_]{1,2})+[^\W\d_]+")
+_MIXED = re.compile(r"[0-9@$!|]?[^\W\d_]*(?:[^\W\d_][0-9@$!|*+.\-_]{1,2})+[^\W\d_]+")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W\d_])")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "+": "t"})
 _LETTERS = re.compile(r"[\W\d_]+")

@@ -13,7 +13,7 @@ grouped by (source, bucket), so a source with a third of all rows is spread over
 Nulls: a null text has no words; a null source is a source of its own, last in order; a null doc_id is
 hashed as such with its text. Rows equal in doc_id and text are taken together. A source without words
 has target 0. An empty table gives no rows. Other columns are ignored by ``mix_plan`` and kept by
-``apply_mix``. Names beginning with two underscores are reserved.
+``apply_mix``.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from girder.llm.common import WORD, Scratch, table
+from girder.llm.common import WORD, Scratch, fresh, table
 
 #: Weights that the sources take in turn, in order of their names.
 WEIGHTS = (5, 2, 1)
@@ -124,9 +124,11 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their columns as they were."""
     _, cuts = mix_thresholds(docs, weights=weights, most=most)
-    keyed = docs.withColumn("__hash", row_hash(docs["doc_id"], docs["text"]))
-    joined = keyed.join(cuts, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__copies", _copies()).where("__copies > 0")
-    return joined.withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)"))).select(*docs.columns)
+    source, whole, cut, copies, copy = fresh(docs, "__s", "__whole", "__cut", "__copies", "__copy")
+    cuts = cuts.select(F.col("__s").alias(source), F.col("__whole").alias(whole), F.col("__cut").alias(cut))
+    times = F.col(whole) + F.when(row_hash(docs["doc_id"], docs["text"]) <= F.col(cut), 1).otherwise(0)
+    joined = docs.join(cuts, docs["source"].eqNullSafe(F.col(source))).withColumn(copies, times).where(F.col(copies) > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

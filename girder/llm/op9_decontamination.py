@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Benchmark items become passages of 32 words, 16 apart, as TF-IDF rows; document frequencies are counted over
-   all documents (a word of more than a tenth of them carries no weight).
+   all documents (a word of more than half of them carries no weight, unless an item has no other).
 2. A distributed randomised SVD of those rows gives a latent space: partitions return A'(A X) for a
    random X, twice, with orthonormalisation between.
 3. Every passage of every document is folded into that space. Passages whose weighted benchmark words
@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm.common import Scratch, table
+from girder.llm.common import Scratch, fresh, table
 from girder.llm.textkit import word_hashes
 
 WIDTH, STRIDE = 32, 16
 RANK, ROUNDS = 128, 2
 BLOCK_WORDS = 500_000
-COMMON = 0.1
+COMMON = 0.5
 LEAST_MASS, COSINE = 0.4, 0.5
 WHOLE, WITH_ANSWER, ANSWER, PASSAGE = 0.8, 0.6, 0.8, 0.9
 PARTS = 16
@@ -171,8 +171,13 @@ def fit(docs: DataFrame, items: DataFrame) -> Model | None:
     sets = [np.array(w, np.int64).view(_U) for _, _, w in held]
     model = Model(np.unique(np.concatenate(sets)))
     df, n = document_frequencies(docs, model)
-    weights = np.log((n + 1) / (df + 1)).astype(np.float32)
+    weights = np.maximum(np.log((n + 1) / (df + 1)), 0.01).astype(np.float32)
     weights[df > max(COMMON * n, 2)] = 0
+    for h in sets:
+        for s in starts(len(h)):
+            term = model.terms(h[s : s + WIDTH])[1]
+            if not weights[term].any():
+                weights[term] = 0.01
     model.weights = weights
     model.basis = randomised_svd(items, model, min(RANK, len(model.vocabulary)))
     latent, least = [], []
@@ -231,7 +236,7 @@ def _leaks(model: Model, words: np.ndarray, judge: Judge, at: np.ndarray, term:
     n = len(words)
     begins = np.array(starts(n))
     w = model.weights[term]
-    mass = np.append(0, np.cumsum(w))
+    mass = np.append(0, np.cumsum(w, dtype=np.float64))
     lo, hi = np.searchsorted(at, begins), np.searchsorted(at, begins + WIDTH)
     keep = (mass[hi] - mass[lo] >= model.least * 0.999) & (hi > lo)
     begins, lo, hi = begins[keep], lo[keep], hi[keep]
@@ -265,14 +270,14 @@ def search(docs: DataFrame, model: Model) -> DataFrame:
                 at, term = model.terms(h)
                 heavy = model.weights[term] > 0
                 at, term = at[heavy], term[heavy]
-                edges = np.searchsorted(at, off)
-                total = np.append(0, np.cumsum(model.weights[term]))
-                for d in np.flatnonzero(total[edges[1:]] - total[edges[:-1]] >= model.least * 0.999):
-                    x, y = edges[d], edges[d + 1]
-                    if y > x:
-                        k = first + int(d)
-                        for i, (common, share, cosine) in _leaks(model, h[off[d] : off[d + 1]], judge, at[x:y] - off[d], term[x:y]).items():
-                            rows.append((b.column(0)[k].as_py(), b.column(1)[k].as_py(), model.ids[i], common, len(model.items[i]), share, cosine))
+                total = np.append(0, np.cumsum(model.weights[term], dtype=np.float64))
+                # texts with no stretch of WIDTH words heavy enough are done
+                heavy = at[total[np.searchsorted(at, at + WIDTH)] - total[:-1] >= model.least * 0.999]
+                for d in np.unique(np.searchsorted(off, heavy, "right") - 1):
+                    x, y = np.searchsorted(at, off[d : d + 2])
+                    k = first + int(d)
+                    for i, (common, share, cosine) in _leaks(model, h[off[d] : off[d + 1]], judge, at[x:y] - off[d], term[x:y]).items():
+                        rows.append((b.column(0)[k].as_py(), b.column(1)[k].as_py(), model.ids[i], common, len(model.items[i]), share, cosine))
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "th", "item_id", "common_words", "item_words", "share", "cosine"])
@@ -303,8 +308,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    key, digest = fresh(docs, "__id", "__th")
+    found = contaminated(docs, benchmark).select(F.col("doc_id").alias(key), F.col("th").alias(digest)).distinct()
     found = Scratch(docs.sparkSession, "op9").save(found, "found")
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__th"))
+    same = docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(digest))
     return docs.join(found, same, "left_anti")
 
