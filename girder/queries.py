@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import girder.functions.scalars
+import girder.operators.code
 import girder.operators.compliance
 import girder.operators.findings
 import girder.operators.graph
 import girder.operators.matching
+import girder.sources.sinks
 from girder.plans.operator import NATIVE, REGISTRY
 
 
