@@ -4,9 +4,9 @@
    all documents (a word of more than half of them carries no weight, unless an item has no other).
 2. A distributed randomised SVD of those rows gives a latent space: partitions return A'(A X) for a
    random X, twice, with orthonormalisation between.
-3. Every passage of every document is folded into that space. Passages whose weighted benchmark words
-   make up less than a share of the lightest item passage cannot hold one and are passed over; the rest are
-   compared with all item passages by cosine.
+3. Every passage of every document is folded into that space. Passages whose benchmark words have a squared
+   TF-IDF weight of less than a share of the lightest item passage's are passed over; the rest are compared
+   with all item passages by cosine; the part of the item passage's length that they cover must be COVER.
 4. A candidate stands if the longest common subsequence of the item's words and the text around the passage
    covers 80 % of the item, or 60 % where the item's answer (its last fifth) is there too, or 90 % of
    one full 32-word passage of a longer item. Order counts, gaps are free, so light paraphrases stay found.
@@ -38,7 +38,7 @@ WIDTH, STRIDE = 32, 16
 RANK, ROUNDS = 128, 2
 BLOCK_WORDS = 500_000
 COMMON = 0.5
-LEAST_MASS, COSINE = 0.4, 0.5
+LEAST_MASS, COSINE, COVER = 0.5, 0.5, 0.4
 WHOLE, WITH_ANSWER, ANSWER, PASSAGE = 0.8, 0.6, 0.8, 0.9
 PARTS = 16
 _U = np.uint64
@@ -76,6 +76,7 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))
     basis: np.ndarray = field(default_factory=lambda: np.empty((0, 0), np.float32))
     latent: np.ndarray = field(default_factory=lambda: np.empty((0, 0), np.float32))
+    length: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))
     passage: list[tuple[int, int, int]] = field(default_factory=list)  # (item, first word, words)
     items: list[list[int]] = field(default_factory=list)
     ids: list[int | None] = field(default_factory=list)
@@ -180,20 +181,22 @@ def fit(docs: DataFrame, items: DataFrame) -> Model | None:
                 weights[term] = 0.01
     model.weights = weights
     model.basis = randomised_svd(items, model, min(RANK, len(model.vocabulary)))
-    latent, least = [], []
+    latent, least, length = [], [], []
     for i, h in enumerate(sets):
         for s in starts(len(h)):
             terms, w = _row(h[s : s + WIDTH], model)
             v = w @ model.basis[terms]
             norm = np.sqrt((v**2).sum())
-            mass = float(weights[model.terms(h[s : s + WIDTH])[1]].sum())
+            mass = float((weights[model.terms(h[s : s + WIDTH])[1]] ** 2).sum())
             if norm > 0:
                 latent.append(v / norm)
                 least.append(mass)
+                tf = np.unique(model.terms(h[s : s + WIDTH])[1], return_counts=True)[1]
+                length.append(norm * np.sqrt(((tf * weights[terms]) ** 2).sum()))
                 model.passage.append((i, s, min(WIDTH, len(h))))
     if not latent:
         return None
-    model.latent = np.array(latent, np.float32)
+    model.latent, model.length = np.array(latent, np.float32), np.array(length, np.float32)
     model.least = LEAST_MASS * min(least)
     model.items = [h.tolist() for h in sets]
     model.ids = [None if none else k for none, k, _ in held]
@@ -231,33 +234,42 @@ class Judge:
         return None
 
 
-def _leaks(model: Model, words: np.ndarray, judge: Judge, at: np.ndarray, term: np.ndarray) -> dict[int, tuple[int, float, float]]:
-    """item -> (common words, share, cosine) for one text; at and term: its benchmark words."""
-    n = len(words)
-    begins = np.array(starts(n))
+def _leaks(model: Model, h: np.ndarray, off: np.ndarray, judge: Judge) -> dict[tuple[int, int], tuple[int, float, float]]:
+    """(text, item) -> (common words, share, cosine) for a run of texts; h: their words, off: where each begins."""
+    at, term = model.terms(h)
     w = model.weights[term]
-    mass = np.append(0, np.cumsum(w, dtype=np.float64))
-    lo, hi = np.searchsorted(at, begins), np.searchsorted(at, begins + WIDTH)
+    at, term, w = at[w > 0], term[w > 0], w[w > 0]
+    mass = np.append(0, np.cumsum(w**2, dtype=np.float64))
+    size = np.diff(off)
+    inner = np.maximum(-(-(size - WIDTH) // STRIDE), 0)  # passages before the last, which ends with the text
+    doc = np.repeat(np.arange(len(size)), inner)
+    begins = off[doc] + STRIDE * (np.arange(inner.sum()) - np.repeat(np.cumsum(inner) - inner, inner))
+    doc, begins = np.append(doc, np.arange(len(size))), np.append(begins, off[1:] - np.minimum(size, WIDTH))
+    lo, hi = np.searchsorted(at, begins), np.searchsorted(at, np.minimum(begins + WIDTH, off[doc + 1]))
     keep = (mass[hi] - mass[lo] >= model.least * 0.999) & (hi > lo)
-    begins, lo, hi = begins[keep], lo[keep], hi[keep]
-    if not len(begins):
-        return {}
-    vectors = model.basis[term] * w[:, None]
-    sums = np.vstack([np.zeros((1, vectors.shape[1])), np.cumsum(vectors, axis=0, dtype=np.float64)])
-    v = (sums[hi] - sums[lo]).astype(np.float32)
-    norm = np.sqrt((v**2).sum(1))
-    v /= np.maximum(norm, 1e-9)[:, None]
-    cosine = v @ model.latent.T
-    out: dict[int, tuple[int, float, float]] = {}
-    for k, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
-        i = model.passage[p][0]
-        if i in out and out[i][1] >= 1:
-            continue
-        if (found := judge(int(p), words, int(begins[k]))) and (i not in out or found[1] > out[i][0]):
-            out[i] = (found[1], found[2], float(cosine[k, p]))
+    doc, begins, lo, hi = doc[keep], begins[keep], lo[keep], hi[keep]
+    out: dict[tuple[int, int], tuple[int, float, float]] = {}
+    for k in range(0, len(doc), 2048):
+        _judged(model, h, off, judge, term, w, doc[k : k + 2048], begins[k : k + 2048], lo[k : k + 2048], hi[k : k + 2048], out)
     return out
 
 
+def _judged(model: Model, h, off, judge: Judge, term, w, doc, begins, lo, hi, out: dict) -> None:
+    """Folds passages into the latent space, and checks those near an item passage."""
+    n = hi - lo
+    rows = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    v = np.add.reduceat(model.basis[term[rows]] * w[rows, None], np.cumsum(n) - n, axis=0)
+    along = v @ model.latent.T
+    cosine = along / np.maximum(np.sqrt((v**2).sum(1)), 1e-9)[:, None]
+    for k, p in zip(*np.nonzero((cosine >= COSINE) & (along >= COVER * model.length)), strict=True):
+        d, i = int(doc[k]), model.passage[p][0]
+        if (d, i) in out and out[d, i][1] >= 1:
+            continue
+        found = judge(int(p), h[off[d] : off[d + 1]], int(begins[k] - off[d]))
+        if found and ((d, i) not in out or found[1] > out[d, i][0]):
+            out[d, i] = (found[1], found[2], float(cosine[k, p]))
+
+
 def search(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, th, item_id, common_words, item_words, share, cosine) for each document that holds an item."""
     schema = "doc_id long, th long, item_id long, common_words int, item_words int, share double, cosine double"
@@ -267,17 +279,8 @@ def search(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             rows: list[tuple] = []
             for first, off, h in word_hashes(b.column(2), plain=True):
-                at, term = model.terms(h)
-                heavy = model.weights[term] > 0
-                at, term = at[heavy], term[heavy]
-                total = np.append(0, np.cumsum(model.weights[term], dtype=np.float64))
-                # texts with no stretch of WIDTH words heavy enough are done
-                heavy = at[total[np.searchsorted(at, at + WIDTH)] - total[:-1] >= model.least * 0.999]
-                for d in np.unique(np.searchsorted(off, heavy, "right") - 1):
-                    x, y = np.searchsorted(at, off[d : d + 2])
-                    k = first + int(d)
-                    for i, (common, share, cosine) in _leaks(model, h[off[d] : off[d + 1]], judge, at[x:y] - off[d], term[x:y]).items():
-                        rows.append((b.column(0)[k].as_py(), b.column(1)[k].as_py(), model.ids[i], common, len(model.items[i]), share, cosine))
+                for (d, i), (common, share, cosine) in _leaks(model, h, off, judge).items():
+                    rows.append((b.column(0)[first + d].as_py(), b.column(1)[first + d].as_py(), model.ids[i], common, len(model.items[i]), share, cosine))
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "th", "item_id", "common_words", "item_words", "share", "cosine"])
