@@ -343,7 +343,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
     def open_blocks(k: int) -> DataFrame | None:
         """The rows of runs that hold several components, dealt into blocks of about BLOCK nodes, for each pair of blocks."""
-        named = runs.where("m > 2").join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("run", "sig", "m", F.coalesce("root", "sig").alias("root"))
+        named = runs.join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("run", "sig", "m", F.coalesce("root", "sig").alias("root"))
         named = scratch.save(named, f"named-{k}")
         mixed = named.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("run")
         members = scratch.save(named.join(mixed, "run", "left_semi"), f"open-{k}")

@@ -110,6 +110,16 @@ def test_op10_blocks_and_broadcast_paths(spark, monkeypatch):
     assert got == sorted(brute_classes(list(enumerate(texts))))
 
 
+def test_op10_runs_of_two(spark):
+    """b holds a, and a phrase that only c holds too: b's one pivot may be c, so the run {a, b} needs a later round."""
+    r, texts = random.Random(11), []
+    for k in range(120):
+        a, rare, c = ([f"{x}{k}" for x in words(n, r)] for n in (100, 16, 90))
+        texts += [" ".join(a), " ".join(a + rare), " ".join(c + rare)]
+    got = sorted(tuple(x) for x in op10.jaccard_classes(docs(spark, texts)).collect())
+    assert got == sorted(brute_classes(list(enumerate(texts))))
+
+
 def test_op10_keep_one(spark):
     texts = ["a b c d e f g h", "a b c d e f g h", "x y z u v w", None, "", "p q r s t u"]
     d = docs(spark, [*texts, texts[0], texts[0]], [*range(6), 0, 0])
