@@ -128,7 +128,7 @@ class Operator:
             body = body.replace("{" + name + "}", name)
         ctes = []
         for name in needed:
-            text = VIEWS[name].sql
+            text = VIEWS[name].oracle or VIEWS[name].sql
             for x in VIEWS[name].inputs:
                 text = text.replace("{" + x + "}", x)
             ctes.append(f"{name} AS (\n{text}\n)")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from girder import queries as engine
 from girder.operators import code, graph
 from girder.plans.operator import REGISTRY
+from girder.plans.views import VIEWS
 from girder.sources import extract, sinks
 from girder.streaming import jobs
 
@@ -110,6 +111,12 @@ def test_closures_components_waves(spark):
         graph.waves(e.toDF("id", "needs"), spark.range(1, 4))
 
 
+def test_calls_of_every_order(spark):
+    items = spark.createDataFrame([(1, 1, 10), (1, 2, 20), (40, 1, 30), (40, 2, 10)], "l_orderkey long, l_linenumber int, l_partkey long")
+    got = spark.sql(VIEWS["calls"].sql, lineitem=items).select("caller", "callee").collect()
+    assert {tuple(r) for r in got} == {(10, 20), (30, 10)}
+
+
 def test_betweenness_of_a_chain(spark):
     e = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
     got = {r["id"]: r["betweenness"] for r in graph.betweenness(e, spark.range(1, 4)).collect()}
