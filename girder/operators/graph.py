@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from girder.plans.operator import Dialect, native, operator, view
 from girder.plans.scratch import Scratch
 
+#: Of the oracle's SQL only; the operators know no longest cycle.
 LONGEST_CYCLE = 6
 
 
@@ -263,19 +264,20 @@ def arc_004(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g_07(spark, sf_dir).where("depth > 5").withColumn("severity", F.lit("LOW"))
 
 
-def simple_cycles(edges: DataFrame, longest: int = LONGEST_CYCLE, name: str = "cycles") -> DataFrame:
-    """(cycle, length): elementary cycles from their smallest node; paths grow by one edge a round and never revisit."""
+def simple_cycles(edges: DataFrame, name: str = "cycles") -> DataFrame:
+    """(cycle, length): elementary cycles from their smallest node; paths grow by one edge a round and never revisit, until none is open."""
     scratch = Scratch(edges.sparkSession, name)
     e = scratch.save(edges.where("a <> b").select("a", "b").distinct(), "edges")
     paths = e.where("b > a").select("a", F.array("a", "b").alias("path"), F.col("b").alias("end"))
     found: DataFrame | None = None
-    for k in range(2, longest + 1):
-        paths = scratch.save(paths, f"paths-{k}")
+    k, paths = 2, scratch.save(paths, "paths-2")
+    while found is None or paths.take(1):
         step = e.select(F.col("a").alias("end"), F.col("b").alias("next"))
         grown = paths.join(step, "end")
         closed = grown.where("next = a").select(F.array_join("path", ">").alias("cycle"), F.size("path").alias("length"))
         found = closed if found is None else found.union(closed)
-        paths = grown.where("next > a and not array_contains(path, next)").select("a", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("end"))
+        k, paths = k + 1, grown.where("next > a and not array_contains(path, next)").select("a", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("end"))
+        paths = scratch.save(paths, f"paths-{k}")
     return found
 
 

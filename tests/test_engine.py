@@ -117,6 +117,12 @@ def test_calls_of_every_order(spark):
     assert {tuple(r) for r in got} == {(10, 20), (30, 10)}
 
 
+def test_long_cycles(spark):
+    ring = spark.createDataFrame([(i, i % 9 + 1) for i in range(1, 10)], "a long, b long")
+    assert [tuple(r) for r in graph.simple_cycles(ring, name="ring").collect()] == [("1>2>3>4>5>6>7>8>9", 9)]
+    assert graph.simple_cycles(ring.where("false"), name="none").count() == 0
+
+
 def test_betweenness_of_a_chain(spark):
     e = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
     got = {r["id"]: r["betweenness"] for r in graph.betweenness(e, spark.range(1, 4)).collect()}
