@@ -123,6 +123,14 @@ def test_long_cycles(spark):
     assert graph.simple_cycles(ring.where("false"), name="none").count() == 0
 
 
+def test_every_secret_of_a_text(spark):
+    t = spark.createDataFrame([(1, 'token = "abc" and password = "0123456789abcdef" or secret="fedcba9876543210"'), (2, None), (3, "none")], "doc_id long, text string")
+    assert sorted(run(spark, "sec_py_001_secrets", texts=t)) == [(1, "012...ef", "HIGH"), (1, "fed...10", "HIGH")]
+    assert sorted(run(spark, "p_14_redact_secret", texts=t)) == [(1, "***"), (1, "012...ef"), (1, "fed...10")]
+    assert sorted(run(spark, "p_13_secret_predicate", texts=t)) == [(1, False), (1, True), (1, True)]
+    assert [r[1] for r in sorted(run(spark, "p_12_shannon_entropy", texts=t))] == [1.585, 4.0, 4.0]
+
+
 def test_betweenness_of_a_chain(spark):
     e = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
     got = {r["id"]: r["betweenness"] for r in graph.betweenness(e, spark.range(1, 4)).collect()}
