@@ -137,6 +137,9 @@ def p_15(d: Dialect) -> str:
 
 @operator("p_16_spreadsheet_sanitise", "texts")
 def p_16(d: Dialect) -> str:
+    if d.name == "spark":
+        clean = d.sub("coalesce(text, '')", r"[^\t\n\r -퟿]", "")
+        return f"SELECT doc_id, CASE WHEN {d.has('clean', r'^[=+@\t\r-]')} THEN concat(chr(39), clean) ELSE clean END AS cell FROM (SELECT doc_id, {clean} AS clean FROM {{texts}}) t"
     head = "substr(text, 1, 40)"
     return f"SELECT doc_id, CASE WHEN {d.has(head, '^[=+@-]')} THEN concat(chr(39), {head}) ELSE {head} END AS cell FROM {{texts}}"
 

@@ -131,6 +131,13 @@ def test_every_secret_of_a_text(spark):
     assert [r[1] for r in sorted(run(spark, "p_12_shannon_entropy", texts=t))] == [1.585, 4.0, 4.0]
 
 
+def test_whole_cells_are_sanitised(spark):
+    texts = ["=" + "x" * 99, "a\x01b\x0b" + "y" * 99, "\tz", "\r1", "\x02-1", "a\n퟿\U0001f600b", "", None]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = ["'=" + "x" * 99, "ab" + "y" * 99, "'\tz", "'\r1", "'-1", "a\n퟿b", "", ""]
+    assert sorted(run(spark, "p_16_spreadsheet_sanitise", texts=t)) == list(enumerate(want))
+
+
 def test_betweenness_of_a_chain(spark):
     e = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
     got = {r["id"]: r["betweenness"] for r in graph.betweenness(e, spark.range(1, 4)).collect()}
