@@ -138,6 +138,14 @@ def test_whole_cells_are_sanitised(spark):
     assert sorted(run(spark, "p_16_spreadsheet_sanitise", texts=t)) == list(enumerate(want))
 
 
+def test_diff_order_is_whole(spark):
+    cols = ("input_pos", "id", "rule_id", "file_path", "line", "col", "severity", "category", "snippet")
+    cur = spark.createDataFrame([finding(i, rule=f"N{i}") for i in range(110)] + [finding(200, line=5, snippet="m"), finding(201)], FINDINGS).select(*cols)
+    base = spark.createDataFrame([finding(300, line=4, snippet="m"), finding(301), finding(302, rule="G")], FINDINGS).select(*cols)
+    got = run(spark, "o_03_diff_order", current_findings=cur, baseline_findings=base)
+    assert got == [*((i, -1, "NEW") for i in range(110)), (200, 300, "MODIFIED"), (201, 301, "UNCHANGED"), (-1, 302, "RESOLVED")]
+
+
 def test_betweenness_of_a_chain(spark):
     e = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
     got = {r["id"]: r["betweenness"] for r in graph.betweenness(e, spark.range(1, 4)).collect()}
