@@ -146,6 +146,11 @@ def test_diff_order_is_whole(spark):
     assert got == [*((i, -1, "NEW") for i in range(110)), (200, 300, "MODIFIED"), (201, 301, "UNCHANGED"), (-1, 302, "RESOLVED")]
 
 
+def test_frameworks_of_all_files(spark):
+    f = spark.createDataFrame([(59, "src/a.py", "python"), (60, "src/b.py", "python"), (9000, "c.py", "python")], "pos long, path string, language string")
+    assert sorted(run(spark, "s_09_framework_detection", files=f)) == [("django", 2.0, 0.8), ("flask", 1.0, 0.7)]
+
+
 def test_betweenness_of_a_chain(spark):
     e = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
     got = {r["id"]: r["betweenness"] for r in graph.betweenness(e, spark.range(1, 4)).collect()}
