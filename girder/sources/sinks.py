@@ -1,7 +1,7 @@
 """Sinks: table writers, and report documents built from findings.
 
 Anything that grows with the findings is written by Spark (a JSON or text row a finding, in files). Reports
-that are one document by their format take at most ``MOST`` rows in report order through the driver.
+that are one document by their format take all rows in report order through the driver, a partition at a time.
 """
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from __future__ import annotations
 import html
 import json
 import zipfile
+from collections.abc import Iterator
 from io import BytesIO
+from itertools import islice
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from girder.plans.operator import native, view
 
-MOST = 10_000
+#: Rows a sheet may hold.
+SHEET_ROWS = 1_048_576
 RANK = {"CRITICAL": 5, "HIGH": 4, "MEDIUM": 3, "LOW": 2, "INFO": 1}
 LEVEL = {"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning", "LOW": "note", "INFO": "note"}
 #: CWE numbers of the rules in reports.
@@ -28,7 +31,12 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy("file_path", "line", F.coalesce("col", F.lit(0)), "rule_id", "input_pos")
 
 
-def top(findings: DataFrame, n: int = MOST) -> list[dict]:
+def every(findings: DataFrame) -> Iterator[dict]:
+    """All rows in report order."""
+    return (r.asDict() for r in ordered(findings).toLocalIterator())
+
+
+def top(findings: DataFrame, n: int) -> list[dict]:
     """The first rows in report order: a top-k, not a sort of all rows."""
     return [r.asDict() for r in ordered(findings).limit(n).collect()]
 
@@ -57,9 +65,8 @@ def cyclonedx_rows(findings: DataFrame) -> DataFrame:
 
 
 def sarif(findings: DataFrame) -> str:
-    rows = top(findings)
-    rules = [{"id": r} for r in sorted({x["rule_id"] for x in rows})]
-    results = [{"ruleId": x["rule_id"], "level": LEVEL[x["severity"]], "message": {"text": x["snippet"]}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": x["file_path"]}, "region": {"startLine": x["line"]}}}]} for x in rows]
+    rules = [{"id": r["rule_id"]} for r in findings.select("rule_id").distinct().orderBy("rule_id").collect()]
+    results = [{"ruleId": x["rule_id"], "level": LEVEL[x["severity"]], "message": {"text": x["snippet"]}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": x["file_path"]}, "region": {"startLine": x["line"]}}}]} for x in every(findings)]
     return json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "girder", "rules": rules}}, "results": results}]}, sort_keys=True)
 
 
@@ -69,15 +76,15 @@ def markdown(findings: DataFrame, n: int = 25) -> str:
 
 
 def html_page(findings: DataFrame) -> str:
-    cells = "".join(f"<tr><td>{html.escape(x['severity'])}</td><td>{html.escape(x['rule_id'])}</td><td>{html.escape(x['file_path'])}:{x['line']}</td></tr>" for x in top(findings))
+    cells = "".join(f"<tr><td>{html.escape(x['severity'])}</td><td>{html.escape(x['rule_id'])}</td><td>{html.escape(x['file_path'])}:{x['line']}</td></tr>" for x in every(findings))
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Findings</title></head><body><table>{cells}</table></body></html>"
 
 
 def junit(findings: DataFrame, threshold: str = "HIGH") -> str:
-    rows = top(findings)
-    cases = [f"<testcase name={json.dumps(escape(x['rule_id'] + ' ' + x['file_path'] + ':' + str(x['line'])))}>" + (f"<failure message={json.dumps(escape(x['severity']))}/>" if RANK[x["severity"]] >= RANK[threshold] else "") + "</testcase>" for x in rows]
-    failed = sum(RANK[x["severity"]] >= RANK[threshold] for x in rows)
-    return f"<?xml version='1.0'?><testsuite tests='{max(len(rows), 1)}' failures='{failed}'>{''.join(cases) or '<testcase name=' + chr(34) + 'clean' + chr(34) + '/>'}</testsuite>"
+    over = [k for k, v in RANK.items() if v >= RANK[threshold]]
+    total, failed = findings.agg(F.count("*"), F.count_if(F.col("severity").isin(over))).first()
+    cases = [f"<testcase name={json.dumps(escape(x['rule_id'] + ' ' + x['file_path'] + ':' + str(x['line'])))}>" + (f"<failure message={json.dumps(escape(x['severity']))}/>" if RANK[x["severity"]] >= RANK[threshold] else "") + "</testcase>" for x in every(findings)]
+    return f"<?xml version='1.0'?><testsuite tests='{max(total, 1)}' failures='{failed}'>{''.join(cases) or '<testcase name=' + chr(34) + 'clean' + chr(34) + '/>'}</testsuite>"
 
 
 def cell(text: str) -> str:
@@ -87,16 +94,19 @@ def cell(text: str) -> str:
 
 
 def excel(findings: DataFrame) -> bytes:
-    """A one-sheet workbook with inline strings."""
-    rows = [("Severity", "Rule", "File", "Line"), *[(x["severity"], x["rule_id"], x["file_path"], x["line"]) for x in top(findings)]]
-    sheet = "".join(f"<row r='{i}'>" + "".join(f"<c t='inlineStr'><is><t>{escape(cell(v))}</t></is></c>" for v in r) + "</row>" for i, r in enumerate(rows, 1))
+    """A workbook with inline strings; a further sheet where one is full."""
+    head, rows, sheets = ("Severity", "Rule", "File", "Line"), every(findings), []
+    while (part := list(islice(rows, SHEET_ROWS - 1))) or not sheets:
+        cells = [head, *[(x["severity"], x["rule_id"], x["file_path"], x["line"]) for x in part]]
+        sheets.append("".join(f"<row r='{i}'>" + "".join(f"<c t='inlineStr'><is><t>{escape(cell(v))}</t></is></c>" for v in r) + "</row>" for i, r in enumerate(cells, 1)))
+    names = {k: "Findings" if k == 1 else f"Findings {k}" for k in range(1, len(sheets) + 1)}
     ns = "http://schemas.openxmlformats.org"
     parts = {
-        "[Content_Types].xml": f"<Types xmlns='{ns}/package/2006/content-types'><Default Extension='rels' ContentType='application/vnd.openxmlformats-package.relationships+xml'/><Override PartName='/xl/workbook.xml' ContentType='application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml'/><Override PartName='/xl/worksheets/sheet1.xml' ContentType='application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml'/></Types>",
+        "[Content_Types].xml": f"<Types xmlns='{ns}/package/2006/content-types'><Default Extension='rels' ContentType='application/vnd.openxmlformats-package.relationships+xml'/><Override PartName='/xl/workbook.xml' ContentType='application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml'/>" + "".join(f"<Override PartName='/xl/worksheets/sheet{k}.xml' ContentType='application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml'/>" for k in names) + "</Types>",
         "_rels/.rels": f"<Relationships xmlns='{ns}/package/2006/relationships'><Relationship Id='r1' Type='{ns}/officeDocument/2006/relationships/officeDocument' Target='xl/workbook.xml'/></Relationships>",
-        "xl/workbook.xml": f"<workbook xmlns='{ns}/spreadsheetml/2006/main' xmlns:r='{ns}/officeDocument/2006/relationships'><sheets><sheet name='Findings' sheetId='1' r:id='r1'/></sheets></workbook>",
-        "xl/_rels/workbook.xml.rels": f"<Relationships xmlns='{ns}/package/2006/relationships'><Relationship Id='r1' Type='{ns}/officeDocument/2006/relationships/worksheet' Target='worksheets/sheet1.xml'/></Relationships>",
-        "xl/worksheets/sheet1.xml": f"<worksheet xmlns='{ns}/spreadsheetml/2006/main'><sheetData>{sheet}</sheetData></worksheet>",
+        "xl/workbook.xml": f"<workbook xmlns='{ns}/spreadsheetml/2006/main' xmlns:r='{ns}/officeDocument/2006/relationships'><sheets>" + "".join(f"<sheet name='{v}' sheetId='{k}' r:id='r{k}'/>" for k, v in names.items()) + "</sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": f"<Relationships xmlns='{ns}/package/2006/relationships'>" + "".join(f"<Relationship Id='r{k}' Type='{ns}/officeDocument/2006/relationships/worksheet' Target='worksheets/sheet{k}.xml'/>" for k in names) + "</Relationships>",
+        **{f"xl/worksheets/sheet{k}.xml": f"<worksheet xmlns='{ns}/spreadsheetml/2006/main'><sheetData>{sheet}</sheetData></worksheet>" for k, sheet in enumerate(sheets, 1)},
     }
     out = BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -107,7 +117,7 @@ def excel(findings: DataFrame) -> bytes:
 
 def pdf(findings: DataFrame, per_page: int = 45) -> bytes:
     """Plain text pages."""
-    lines = [f"{x['severity']:9} {x['rule_id']:12} {x['file_path']}:{x['line']}" for x in top(findings)] or ["no findings"]
+    lines = [f"{x['severity']:9} {x['rule_id']:12} {x['file_path']}:{x['line']}" for x in every(findings)] or ["no findings"]
     pages = [lines[i : i + per_page] for i in range(0, len(lines), per_page)]
     objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Count {len(pages)} /Kids [{' '.join(f'{4 + 2 * i} 0 R' for i in range(len(pages)))}] >>", "<< /Type /Font /Subtype /Type1 /BaseFont /Courier >>"]
     for i, page in enumerate(pages):

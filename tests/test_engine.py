@@ -151,6 +151,20 @@ def test_frameworks_of_all_files(spark):
     assert sorted(run(spark, "s_09_framework_detection", files=f)) == [("django", 2.0, 0.8), ("flask", 1.0, 0.7)]
 
 
+def test_reports_hold_every_finding(spark, monkeypatch):
+    n = 10_050
+    f = spark.createDataFrame([finding(i, severity="LOW" if i < 20 else "HIGH", path=f"p{i:05}") for i in range(n)], FINDINGS)
+    assert len(json.loads(sinks.sarif(f))["runs"][0]["results"]) == n and sinks.html_page(f).count("<tr>") == n
+    said = sinks.junit(f)
+    assert f"tests='{n}' failures='{n - 20}'" in said and said.count("<failure") == n - 20 and said.count("<testcase") == n
+    assert sinks.pdf(f).count(b" Tj T*") == n
+    monkeypatch.setattr(sinks, "SHEET_ROWS", 6000)
+    book = zipfile.ZipFile(io.BytesIO(sinks.excel(f)))
+    sheets = [book.read(f"xl/worksheets/sheet{k}.xml").decode() for k in (1, 2)]
+    assert [x.count("<row ") for x in sheets] == [6000, n - 5999 + 1] and "p10049" in sheets[1]
+    assert all(book.read(x).decode().count(y) == 2 for x, y in (("xl/workbook.xml", "<sheet "), ("xl/_rels/workbook.xml.rels", "<Relationship "), ("[Content_Types].xml", "worksheet+xml")))
+
+
 def test_betweenness_of_a_chain(spark):
     e = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
     got = {r["id"]: r["betweenness"] for r in graph.betweenness(e, spark.range(1, 4)).collect()}
