@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The words of a text: maximal runs of anything but ASCII white space.
@@ -73,3 +74,26 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
+
+
+def numbered(df: DataFrame, key: str, scratch: Scratch, name: str, number: str) -> DataFrame:
+    """``df``, written once, with the place of each row among the rows of its key as ``number``, from 0.
+
+    Rows of one key must be interchangeable. The write fixes the partition that a row belongs to; places are
+    counted within (key, partition) and follow those of the partitions before, so no task holds a whole key.
+    """
+    part, base, k, p = fresh(df, "__part", "__base", "__k", "__p")
+    rows = scratch.save(df.withColumn(part, F.spark_partition_id()), name)
+    counts = rows.groupBy(key, part).agg(F.count("*").alias(base))
+    repeated = counts.groupBy(F.col(key).alias(k)).agg(F.sum(base).alias(base)).where(F.col(base) > 1).select(k)
+    if is_empty(repeated):
+        return rows.drop(part).withColumn(number, F.lit(0).cast("long"))
+    before = W.partitionBy(key).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    bases = counts.join(repeated, F.col(key) == F.col(k), "left_semi")
+    bases = bases.select(F.col(key).alias(k), F.col(part).alias(p), F.coalesce(F.sum(base).over(before), F.lit(0)).alias(base))
+    many = rows.join(repeated, F.col(key) == F.col(k), "left_semi")
+    many = many.withColumn(number, F.row_number().over(W.partitionBy(key, part).orderBy(F.lit(1))) - 1)
+    many = many.join(bases, (F.col(key) == F.col(k)) & (F.col(part) == F.col(p))).withColumn(number, (F.col(number) + F.col(base)).cast("long"))
+    alone = rows.join(repeated, F.col(key) == F.col(k), "left_anti").withColumn(number, F.lit(0).cast("long"))
+    cols = [c for c in rows.columns if c != part] + [number]
+    return scratch.save(many.select(*cols).union(alone.select(*cols)), f"{name}-numbered")

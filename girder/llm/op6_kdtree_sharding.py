@@ -6,8 +6,8 @@ widest dimension into parts for n // 2 and n - n // 2 shards, at the point where
 in that proportion, until each leaf is one shard, that is until leaves reach the target bytes.
 
 A split value is found by histograms, not by sorting or collecting rows: a coordinate is 20 bits, followed
-by 40 bits of a hash of the row, so that ties (one source with a third of all rows, thousands of equal
-texts) can be cut anywhere. Each round sums bytes by node and by the next 10 bits within the bucket that
+by 40 bits of a hash of the row and of its number among equal rows, so that ties (one source with a third of
+all rows, thousands of equal texts or of equal rows) can be cut anywhere. Each round sums bytes by node and by the next 10 bits within the bucket that
 holds the cut: at most 16 x 1024 sums reach the driver, whatever the number of rows. The cut ends within
 half of one row of the proportion. All nodes of a level share their rounds.
 
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from girder.llm.common import Scratch, table
+from girder.llm.common import Scratch, numbered, table
 
 SHARDS = 16
 DIMS = 4
@@ -47,7 +47,7 @@ class Node:
 
 
 def _points(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, size, text_crc32, h, c0..c3): a narrow row a document."""
+    """(doc_id, size, text_crc32, c0..c3, row): a narrow row a document; ``row`` is a hash of all of it, equal for equal rows."""
     have = set(docs.columns)
     text = F.col(text_col)
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
@@ -61,10 +61,14 @@ def _points(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return F.least(F.log2(F.greatest(x, F.lit(0.0)) + 1) / 40, F.lit(1.0)) * top
 
     coords = [name("lang"), name("source"), log(chars), log(size.cast("double"))]
-    tie = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.crc32(text.cast("binary"))), F.lit(2**TIE_BITS))
-    return docs.select(
-        F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), tie.alias("h"), *[F.floor(F.coalesce(c, F.lit(0.0))).cast("long").alias(f"c{i}") for i, c in enumerate(coords)]
-    )
+    points = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *[F.floor(F.coalesce(c, F.lit(0.0))).cast("long").alias(f"c{i}") for i, c in enumerate(coords)])
+    return points.withColumn("row", F.xxhash64(F.col("doc_id").cast("string"), F.col("doc_id").isNull(), "text_crc32", "size", *[f"c{i}" for i in range(DIMS)]))
+
+
+def _told_apart(points: DataFrame, scratch: Scratch) -> DataFrame:
+    """The points with ``h``, the hash that breaks ties, which differs between equal rows."""
+    each = numbered(points, "row", scratch, "points", "copy")
+    return each.withColumn("h", F.pmod(F.xxhash64("row", "copy"), F.lit(2**TIE_BITS))).drop("row", "copy")
 
 
 def _key(dim: int) -> Column:
@@ -124,7 +128,7 @@ def kd_tree(points: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for each row; the number of shards, or the bytes that a shard aims at."""
     scratch = Scratch(docs.sparkSession, "op6")
-    points = scratch.save(_points(docs, id_col, text_col), "points")
+    points = _told_apart(_points(docs, id_col, text_col), scratch)
     if shards is None:
         shards = max(1, -(-(points.agg(F.sum("size")).first()[0] or 0) // target_bytes))
     points, levels = kd_tree(points, shards, scratch)
