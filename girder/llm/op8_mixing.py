@@ -11,8 +11,9 @@ documents are told apart. The taken words end within half of one document of the
 grouped by (source, bucket), so a source with a third of all rows is spread over 4096 groups.
 
 Nulls: a null text has no words; a null source is a source of its own, last in order; a null doc_id is
-hashed as such with its text. Rows equal in doc_id and text are taken together. A source without words
-has target 0. An empty table gives no rows. Other columns are ignored by ``mix_plan`` and kept by
+hashed as such with its text. Rows equal in source, doc_id and text are numbered, and the number is hashed
+with them, so that a threshold may lie between them; which of such rows is which does not matter. A source
+without words has target 0. An empty table gives no rows. Other columns are ignored by ``mix_plan`` and kept by
 ``apply_mix``.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from girder.llm.common import WORD, Scratch, fresh, table
+from girder.llm.common import WORD, Scratch, fresh, is_empty, numbered, table
 
 #: Weights that the sources take in turn, in order of their names.
 WEIGHTS = (5, 2, 1)
@@ -30,10 +31,15 @@ MOST_REPEATS = 3
 DIGITS, LEVELS = 12, 5  # 60 bits of hash
 
 
-def row_hash(doc_id: Column, text: Column) -> Column:
-    """60 bits of MD5 over the id and the text's own MD5, as a long."""
-    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit("|"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
-    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
+def row_key(source: Column, doc_id: Column, text: Column) -> Column:
+    """MD5 over source, id and the text's own MD5: equal for equal rows."""
+    named = F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("-"))
+    return F.md5(F.concat(named, F.lit("|"), F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit("|"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
+
+
+def row_hash(key: Column, number: Column) -> Column:
+    """60 bits of MD5 over a row's key and its number among equal rows, as a long."""
+    return F.conv(F.substring(F.md5(F.concat(key, F.lit("|"), number.cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -63,7 +69,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def mix_thresholds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> tuple[DataFrame, DataFrame]:
-    """The narrow rows (doc_id, __source, size, __hash), and a row (__s, source_size, target, __whole, __cut) for each source.
+    """The narrow rows (doc_id, __source, size, __key, __hash), and a row (__s, source_size, target, __whole, __cut) for each source.
 
     The mix takes a document ``__whole`` times, and once more if its hash is ``__cut`` at most.
     """
@@ -73,9 +79,9 @@ def mix_thresholds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("__source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        row_hash(F.col(id_col), text).alias("__hash"),
+        row_key(F.col(source_col), F.col(id_col), text).alias("__key"),
     )
-    rows = scratch.save(rows, "rows")
+    rows = numbered(rows, "__key", scratch, "rows", "__n").withColumn("__hash", row_hash(F.col("__key"), F.col("__n")))
     digit = lambda level: F.shiftright("__hash", DIGITS * (LEVELS - 1 - level)) if level < LEVELS - 1 else F.col("__hash")
 
     first = rows.groupBy("__source", digit(0).alias("__bucket")).agg(F.sum("size").alias("__words"))
@@ -122,12 +128,24 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their columns as they were."""
-    _, cuts = mix_thresholds(docs, weights=weights, most=most)
-    source, whole, cut, copies, copy = fresh(docs, "__s", "__whole", "__cut", "__copies", "__copy")
+    """The rows of ``docs`` as often as the mix takes them, with their columns as they were.
+
+    Only rows that have equals are written, to be numbered; all others meet the thresholds as they are read.
+    """
+    rows, cuts = mix_thresholds(docs, weights=weights, most=most)
+    key, number, source, whole, cut, copies, copy, k = fresh(docs, "__key", "__n", "__s", "__whole", "__cut", "__copies", "__copy", "__k")
     cuts = cuts.select(F.col("__s").alias(source), F.col("__whole").alias(whole), F.col("__cut").alias(cut))
-    times = F.col(whole) + F.when(row_hash(docs["doc_id"], docs["text"]) <= F.col(cut), 1).otherwise(0)
-    joined = docs.join(cuts, docs["source"].eqNullSafe(F.col(source))).withColumn(copies, times).where(F.col(copies) > 0)
+    keyed = docs.withColumn(key, row_key(F.col("source"), F.col("doc_id"), F.col("text")))
+    repeated = rows.where("__n > 0").select(F.col("__key").alias(k)).distinct()
+    if is_empty(repeated):
+        each = keyed.withColumn(number, F.lit(0).cast("long"))
+    else:
+        same = F.col(key) == F.col(k)
+        alone = keyed.join(repeated, same, "left_anti").withColumn(number, F.lit(0).cast("long"))
+        many = numbered(keyed.join(repeated, same, "left_semi"), key, Scratch(docs.sparkSession, "op8"), "repeated", number)
+        each = alone.unionByName(many)
+    times = F.col(whole) + F.when(row_hash(F.col(key), F.col(number)) <= F.col(cut), 1).otherwise(0)
+    joined = each.join(cuts, F.col("source").eqNullSafe(F.col(source))).withColumn(copies, times).where(F.col(copies) > 0)
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
@@ -137,9 +155,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
-  FROM documents
+  SELECT doc_id, source, size, ('0x' || substr(md5(key || '|' || (row_number() OVER (PARTITION BY key) - 1)), 1, 15))::BIGINT AS h
+  FROM (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           md5(coalesce('s' || source, '-') || '|' || coalesce(doc_id::VARCHAR, '-') || '|' || md5(coalesce(text, ''))) AS key
+    FROM documents
+  ) k
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), r AS (
