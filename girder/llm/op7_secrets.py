@@ -1,19 +1,22 @@
 """Secret scan by an incremental blob ledger, in DataFrame operations only.
 
 Every version of a document is addressed by its content (SHA-256). The ledger holds the (blob, rule,
-rule version) triples scanned so far with what they found; a run scans only blobs that miss a triple,
-each once however many paths hold it, appends to the ledger, and joins findings back to all paths.
+rule version) triples scanned so far with what they found; a run scans a blob only under the rules whose
+triples the ledger misses, each once however many paths hold it, appends to the ledger, and joins findings
+back to all paths. The query takes the table as two commits of a history, told apart by a hash of the id:
+the second meets the ledger of the first and scans only blobs that the first did not hold.
 
-Positions come from splitting a text at the matches: pieces and matches alternate, so running sums of
-their lengths in code points give the spans. Matches are leftmost and don't overlap within a rule.
+Positions come from splitting a text at the matches: pieces and matches alternate, so a running sum of
+their lengths in code points, a row a match, gives the spans. Matches are leftmost and don't overlap within
+a rule. The method adds no spans to those of the base rules.
 
 The blob's text comes from one row of its blob (its smallest id), picked on the narrow versions table, so
 text meets only narrow keys that are spread by id. Findings join back on the blob; a blob with a third
 of all paths is split by the adaptive skew join, its findings being one row.
 
 Nulls: a null text counts as empty; a null doc_id is kept as a path of its own. Rows that repeat stay,
-each with its findings. A text without a secret has no spans. An empty table gives no rows. Other columns
-are ignored.
+each with its findings, and are scanned once. A text without a secret has no spans. An empty table gives no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from girder.llm.common import Scratch, is_empty, table
@@ -45,54 +49,60 @@ RULES = (
 )
 
 
-def spans_of(text: Column, rule: Rule) -> Column:
-    """array<struct<start, end>> of a rule's matches, in code points."""
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def _matches(text: Column, rule: Rule) -> Column:
+    """array<struct<gap, size, ok>>: for each match the code points before it since the last one, its own, and whether it is kept."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.split(text, rule.pattern, -1)
     pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,ok:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["g"])
-        end = begin + F.length(x["m"])
-        ok = x["m"].rlike(rule.keep) if rule.keep else F.lit(True)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), ok.alias("ok")))).alias("out"))
-
-    every = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.transform(F.filter(every, lambda x: x["ok"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return F.transform(pairs, lambda x: F.struct(F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), (x["m"].rlike(rule.keep) if rule.keep else F.lit(True)).alias("ok")))
 
 
-def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, kind, version, spans) for each blob (blob, text) and rule; no spans: scanned, nothing found."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    each = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(F.col("text").rlike(r.pattern), spans_of(F.col("text"), r)).otherwise(none).alias("spans")) for r in rules])
-    return blobs.select("blob", F.explode(each).alias("x")).select("blob", "x.kind", "x.version", "x.spans")
+def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...], scratch: Scratch, name: str) -> DataFrame:
+    """The ledger's rows for blobs (blob, text, kinds), each under its ``kinds`` of rules; no spans: scanned, nothing found."""
+    none = F.array().cast("array<struct<gap:int,size:int,ok:boolean>>")
 
+    def scanned(r: Rule) -> Column:
+        hit = F.when(F.col("text").rlike(r.pattern), _matches(F.col("text"), r)).otherwise(none)
+        return F.when(F.array_contains("kinds", r.kind), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), hit.alias("hits")))
 
-LEDGER = "blob string, kind string, version int, spans array<struct<start:int,end:int>>"
+    rows = blobs.select("blob", F.explode(F.array(*map(scanned, rules))).alias("x")).where("x is not null").select("blob", "x.kind", "x.version", "x.hits")
+    rows = scratch.save(rows, f"{name}-hits")
+    each = rows.where(F.size("hits") > 0).select("blob", "kind", "version", F.posexplode("hits").alias("i", "hit"))
+    end = F.sum(F.col("hit.gap") + F.col("hit.size")).over(W.partitionBy("blob", "kind", "version").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
+    each = each.withColumn("end", end.cast("int"))
+    span = F.when(F.col("hit.ok"), F.struct((F.col("end") - F.col("hit.size")).alias("start"), "end"))
+    some = each.groupBy("blob", "kind", "version").agg(F.array_sort(F.collect_list(span)).cast(SPANS).alias("spans"))
+    bare = rows.where(F.size("hits") == 0).select("blob", "kind", "version", F.array().cast(SPANS).alias("spans"))
+    return scratch.save(some.union(bare), name)
 
 
 def scan_versions(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The versions (doc_id, blob), the findings of all their blobs, and the new rows of the ledger."""
+    """The versions (doc_id, blob), the findings of all their blobs and of the ledger's, and the new rows of the ledger."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "op7")
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), F.sha2(text.cast("binary"), 256).alias("__blob"))
     versions = scratch.save(docs.select(F.col("__id").alias("doc_id"), F.col("__blob").alias("blob")), "versions")
-    heads = versions.groupBy("blob").agg(F.min("doc_id").alias("__head"))
+    # the head of a blob: its smallest id, and how many rows are equal to it
+    heads = versions.groupBy("blob", "doc_id").agg(F.count("*").alias("n")).groupBy("blob").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("h"))
+    kinds = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    wanted = heads.select(F.col("blob").alias("__b"), F.col("h.doc_id").alias("__head"), (F.col("h.n") > 1).alias("__many"), F.explode(kinds).alias("r")).select("*", "r.kind", "r.version")
     if ledger is not None:
-        wanted = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
-        known = ledger.join(F.broadcast(wanted), ["kind", "version"], "left_semi").groupBy("blob").agg(F.countDistinct("kind", "version").alias("n")).where(F.col("n") == len(rules))
-        heads = heads.join(known, "blob", "left_anti")
-    heads = heads.select(F.col("blob").alias("__b"), "__head")
-    unseen = docs.join(heads, F.col("__id").eqNullSafe(F.col("__head")) & (F.col("__blob") == F.col("__b")))
-    fresh = scan_blobs(unseen.select(F.col("__blob").alias("blob"), F.col("__text").alias("text")), rules)
-    fresh = scratch.save(fresh, "ledger-new")
+        known = ledger.select(F.col("blob").alias("__b"), "kind", "version")
+        wanted = wanted.join(known, ["__b", "kind", "version"], "left_anti")
+    wanted = scratch.save(wanted.groupBy("__b", "__head", "__many").agg(F.collect_set("kind").alias("kinds")), "wanted")
+    unseen = docs.join(wanted, F.col("__id").eqNullSafe(F.col("__head")) & (F.col("__blob") == F.col("__b")))
+    if not is_empty(wanted.where("__many")):
+        unseen = unseen.where(~F.col("__many")).union(unseen.where("__many").dropDuplicates(["__blob"]))
+    fresh = scan_blobs(unseen.select(F.col("__blob").alias("blob"), F.col("__text").alias("text"), "kinds"), rules, scratch, "ledger-new")
     if ledger is None:
         return versions, fresh, fresh
-    scanned = fresh.select("blob", "kind", "version")
-    old = ledger.select("blob", "kind", "version", "spans").join(F.broadcast(wanted), ["kind", "version"], "left_semi").join(scanned, ["blob", "kind", "version"], "left_anti")
-    return versions, fresh.unionByName(old), fresh
+    # the ledger keeps findings of older rule versions, which don't count
+    asked = F.array_contains(kinds, F.struct("kind", "version"))
+    return versions, fresh.unionByName(ledger.select("blob", "kind", "version", "spans").where(asked)), fresh
 
 
 def findings_by_path(versions: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -105,8 +115,11 @@ def findings_by_path(versions: DataFrame, findings: DataFrame, rules: tuple[Rule
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions, findings, _ = scan_versions(table(spark, sf_dir, "documents"))
-    paths = findings_by_path(versions, findings)
+    docs = table(spark, sf_dir, "documents")
+    early = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) < 2**31, F.lit(True))
+    before, _, ledger = scan_versions(docs.where(early))
+    after, findings, _ = scan_versions(docs.where(~early), ledger=ledger)
+    paths = findings_by_path(before.union(after), findings)
     joined = F.array_join(F.transform("found", lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return paths.select("doc_id", *[count(r.kind) for r in RULES], F.sha2(joined.cast("binary"), 256).alias("base_sha256"), joined.alias("spans"))
