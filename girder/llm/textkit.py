@@ -48,13 +48,11 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _words(raw: np.ndarray, starts: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of a slice, and where they start and end; ``starts``: first bytes of its texts."""
-    n = len(raw)
+def runs(solid: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of true bytes begin and end; none crosses one of ``starts``, the first bytes of the texts of a slice."""
+    n = len(solid)
     if not n:
-        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
-    up, down = _power_tables(n + 1)
-    solid = ~space[raw]
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     inner = starts[(starts > 0) & (starts < n)]
@@ -62,11 +60,27 @@ def _words(raw: np.ndarray, starts: np.ndarray, space: np.ndarray = _SPACE) -> t
     last = solid.copy()
     last[:-1] &= ~solid[1:]
     last[inner - 1] = solid[inner - 1]
-    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums = np.empty(n + 1, _U)
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def span_sums(raw: np.ndarray) -> np.ndarray:
+    """What the hashes of all spans of a slice are read off."""
+    up, _ = _power_tables(len(raw) + 1)
+    sums = np.empty(len(raw) + 1, _U)
     sums[0] = 0
-    np.cumsum(_VALUES[raw] * up[:n], out=sums[1:])
-    return mix((sums[e] - sums[s]) * down[s] + (e - s).astype(_U)), s, e
+    np.cumsum(_VALUES[raw] * up[: len(raw)], out=sums[1:])
+    return sums
+
+
+def hash_spans(sums: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of the spans [s, e) of a slice; equal bytes (but for the case of A-Z) have equal hashes."""
+    return mix((sums[e] - sums[s]) * _power_tables(len(sums))[1][s] + (e - s).astype(_U))
+
+
+def _words(raw: np.ndarray, starts: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a slice, and where they start and end; ``starts``: first bytes of its texts."""
+    s, e = runs(~space[raw], starts)
+    return hash_spans(span_sums(raw), s, e) if len(s) else np.empty(0, _U), s, e
 
 
 def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,30 +97,47 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)), off
 
 
-def word_hashes(texts: pa.Array, plain: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For run after run of texts: the index of the first, word offsets of each text, word hashes."""
-    space = _BREAK if plain else _SPACE
+def slices(texts: pa.Array, space: np.ndarray = _SPACE, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Run after run of texts as (first text, texts, bytes, offsets); a text longer than ``most`` bytes comes in several pieces, which end at white space."""
     raw, off = _bytes_of(texts)
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE, "right")) - 1)
-        if off[j] - off[i] <= SLICE:
-            h, s, _ = _words(raw[off[i] : off[j]], off[i:j] - off[i], space)
-            yield i, np.searchsorted(s, off[i : j + 1] - off[i]), h
-        else:  # one long text, in pieces
-            at, end, parts = int(off[i]), int(off[j]), []
+        j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
+        if off[j] - off[i] <= most:
+            yield i, j - i, raw[off[i] : off[j]], off[i : j + 1] - off[i]
+        else:
+            at, end = int(off[i]), int(off[j])
             while at < end:
-                to = min(at + SLICE, end)
+                to = min(at + most, end)
                 while to < end and not space[raw[to - 1]]:  # never cut a word
                     more = np.flatnonzero(space[raw[to : min(to + 65536, end)]])
                     to = to + int(more[0]) + 1 if len(more) else min(to + 65536, end)
-                parts.append(_words(raw[at:to], np.zeros(1, np.int64), space)[0])
+                yield i, 1, raw[at:to], np.array([0, to - at])
                 at = to
-            h = np.concatenate(parts)
-            yield i, np.array([0, len(h)]), h
         i = j
 
 
+def word_hashes(texts: pa.Array, plain: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For run after run of texts: the index of the first, word offsets of each text, word hashes."""
+    space = _BREAK if plain else _SPACE
+    held: list[np.ndarray] = []  # pieces of text i
+    i = 0
+    for first, n, raw, off in slices(texts, space):
+        h, s, _ = _words(raw, off[:-1], space)
+        if held and first == i:
+            held.append(h)
+            continue
+        if held:
+            yield i, np.array([0, sum(map(len, held))]), np.concatenate(held)
+            held = []
+        if n == 1:
+            i, held = first, [h]
+        else:
+            yield first, np.searchsorted(s, off), h
+    if held:
+        yield i, np.array([0, sum(map(len, held))]), np.concatenate(held)
+
+
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """For each text its sorted distinct 5-word shingle hashes; fewer words make one shingle, none make none."""
     for _, off, h in word_hashes(texts):
