@@ -1,13 +1,14 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Bytes are embedded (a learned table), with one more plane that marks a word equal to one of the two words
-before it. Learned filters, 12 bytes wide and 4 bytes apart, run over overlapping chunks that cover the whole
-document; each filter's responses are max-pooled over all chunks, and one logistic unit combines the
+Bytes are embedded (a learned table); one more input plane marks bytes that end a repetition, that is whose last
+SAME bytes stood up to LAG bytes earlier too: a window of 12 bytes can't see that. Learned filters, 12 bytes
+wide and 4 bytes apart, run over overlapping chunks that cover the whole document, and give what one pass over the
+whole text would give, whatever the chunk size; each filter's responses are max-pooled over all chunks, and one logistic unit combines the
 maxima into a probability. Training follows the maxima back to their windows (Adam, fixed seed).
 
-Training rows: at most ``TRAIN_ROWS`` labelled rows with texts up to ``TRAIN_BYTES`` bytes, in a hash order
-of their ids, none of the held-out fold. That bound is what the driver holds; scoring covers every byte of
-every document, one batch at a time.
+Training rows: at most ``TRAIN_ROWS`` labelled rows whose texts have ``TRAIN_BYTES`` bytes together at most,
+in a hash order of their ids, none of the held-out fold; a text of any length is taken while it fits. That
+bound is what the driver holds; scoring covers every byte of every document, one batch at a time.
 
 Nulls: a null text scores as an empty one; labels that are null don't train; a doc_id labelled more than
 once trains with its largest label; a null doc_id is scored and never trains (its fold is null: not held
@@ -25,51 +26,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.llm.common import crc_fold, table
-from girder.llm.textkit import SLICE, _bytes_of, _words
+from girder.llm.textkit import SLICE, _bytes_of
 
-TRAIN_ROWS, TRAIN_BYTES = 2000, 32768
+TRAIN_ROWS, TRAIN_BYTES = 2000, 16 << 20
 EMBED, FILTERS, STEP, TAPS = 4, 16, 4, 3
 OVERLAP = STEP * (TAPS - 1)
 EPOCHS, BATCH, RATE = 10, 32, 0.01
+SAME, LAG = 6, 32
 PLANES = STEP * EMBED + 1
 
 
-def _repeats(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """1 for each byte of a word that equals one of the two words before it in its text."""
-    h, s, e = _words(raw, starts)
-    doc = np.searchsorted(starts, s, "right")
-    same = np.zeros(len(h), bool)
-    for back in (1, 2):
-        same[back:] |= (h[back:] == h[:-back]) & (doc[back:] == doc[:-back])
-    edge = np.zeros(len(raw) + 1, np.int32)
-    edge[s[same]] += 1
-    edge[e[same]] -= 1
-    return np.cumsum(edge[:-1]).astype(np.float32)
+def repeats(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """1 for each byte whose last SAME bytes stood 2 to LAG bytes earlier in its text as well; place: its place there."""
+    out = np.zeros(len(raw), bool)
+    for lag in range(2, min(LAG, len(raw) - SAME) + 1):
+        one = raw[lag:] == raw[:-lag]
+        two = one[1:] & one[:-1]
+        run = two[4:] & two[2:-2] & two[:-4]  # ends six equal bytes
+        out[lag + SAME - 1 :] |= run & (place[lag + SAME - 1 :] >= lag + SAME - 1)
+    return out
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(document, first block, bytes, repeats) of each buffer of chunks; each chunk is padded to whole blocks and OVERLAP more."""
+def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, first block, windows, bytes, repeats) of each buffer of chunks.
+
+    A chunk holds OVERLAP bytes more than its windows begin in, so every window that a whole text has lies in
+    one of its chunks; only where the text ends is it filled up with zeros.
+    """
     raw, off = _bytes_of(texts)
+    size = SLICE // 4
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE // 4, "right")) - 1)
-        if off[j] - off[i] <= SLICE // 4:
-            spans = [(off[i], off[j], np.arange(i, j), off[i:j] - off[i], off[i + 1 : j + 1] - off[i])]
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
+        if off[j] - off[i] <= size:
+            spans = [(np.arange(i, j), off[i:j], off[i + 1 : j + 1], -(-(off[i + 1 : j + 1] - off[i:j]) // STEP))]
         else:
-            size = SLICE // 4
             spans = []
             for a in range(int(off[i]), int(off[j]), size):
                 b = min(a + size + OVERLAP, int(off[j]))
-                spans.append((a, b, np.array([i]), np.array([0]), np.array([b - a])))
-        for a, b, docs, s, e in spans:
-            part = raw[a:b]
-            rep = _repeats(part, s)
-            blocks = -(-(e - s) // STEP) + TAPS - 1
+                spans.append((np.array([i]), np.array([a]), np.array([b]), np.array([min(size // STEP, -(-(int(off[j]) - a) // STEP))])))
+        for docs, s, e, windows in spans:
+            blocks = windows + TAPS - 1
             first = np.cumsum(blocks) - blocks
-            to = np.repeat(first * STEP - s, e - s) + np.arange(len(part)) if len(part) else np.empty(0, np.int64)
-            buf, flag = np.zeros(int(blocks.sum()) * STEP, np.uint8), np.zeros(int(blocks.sum()) * STEP, np.float32)
-            buf[to], flag[to] = part, rep
-            yield docs, first, buf, flag
+            back = min(int(s[0] - off[docs[0]]), LAG + SAME)  # what a later chunk looks back on
+            part = raw[s[0] - back : e[-1]]
+            place = np.arange(len(part)) - back + np.repeat(s[0] - off[docs] if len(docs) == 1 else s[0] - s, np.append(e[0] - s[0] + back, e[1:] - s[1:]))
+            to = np.repeat(first * STEP - (s - s[0]), e - s) + np.arange(len(part) - back)
+            buf, again = np.zeros(int(blocks.sum()) * STEP, np.uint8), np.zeros(int(blocks.sum()) * STEP, np.float32)
+            buf[to], again[to] = part[back:], repeats(part, place)[back:]
+            yield docs, first, windows, buf, again
         i = j
 
 
@@ -87,10 +92,10 @@ class Network:
         }
         self.p["embed"][0] = 0
 
-    def blocks(self, buf: np.ndarray, flag: np.ndarray) -> np.ndarray:
+    def blocks(self, buf: np.ndarray, again: np.ndarray) -> np.ndarray:
         x = np.empty((len(buf) // STEP, PLANES), np.float32)
         x[:, :-1] = self.p["embed"][buf].reshape(-1, STEP * EMBED)
-        x[:, -1] = flag.reshape(-1, STEP).mean(1)
+        x[:, -1] = again.reshape(-1, STEP).mean(1)
         return x
 
     def responses(self, x: np.ndarray) -> np.ndarray:
@@ -102,13 +107,11 @@ class Network:
 
     def pooled(self, texts: pa.Array) -> np.ndarray:
         best = np.zeros((len(texts), FILTERS), np.float32)
-        for docs, first, buf, flag in chunks(texts):
-            x = self.blocks(buf, flag)
-            ends = np.append(first[1:], len(x)) - (TAPS - 1)
-            out = self.responses(x)
-            some = ends > first
+        for docs, first, windows, buf, again in chunks(texts):
+            out = self.responses(self.blocks(buf, again))
+            some = windows > 0
             if some.any():
-                edges = np.column_stack([first[some], ends[some]]).ravel()
+                edges = np.column_stack([first[some], first[some] + windows[some]]).ravel()
                 top = np.maximum.reduceat(np.vstack([out, np.zeros((1, FILTERS), np.float32)]), edges, axis=0)[::2]
                 np.maximum.at(best, docs[some], top)
         return best
@@ -123,7 +126,8 @@ class Network:
         r = np.random.Generator(np.random.PCG64(seed))
         m = {k: np.zeros_like(x) for k, x in self.p.items()}
         s = {k: np.zeros_like(x) for k, x in self.p.items()}
-        held = [next(chunks(pa.array([t]))) if t else None for t in texts]
+        held = [[(buf, again, int(windows[0])) for _, _, windows, buf, again in chunks(pa.array([t], pa.large_string()))] if t else [] for t in texts]
+        each = np.arange(FILTERS)
         t = 0
         for epoch in range(EPOCHS):
             rate = RATE * (1 - epoch / (EPOCHS + 1))
@@ -132,27 +136,28 @@ class Network:
                 g = {k: np.zeros_like(x) for k, x in self.p.items()}
                 some = order[at : at + BATCH]
                 for i in some:
-                    top, win, x, buf = np.zeros(FILTERS, np.float32), None, None, None
-                    if held[i] is not None:
-                        _, _, buf, flag = held[i]
-                        x = self.blocks(buf, flag)
-                        out = self.responses(x)[: len(x) - TAPS + 1]
+                    # each filter's largest response, and the blocks and bytes of its window
+                    top, rows, bytes_ = np.zeros(FILTERS, np.float32), np.zeros((TAPS, FILTERS, PLANES), np.float32), np.zeros((TAPS, FILTERS, STEP), np.uint8)
+                    for buf, again, windows in held[i]:
+                        x = self.blocks(buf, again)
+                        out = self.responses(x)[:windows]
                         win = out.argmax(0)
-                        top = np.maximum(out[win, np.arange(FILTERS)], 0)
+                        up = np.flatnonzero(out[win, each] > top)
+                        top[up] = out[win[up], up]
+                        for k in range(TAPS):
+                            rows[k, up], bytes_[k, up] = x[win[up] + k], buf.reshape(-1, STEP)[win[up] + k]
                     z = float(top @ self.p["v"] + self.p["c"][0])
                     d = np.float32((1 / (1 + np.exp(-z)) - labels[i]) / len(some))
                     g["c"] += d
                     g["v"] += d * top
                     dz = d * self.p["v"] * (top > 0)
-                    if win is None or not dz.any():
+                    if not dz.any():
                         continue
                     g["b"] += dz
                     for k in range(TAPS):
-                        rows = x[win + k]
-                        g["w"][k] += rows.T * dz
+                        g["w"][k] += rows[k].T * dz
                         back = (self.p["w"][k][:-1] * dz).T.reshape(FILTERS * STEP, EMBED)
-                        byte = buf.reshape(-1, STEP)[win + k].ravel()
-                        np.add.at(g["embed"], byte, back)
+                        np.add.at(g["embed"], bytes_[k].ravel(), back)
                 t += 1
                 for k in self.p:
                     if k in ("w", "v"):
@@ -164,14 +169,27 @@ class Network:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int) -> tuple[list[str], np.ndarray]:
-    """At most ``rows`` labelled texts outside the held-out fold, in a hash order of their ids, on the driver."""
+    """At most ``rows`` labelled texts of ``most_bytes`` together, outside the held-out fold, in a hash order of their ids, on the driver.
+
+    Sizes are looked at first, a number a row; a text that no longer fits is passed over. Of several texts
+    under one doc_id the first in order trains.
+    """
+    spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & (crc_fold("doc_id") != 1)).groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).alias("__y"))
     picked = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).where(F.octet_length("__text") <= most_bytes)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"))
     # the pick has a stated bound, and so may be broadcast
-    got = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("__id", "__text", "__y").limit(4 * rows).collect()
-    got = sorted({r["__id"]: r for r in sorted(got, key=lambda r: r["__text"])}.values(), key=lambda r: r["__id"])
-    return [r["__text"] for r in got], np.array([float(r["__y"] > 0) for r in got])
+    sizes = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).groupBy("__id", "__y").agg(F.min(F.struct(F.md5(F.col("__text").cast("binary")).alias("md5"), F.octet_length("__text").alias("n"))).alias("t"))
+    left, taken = most_bytes, []
+    for r in sizes.orderBy(F.xxhash64("__id"), "__id").collect():
+        if r["t"]["n"] <= left:
+            left -= r["t"]["n"]
+            taken.append((r["__id"], r["t"]["md5"], float(r["__y"] > 0)))
+    wanted = spark.createDataFrame(taken, "__id long, __md5 string, __y double")
+    same = (F.col("doc_id") == F.col("__id")) & (F.md5(F.col("__text").cast("binary")) == F.col("__md5"))
+    got = texts.join(F.broadcast(wanted), same).dropDuplicates(["__id"]).select("__id", "__text", "__y").collect()
+    got.sort(key=lambda r: r["__id"])
+    return [r["__text"] for r in got], np.array([r["__y"] for r in got])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Network | None:
