@@ -435,3 +435,196 @@ def test_op9_lcs():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert op9.lcs(op9.masks_of(a), len(a), b) == t[-1][-1]
+
+
+# repeated rows, null ids, exact borders
+
+
+def test_op10_null_ids_and_repeats_stay_linear(spark):
+    rows = [(None, "one text that four hundred rows without an id share")] * 200 + [(None, f"text number {i} that is alone and has no id") for i in range(40)]
+    rows += [(None, "one text that four hundred rows without an id have")] * 3 + [(7, "one text that four hundred rows without an id share with me and you")] * 5
+    d = docs(spark, [t for _, t in rows], [k for k, _ in rows])
+    scanned, _, _ = op10._classes(d, "doc_id", "text")
+    assert scanned.count() == len(rows)
+    got = op10.jaccard_classes(d).collect()
+    key = lambda x: tuple((v is None, v or 0) for v in x)
+    assert sorted((tuple(x) for x in got), key=key) == sorted(brute_classes(rows), key=key)
+
+
+def test_op10_shared_phrases_over_seeds():
+    """Every linking pair shares a prefix shingle at a place that ``_allowed`` lets pass, whatever the order."""
+    for seed in range(20):
+        r = random.Random(seed)
+        for _ in range(40):
+            a = words(r.randint(5, 160), r)
+            b = edited(a, r.randint(0, 3), r) + words(r.randint(0, 8), r)
+            x, y = (next(shingle_sets(pa.array([" ".join(t)]))) for t in (a, b))
+            if not op10.linked(len(np.intersect1d(x, y)), len(x), len(y)):
+                continue
+            px, py = op10._prefix(x, 1).tolist(), op10._prefix(y, 1).tolist()
+            first = next(t for t in px if t in set(py))
+            for p, n, m in ((px, len(x), len(y)), (py, len(y), len(x))):
+                place = np.array([op10.PLACES * p.index(first) // n])
+                assert op10._allowed(place, np.array([op10._size_class(n)]), np.array([op10._size_class(m)])).all()
+            bits = op10.Bits([op10._parity(x), op10._parity(y)])
+            assert 9 * bits.apart(np.array([0]), np.array([1]))[0] <= len(x) + len(y)
+
+
+def test_op6_equal_rows_are_split(spark):
+    d = docs(spark, ["the same text"] * 1600, [None] * 1600)
+    got = op6.shard(d, 16).collect()
+    sizes = check_shards([x.asDict() | {"doc_id": 0} for x in got], ["the same text"], 16)
+    assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 2 * 14
+
+
+def test_op6_tree_against_a_plain_one(spark):
+    """Each level's cut leaves the bytes of both sides within one row of the proportion."""
+    r = random.Random(8)
+    texts = [" ".join(words(r.randint(1, 40), r)) for _ in range(600)]
+    rows = op6.shard(docs(spark, texts, sources=[r.choice("abc") for _ in texts]), 16).collect()
+    size = defaultdict(int)
+    for x in rows:
+        size[x["shard"]] += x["size"]
+    largest = max(len(t) for t in texts) + 1
+    for n in (8, 4, 2, 1):
+        for first in range(0, 16, 2 * n):
+            left, right = sum(size[k] for k in range(first, first + n)), sum(size[k] for k in range(first + n, first + 2 * n))
+            assert abs(left - right) <= largest
+
+
+def test_op8_equal_rows_meet_the_target(spark):
+    texts, sources = ["four words in here"] * 800 + ["a b c d e"] * 900, ["b"] * 800 + ["a"] * 900
+    d = docs(spark, texts, [5] * 800 + list(range(900)), sources)
+    rows = op8.mix_plan(d).collect()
+    assert {x["source_size"] for x in rows} == {3200, 4500}
+    for name, n in (("b", 4), ("a", 5)):
+        own = [x for x in rows if (x["size"] == 4) == (name == "b")]
+        assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= n
+    mixed = op8.apply_mix(d)
+    assert mixed.columns == d.columns and mixed.count() == sum(x["copies"] for x in rows)
+
+
+def test_op7_ledger_takes_missing_triples_only(spark):
+    first = docs(spark, SECRET_TEXTS[:5])
+    _, _, ledger = op7.scan_versions(first)
+    newer = (op7.Rule("assign", 2, op7.RULES[0].pattern, op7.RULES[0].keep), *op7.RULES[1:])
+    _, every, again = op7.scan_versions(first, rules=newer, ledger=ledger)
+    assert again.count() == 5 and every.count() == 15
+    repeated = docs(spark, [SECRET_TEXTS[0]] * 4 + [SECRET_TEXTS[1]], [3, 3, 3, 3, 3])
+    assert op7.scan_versions(repeated)[2].count() == 6
+
+
+def test_op7_many_matches_in_one_text(spark):
+    text = "token=abcdef " * 20_000
+    versions, findings, _ = op7.scan_versions(docs(spark, [text]))
+    found = op7.findings_by_path(versions, findings).first()["found"]
+    assert len(found) == 20_000 and [(f["start"], f["end"]) for f in found[-2:]] == [(13 * 19_998, 13 * 19_998 + 12), (13 * 19_999, 13 * 19_999 + 12)]
+
+
+def test_op2_score_does_not_depend_on_the_chunk(monkeypatch):
+    r = random.Random(1)
+    texts = [" ".join(r.choice(["Der", "schön", "abc", "x"]) * r.choice([1, 1, 2]) for _ in range(r.randint(0, 300))) for _ in range(40)] + ["", None, "a", "der " * 50]
+    net = op2.Network()
+    whole = net.pooled(pa.array(texts))
+    for size in (64, 100, 1000):
+        monkeypatch.setattr(op2, "SLICE", 4 * size)
+        assert np.array_equal(net.pooled(pa.array(texts)), whole)
+
+
+def test_op2_network_against_a_plain_one():
+    """Responses window by window, and the repetition plane byte by byte."""
+    net = op2.Network(3)
+    for text in ("abc abc abc abc abc abc", "no repeats in this one", "x", "éé" * 20):
+        raw = text.encode()
+        again = [any(i - g >= 5 and raw[i - 5 : i + 1] == raw[i - g - 5 : i - g + 1] for g in range(2, op2.LAG + 1)) for i in range(len(raw))]
+        n = -(-len(raw) // op2.STEP)
+        raw, again = raw + bytes(op2.STEP * (n + 2) - len(raw)), again + [False] * (op2.STEP * (n + 2) - len(again))
+        best = np.zeros(op2.FILTERS)
+        for w in range(n):
+            z = net.p["b"].astype(float).copy()
+            for k in range(op2.TAPS):
+                at = op2.STEP * (w + k)
+                plane = np.append(net.p["embed"][list(raw[at : at + op2.STEP])].ravel(), np.mean(again[at : at + op2.STEP]))
+                z += plane @ net.p["w"][k]
+            best = np.maximum(best, z)
+        assert np.allclose(net.pooled(pa.array([text]))[0], best, atol=1e-4)
+
+
+def test_op2_and_op3_training_rows(spark):
+    d = docs(spark, ["a" * 10, "b" * 10, "c" * 50, "d" * 10, None, "z"], [0, 2, 3, 3, 5, 5])
+    lab = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    texts, y = op2.training_rows(d, lab, "quality", 100, 1000)
+    assert len(texts) == len(y) == sum(not held_out(i) for i in (0, 2, 3, 5))
+    assert sum(len(t) for t in op2.training_rows(d, lab, "quality", 100, 12)[0]) <= 12 and len(op2.training_rows(d, lab, "quality", 1, 1000)[0]) <= 1
+
+
+def brute_features(text, lexicon):
+    """hits, distinct, window and second-person words near hits, word by word."""
+    w = re.findall(r"[a-zà-öø-ÿ]+", text.lower())
+    at = [i for i, x in enumerate(w) if x in lexicon]
+    near = sum(any(x in op3.SECOND_PERSON for x in w[max(0, i - op3.NEAR) : i + op3.NEAR + 1]) for i in at)
+    return len(at), len({w[i] for i in at}), max([sum(0 <= i - j < op3.WINDOW for j in at) for i in at], default=0), near
+
+
+def test_op3_features_against_plain_ones(monkeypatch):
+    r = random.Random(5)
+    lex = frozenset({"idiot", "loser", "für", "scum"})
+    texts = []
+    for _ in range(60):
+        w = [r.choice([*VOCAB[:30], "idiot", "Loser,", "you", "FÜR", "du", "scum!"]) if r.random() < 0.4 else r.choice(VOCAB) for _ in range(r.randint(0, 200))]
+        texts.append(" ".join(w))
+    texts += ["", None, "you idiot", "é" * 10]
+    want = [brute_features(t or "", lex) for t in texts]
+    cols = [op3.NAMES.index(c) for c in ("hits", "distinct", "window", "second_near")]
+    for size in (1 << 18, 300):  # with texts taken in pieces
+        monkeypatch.setattr(op3, "SLICE", size)
+        got = op3.feature_matrix(pa.array(texts), op3.Lexicon(lex))
+        assert [tuple(x) for x in got[:, cols].astype(int).tolist()] == want
+        assert np.allclose(np.expm1(got[:, op3.NAMES.index("length")]), [len(re.findall(r"[a-zà-öø-ÿ]+", (t or "").lower())) for t in texts])
+
+
+def test_op1_floor_and_empty_vectors(spark, monkeypatch):
+    monkeypatch.setattr(op1, "BLOCK", 20)
+    r = np.random.default_rng(9)
+    rows = [(i, r.normal(0, 0.3, 6).astype(np.float32).tolist()) for i in range(160)] + [(200, []), (201, [1.0] * 6), (201, [1.0] * 6)]
+    ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows]
+    want = []
+    for q in sorted({i for i, _ in ok if i % 50 == 0}):
+        v = min(w for i, w in ok if i == q)
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in ok if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(x) for x in op1.topk(df, F.col("id") % 50 == 0).collect()) == sorted(want)
+
+
+# the queries themselves
+
+
+def test_entries_have_their_columns_and_agree_with_their_sql(spark):
+    import duckdb
+
+    from girder.llm import entry
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    columns = {
+        "op1_exact_topk": "query_id bigint, rank int, vec_id bigint, score bigint", "op2_quality_cnn": "doc_id bigint, held_out boolean, score double, predicted int",
+        "op3_toxicity": "doc_id bigint, held_out boolean, score double, predicted int", "op6_kdtree_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+        "op7_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string", "op8_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+        "op10_ngram_jaccard": "doc_id bigint, n_shingles bigint, component_id bigint",
+    }
+    plain = lambda v: round(v, 6) if isinstance(v, float) else v
+    for name in sorted({*columns, *entry.ORACLE_SQL}):
+        out = entry.QUERIES[name](spark, sf)
+        if name in columns:
+            assert ", ".join(f"{c} {t}" for c, t in out.dtypes) == columns[name], name
+        rows = out.collect()
+        if name in ("op2_quality_cnn", "op3_toxicity"):
+            cut = 0.5 if name.startswith("op2") else 0.7
+            assert all(x["held_out"] == held_out(x["doc_id"]) and x["predicted"] == int(x["score"] >= cut) and 0 <= x["score"] <= 1 for x in rows)
+        if name in entry.ORACLE_SQL:
+            rel = con.sql(entry.ORACLE_SQL[name])
+            at = [rel.columns.index(c) for c in out.columns]
+            assert sorted(repr([plain(v) for v in x]) for x in rows) == sorted(repr([plain(x[i]) for i in at]) for x in rel.fetchall()), name
