@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from girder.llm import op1_exact_topk as op1
@@ -18,6 +17,14 @@ from girder.llm import op8_mixing as op8
 from girder.llm import op9_decontamination as op9
 from girder.llm import op10_ngram_jaccard as op10
 
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline, whose module stands at the repository's top."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1.op1_exact_topk,
     "op2_quality_cnn": op2.op2_quality_cnn,
@@ -29,7 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8.op8_mixing,
     "op9_decontamination": op9.op9_decontamination,
     "op10_ngram_jaccard": op10.op10_ngram_jaccard,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -36,7 +36,8 @@ from girder.llm.textkit import word_hashes
 
 WIDTH, STRIDE = 32, 16
 RANK, ROUNDS = 128, 2
-BLOCK_WORDS = 500_000
+#: A block's model has as many terms at most, 512 bytes each in its basis: 50 MB go to the executors.
+BLOCK_WORDS = 100_000
 COMMON = 0.5
 LEAST_MASS, COSINE, COVER = 0.5, 0.5, 0.4
 WHOLE, WITH_ANSWER, ANSWER, PASSAGE = 0.8, 0.6, 0.8, 0.9

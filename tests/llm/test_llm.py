@@ -628,3 +628,33 @@ def test_entries_have_their_columns_and_agree_with_their_sql(spark):
             rel = con.sql(entry.ORACLE_SQL[name])
             at = [rel.columns.index(c) for c in out.columns]
             assert sorted(repr([plain(v) for v in x]) for x in rows) == sorted(repr([plain(x[i]) for i in at]) for x in rel.fetchall()), name
+
+
+def test_op9_paraphrases_against_all_pairs(spark):
+    """Planted items with up to a fifth of their words replaced are found; nothing is reported that no window of its text holds."""
+    r = random.Random(41)
+    items = [words(r.randint(20, 50), r) for _ in range(25)]
+    texts, truth = [], set()
+    for i in range(200):
+        w = words(r.randint(60, 200), r)
+        if i % 4 == 0:
+            k = r.randrange(25)
+            it = list(items[k])
+            for _ in range(int(len(it) * (0, 0.1, 0.2)[i // 4 % 3])):
+                it[r.randrange(len(it) * 4 // 5)] = "zq" + r.choice(VOCAB)
+            at = r.randrange(len(w))
+            w[at:at] = it
+            truth.add((i, k))
+        texts.append(" ".join(w))
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["share"] for x in op9.contaminated(docs(spark, texts), bench).collect()}
+    assert truth <= set(got)
+    for (i, k), share in got.items():
+        a, b = items[k], texts[i].split()
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                keep, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+                last = keep
+        assert row[-1] >= 0.6 * len(a) and share <= row[-1] / len(a) + 1e-9
