@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from girder.code import registry
 from girder.plans.operator import Dialect, operator
 
 #: Names, globs and markers of ignored and generated files.
@@ -89,10 +90,10 @@ TOKEN = '(?:token|secret|password) *= *"([0-9a-f]+)"'
 
 
 def _tokens(d: Dialect) -> str:
-    """A row an assignment; in the oracle's SQL the first of each text."""
+    """A row an assignment."""
     if d.name == "spark":
         return f"SELECT doc_id, secret FROM {{texts}} LATERAL VIEW explode(regexp_extract_all(text, {d.re(TOKEN)}, 1)) m AS secret"
-    return f"SELECT doc_id, {d.get('text', TOKEN)} AS secret FROM {{texts}}"
+    return f"SELECT doc_id, unnest(regexp_extract_all(text, {d.re(TOKEN)}, 1)) AS secret FROM {{texts}}"
 
 
 @operator("p_12_shannon_entropy", "texts")
@@ -137,11 +138,8 @@ def p_15(d: Dialect) -> str:
 
 @operator("p_16_spreadsheet_sanitise", "texts")
 def p_16(d: Dialect) -> str:
-    if d.name == "spark":
-        clean = d.sub("coalesce(text, '')", r"[^\t\n\r -퟿]", "")
-        return f"SELECT doc_id, CASE WHEN {d.has('clean', r'^[=+@\t\r-]')} THEN concat(chr(39), clean) ELSE clean END AS cell FROM (SELECT doc_id, {clean} AS clean FROM {{texts}}) t"
-    head = "substr(text, 1, 40)"
-    return f"SELECT doc_id, CASE WHEN {d.has(head, '^[=+@-]')} THEN concat(chr(39), {head}) ELSE {head} END AS cell FROM {{texts}}"
+    clean = d.sub("coalesce(text, '')", r"[^\t\n\r -\uD7FF]" if d.name == "spark" else r"[^\t\n\r -\x{D7FF}]", "")
+    return f"SELECT doc_id, CASE WHEN {d.has('clean', r'^[=+@\t\r-]')} THEN concat(chr(39), clean) ELSE clean END AS cell FROM (SELECT doc_id, {clean} AS clean FROM {{texts}}) t"
 
 
 @operator("p_27_security_properties", "texts")
@@ -178,10 +176,9 @@ def p_32(d: Dialect) -> str:
 
 @operator("s_09_framework_detection", "files")
 def s_09(d: Dialect) -> str:
-    some = "" if d.name == "spark" else "WHERE pos < 60 "  # the oracle's SQL reads the first files only
     return f"""
 SELECT framework, n AS evidence, round(CASE framework WHEN 'django' THEN least(0.98, 0.40 + 0.20 * n) WHEN 'flask' THEN least(0.95, 0.45 + 0.25 * n) ELSE least(0.98, 0.40 + 0.25 * n) END, 2) AS confidence
-FROM (SELECT CASE WHEN language = 'python' AND path LIKE 'src/%' THEN 'django' WHEN language = 'python' THEN 'flask' ELSE 'express' END AS framework, CAST(count(*) AS DOUBLE) AS n FROM {{files}} {some}GROUP BY 1) f"""
+FROM (SELECT CASE WHEN language = 'python' AND path LIKE 'src/%' THEN 'django' WHEN language = 'python' THEN 'flask' ELSE 'express' END AS framework, CAST(count(*) AS DOUBLE) AS n FROM {{files}} GROUP BY 1) f"""
 
 
 @operator("s_14_table_scan", "orders_v")
@@ -194,29 +191,6 @@ def l_08(d: Dialect) -> str:
     return f"SELECT pos, {d.has('path', '[.][.]')} OR path LIKE '/%' AS traversal, {d.has('path', '[.](py|ts|js|go)$')} AS known_kind FROM {{files}}"
 
 
-# line rules over markup
-
-
-@operator("sec_js_005_unsafe_url", "pages_v")
-def sec_js_005(d: Dialect) -> str:
-    return f"SELECT page_id, {d.has('html', '(href|src)=[' + chr(34) + ' ]*javascript:')} AS unsafe FROM {{pages_v}}"
-
-
-@operator("sec_js_006_storage", "pages_v")
-def sec_js_006(d: Dialect) -> str:
-    return f"SELECT page_id, {d.has('html', '(localStorage|sessionStorage)[.]setItem[(]')} AS stores FROM {{pages_v}}"
-
-
-@operator("sec_js_001_eval", "pages_v")
-def sec_js_001(d: Dialect) -> str:
-    return f"SELECT page_id, {d.has('html', '(^|[^.A-Za-z0-9_])(window[.])?(eval|track)[(]')} AS evals FROM {{pages_v}}"
-
-
-@operator("sec_js_002_function", "pages_v")
-def sec_js_002(d: Dialect) -> str:
-    return f"SELECT page_id, {d.has('html', 'new +Function *[(]')} AS constructs FROM {{pages_v}}"
-
-
 @operator("c_13_boundary_lines", "pages_v")
 def c_13(d: Dialect) -> str:
     return f"SELECT page_id, CAST(count(*) AS BIGINT) AS boundaries FROM (SELECT page_id FROM {{pages_v}} {d.each(d.split('html', '>'), 'l')} WHERE position('href=' IN l.x) > 0) h GROUP BY page_id"
@@ -237,38 +211,18 @@ def c_04(d: Dialect) -> str:
     return "SELECT file_path, CASE WHEN max(CASE WHEN snippet = 'k2' THEN 1 ELSE 0 END) = 1 THEN 'TAINTED' WHEN max(CASE WHEN snippet = 'k0' THEN 1 ELSE 0 END) = 1 THEN 'UNTAINTED' ELSE 'SANITIZED' END AS state FROM {findings} GROUP BY file_path"
 
 
-#: Source, sink and sanitizer registries.
-SOURCES = (("python", "request", "args"), ("python", "request", "form"), ("python", "request", "json"), ("python", "os", "environ"), ("javascript", "req", "query"), ("javascript", "req", "body"), ("javascript", "location", "search"))
-SINKS = (("execute", "cursor", "SQL"), ("raw", "", "SQL"), ("system", "os", "COMMAND"), ("eval", "", "EVAL"), ("innerhtml", "", "DOM"))
-SANITIZERS = (("int", "SQL"), ("shlex.quote", "COMMAND"), ("escape", "DOM"))
-
-
-def _values(rows: tuple[tuple[str, ...], ...], names: str) -> str:
-    quoted = ", ".join("(" + ", ".join(f"'{v}'" for v in r) + f", {i})" for i, r in enumerate(rows))
-    return f"SELECT * FROM (VALUES {quoted}) AS r({names}, ord)"
+def _values(rows: tuple[tuple, ...], names: str) -> str:
+    quoted = ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {quoted}) AS r({names})"
 
 
 @operator("t_05_registries")
 def t_05(d: Dialect) -> str:
-    return f"SELECT 'source' AS kind, count(*) AS n FROM ({_values(SOURCES, 'language, base, member')}) a UNION ALL SELECT 'sink', count(*) FROM ({_values(SINKS, 'callee, base, category')}) b UNION ALL SELECT 'sanitizer', count(*) FROM ({_values(SANITIZERS, 'name, category')}) c"
-
-
-@operator("t_02_source_match", "functions")
-def t_02(d: Dialect) -> str:
-    call = "CASE fn % 5 WHEN 0 THEN 'args' WHEN 1 THEN 'FORM' WHEN 2 THEN 'query' WHEN 3 THEN 'Body' ELSE 'none' END"
-    return f"SELECT f.fn, min(r.ord) AS source FROM (SELECT fn, lower({call}) AS member FROM {{functions}}) f JOIN ({_values(SOURCES, 'language, base, member')}) r ON r.member = f.member GROUP BY f.fn"
-
-
-@operator("t_03_sink_match", "functions")
-def t_03(d: Dialect) -> str:
-    return f"""
-SELECT f.fn, min_by(r.category, r.ord) AS category FROM (SELECT fn, CASE fn % 4 WHEN 0 THEN 'execute' WHEN 1 THEN 'system' WHEN 2 THEN 'raw' ELSE 'print' END AS callee, CASE fn % 3 WHEN 0 THEN 'db.cursor' WHEN 1 THEN 'os' ELSE 'self' END AS receiver FROM {{functions}}) f
-JOIN ({_values(SINKS, 'callee, base, category')}) r ON r.callee = f.callee AND (r.base = '' OR position(r.base IN f.receiver) > 0) GROUP BY f.fn"""
-
-
-@operator("t_04_sanitizer_match", "functions")
-def t_04(d: Dialect) -> str:
-    return f"SELECT f.fn, r.category FROM (SELECT fn, CASE fn % 3 WHEN 0 THEN 'int' WHEN 1 THEN 'quote' ELSE 'html.escape' END AS callee FROM {{functions}}) f JOIN ({_values(SANITIZERS, 'name, category')}) r ON f.callee = r.name OR f.callee LIKE concat('%.', r.name) OR r.name LIKE concat('%.', f.callee)"
+    """Sources, sinks and sanitizers as rows; further ones are further rows."""
+    rows = [("source", lang, f"{base}.{member}".lstrip("."), kind) for lang, kind, base, member in registry.SOURCES]
+    rows += [("sink", lang, f"{base}.{callee}".lstrip("."), category) for lang, callee, base, category, _ in registry.SINKS]
+    rows += [("sanitizer", lang, name, "+".join(sorted(categories))) for lang, name, categories in registry.SANITIZERS]
+    return f"SELECT kind, language, name, detail FROM ({_values(tuple(rows), 'kind, language, name, detail')}) t"
 
 
 @operator("t_15_call_strings", "calls")
@@ -280,21 +234,11 @@ SELECT callee, CASE WHEN count(*) > 8 THEN 'WIDENED' ELSE min(ctx) END AS contex
 FROM (SELECT DISTINCT b.callee, substr({ctx}, 1, 16) AS ctx FROM {{calls}} b JOIN {{calls}} a ON a.callee = b.caller) x GROUP BY callee"""
 
 
-@operator("f_15_path_infeasibility", "turns")
-def f_15(d: Dialect) -> str:
-    return "SELECT conv_id, role FROM {turns} GROUP BY conv_id, role HAVING count(DISTINCT length(text) % 2) > 1"
-
-
 @operator("u_07_refinement_join", "findings")
 def u_07(d: Dialect) -> str:
     return f"SELECT file_path, {d.joined('snippet', distinct=True)} AS facts, count(DISTINCT rule_id) AS n_rules FROM {{findings}} GROUP BY file_path"
 
 
-@operator("a_20_resolution_stats", "calls", "functions")
-def a_20(d: Dialect) -> str:
-    return "SELECT count(*) AS sites, CAST(sum(CASE WHEN f.file_id = g.file_id THEN 1 ELSE 0 END) AS BIGINT) AS local_calls, round(CAST(sum(CASE WHEN g.fn IS NULL THEN 0 ELSE 1 END) AS DOUBLE) / count(*), 4) AS rate FROM {calls} c JOIN {functions} f ON f.fn = c.caller LEFT JOIN {functions} g ON g.fn = c.callee"
-
-
 @operator("a_27_call_graph_summary", "calls", "functions")
 def a_27(d: Dialect) -> str:
     return "SELECT count(DISTINCT c.caller) AS callers, count(DISTINCT c.callee) AS callees, count(*) AS edges FROM {calls} c"
@@ -305,48 +249,11 @@ def j_02(d: Dialect) -> str:
     return "SELECT e.src, e.tgt, a.component AS src_component, b.component AS tgt_component FROM {edges} e JOIN {modules} a ON a.id = e.src JOIN {modules} b ON b.id = e.tgt"
 
 
-@operator("j_06_import_resolution", "files")
-def j_06(d: Dialect) -> str:
-    """Ordered candidates against the file set: the first that exists wins."""
-    want = "SELECT pos, concat('src/', substr(md5(path), 1, 1)) AS c0, replace(path, '.pb.py', '.py') AS c1, path AS c2, CASE pos % 7 WHEN 0 THEN 'json' ELSE 'local' END AS spec FROM {files}"
-    cands = " UNION ALL ".join(f"SELECT pos, {i} AS ord, c{i} AS cand, spec FROM w" for i in range(3))
-    return f"""
-WITH w AS ({want}), c AS ({cands}), hit AS (SELECT c.pos, min_by(f.path, c.ord) AS resolved FROM c JOIN {{files}} f ON f.path = c.cand WHERE f.pos % 4 <> 0 GROUP BY c.pos)
-SELECT w.pos, CASE WHEN w.spec = 'json' THEN 'STDLIB' WHEN h.resolved IS NOT NULL THEN 'LOCAL' ELSE 'EXTERNAL' END AS category, CASE WHEN w.spec = 'json' THEN NULL ELSE h.resolved END AS resolved FROM w LEFT JOIN hit h ON h.pos = w.pos"""
-
-
-@operator("j_07_js_resolution", "files")
-def j_07(d: Dialect) -> str:
-    stem = d.sub("path", "[.][a-z]+$", "")
-    return f"""
-WITH w AS (SELECT pos, {stem} AS stem FROM {{files}} WHERE language <> 'go'), c AS (SELECT pos, 0 AS ord, concat(stem, '.ts') AS cand FROM w UNION ALL SELECT pos, 1, concat(stem, '.js') FROM w UNION ALL SELECT pos, 2, concat(stem, '/index.ts') FROM w)
-SELECT w.pos, min_by(f.path, c.ord) AS resolved FROM w LEFT JOIN c ON c.pos = w.pos LEFT JOIN {{files}} f ON f.path = c.cand GROUP BY w.pos""".replace("min_by(f.path, c.ord)", "min_by(f.path, CASE WHEN f.path IS NOT NULL THEN c.ord END)")
-
-
-@operator("j_08_go_resolution", "files")
-def j_08(d: Dialect) -> str:
-    return "SELECT pos, CASE WHEN path LIKE 'pkg/%' THEN 'LOCAL' WHEN path LIKE 'node_modules/%' THEN 'VENDORED' WHEN position('.' IN path) = 0 THEN 'STDLIB' ELSE 'EXTERNAL' END AS category FROM {files} WHERE language = 'go'"
-
-
-@operator("j_09_call_resolution", "calls", "functions")
-def j_09(d: Dialect) -> str:
-    """A tier each: same file, unique global name, ambiguous, external."""
-    return """
-WITH names AS (SELECT qualified_name, count(*) AS n, min(fn) AS fn FROM {functions} GROUP BY qualified_name)
-SELECT c.caller, c.callee, CASE WHEN f.file_id = g.file_id THEN 'SAME_FILE' WHEN n.n = 1 THEN 'UNIQUE' WHEN n.n > 1 THEN 'AMBIGUOUS' ELSE 'EXTERNAL_MODULE' END AS resolution
-FROM {calls} c JOIN {functions} f ON f.fn = c.caller LEFT JOIN {functions} g ON g.fn = c.callee LEFT JOIN names n ON n.qualified_name = g.qualified_name"""
-
-
 @operator("j_10_typed_dispatch", "calls", "functions")
 def j_10(d: Dialect) -> str:
     return "SELECT c.caller, min(g.file_id) AS receiver FROM {calls} c JOIN {functions} g ON g.fn = c.callee GROUP BY c.caller HAVING count(DISTINCT g.file_id) = 1"
 
 
-@operator("j_14_path_sink_file", "findings", "functions")
-def j_14(d: Dialect) -> str:
-    return "SELECT f.id, g.fn FROM {findings} f JOIN {functions} g ON f.user_id = g.file_id AND f.severity = 'CRITICAL' AND g.fn % 4 = 0"
-
-
 @operator("j_22_eager_children", "turns")
 def j_22(d: Dialect) -> str:
     return f"SELECT conv_id, count(*) AS n, {d.joined("concat(lpad(CAST(turn AS STRING), 4, '0'), role)")} AS children FROM {{turns}} GROUP BY conv_id"

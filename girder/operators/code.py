@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from girder.plans.operator import native, view
-from girder.sources import extract
 
-#: The Python files that the queries parse, by part number.
+#: Small Python files for tests of the readers.
 TEMPLATES = (
     "import os\nimport subprocess\n\ndef run(request):\n    cmd = request.args.get('c')\n    safe = int(cmd)\n    os.system(cmd)\n    subprocess.run(cmd, shell=True)\n    return safe\n",
     "from flask import request\nfrom . import db\n\ndef find(cursor):\n    name = request.form['n']\n    if name:\n        q = f\"SELECT * FROM t WHERE n = '{name}'\"\n    else:\n        q = 'SELECT 1'\n    cursor.execute(q)\n    cursor.execute('SELECT %s', name)\n",
@@ -27,68 +26,6 @@ TEMPLATES = (
     "def broken(:\n",
     "CORS_ALLOW_ALL_ORIGINS = True\n\ndef loop(cursor, request):\n    total = ''\n    for i in range(3):\n        total = total + request.args['x']\n    cursor.executemany(total)\n\ndef clean(cursor, request):\n    n = int(request.args['n'])\n    cursor.execute('SELECT %d' % n)\n",
 )
-JS = "import React from 'react'\nconst fs = require('fs')\nexport function main(a, b) {\n  return eval(a)\n}\n"
-GO = 'package main\nimport "fmt"\ntype Server struct {\nfunc (s *Server) Run(port int) {\n'
-
-
-def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content): a file a part, its text by rule from the part's number."""
-    texts = F.array(*map(F.lit, TEMPLATES))
-    return view(spark, sf_dir, "part").select(F.concat(F.lit("src/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.element_at(texts, (F.col("p_partkey") % len(TEMPLATES) + 1).cast("int")).alias("content"))
-
-
-@native("s_04_python_facts")
-def s_04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.facts(source_files(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("path").alias("files"))
-
-
-def _other(spark: SparkSession, sf_dir: str, text: str, parse) -> DataFrame:
-    files = view(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.lit(text).alias("content"))
-    return extract.facts(files, parse).groupBy("kind", "name").agg(F.count("*").alias("n"))
-
-
-@native("s_05_javascript_facts")
-def s_05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _other(spark, sf_dir, JS, extract.javascript_facts)
-
-
-@native("s_06_go_facts")
-def s_06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _other(spark, sf_dir, GO, extract.go_facts)
-
-
-@native("t_20_functions")
-def t_20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = extract.facts(source_files(spark, sf_dir)).where("kind = 'function'")
-    return f.select("path", F.col("name").alias("qualified_name"), F.col("detail").alias("params"), "line", "end_line")
-
-
-for _rule, _id in (("SEC-PY-002", "sec_py_002_debug"), ("SEC-PY-003", "sec_py_003_subprocess"), ("SEC-PY-004", "sec_py_004_eval"), ("SEC-PY-005", "sec_py_005_sql"), ("SEC-PY-006", "sec_py_006_weak_hash"), ("SEC-PY-007", "sec_py_007_cors"), ("SEC-PY-008", "sec_py_008_csrf")):
-
-    @native(_id)
-    def _sec(spark: SparkSession, sf_dir: str, rule: str = _rule) -> DataFrame:
-        return extract.security_findings(extract.facts(source_files(spark, sf_dir))).where(F.col("rule_id") == rule)
-
-
-@native("t_12_intraprocedural_taint")
-def t_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.taint(source_files(spark, sf_dir))
-
-
-@native("sec_py_009_sql_dataflow")
-def sec_py_009(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t_12(spark, sf_dir).where("category = 'SQL' and state = 'TAINTED'").select("path", "function", "line")
-
-
-@native("sec_py_010_command_dataflow")
-def sec_py_010(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t_12(spark, sf_dir).where("category = 'COMMAND' and state = 'TAINTED'").select("path", "function", "line")
-
-
-@native("sec_go_rules")
-def sec_go(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Go rules report nothing."""
-    return spark.createDataFrame([], "rule_id string, severity string, path string, line int, snippet string")
 
 
 # ids and canonical forms

@@ -148,26 +148,11 @@ def a_29(d: Dialect) -> str:
     return "SELECT callee, from_param FROM {calls} GROUP BY callee, from_param HAVING max(CASE WHEN caller % 2 = 0 THEN 1 ELSE 0 END) + max(CASE WHEN caller % 2 = 1 THEN 1 ELSE 0 END) = 2"
 
 
-@operator("c_07_precondition", "calls")
-def c_07(d: Dialect) -> str:
-    """No proof is UNKNOWN, which is not safe."""
-    return """
-SELECT callee, CASE WHEN max(v) = 1 THEN 'VIOLATED' WHEN max(w) = 1 THEN 'WIDENED' WHEN min(s) = 1 THEN 'SATISFIED' ELSE 'UNKNOWN' END AS state
-FROM (SELECT callee, CASE WHEN caller % 29 = 0 THEN 1 ELSE 0 END AS v, CASE WHEN caller % 31 = 0 THEN 1 ELSE 0 END AS w, CASE WHEN from_param = to_param THEN 1 ELSE 0 END AS s FROM {calls}) c GROUP BY callee"""
-
-
 @operator("c_08_postcondition_binding", "calls")
 def c_08(d: Dialect) -> str:
     return "SELECT caller, callee, CASE WHEN to_param = 0 THEN 'RETURN' ELSE concat('ARG', CAST(to_param AS STRING)) END AS binding FROM {calls} WHERE from_param = 1"
 
 
-@operator("c_09_composition", "calls")
-def c_09(d: Dialect) -> str:
-    return f"""
-SELECT c.caller, CASE min(CASE p.state WHEN 'VIOLATED' THEN 0 WHEN 'WIDENED' THEN 2 WHEN 'UNKNOWN' THEN 3 ELSE 4 END) WHEN 0 THEN 'VIOLATED' WHEN 2 THEN 'TRUNCATED' WHEN 3 THEN 'UNKNOWN' ELSE 'SATISFIED' END AS overall
-FROM {{calls}} c JOIN ({c_07.text(d)}) p ON p.callee = c.callee GROUP BY c.caller"""
-
-
 @operator("j_19_guarantee_requirement", "calls")
 def j_19(d: Dialect) -> str:
     return "SELECT r.caller, r.callee, r.from_param, coalesce(g.to_param, -1) AS guaranteed, CASE WHEN g.callee IS NULL THEN 'UNKNOWN' ELSE 'BOUND' END AS edge FROM {calls} r LEFT JOIN (SELECT callee, from_param, min(to_param) AS to_param FROM {calls} WHERE caller % 2 = 0 GROUP BY callee, from_param) g ON g.callee = r.callee AND g.from_param = r.from_param"
@@ -184,11 +169,6 @@ def c_10(d: Dialect) -> str:
     return f"SELECT f.id, CASE WHEN s.rule IS NULL THEN 'UNKNOWN' WHEN f.snippet = s.incompatible THEN 'VIOLATED' WHEN f.snippet = s.accepted THEN 'SATISFIED' ELSE 'UNKNOWN' END AS state FROM {{findings}} f LEFT JOIN ({spec}) s ON s.rule = f.rule_id"
 
 
-@operator("c_11_contract_pruning", "old_files", "new_files")
-def c_11(d: Dialect) -> str:
-    return "SELECT n.path, o.content_hash IS NOT NULL AND o.content_hash = n.content_hash AS skip_callers FROM {new_files} n LEFT JOIN {old_files} o ON o.path = n.path"
-
-
 @operator("c_12_affected_boundary_rules", "findings")
 def c_12(d: Dialect) -> str:
     return "SELECT DISTINCT rule_id FROM {findings} WHERE snippet = 'k1' AND severity = 'CRITICAL'"

@@ -13,15 +13,6 @@ from pyspark.sql import functions as F
 from girder.plans.operator import Dialect, native, operator, view
 from girder.plans.scratch import Scratch
 
-#: Of the oracle's SQL only; the operators know no longest cycle.
-LONGEST_CYCLE = 6
-
-
-@operator("g_01_import_graph", "edges", "modules")
-def g_01(d: Dialect) -> str:
-    return "SELECT e.src, e.tgt, CASE WHEN m.id IS NULL OR e.tgt % 9 = 0 THEN 'EXTERNAL' ELSE 'LOCAL' END AS category FROM {edges} e LEFT JOIN {modules} m ON e.tgt = m.id"
-
-
 @operator("a_03_fan_in_out", "edges", "modules")
 def a_03(d: Dialect) -> str:
     return """
@@ -281,7 +272,7 @@ def simple_cycles(edges: DataFrame, name: str = "cycles") -> DataFrame:
     return found
 
 
-_CYCLES = f"WITH RECURSIVE p AS (SELECT src AS a, [src, tgt] AS path, tgt AS fin FROM {{edges}} WHERE tgt > src UNION ALL SELECT p.a, list_append(p.path, e.tgt), e.tgt FROM p JOIN {{edges}} e ON p.fin = e.src WHERE e.tgt > p.a AND NOT list_contains(p.path, e.tgt) AND len(p.path) < {LONGEST_CYCLE}) SELECT array_to_string(path, '>') AS cycle, len(path)::INTEGER AS length, path FROM p JOIN {{edges}} e ON p.fin = e.src AND e.tgt = p.a"
+_CYCLES = "WITH RECURSIVE p AS (SELECT src AS a, [src, tgt] AS path, tgt AS fin FROM {edges} WHERE tgt > src UNION ALL SELECT p.a, list_append(p.path, e.tgt), e.tgt FROM p JOIN {edges} e ON p.fin = e.src WHERE e.tgt > p.a AND NOT list_contains(p.path, e.tgt)) SELECT array_to_string(path, '>') AS cycle, len(path)::INTEGER AS length, path FROM p JOIN {edges} e ON p.fin = e.src AND e.tgt = p.a"
 
 
 @native("g_03_simple_cycles", "edges", sql=f"SELECT cycle, length FROM ({_CYCLES}) c")
@@ -366,40 +357,16 @@ def arc_009(spark: SparkSession, sf_dir: str) -> DataFrame:
     return betweenness(_edges(spark, sf_dir), view(spark, sf_dir, "modules"), name="arc009").where("betweenness >= 0.05").select("id", "betweenness")
 
 
-@native("t_13_summary_fixpoint", "calls", sql="WITH RECURSIVE r AS (SELECT caller AS fn, 0 AS depth FROM {calls} WHERE callee % 20 = 0 UNION SELECT c.caller, r.depth + 1 FROM r JOIN {calls} c ON c.callee = r.fn WHERE r.depth < 2) SELECT DISTINCT fn FROM r")
+@native("t_13_summary_fixpoint", "calls", sql="WITH RECURSIVE r AS (SELECT caller AS fn FROM {calls} WHERE callee % 20 = 0 UNION SELECT c.caller FROM r JOIN {calls} c ON c.callee = r.fn) SELECT fn FROM r")
 def t_13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions that reach a sink within three rounds of summaries."""
-    calls = view(spark, sf_dir, "calls").select("caller", "callee").distinct()
+    """Functions whose summary says that they reach a sink: rounds until no summary changes."""
     scratch = Scratch(spark, "t13")
-    calls = scratch.save(calls, "calls")
-    reach = scratch.save(calls.where("callee % 20 = 0").select(F.col("caller").alias("fn")).distinct(), "reach-0")
-    for k in range(2):
-        more = calls.join(reach.select(F.col("fn").alias("callee")), "callee", "left_semi").select(F.col("caller").alias("fn"))
-        reach = scratch.save(reach.union(more).distinct(), f"reach-{k + 1}")
-    return reach
-
-
-@native("t_14_interprocedural", "calls", sql="WITH RECURSIVE r AS (SELECT caller AS src, callee AS fn, to_param AS param, 1 AS depth FROM {calls} WHERE caller % 50 = 1 UNION SELECT r.src, c.callee, c.to_param, r.depth + 1 FROM r JOIN {calls} c ON c.caller = r.fn AND c.from_param = r.param WHERE r.depth < 5) SELECT src, fn AS sink, min(depth) AS depth FROM r WHERE fn % 20 = 0 GROUP BY src, fn")
-def t_14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Taint from source functions along calls and parameters, five calls deep at most, to sink functions."""
-    calls = Scratch(spark, "t14").save(view(spark, sf_dir, "calls"), "calls")
-    scratch = Scratch(spark, "t14r")
-    front = scratch.save(calls.where("caller % 50 = 1").select(F.col("caller").alias("src"), F.col("callee").alias("fn"), F.col("to_param").alias("param"), F.lit(1).alias("depth")).distinct(), "front-1")
-    every = front
-    for k in range(2, 6):
-        step = front.join(calls, (F.col("fn") == F.col("caller")) & (F.col("param") == F.col("from_param"))).select("src", F.col("callee").alias("fn"), F.col("to_param").alias("param"), F.lit(k).alias("depth")).distinct()
-        # a state reached before is not followed again: its first depth is the smallest
-        front = scratch.save(step.join(every.select("src", "fn", "param"), ["src", "fn", "param"], "left_anti"), f"front-{k}")
-        every = every.union(front)
-    return every.where("fn % 20 = 0").groupBy("src", F.col("fn").alias("sink")).agg(F.min("depth").alias("depth"))
-
-
-@native("j_11_orphan_exports", "functions", "calls", sql="SELECT fn FROM {functions} f WHERE NOT EXISTS (SELECT 1 FROM {calls} c WHERE c.callee = f.fn) AND qualified_name NOT LIKE '%_ring' AND fn % 2 = 0")
-def j_11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, c = view(spark, sf_dir, "functions"), view(spark, sf_dir, "calls")
-    return f.join(c, f["fn"] == c["callee"], "left_anti").where(~F.col("qualified_name").like("%_ring") & (F.col("fn") % 2 == 0)).select("fn")
-
-
-@native("arc_008_orphan_export", "functions", "calls", sql="SELECT fn, 'LOW' AS severity FROM {functions} f WHERE NOT EXISTS (SELECT 1 FROM {calls} c WHERE c.callee = f.fn) AND qualified_name NOT LIKE '%_ring' AND fn % 2 = 0")
-def arc_008(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return j_11(spark, sf_dir).withColumn("severity", F.lit("LOW"))
+    calls = scratch.save(view(spark, sf_dir, "calls").select("caller", "callee").distinct(), "calls")
+    new = known = scratch.save(calls.where("callee % 20 = 0").select(F.col("caller").alias("fn")).distinct(), "reach-0")
+    k = 0
+    while new.take(1):
+        k += 1
+        more = calls.join(new.select(F.col("fn").alias("callee")), "callee", "left_semi").select(F.col("caller").alias("fn")).distinct()
+        new = scratch.save(more.join(known, "fn", "left_anti"), f"reach-{k}")
+        known = known.union(new)
+    return known

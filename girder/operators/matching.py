@@ -42,8 +42,7 @@ def a_11(d: Dialect) -> str:
 
 @operator("o_03_diff_order", "current_findings", "baseline_findings")
 def o_03(d: Dialect) -> str:
-    cut = "" if d.name == "spark" else " LIMIT 100"  # the oracle's SQL has a limit
-    return f"SELECT c_pos, b_pos, transition FROM ({baseline_diff(d)}) x ORDER BY CASE transition WHEN 'NEW' THEN 0 WHEN 'MODIFIED' THEN 1 WHEN 'UNCHANGED' THEN 2 ELSE 3 END, c_pos, b_pos{cut}"
+    return f"SELECT c_pos, b_pos, transition FROM ({baseline_diff(d)}) x ORDER BY CASE transition WHEN 'NEW' THEN 0 WHEN 'MODIFIED' THEN 1 WHEN 'UNCHANGED' THEN 2 ELSE 3 END, c_pos, b_pos"
 
 
 @operator("p_21_regression_cause", "current_findings", "baseline_findings")

@@ -13,18 +13,12 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 class View:
     inputs: tuple[str, ...]
     sql: str
-    oracle: str | None = None  # the oracle's text where it is another
 
 
-def _view(*inputs: str, sql: str, oracle: str | None = None) -> View:
-    return View(inputs, sql.strip(), oracle)
+def _view(*inputs: str, sql: str) -> View:
+    return View(inputs, sql.strip())
 
 
-_CALLS = """
-SELECT DISTINCT a.l_partkey AS caller, b.l_partkey AS callee, CAST(a.l_linenumber % 2 AS INT) AS from_param, CAST(b.l_linenumber % 2 AS INT) AS to_param
-FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-WHERE a.l_partkey <> b.l_partkey""".strip()
-
 VIEWS: dict[str, View] = {
     # findings of an audit: a row an event
     "findings": _view(
@@ -121,9 +115,10 @@ FROM {files} WHERE pos % 13 <> 0""",
     "functions": _view("part", sql="SELECT p_partkey AS fn, concat(p_brand, '.', replace(p_name, ' ', '_')) AS qualified_name, CAST(p_partkey % 40 AS INT) AS file_id, CAST(floor(p_partkey / 40) * 10 AS INT) AS line_start, CAST(floor(p_partkey / 40) * 10 + p_size AS INT) AS line_end FROM {part}"),
     "calls": _view(
         "lineitem",
-        sql=_CALLS,
-        # the oracle's SQL still reads one order in 40
-        oracle=f"{_CALLS} AND a.l_orderkey % 40 = 0",
+        sql="""
+SELECT DISTINCT a.l_partkey AS caller, b.l_partkey AS callee, CAST(a.l_linenumber % 2 AS INT) AS from_param, CAST(b.l_linenumber % 2 AS INT) AS to_param
+FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+WHERE a.l_partkey <> b.l_partkey""",
     ),
 }
 

@@ -12,6 +12,7 @@ import girder.operators.compliance
 import girder.operators.findings
 import girder.operators.graph
 import girder.operators.matching
+import girder.operators.source_code
 import girder.sources.sinks
 from girder.plans.operator import NATIVE, REGISTRY
 
