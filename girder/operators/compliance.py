@@ -5,74 +5,7 @@ from __future__ import annotations
 from girder.operators.findings import grade
 from girder.plans.operator import Dialect, operator
 
-#: Which rules a control maps, by framework.
-CONTROLS = """
-SELECT * FROM (VALUES
- ('PCI-6.5', 'PCI', 'error', 'CRITICAL'), ('PCI-6.5', 'PCI', 'purchase', 'CRITICAL'), ('PCI-8.2', 'PCI', 'login', 'HIGH'),
- ('HIPAA-164', 'HIPAA', 'view', 'HIGH'), ('HIPAA-312', 'HIPAA', 'none', 'MEDIUM'),
- ('SOC2-CC6', 'SOC2', 'click', 'MEDIUM'), ('SOC2-CC7', 'SOC2', 'signup', 'LOW'),
- ('NIST-SI10', 'NIST', 'error', 'HIGH'), ('NIST-SI10', 'NIST', 'view', 'HIGH')) AS c(control_id, framework, mapped_rule, criticality)"""
 WEIGHT = "CASE criticality WHEN 'CRITICAL' THEN 4.0 WHEN 'HIGH' THEN 2.5 WHEN 'MEDIUM' THEN 1.0 WHEN 'LOW' THEN 0.5 ELSE 0.2 END"
-#: A finding counts as suppressed for its control by this condition in the queries.
-SUPPRESSED = "f.input_pos % 3 <> 0"
-
-
-@operator("m_06_catalog")
-def m_06(d: Dialect) -> str:
-    return f"SELECT framework, count(DISTINCT control_id) AS controls FROM ({CONTROLS}) c GROUP BY framework"
-
-
-@operator("s_15_controls_catalog")
-def s_15(d: Dialect) -> str:
-    return f"SELECT control_id, framework, {d.joined('mapped_rule')} AS rules FROM ({CONTROLS}) c GROUP BY control_id, framework"
-
-
-@operator("j_12_finding_control", "findings")
-def j_12(d: Dialect) -> str:
-    return f"SELECT DISTINCT f.id, c.control_id FROM {{findings}} f JOIN ({CONTROLS}) c ON f.rule_id = c.mapped_rule OR (c.control_id = 'HIPAA-312' AND f.severity = 'CRITICAL')"
-
-
-def controls() -> str:
-    """Counts are taken by rule first, so that the join with the controls meets a row a rule."""
-    return f"""
-SELECT c.control_id, c.framework, CAST(coalesce(sum(f.active), 0) AS BIGINT) AS active, CAST(coalesce(sum(f.suppressed), 0) AS BIGINT) AS suppressed,
-       CASE WHEN coalesce(sum(f.active), 0) > 0 THEN round(greatest(0.0, 1.0 - 0.2 * CAST(sum(f.active) AS DOUBLE)), 4) WHEN coalesce(sum(f.suppressed), 0) > 0 THEN 0.8 ELSE 1.0 END AS score,
-       CASE WHEN coalesce(sum(f.active), 0) > 0 THEN 'VIOLATED' WHEN coalesce(sum(f.suppressed), 0) > 0 THEN 'PARTIAL' ELSE 'COMPLIANT' END AS status
-FROM ({CONTROLS}) c LEFT JOIN (
-  SELECT rule_id, repo_id, sum(CASE WHEN {SUPPRESSED} THEN 0 ELSE 1 END) AS active, sum(CASE WHEN {SUPPRESSED} THEN 1 ELSE 0 END) AS suppressed FROM {{findings}} f WHERE f.value > 100 AND f.user_id = 3 GROUP BY rule_id, repo_id) f
-ON f.rule_id = c.mapped_rule GROUP BY c.control_id, c.framework"""
-
-
-@operator("a_13_control_evaluation", "findings")
-def a_13(d: Dialect) -> str:
-    return f"SELECT control_id, framework, active, suppressed, CAST(score AS DOUBLE) AS score, status FROM ({controls()}) x"
-
-
-def assessment() -> str:
-    return f"""
-SELECT framework, round(100.0 * CAST(avg(CAST(score AS DOUBLE)) AS DOUBLE), 1) AS score, count(*) AS controls, CAST(sum(CASE WHEN status = 'VIOLATED' THEN 1 ELSE 0 END) AS BIGINT) AS violated,
-       CASE WHEN max(CASE WHEN status = 'VIOLATED' THEN 1 ELSE 0 END) = 1 THEN 'VIOLATED' WHEN max(CASE WHEN status = 'PARTIAL' THEN 1 ELSE 0 END) = 1 THEN 'PARTIAL' ELSE 'COMPLIANT' END AS status
-FROM ({controls()}) x GROUP BY framework"""
-
-
-@operator("a_14_framework_assessment", "findings")
-def a_14(d: Dialect) -> str:
-    return assessment()
-
-
-@operator("a_15_suite", "findings")
-def a_15(d: Dialect) -> str:
-    return f"SELECT count(*) AS frameworks, round(avg(score), 1) AS score, CAST(sum(violated) AS BIGINT) AS violated FROM ({assessment()}) a"
-
-
-@operator("m_01_evaluation", "findings")
-def m_01(d: Dialect) -> str:
-    return f"SELECT x.control_id, x.status, a.status AS framework_status FROM ({controls()}) x JOIN ({assessment()}) a ON a.framework = x.framework"
-
-
-@operator("f_07_suppressed_predicate", "findings")
-def f_07(d: Dialect) -> str:
-    return "SELECT id, CASE WHEN line % 4 = 0 AND day > '2024-01-20' THEN false WHEN line % 4 = 0 THEN true WHEN confidence = 'LOW' AND evidence_type = 'HEURISTIC' THEN true ELSE false END AS suppressed FROM {findings}"
 
 
 @operator("a_16_fleet_control_rollup", "fleet")
@@ -102,47 +35,6 @@ def m_05(d: Dialect) -> str:
     return "SELECT workspace, CASE WHEN avg(health) >= 70 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM {fleet} GROUP BY workspace"
 
 
-# policies
-
-#: The policies that the queries apply, in order.
-POLICIES = """
-SELECT * FROM (VALUES
- (0, 'POL-1', 'error', 'CRITICAL', true, false, 'ENFORCE'), (1, 'POL-2', '', 'HIGH', false, true, 'AUDIT'), (2, 'POL-3', 'view', '', true, true, 'DISABLED'),
- (3, 'POL-4', 'click', '', false, false, 'ENFORCE')) AS p(ord, policy_id, rule, sink, require_auth, require_authz, mode)"""
-APPLIES = "p.mode <> 'DISABLED' AND (p.rule = '' OR p.rule = f.rule_id) AND (p.sink = '' OR p.sink = f.severity)"
-
-
-@operator("f_06_policy_applicability", "findings")
-def f_06(d: Dialect) -> str:
-    return f"SELECT f.id, p.policy_id FROM {{findings}} f JOIN ({POLICIES}) p ON {APPLIES}"
-
-
-@operator("j_13_first_policy", "findings")
-def j_13(d: Dialect) -> str:
-    return f"SELECT f.id, min_by(p.policy_id, p.ord) AS policy_id FROM {{findings}} f JOIN ({POLICIES}) p ON {APPLIES} GROUP BY f.id"
-
-
-def policy_states() -> str:
-    return f"""
-SELECT id, policy_id, mode, CASE WHEN require_auth AND NOT has_auth THEN 'PROVEN_VIOLATION' WHEN require_authz AND NOT has_authz THEN 'PROVEN_VIOLATION' ELSE 'PROVEN_SAFE' END AS state
-FROM (SELECT f.id, f.line % 2 = 0 AS has_auth, f.line % 3 = 0 AS has_authz, p.policy_id, p.require_auth, p.require_authz, p.mode, row_number() OVER (PARTITION BY f.id ORDER BY p.ord) AS k FROM {{findings}} f JOIN ({POLICIES}) p ON {APPLIES}) x WHERE k = 1"""
-
-
-@operator("c_14_policy_evaluation", "findings")
-def c_14(d: Dialect) -> str:
-    return f"SELECT id, policy_id, state FROM ({policy_states()}) s"
-
-
-@operator("c_15_policy_filter", "findings")
-def c_15(d: Dialect) -> str:
-    return f"SELECT f.id, s.state FROM {{findings}} f LEFT JOIN ({policy_states()}) s ON s.id = f.id WHERE NOT (coalesce(s.mode, '') = 'ENFORCE' AND coalesce(s.state, '') = 'PROVEN_SAFE')"
-
-
-@operator("a_28_policy_conflicts", "findings")
-def a_28(d: Dialect) -> str:
-    return "SELECT file_path, severity FROM {findings} GROUP BY file_path, severity HAVING max(CASE WHEN line % 2 = 0 THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN line % 2 = 1 THEN 1 ELSE 0 END) = 1"
-
-
 @operator("a_29_contract_conflicts", "calls")
 def a_29(d: Dialect) -> str:
     return "SELECT callee, from_param FROM {calls} GROUP BY callee, from_param HAVING max(CASE WHEN caller % 2 = 0 THEN 1 ELSE 0 END) + max(CASE WHEN caller % 2 = 1 THEN 1 ELSE 0 END) = 2"
@@ -163,26 +55,6 @@ def c_05(d: Dialect) -> str:
     return "SELECT conv_id, turn FROM (SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reassigned FROM {turns}) t WHERE reassigned IS NULL"
 
 
-@operator("c_10_boundary_matrix", "findings")
-def c_10(d: Dialect) -> str:
-    spec = "SELECT * FROM (VALUES ('error', 'k0', 'k1'), ('view', 'k1', 'k2'), ('click', 'k2', 'k0')) AS s(rule, accepted, incompatible)"
-    return f"SELECT f.id, CASE WHEN s.rule IS NULL THEN 'UNKNOWN' WHEN f.snippet = s.incompatible THEN 'VIOLATED' WHEN f.snippet = s.accepted THEN 'SATISFIED' ELSE 'UNKNOWN' END AS state FROM {{findings}} f LEFT JOIN ({spec}) s ON s.rule = f.rule_id"
-
-
-@operator("c_12_affected_boundary_rules", "findings")
-def c_12(d: Dialect) -> str:
-    return "SELECT DISTINCT rule_id FROM {findings} WHERE snippet = 'k1' AND severity = 'CRITICAL'"
-
-
-@operator("c_17_monotonic_packs", "findings")
-def c_17(d: Dialect) -> str:
-    """Rules that a child pack demotes below its parent."""
-    def pack(cond: str) -> str:
-        return f"SELECT rule_id, file_path, max(line) AS level FROM {{findings}} WHERE {cond} GROUP BY rule_id, file_path"
-
-    return f"SELECT p.rule_id, p.file_path, p.level AS parent, c.level AS child FROM ({pack('input_pos % 2 = 0')}) p JOIN ({pack('input_pos % 2 = 1')}) c ON c.rule_id = p.rule_id AND c.file_path = p.file_path WHERE c.level < p.level"
-
-
 # audit chains
 
 

@@ -98,14 +98,6 @@ def f_10(d: Dialect) -> str:
     return "SELECT id, repo_id, day FROM {findings} WHERE repo_id = 'repo1' AND day >= '2024-01-15'"
 
 
-@operator("f_11_gate_candidates", "current_findings", "baseline_findings")
-def f_11(d: Dialect) -> str:
-    return f"""
-SELECT c.input_pos, c.rule_id, c.severity,
-       CASE WHEN c.input_pos % 5 = 0 THEN 'SUPPRESSED' WHEN c.input_pos % 7 = 0 THEN 'POLICY_INDUCED' WHEN {rank("c.severity")} < 2 THEN 'PRE_EXISTING' ELSE 'CANDIDATE' END AS bucket
-FROM {{current_findings}} c LEFT ANTI JOIN {{baseline_findings}} b ON c.rule_id = b.rule_id AND c.file_path = b.file_path AND c.line = b.line AND c.snippet = b.snippet""".replace("LEFT ANTI JOIN", "ANTI JOIN" if d.name == "duckdb" else "LEFT ANTI JOIN")
-
-
 @operator("f_12_console_filters", "findings")
 def f_12(d: Dialect) -> str:
     return "SELECT id, rule_id, file_path FROM {findings} WHERE (position('purch' IN lower(rule_id)) > 0 OR position('user/1' IN lower(file_path)) > 0) AND severity = 'HIGH'"

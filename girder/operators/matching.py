@@ -45,14 +45,6 @@ def o_03(d: Dialect) -> str:
     return f"SELECT c_pos, b_pos, transition FROM ({baseline_diff(d)}) x ORDER BY CASE transition WHEN 'NEW' THEN 0 WHEN 'MODIFIED' THEN 1 WHEN 'UNCHANGED' THEN 2 ELSE 3 END, c_pos, b_pos"
 
 
-@operator("p_21_regression_cause", "current_findings", "baseline_findings")
-def p_21(d: Dialect) -> str:
-    return f"""
-SELECT c_pos, transition, CASE WHEN c_pos % 11 = 0 THEN 'POLICY_CHANGE' WHEN c_pos % 7 = 0 THEN 'RULE_CHANGE' WHEN transition = 'NEW' OR transition = 'MODIFIED' THEN 'CODE_CHANGE' ELSE 'PRE_EXISTING' END AS cause,
-       CASE WHEN {rank("severity")} >= 4 THEN 'BLOCKING' WHEN {rank("severity")} = 3 THEN 'ACTIONABLE' ELSE 'ADVISORY' END AS urgency
-FROM ({baseline_diff(d)}) x WHERE c_pos >= 0"""
-
-
 @operator("j_20_equivalence_match", "current_findings", "baseline_findings")
 def j_20(d: Dialect) -> str:
     """By id, then one-to-one by (rule, path, snippet); the rest is missing or a phantom."""
@@ -133,11 +125,6 @@ SELECT origin, count(*) AS n FROM (
 WHERE k = 1 GROUP BY origin"""
 
 
-@operator("u_08_rule_pack_merge", "findings")
-def u_08(d: Dialect) -> str:
-    return "SELECT rule_id, max_by(severity, input_pos) AS last_value, max_by(input_pos, input_pos) AS writer FROM {findings} GROUP BY rule_id"
-
-
 @operator("j_17_policy_diff", "current_findings", "baseline_findings")
 def j_17(d: Dialect) -> str:
     def policies(rel: str) -> str:
@@ -148,12 +135,6 @@ SELECT coalesce(n.policy_id, o.policy_id) AS policy_id, CASE WHEN o.policy_id IS
 FROM ({policies("{baseline_findings}")}) o FULL OUTER JOIN ({policies("{current_findings}")}) n ON o.policy_id = n.policy_id"""
 
 
-@operator("c_16_policy_induced_transition", "current_findings", "baseline_findings")
-def c_16(d: Dialect) -> str:
-    return f"""
-SELECT c_pos, b_pos, CASE WHEN transition = 'NEW' AND c_pos % 3 = 0 THEN 'POLICY_INDUCED_NEW' WHEN transition = 'RESOLVED' AND b_pos % 3 = 0 THEN 'POLICY_INDUCED_RESOLVED' ELSE transition END AS transition FROM ({baseline_diff(d)}) x"""
-
-
 @operator("a_21_invalidations_by_reason", "old_files", "new_files")
 def a_21(d: Dialect) -> str:
     return f"SELECT change AS reason, count(*) AS n FROM ({j_16.text(d)}) x GROUP BY change"

@@ -10,6 +10,7 @@ import girder.functions.scalars
 import girder.operators.code
 import girder.operators.compliance
 import girder.operators.findings
+import girder.operators.governance
 import girder.operators.graph
 import girder.operators.matching
 import girder.operators.source_code
