@@ -36,12 +36,6 @@ def p_09(d: Dialect) -> str:
     return f"SELECT pos, {d.sha("concat_ws(':', path, content_hash, language, 'p1', 's1', CASE WHEN path LIKE '%.pb.py' THEN '1' ELSE '0' END)")} AS composite FROM {{files}}"
 
 
-@operator("p_10_cache_keys", "files")
-def p_10(d: Dialect) -> str:
-    keys = ", ".join(f"{d.sha(f"concat_ws(':', 'L{i}', content_hash, '{v}')")} AS l{i}" for i, v in ((1, "parse"), (2, "taint"), (3, "graph")))
-    return f"SELECT pos, {keys}, substr({d.sha("concat_ws(':', language, 'ns')")}, 1, 16) AS namespace FROM {{files}}"
-
-
 @operator("p_11_generated_file", "files")
 def p_11(d: Dialect) -> str:
     return f"SELECT pos, ({' OR '.join(f"path LIKE '%{s}'" for s in GENERATED)}) AS is_generated FROM {{files}}"
@@ -163,11 +157,6 @@ def p_30(d: Dialect) -> str:
     return f"SELECT f.id, coalesce(a.fix, b.fix) AS fix, coalesce(a.effort, b.effort) AS effort FROM {{findings}} f LEFT JOIN ({t}) a ON a.pattern = f.rule_id JOIN ({t}) b ON b.pattern = '*'"
 
 
-@operator("p_31_policy_validation", "texts")
-def p_31(d: Dialect) -> str:
-    return f"SELECT doc_id, {d.has('lower(text)', '(^| )(secure|safe|proper|good|that)( |$)')} AS vague, {d.has('source', '^src[0-9]+$')} AS valid_id FROM {{texts}}"
-
-
 @operator("p_32_context_budget", "texts")
 def p_32(d: Dialect) -> str:
     n = "length(text) - length(replace(text, chr(10), '')) + 1"
@@ -261,7 +250,10 @@ def j_22(d: Dialect) -> str:
 
 @operator("k_12_snapshot_reconstruct", "findings")
 def k_12(d: Dialect) -> str:
-    return f"SELECT day, count(*) AS n, {d.sha(d.joined("concat(rule_id, ':', CAST(input_pos AS STRING))"))} AS digest FROM {{findings}} GROUP BY day"
+    """What a saved snapshot holds: counts by severity, and a digest that doesn't depend on the order of its rows (a sum of hashes, so it merges)."""
+    h = "CAST(conv(substr(md5({x}), 1, 8), 16, 10) AS BIGINT)" if d.name == "spark" else "CAST(('0x' || substr(md5({x}), 1, 8)) AS BIGINT)"
+    counts = ", ".join(f"CAST(sum(CASE WHEN severity = '{s}' THEN 1 ELSE 0 END) AS BIGINT) AS n_{s.lower()}" for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"))
+    return f"SELECT day, count(*) AS n, {counts}, CAST(sum({h.format(x="concat(rule_id, ':', CAST(input_pos AS STRING))" if d.name == 'spark' else "concat(rule_id, ':', CAST(input_pos AS VARCHAR))")}) AS BIGINT) AS digest FROM {{findings}} GROUP BY day"
 
 
 @operator("a_07_architecture_summary", "edges", "modules", "findings")

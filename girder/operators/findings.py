@@ -23,19 +23,28 @@ def grade(x: str) -> str:
     return GRADE.format(x=x)
 
 
+#: Findings of a rule after which its total has met the cap, whatever their severity: the least penalty is 2.
+DECIDING = -(-RULE_CAP // 2)
+
+
 def deductions(group: str = "repo_id", source: str = "{findings}") -> str:
-    """Points of each finding: the running total of a rule stops at the cap."""
+    """Points of each finding: the running total of a rule stops at the cap.
+
+    Only the first DECIDING penalised findings of a rule can have points. Spark finds those by a group limit before the
+    shuffle, so that no task sorts all findings of a rule.
+    """
+    order = "file_path, line, coalesce(col, 0), input_pos"
     return f"""
 SELECT {group}, category, rule_id, file_path, line, col, input_pos, severity, least({RULE_CAP}, cum) - least({RULE_CAP}, cum - pen) AS points
-FROM (SELECT *, CAST(sum(pen) OVER (PARTITION BY {group}, category, rule_id ORDER BY file_path, line, coalesce(col, 0), input_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum
-      FROM (SELECT *, {penalty("severity")} AS pen FROM {source}) p) c"""
+FROM (SELECT *, CAST(sum(pen) OVER (PARTITION BY {group}, category, rule_id ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum
+      FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {group}, category, rule_id ORDER BY {order}) AS place FROM (SELECT *, {penalty("severity")} AS pen FROM {source}) p WHERE pen > 0) r WHERE place <= {DECIDING}) q) c"""
 
 
 def subscores(group: str = "repo_id") -> str:
-    """A score for each group and category, 100 for a category without findings."""
+    """A score for each group and category that has findings."""
     return f"""
-SELECT {group}, category, round(greatest(0.0, 100.0 - sum(CAST(points AS DOUBLE))), 2) AS score, CAST(sum(points) AS BIGINT) AS deducted
-FROM ({deductions(group)}) d GROUP BY {group}, category"""
+SELECT k.{group}, k.category, round(greatest(0.0, 100.0 - CAST(coalesce(d.points, 0) AS DOUBLE)), 2) AS score, CAST(coalesce(d.points, 0) AS BIGINT) AS deducted
+FROM (SELECT DISTINCT {group}, category FROM {{findings}}) k LEFT JOIN (SELECT {group}, category, sum(points) AS points FROM ({deductions(group)}) x GROUP BY {group}, category) d ON d.{group} = k.{group} AND d.category = k.category"""
 
 
 def _overall(group: str = "repo_id") -> str:
@@ -167,13 +176,6 @@ def p_20(d: Dialect) -> str:
     return f"SELECT id, round({' + '.join(terms)}, 4) AS exploitability FROM (SELECT id, {', '.join(cols)} FROM {{findings}}) f"
 
 
-@operator("p_23_features", "findings")
-def p_23(d: Dialect) -> str:
-    return f"""
-SELECT id, {rank("severity")} AS sev, CASE confidence WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END AS conf, length(file_path) - length(replace(file_path, '/', '')) AS path_depth,
-       CASE WHEN lower(file_path) LIKE '%test%' OR lower(file_path) LIKE '%/1%' THEN 1 ELSE 0 END AS is_test, least(1.0, greatest(0.0, value / 100.0)) AS certainty FROM {{findings}}"""
-
-
 @operator("p_24_trend_key", "findings")
 def p_24(d: Dialect) -> str:
     return "SELECT id, CASE WHEN trim(snippet) <> '' THEN concat_ws('::', rule_id, lower(file_path), trim(snippet)) ELSE concat_ws('::', rule_id, lower(file_path), CAST(coalesce(line, 0) AS STRING)) END AS trend_key FROM {findings}"
@@ -268,9 +270,11 @@ JOIN ({b}) b ON s.file_path = b.file_path AND s.bucket = b.bucket AND abs(s.line
 
 @operator("j_05_enclosing_function", "findings", "functions")
 def j_05(d: Dialect) -> str:
-    """An interval join inside a file; the first function in order wins."""
-    return """
-SELECT f.input_pos, min(g.fn) AS fn FROM {findings} f JOIN {functions} g ON f.user_id % 40 = g.file_id AND f.line BETWEEN g.line_start AND g.line_end GROUP BY f.input_pos"""
+    """An interval join inside a file: functions are dealt to the buckets of 64 lines that they touch; the first in order wins."""
+    touched = "explode(sequence(CAST(floor(line_start / 64.0) AS INT), CAST(floor(line_end / 64.0) AS INT)))" if d.name == "spark" else "unnest(range(CAST(floor(line_start / 64.0) AS INT), CAST(floor(line_end / 64.0) AS INT) + 1))"
+    return f"""
+SELECT f.input_pos, min(g.fn) AS fn FROM (SELECT input_pos, line, CAST(user_id % 40 AS INT) AS file_id, CAST(floor(line / 64.0) AS INT) AS bucket FROM {{findings}}) f
+JOIN (SELECT fn, file_id, line_start, line_end, {touched} AS bucket FROM {{functions}}) g ON f.file_id = g.file_id AND f.bucket = g.bucket AND f.line BETWEEN g.line_start AND g.line_end GROUP BY f.input_pos"""
 
 
 @operator("s_16_inline_suppressions", "texts")

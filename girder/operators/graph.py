@@ -7,6 +7,8 @@ stays short. The driver holds nothing but row counts.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,13 +123,13 @@ def g_19(d: Dialect) -> str:
 # closures
 
 
-def closure(edges: DataFrame, seeds: DataFrame | None = None, name: str = "closure", most: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame | None = None, name: str = "closure") -> DataFrame:
     """(a, b): every pair with a path from a to b in edges (a, b); from the seeds (a) only, if given."""
     scratch = Scratch(edges.sparkSession, name)
     e = scratch.save(edges.select("a", "b").where("a is not null and b is not null").distinct(), "edges")
     new = scratch.save(e if seeds is None else e.join(seeds.select("a").distinct(), "a", "left_semi"), "new-0")
     known, hop = new, e.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    for k in range(1, most):
+    for k in count(1):
         step = new.join(hop, "b").select("a", F.col("c").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
         new = scratch.save(step, f"new-{k}")
         if not new.take(1):
@@ -171,11 +173,50 @@ def g_05(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, scc): the smallest node that is reachable both ways."""
-    r = closure(edges, name="scc")
-    mutual = r.join(r.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
-    low = mutual.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low"))
-    return nodes.join(low, "id", "left").select("id", F.least("id", F.coalesce("low", "id")).alias("scc"))
+    """(id, scc): the smallest node that is reachable both ways.
+
+    Nodes without an edge in or out are trimmed, round by round. Of the rest each takes the smallest node that reaches it as its
+    colour; the nodes that reach their colour's own node within the colour are a component, and go. Tables hold nodes and
+    edges, never pairs of nodes that reach each other.
+    """
+    scratch = Scratch(edges.sparkSession, "scc")
+    rest = scratch.save(edges.select("a", "b").where("a <> b").distinct(), "edges-0")
+    found: DataFrame | None = None
+    k = 0
+    while rest.take(1):
+        k += 1
+        live = rest.select("a").distinct().intersect(rest.select(F.col("b").alias("a")).distinct())
+        both = rest.join(live, "a", "left_semi").join(live.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
+        both = scratch.save(both, f"trimmed-{k}")
+        if both.count() < rest.count():
+            rest = both
+            continue
+        # the smallest node that reaches each node: only what changed is passed on
+        colour = scratch.save(rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct().withColumn("c", F.col("id")), f"colour-{k}-0")
+        new, r = colour, 0
+        while new.take(1):
+            r += 1
+            sent = new.join(rest, new["id"] == rest["a"]).groupBy(F.col("b").alias("id")).agg(F.min("c").alias("n"))
+            merged = scratch.save(colour.join(sent, "id", "left").select("id", F.least("c", F.coalesce("n", "c")).alias("c"), (F.col("n") < F.col("c")).alias("moved")), f"colour-{k}-{r}")
+            colour, new = merged.select("id", "c"), merged.where("moved").select("id", "c")
+        inside = rest.join(colour.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").select("a", "b")
+        inside = scratch.save(inside, f"inside-{k}")
+        # backwards from each colour's own node
+        new = member = scratch.save(colour.where("id = c"), f"member-{k}-0")
+        r = 0
+        while new.take(1):
+            r += 1
+            back = inside.join(new.select(F.col("id").alias("b"), "c"), "b").select(F.col("a").alias("id"), "c").distinct()
+            new = scratch.save(back.join(member, ["id", "c"], "left_anti"), f"member-{k}-{r}")
+            member = member.union(new)
+        member = scratch.save(member, f"members-{k}")
+        found = member if found is None else found.union(member)
+        gone = member.select("id")
+        rest = rest.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b")
+        rest = scratch.save(rest, f"edges-{k}")
+    if found is None:
+        return nodes.select("id", F.col("id").alias("scc"))
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("c", "id").alias("scc"))
 
 
 @native("arc_006_component_cycle", "edges", "modules", sql="WITH RECURSIVE r AS (SELECT src AS a, tgt AS b FROM {edges} UNION SELECT r.a, e.tgt FROM r JOIN {edges} e ON r.b = e.src), s AS (SELECT m.id, least(m.id, coalesce(min(x.b), m.id)) AS scc FROM {modules} m LEFT JOIN r x ON x.a = m.id AND EXISTS (SELECT 1 FROM r y WHERE y.a = x.b AND y.b = x.a) GROUP BY m.id) SELECT scc, count(*) AS members FROM s GROUP BY scc HAVING count(*) >= 2")
@@ -211,7 +252,10 @@ def g_11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @native("g_10_dag_validate", "edges", sql="WITH RECURSIVE r AS (SELECT src AS a, tgt AS b FROM {edges} UNION SELECT r.a, e.tgt FROM r JOIN {edges} e ON r.b = e.src) SELECT a AS node FROM r WHERE a = b")
 def g_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that lie on a cycle: a valid DAG has none."""
-    return closure(_edges(spark, sf_dir), name="validate").where("a = b").select(F.col("a").alias("node"))
+    e = _edges(spark, sf_dir)
+    parts = strong_components(e, e.select(F.col("a").alias("id")).union(e.select("b")).distinct())
+    large = parts.groupBy("scc").count().where("count > 1").select("scc")
+    return parts.join(large, "scc", "left_semi").select(F.col("id").alias("node")).union(e.where("a = b").select("a")).distinct()
 
 
 def waves(dag: DataFrame, nodes: DataFrame, name: str = "waves") -> DataFrame:
@@ -258,7 +302,11 @@ def arc_004(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simple_cycles(edges: DataFrame, name: str = "cycles") -> DataFrame:
     """(cycle, length): elementary cycles from their smallest node; paths grow by one edge a round and never revisit, until none is open."""
     scratch = Scratch(edges.sparkSession, name)
-    e = scratch.save(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    # a cycle lies within one strong component
+    parts = strong_components(edges, edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct())
+    parts = scratch.save(parts, "parts")
+    e = edges.where("a <> b").select("a", "b").distinct().join(parts.select(F.col("id").alias("a"), F.col("scc").alias("x")), "a").join(parts.select(F.col("id").alias("b"), F.col("scc").alias("y")), "b")
+    e = scratch.save(e.where("x = y").select("a", "b"), "edges")
     paths = e.where("b > a").select("a", F.array("a", "b").alias("path"), F.col("b").alias("end"))
     found: DataFrame | None = None
     k, paths = 2, scratch.save(paths, "paths-2")
@@ -304,33 +352,48 @@ def g_14(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = e.where("not (a % 5 = 0)").union(spark.createDataFrame([(0, 24)], "a long, b long"))
     before, after = simple_cycles(e, name="before"), simple_cycles(changed, name="after")
     fresh = after.select("cycle").subtract(before.select("cycle"))
-    count = lambda df, c: df.agg(F.count("*").alias(c))
-    return count(before, "cycles_before").crossJoin(count(after, "cycles_after")).crossJoin(count(fresh, "new_cycles"))
+    number = lambda df, c: df.agg(F.count("*").alias(c))
+    return number(before, "cycles_before").crossJoin(number(after, "cycles_after")).crossJoin(number(fresh, "new_cycles"))
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, longest: int = 64, name: str = "bc") -> DataFrame:
+#: Sources whose shortest paths are held at a time.
+SOURCES_AT_ONCE = 1000
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame, name: str = "bc") -> DataFrame:
     """(id, betweenness, in_degree, out_degree), directed, unweighted, normalised.
 
-    Breadth-first levels from every source at once as a DataFrame of (source, node, level, paths); a pair
-    (s, t) gives its dependency to v when level(s, v) + level(v, t) = level(s, t).
+    Batches of sources: breadth-first levels forward as (source, node, level, paths), then each level's dependencies
+    backward from those of the next, so that every step is a join with the edges and nothing holds pairs of pairs.
     """
     scratch = Scratch(edges.sparkSession, name)
     e = scratch.save(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    nodes = nodes.select("id").distinct()
-    front = nodes.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("level"), F.lit(1.0).alias("paths"))
-    front = known = scratch.save(front, "front-0")
-    for k in range(1, longest):
-        step = front.join(e.select(F.col("a").alias("v"), "b"), "v").groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
-        step = step.join(known.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(k).alias("level"), "paths")
-        front = scratch.save(step, f"front-{k}")
-        if not front.take(1):
-            break
-        known = scratch.save(known.union(front), f"known-{k}")
-    sv = known.where("level > 0").select("s", "v", F.col("level").alias("l1"), F.col("paths").alias("p1"))
-    vt = known.where("level > 0").select(F.col("s").alias("v"), F.col("v").alias("t"), F.col("level").alias("l2"), F.col("paths").alias("p2"))
-    st = known.where("level > 0").select("s", F.col("v").alias("t"), F.col("level").alias("l"), F.col("paths").alias("p"))
-    share = sv.join(vt, "v").join(st, ["s", "t"]).where("l1 + l2 = l and s <> t").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("p1") * F.col("p2") / F.col("p")).alias("x"))
+    nodes = scratch.save(nodes.select("id").distinct(), "nodes")
     n = nodes.count()
+    batches = max(1, -(-n // SOURCES_AT_ONCE))
+    total: DataFrame | None = None
+    for batch in range(batches):
+        begin = nodes.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch)
+        front = begin.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("level"), F.lit(1.0).alias("paths"))
+        levels = [scratch.save(front, f"level-{batch}-0")]
+        known = levels[0].select("s", "v")
+        while True:
+            k = len(levels)
+            step = levels[-1].join(e.select(F.col("a").alias("v"), "b"), "v").groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
+            step = scratch.save(step.join(known, ["s", "v"], "left_anti").select("s", "v", F.lit(k).alias("level"), "paths"), f"level-{batch}-{k}")
+            if not step.take(1):
+                break
+            levels.append(step)
+            known = scratch.save(known.union(step.select("s", "v")), f"known-{batch}-{k}")
+        later = levels[-1].select("s", F.col("v").alias("w"), F.col("paths").alias("pw"), F.lit(0.0).alias("dw"))
+        for k in range(len(levels) - 2, 0, -1):
+            share = levels[k].join(e.select(F.col("a").alias("v"), F.col("b").alias("w")), "v").join(later, ["s", "w"])
+            share = share.groupBy("s", "v").agg(F.sum(F.col("paths") / F.col("pw") * (1 + F.col("dw"))).alias("x"))
+            mine = scratch.save(levels[k].join(share, ["s", "v"], "left").select("s", "v", "paths", F.coalesce("x", F.lit(0.0)).alias("x")), f"share-{batch}-{k}")
+            part = mine.where("x > 0").groupBy(F.col("v").alias("id")).agg(F.sum("x").alias("x"))
+            total = part if total is None else total.union(part)
+            later = mine.select("s", F.col("v").alias("w"), F.col("paths").alias("pw"), F.col("x").alias("dw"))
+    share = total.groupBy("id").agg(F.sum("x").alias("x")) if total is not None else nodes.select("id", F.lit(0.0).alias("x"))
     pairs, other = max((n - 1) * (n - 2), 1), max(n - 1, 1)
     out_d, in_d = e.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("o")), e.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("i"))
     joined = nodes.join(share, "id", "left").join(out_d, "id", "left").join(in_d, "id", "left")
@@ -338,7 +401,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame, longest: int = 64, name: str
     return joined.select("id", F.round(F.coalesce("x", zero) / pairs, 4).alias("betweenness"), F.round(F.coalesce("i", F.lit(0)) / other, 4).alias("in_degree"), F.round(F.coalesce("o", F.lit(0)) / other, 4).alias("out_degree"))
 
 
-_BFS = """WITH RECURSIVE walk AS (SELECT src AS s, tgt AS v, 1 AS level, [src, tgt] AS path FROM {edges} UNION ALL SELECT w.s, e.tgt, w.level + 1, list_append(w.path, e.tgt) FROM walk w JOIN {edges} e ON w.v = e.src WHERE NOT list_contains(w.path, e.tgt) AND w.level < 9),
+_BFS = """WITH RECURSIVE walk AS (SELECT src AS s, tgt AS v, 1 AS level, [src, tgt] AS path FROM {edges} UNION ALL SELECT w.s, e.tgt, w.level + 1, list_append(w.path, e.tgt) FROM walk w JOIN {edges} e ON w.v = e.src WHERE NOT list_contains(w.path, e.tgt) ),
 near AS (SELECT s, v, min(level) AS level FROM walk GROUP BY s, v), short AS (SELECT w.* FROM walk w JOIN near n ON w.s = n.s AND w.v = n.v AND w.level = n.level),
 total AS (SELECT s, v, count(*) AS paths FROM short GROUP BY s, v), through AS (SELECT s, v, unnest(path[2:-2]) AS mid FROM short),
 dep AS (SELECT t.mid AS id, sum(1.0::DOUBLE / total.paths) AS x FROM through t JOIN total ON total.s = t.s AND total.v = t.v GROUP BY t.mid)

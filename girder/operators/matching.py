@@ -107,24 +107,6 @@ def u_03(d: Dialect) -> str:
     return "SELECT DISTINCT rule_id, file_path, line FROM {current_findings} INTERSECT SELECT DISTINCT rule_id, file_path, line FROM {baseline_findings}"
 
 
-@operator("u_05_reusable", "new_files")
-def u_05(d: Dialect) -> str:
-    return "SELECT path FROM {new_files} EXCEPT SELECT path FROM {new_files} WHERE pos % 9 = 0"
-
-
-@operator("u_06_reconcile", "current_findings", "baseline_findings")
-def u_06(d: Dialect) -> str:
-    """Kept rows of unaffected files, and all fresh rows of affected ones, once each."""
-    affected = "length(file_path) % 2 = 0"
-    key = "rule_id, file_path, line, coalesce(col, 0), snippet"
-    return f"""
-SELECT origin, count(*) AS n FROM (
-  SELECT origin, row_number() OVER (PARTITION BY {key} ORDER BY pref, input_pos) AS k FROM (
-    SELECT {key.replace("coalesce(col, 0)", "col")}, input_pos, 0 AS pref, 'REUSED' AS origin FROM {{baseline_findings}} WHERE NOT ({affected})
-    UNION ALL SELECT {key.replace("coalesce(col, 0)", "col")}, input_pos, 1 AS pref, 'RECOMPUTED' AS origin FROM {{current_findings}} WHERE {affected}) u) r
-WHERE k = 1 GROUP BY origin"""
-
-
 @operator("j_17_policy_diff", "current_findings", "baseline_findings")
 def j_17(d: Dialect) -> str:
     def policies(rel: str) -> str:
@@ -147,25 +129,11 @@ SELECT reused, reanalysed, round(CAST(reused AS DOUBLE) / (reused + reanalysed),
 FROM (SELECT CAST(sum(CASE WHEN o.content_hash = n.content_hash THEN 1 ELSE 0 END) AS DOUBLE) AS reused, CAST(sum(CASE WHEN o.content_hash = n.content_hash THEN 0 ELSE 1 END) AS DOUBLE) AS reanalysed FROM {new_files} n LEFT JOIN {old_files} o ON n.path = o.path) s"""
 
 
-@operator("i_08_cache_eviction", "new_files")
-def i_08(d: Dialect) -> str:
-    """Entries beyond the newest that fit the size cap."""
-    return "SELECT path FROM (SELECT path, language, sum(size_bytes) OVER (PARTITION BY language ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM {new_files}) s WHERE total > 50000"
-
-
 @operator("i_10_snapshot_cache", "orders_v")
 def i_10(d: Dialect) -> str:
     return f"SELECT o_custkey, o_orderkey FROM {{orders_v}} WHERE o_orderstatus <> 'F' AND {d.days('CAST(o_orderdate AS DATE)', chr(39) + '1998-01-01' + chr(39) if d.name == 'spark' else 'DATE ' + chr(39) + '1998-01-01' + chr(39))} BETWEEN 0 AND 30"
 
 
-@operator("t_21_summary_validity", "calls", "functions")
-def t_21(d: Dialect) -> str:
-    """A file's summary holds while no callee's file changed."""
-    return """
-SELECT f.file_id, CASE WHEN max(CASE WHEN g.file_id % 13 = 0 THEN 1 ELSE 0 END) = 1 THEN 'INVALID' ELSE 'VALID' END AS state
-FROM {functions} f JOIN {calls} c ON c.caller = f.fn JOIN {functions} g ON g.fn = c.callee GROUP BY f.file_id"""
-
-
 # trends
 
 

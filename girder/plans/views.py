@@ -100,7 +100,7 @@ FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
 SELECT p_partkey AS pos, concat(CASE p_partkey % 6 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'src/' WHEN 2 THEN 'tests/' WHEN 3 THEN 'My-App/core/' WHEN 4 THEN '' ELSE 'pkg/Sub-Dir/deep/' END, replace(p_name, ' ', '_'), CAST(p_partkey AS STRING),
               CASE p_partkey % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.min.js' WHEN 3 THEN '.go' ELSE '.pb.py' END) AS path,
        CASE p_partkey % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'javascript' WHEN 3 THEN 'go' ELSE 'python' END AS language,
-       CAST(p_size * 97 % 1200 AS BIGINT) AS loc, CAST(p_retailprice AS BIGINT) AS size_bytes, sha_content AS content_hash
+       CAST(p_size * 97 % 1200 AS BIGINT) AS loc, CAST(floor(p_retailprice) AS BIGINT) AS size_bytes, sha_content AS content_hash
 FROM (SELECT *, md5(concat(p_name, p_brand)) AS sha_content FROM {part}) p""",
     ),
     "old_files": _view(
