@@ -190,20 +190,6 @@ def o_07(d: Dialect) -> str:
     return f"SELECT user_id, drift FROM (SELECT user_id, max_by(line, input_pos) - min_by(line, input_pos) AS drift FROM {{findings}} GROUP BY user_id) x ORDER BY abs(drift) DESC, user_id LIMIT 15"
 
 
-@operator("y_03_job_state_machine", "turns")
-def y_03(d: Dialect) -> str:
-    """Batch form: the state that each event leads to, and whether the transition is allowed."""
-    state = "CASE turn % 5 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'COMPLETED' WHEN 3 THEN 'RUNNING' ELSE 'FAILED' END"
-    return f"""
-SELECT conv_id, turn, state, CASE WHEN prev IS NULL THEN state = 'QUEUED' WHEN prev = 'QUEUED' THEN state IN ('RUNNING', 'CANCELLED', 'FAILED') WHEN prev = 'RUNNING' THEN state IN ('COMPLETED', 'FAILED', 'CANCELLED') ELSE false END AS allowed
-FROM (SELECT conv_id, turn, {state} AS state, lag({state}) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM {{turns}}) s"""
-
-
-@operator("y_02_latest_state", "turns")
-def y_02(d: Dialect) -> str:
-    return "SELECT conv_id, max(turn) AS last_turn, max_by(role, turn) AS last_role FROM {turns} GROUP BY conv_id"
-
-
 @operator("l_03_training_gate", "texts", "labels")
 def l_03(d: Dialect) -> str:
     return """

@@ -13,6 +13,7 @@ import girder.operators.findings
 import girder.operators.governance
 import girder.operators.graph
 import girder.operators.matching
+import girder.operators.progress
 import girder.operators.project
 import girder.operators.source_code
 import girder.sources.sinks

@@ -15,9 +15,11 @@ from itertools import islice
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from girder.plans.operator import native, view
+from girder.plans.scratch import Scratch
 
 #: Rows a sheet may hold.
 SHEET_ROWS = 1_048_576
@@ -149,3 +151,112 @@ for _id, _rows in (("k_01_json_rows", json_rows), ("k_02_sarif_rows", sarif_rows
     @native(_id)
     def _written(spark: SparkSession, sf_dir: str, rows=_rows) -> DataFrame:
         return rows(view(spark, sf_dir, "findings"))
+
+
+#: Sheets of a workbook.
+SHEETS = ("Summary", "Findings", "By rule", "By file", "Remediation")
+
+
+def workbook(findings: DataFrame) -> dict[str, DataFrame]:
+    """The sheets of a full workbook as tables; ``excel`` writes the findings' sheet, the others are small by their groups."""
+    by = lambda *c: findings.groupBy(*c).agg(F.count("*").alias("n"))
+    return {
+        "Summary": by("severity", "category"),
+        "Findings": findings.select("severity", "rule_id", "file_path", "line"),
+        "By rule": by("rule_id", "severity"),
+        "By file": by("file_path"),
+        "Remediation": by("rule_id").withColumn("cwe", F.create_map(*[F.lit(x) for p in CWE.items() for x in p])[F.col("rule_id")]),
+    }
+
+
+def sheet_rows(findings: DataFrame) -> DataFrame:
+    """(sheet, cells): every row of every sheet with its cells made harmless, as text."""
+    out: DataFrame | None = None
+    for name, rows in workbook(findings).items():
+        cells = [F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"[^\t\n\r -퟿]", ""), F.lit("")) for c in rows.columns]
+        safe = F.array(*[F.when(c.rlike(r"^[=+@\t\r-]"), F.concat(F.lit("'"), c)).otherwise(c) for c in cells])
+        part = rows.select(F.lit(name).alias("sheet"), F.array_join(safe, "|").alias("cells"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def html_rows(findings: DataFrame) -> DataFrame:
+    """(input_pos, value): a table row a finding, escaped."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return findings.select("input_pos", F.concat(F.lit("<tr><td>"), esc("severity"), F.lit("</td><td>"), esc("rule_id"), F.lit("</td><td>"), esc("file_path"), F.lit(":"), F.col("line").cast("string"), F.lit("</td></tr>")).alias("value"))
+
+
+def junit_rows(findings: DataFrame, threshold: str = "HIGH") -> DataFrame:
+    """(input_pos, failed): a test case a finding; it fails at the threshold and above."""
+    over = [k for k, v in RANK.items() if v >= RANK[threshold]]
+    return findings.select("input_pos", F.col("severity").isin(over).alias("failed"))
+
+
+def pdf_pages(findings: DataFrame, per_page: int = 45) -> DataFrame:
+    """(page, lines): how findings in report order fall on pages. Places come from counts by file and a rank within it."""
+    files = findings.groupBy("file_path").agg(F.count("*").alias("n"))
+    before = files.select("file_path", F.coalesce(F.sum("n").over(W.orderBy("file_path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.row_number().over(W.partitionBy("file_path").orderBy("line", F.coalesce("col", F.lit(0)), "rule_id", "input_pos")) - 1
+    placed = findings.withColumn("k", within).join(before, "file_path")
+    return placed.groupBy(F.floor((F.col("before") + F.col("k")) / per_page).cast("long").alias("page")).agg(F.count("*").alias("lines"))
+
+
+def snapshot_tables(findings: DataFrame) -> dict[str, DataFrame]:
+    """What one run leaves: a snapshot row a repository, its findings with secrets redacted, deductions by rule, components, and edges between them."""
+    redacted = F.regexp_replace("snippet", r'(?i)((password|secret|token|api_key) *= *)"[^"]+"', '$1"***"')
+    component = F.regexp_extract("file_path", "^([^/]+)/", 1)
+    points = F.create_map(*[F.lit(x) for p in {"CRITICAL": 25, "HIGH": 15, "MEDIUM": 5, "LOW": 2, "INFO": 0}.items() for x in p])[F.col("severity")]
+    return {
+        "snapshots": findings.groupBy("repo_id").agg(F.count("*").alias("total_findings"), *[F.count_if(F.col("severity") == k).alias(f"{k.lower()}_count") for k in RANK]),
+        "findings": findings.withColumn("snippet", redacted),
+        "deductions": findings.groupBy("repo_id", "rule_id").agg(F.least(F.lit(45), F.sum(points)).alias("points")),
+        "components": findings.groupBy("repo_id", component.alias("component")).agg(F.countDistinct("file_path").alias("file_count")),
+        "edges": findings.groupBy("repo_id", component.alias("source"), F.col("rule_id").alias("target")).agg(F.count("*").alias("weight")),
+    }
+
+
+def save_run(findings: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """Appends a run's five tables by repository, and gives them as they were read back."""
+    out = {}
+    for name, rows in snapshot_tables(findings).items():
+        rows.write.mode("append").partitionBy("repo_id").parquet(f"{folder}/{name}")
+        out[name] = findings.sparkSession.read.parquet(f"{folder}/{name}")
+    return out
+
+
+def _registered() -> None:
+    """Queries of the documents' contents; the documents themselves are made of the same rows."""
+    fail = "severity IN ('CRITICAL', 'HIGH')"
+    level = "CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'note' END"
+    esc = "replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    f = lambda spark, sf_dir: view(spark, sf_dir, "findings")
+    ordered_sql = "ORDER BY file_path, line, coalesce(col, 0), rule_id, input_pos"
+    one = {
+        "k_02_sarif_document": (f"SELECT rule_id, {level} AS level, count(*) AS n FROM {{findings}} GROUP BY rule_id, {level}", lambda s, d: s.createDataFrame([(json.loads(sarif(f(s, d))),)], "doc struct<runs:array<struct<results:array<struct<ruleId:string,level:string>>>>>").selectExpr("explode(doc.runs[0].results) AS r").groupBy(F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level")).agg(F.count("*").alias("n"))),
+        "k_03_html": (f"SELECT input_pos, concat('<tr><td>', {esc.format(x='severity')}, '</td><td>', {esc.format(x='rule_id')}, '</td><td>', {esc.format(x='file_path')}, ':', CAST(line AS VARCHAR), '</td></tr>') AS value FROM {{findings}}", lambda s, d: html_rows(f(s, d))),
+        "k_04_markdown": ("SELECT concat('| ', severity, ' | ', rule_id, ' | ', file_path, ':', CAST(line AS VARCHAR), ' |') AS line FROM (SELECT * FROM {findings} " + ordered_sql + " LIMIT 25) t", lambda s, d: s.createDataFrame([(x,) for x in markdown(f(s, d)).splitlines()[2:]], "line string")),
+        "k_05_junit": (f"SELECT input_pos, {fail} AS failed FROM {{findings}}", lambda s, d: junit_rows(f(s, d))),
+        "k_08_excel": ("SELECT 'Summary' AS sheet, concat(severity, '|', category, '|', CAST(count(*) AS VARCHAR)) AS cells FROM {findings} GROUP BY severity, category UNION ALL SELECT 'Findings', concat(severity, '|', rule_id, '|', file_path, '|', CAST(line AS VARCHAR)) FROM {findings} UNION ALL SELECT 'By rule', concat(rule_id, '|', severity, '|', CAST(count(*) AS VARCHAR)) FROM {findings} GROUP BY rule_id, severity UNION ALL SELECT 'By file', concat(file_path, '|', CAST(count(*) AS VARCHAR)) FROM {findings} GROUP BY file_path UNION ALL SELECT 'Remediation', concat(rule_id, '|', CAST(count(*) AS VARCHAR), '|', CASE rule_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CWE.items()) + " ELSE '' END) FROM {findings} GROUP BY rule_id", lambda s, d: sheet_rows(f(s, d))),
+        "k_09_pdf": ("SELECT CAST(floor((k - 1) / 45.0) AS BIGINT) AS page, count(*) AS lines FROM (SELECT row_number() OVER (" + ordered_sql + ") AS k FROM {findings}) r GROUP BY 1", lambda s, d: pdf_pages(f(s, d))),
+        "k_11_snapshot_tables": ("SELECT repo_id, count(*) AS total, CAST(sum(CASE WHEN severity = 'CRITICAL' THEN 1 ELSE 0 END) AS BIGINT) AS critical, count(DISTINCT rule_id) AS rules, count(DISTINCT file_path) AS files FROM {findings} GROUP BY repo_id", _saved_run),
+        "k_14_audit_log": ("SELECT conv_id, count(*) AS events, CAST(sum(turn) AS BIGINT) AS turns FROM {turns} GROUP BY conv_id", _saved_log),
+    }
+    for name, (sql, run) in one.items():
+        native(name, "turns" if name == "k_14_audit_log" else "findings", sql=sql)(run)
+
+
+def _saved_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = save_run(view(spark, sf_dir, "findings"), Scratch(spark, "run").folder)
+    rules = tables["deductions"].groupBy("repo_id").agg(F.count("*").alias("rules"))
+    files = tables["findings"].groupBy("repo_id").agg(F.countDistinct("file_path").alias("files"))
+    return tables["snapshots"].select("repo_id", F.col("total_findings").alias("total"), F.col("critical_count").alias("critical")).join(rules, "repo_id").join(files, "repo_id").select("repo_id", "total", "critical", "rules", "files")
+
+
+def _saved_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "log").folder
+    save_audit_log(view(spark, sf_dir, "turns"), folder)
+    lines = spark.read.schema("conv_id long, role string, text string, turn long").json(folder)
+    return lines.groupBy("conv_id").agg(F.count("*").alias("events"), F.sum("turn").alias("turns"))
+
+
+_registered()
