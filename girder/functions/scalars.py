@@ -136,16 +136,6 @@ def p_16(d: Dialect) -> str:
     return f"SELECT doc_id, CASE WHEN {d.has('clean', r'^[=+@\t\r-]')} THEN concat(chr(39), clean) ELSE clean END AS cell FROM (SELECT doc_id, {clean} AS clean FROM {{texts}}) t"
 
 
-@operator("p_27_security_properties", "texts")
-def p_27(d: Dialect) -> str:
-    return "SELECT doc_id, concat_ws(',', CASE WHEN position('int(' IN text) > 0 THEN 'TYPE_COERCED' END, CASE WHEN position('token' IN text) > 0 THEN 'SECRET' END, CASE WHEN position('License' IN text) > 0 THEN 'LICENSED' END) AS properties FROM {texts}"
-
-
-@operator("p_28_sink_safety", "findings")
-def p_28(d: Dialect) -> str:
-    return "SELECT id, CASE WHEN snippet IN ('k0') THEN true WHEN rule_id = 'view' AND snippet = 'k1' THEN true ELSE false END AS safe FROM {findings}"
-
-
 @operator("p_29_slugify", "files")
 def p_29(d: Dialect) -> str:
     return f"SELECT pos, {d.sub(d.sub('lower(path)', '[^a-z0-9]+', '-'), '^-|-$', '')} AS slug FROM {{files}}"
@@ -188,18 +178,6 @@ def c_13(d: Dialect) -> str:
 # lattices and registries
 
 
-@operator("t_01_taint_join", "findings")
-def t_01(d: Dialect) -> str:
-    state = "CASE snippet WHEN 'k0' THEN 0 WHEN 'k1' THEN 1 ELSE CASE WHEN line % 2 = 0 THEN 2 ELSE 3 END END"
-    return f"SELECT file_path, CASE max({state}) WHEN 3 THEN 'TAINTED' WHEN 2 THEN 'UNKNOWN' WHEN 1 THEN 'SANITIZED' ELSE 'UNTAINTED' END AS state FROM {{findings}} GROUP BY file_path"
-
-
-@operator("c_04_state_join", "findings")
-def c_04(d: Dialect) -> str:
-    """Other than the taint join, sanitised with untainted gives untainted here."""
-    return "SELECT file_path, CASE WHEN max(CASE WHEN snippet = 'k2' THEN 1 ELSE 0 END) = 1 THEN 'TAINTED' WHEN max(CASE WHEN snippet = 'k0' THEN 1 ELSE 0 END) = 1 THEN 'UNTAINTED' ELSE 'SANITIZED' END AS state FROM {findings} GROUP BY file_path"
-
-
 def _values(rows: tuple[tuple, ...], names: str) -> str:
     quoted = ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rows)
     return f"SELECT * FROM (VALUES {quoted}) AS r({names})"
@@ -223,11 +201,6 @@ SELECT callee, CASE WHEN count(*) > 8 THEN 'WIDENED' ELSE min(ctx) END AS contex
 FROM (SELECT DISTINCT b.callee, substr({ctx}, 1, 16) AS ctx FROM {{calls}} b JOIN {{calls}} a ON a.callee = b.caller) x GROUP BY callee"""
 
 
-@operator("u_07_refinement_join", "findings")
-def u_07(d: Dialect) -> str:
-    return f"SELECT file_path, {d.joined('snippet', distinct=True)} AS facts, count(DISTINCT rule_id) AS n_rules FROM {{findings}} GROUP BY file_path"
-
-
 @operator("a_27_call_graph_summary", "calls", "functions")
 def a_27(d: Dialect) -> str:
     return "SELECT count(DISTINCT c.caller) AS callers, count(DISTINCT c.callee) AS callees, count(*) AS edges FROM {calls} c"
@@ -238,11 +211,6 @@ def j_02(d: Dialect) -> str:
     return "SELECT e.src, e.tgt, a.component AS src_component, b.component AS tgt_component FROM {edges} e JOIN {modules} a ON a.id = e.src JOIN {modules} b ON b.id = e.tgt"
 
 
-@operator("j_10_typed_dispatch", "calls", "functions")
-def j_10(d: Dialect) -> str:
-    return "SELECT c.caller, min(g.file_id) AS receiver FROM {calls} c JOIN {functions} g ON g.fn = c.callee GROUP BY c.caller HAVING count(DISTINCT g.file_id) = 1"
-
-
 @operator("j_22_eager_children", "turns")
 def j_22(d: Dialect) -> str:
     return f"SELECT conv_id, count(*) AS n, {d.joined("concat(lpad(CAST(turn AS STRING), 4, '0'), role)")} AS children FROM {{turns}} GROUP BY conv_id"

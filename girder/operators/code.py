@@ -87,13 +87,6 @@ def p_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "files").select("pos", normalise_path(F.concat(F.lit("./x/../"), "path")).alias("norm"))
 
 
-@native("p_25_evidence_chain", "turns", sql="SELECT conv_id, sha256(string_agg(role || ':' || turn, '>' ORDER BY turn)) AS chain_hash FROM {turns} WHERE turn < 10 GROUP BY conv_id")
-def p_25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(":", "role", F.col("turn").cast("string")).alias("s"))))
-    t = view(spark, sf_dir, "turns").where("turn < 10").groupBy("conv_id").agg(F.slice(steps, 1, 10).alias("steps"))
-    return t.select("conv_id", F.sha2(F.array_join(F.transform("steps", lambda s: s["s"]), ">"), 256).alias("chain_hash"))
-
-
 # Merkle roots, chains, attestations
 
 

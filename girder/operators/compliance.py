@@ -35,16 +35,6 @@ def m_05(d: Dialect) -> str:
     return "SELECT workspace, CASE WHEN avg(health) >= 70 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM {fleet} GROUP BY workspace"
 
 
-@operator("a_29_contract_conflicts", "calls")
-def a_29(d: Dialect) -> str:
-    return "SELECT callee, from_param FROM {calls} GROUP BY callee, from_param HAVING max(CASE WHEN caller % 2 = 0 THEN 1 ELSE 0 END) + max(CASE WHEN caller % 2 = 1 THEN 1 ELSE 0 END) = 2"
-
-
-@operator("c_08_postcondition_binding", "calls")
-def c_08(d: Dialect) -> str:
-    return "SELECT caller, callee, CASE WHEN to_param = 0 THEN 'RETURN' ELSE concat('ARG', CAST(to_param AS STRING)) END AS binding FROM {calls} WHERE from_param = 1"
-
-
 @operator("j_19_guarantee_requirement", "calls")
 def j_19(d: Dialect) -> str:
     return "SELECT r.caller, r.callee, r.from_param, coalesce(g.to_param, -1) AS guaranteed, CASE WHEN g.callee IS NULL THEN 'UNKNOWN' ELSE 'BOUND' END AS edge FROM {calls} r LEFT JOIN (SELECT callee, from_param, min(to_param) AS to_param FROM {calls} WHERE caller % 2 = 0 GROUP BY callee, from_param) g ON g.callee = r.callee AND g.from_param = r.from_param"
@@ -80,20 +70,6 @@ def m_04(d: Dialect) -> str:
 # contracts across repositories
 
 
-@operator("j_18_longest_prefix", "pages_v")
-def j_18(d: Dialect) -> str:
-    """Longest registered prefix by path depth: one equi-join a depth, so no join on a LIKE."""
-    host = d.get("url", "://([^/?#]+)")
-    lang = d.get("url", "://[^/?#]+/([a-z]+)/")
-    prefixes = "SELECT * FROM (VALUES ('/en', 'repo-en'), ('/fr', 'repo-fr'), ('/de', 'repo-de')) AS p(prefix, repo)"
-    return f"SELECT page_id, host, coalesce(p.repo, 'global') AS repo FROM (SELECT page_id, {host} AS host, concat('/', {lang}) AS first_dir FROM {{pages_v}}) u LEFT JOIN ({prefixes}) p ON p.prefix = u.first_dir"
-
-
-@operator("l_10_contract_scoping", "calls", "functions")
-def l_10(d: Dialect) -> str:
-    return "SELECT c.callee, count(*) AS uses, CASE WHEN f.fn IS NULL OR f.fn % 4 = 0 THEN 'BLOCKED' ELSE 'RESOLVED' END AS state FROM {calls} c LEFT JOIN {functions} f ON f.fn = c.callee GROUP BY c.callee, f.fn"
-
-
 @operator("k_15_contract_catalog", "functions")
 def k_15(d: Dialect) -> str:
     return f"SELECT file_id, {d.sha(d.joined('qualified_name', ';', distinct=True))} AS digest, count(*) AS contracts FROM {{functions}} GROUP BY file_id"

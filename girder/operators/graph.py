@@ -59,9 +59,24 @@ def o_04(d: Dialect) -> str:
     return "SELECT src, tgt, row_number() OVER (PARTITION BY src ORDER BY tgt, n) AS place FROM {edges}"
 
 
-#: Tiers with the path words that name them, and the prohibited directions.
-TIERS = (("presentation", 0, "ui views api web"), ("application", 1, "app services core"), ("domain", 2, "domain entities my_app"), ("infrastructure", 3, "db infra repositories pkg"))
-PROHIBITED = (("domain", "application"), ("domain", "infrastructure"), ("domain", "presentation"), ("application", "presentation"), ("application", "infrastructure"), ("infrastructure", "presentation"))
+#: Tiers in the order in which they are tried, with the path words that name them, and the prohibited directions.
+TIERS = (
+    ("PRESENTATION", "presentation presentations presenter presenters api controller controllers endpoint endpoints route routes view views cli reporting frontend ui"),
+    ("INFRASTRUCTURE", "infrastructure infra db database persistence repository repositories adapter adapters storage client clients"),
+    ("DOMAIN", "domain domains model models entity entities rule rules core"),
+    ("APPLICATION", "application app usecase usecases handler handlers service services use_case use_cases workflow orchestrator engine"),
+    ("UTILITY", "util utils common helper helpers config shared"),
+)
+PROHIBITED = (("INFRASTRUCTURE", "PRESENTATION"), ("INFRASTRUCTURE", "APPLICATION"), ("DOMAIN", "PRESENTATION"), ("DOMAIN", "INFRASTRUCTURE"), ("UTILITY", "PRESENTATION"), ("UTILITY", "APPLICATION"))
+
+
+def tiers(d: Dialect, rel: str, path: str = "path", key: str = "path") -> str:
+    """(key, tier): segments of a path from last to first, tiers in declared order; the first word that names a segment decides, none is guessed."""
+    words = ", ".join(f"('{w}', '{t}', {i})" for i, (t, ws) in enumerate(TIERS) for w in ws.split())
+    return f"""
+SELECT {key}, min_by(tier, rnk) AS tier FROM (
+  SELECT s.{key}, k.tier, (100 - s.pos) * 10 + k.ord AS rnk FROM (SELECT {key}, s.pos, s.x FROM {rel} {d.each(d.split(f"lower(replace({path}, '-', '_'))", "/"), "s")}) s JOIN (SELECT * FROM (VALUES {words}) AS k(word, tier, ord)) k ON s.x = k.word) m
+GROUP BY {key}"""
 
 
 @operator("p_05_component_name", "files")
@@ -74,19 +89,15 @@ def p_05(d: Dialect) -> str:
 
 @operator("g_15_tier_inference", "files")
 def g_15(d: Dialect) -> str:
-    """Segments from last to first, tiers in declared order; the first keyword that names a segment decides."""
-    words = ", ".join(f"('{w}', '{t}', {i})" for t, i, ws in TIERS for w in ws.split())
-    return f"""
-SELECT path, min_by(tier, rnk) AS tier FROM (
-  SELECT s.path, k.tier, (100 - s.pos) * 10 + k.ord AS rnk FROM (SELECT path, s.pos, s.x FROM {{files}} {d.each(d.split("lower(replace(path, '-', '_'))", "/"), "s")}) s JOIN (SELECT * FROM (VALUES {words}) AS k(word, tier, ord)) k ON s.x = k.word) m
-GROUP BY path"""
+    return tiers(d, "{files}")
 
 
 @operator("g_16_layer_inversion", "edges", "modules")
 def g_16(d: Dialect) -> str:
-    tier = "CASE {x} % 4 WHEN 0 THEN 'presentation' WHEN 1 THEN 'application' WHEN 2 THEN 'domain' ELSE 'infrastructure' END"
+    """Edges from a tier into one that it may not know; both tiers must be known."""
     pairs = ", ".join(f"('{a}', '{b}')" for a, b in PROHIBITED)
-    return f"SELECT e.src, e.tgt, e.a, e.b FROM (SELECT src, tgt, {tier.format(x='src')} AS a, {tier.format(x='tgt')} AS b FROM {{edges}}) e JOIN (SELECT * FROM (VALUES {pairs}) AS p(x, y)) p ON e.a = p.x AND e.b = p.y JOIN {{modules}} m ON m.id = e.src"
+    known = tiers(d, "{modules}", "path", "id")
+    return f"SELECT e.src, e.tgt, a.tier AS a, b.tier AS b FROM {{edges}} e JOIN ({known}) a ON a.id = e.src JOIN ({known}) b ON b.id = e.tgt JOIN (SELECT * FROM (VALUES {pairs}) AS p(x, y)) p ON a.tier = p.x AND b.tier = p.y"
 
 
 @operator("arc_005_layer_inversion", "edges", "modules")

@@ -167,29 +167,11 @@ def a_25(d: Dialect) -> str:
     return "SELECT snapshot, count(*) AS n FROM {snapshot_keys} GROUP BY snapshot"
 
 
-@operator("w_03_health_delta", "findings")
-def w_03(d: Dialect) -> str:
-    return "SELECT repo_id, round(max_by(score, day) - min_by(score, day), 2) AS delta FROM (SELECT repo_id, day, 100.0 - CAST(count(*) AS DOUBLE) / 10 AS score FROM {findings} GROUP BY repo_id, day) s GROUP BY repo_id"
-
-
-@operator("j_15_component_drift", "findings")
-def j_15(d: Dialect) -> str:
-    return """
-WITH i AS (SELECT repo_id, day, CAST(avg(line) AS DOUBLE) AS instability FROM {findings} GROUP BY repo_id, day),
-b AS (SELECT min(day) AS first_day, max(day) AS last_day FROM {findings})
-SELECT l.repo_id, round(l.instability - coalesce(e.instability, l.instability), 3) AS drift FROM i l JOIN b ON l.day = b.last_day LEFT JOIN (SELECT i.* FROM i JOIN b ON i.day = b.first_day) e ON l.repo_id = e.repo_id"""
-
-
 @operator("o_05_last_snapshots", "snapshots")
 def o_05(d: Dialect) -> str:
     return "SELECT seq, snapshot FROM (SELECT seq, snapshot FROM {snapshots} ORDER BY seq DESC LIMIT 10) s ORDER BY seq"
 
 
-@operator("o_07_top_drift", "findings")
-def o_07(d: Dialect) -> str:
-    return f"SELECT user_id, drift FROM (SELECT user_id, max_by(line, input_pos) - min_by(line, input_pos) AS drift FROM {{findings}} GROUP BY user_id) x ORDER BY abs(drift) DESC, user_id LIMIT 15"
-
-
 @operator("l_03_training_gate", "texts", "labels")
 def l_03(d: Dialect) -> str:
     return """

@@ -365,7 +365,7 @@ def _counted(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
     return f.groupBy("path").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s" if k != "class" else "classes") for k in ("import", "function", "class", "export", "error")])
 
 
-@native("s_04_python_facts", "units", "unit_calls", sql=_COUNTS.format(language="python", imports=f"2 + coalesce(c.n, 0) + {_B('u.fn % 6 = 0')} + {_B('u.fn % 21 = 0 OR u.fn % 22 = 0')}", functions=f"1 + {_B('u.helps')} + {_B('u.shares')} + {_B('u.fn = 1')}", classes=_B("u.stores"), exports=f"1 + {_B('u.shares')} + {_B('u.fn = 1')} + {_B('u.stores')}"))
+@native("s_04_python_facts", "units", "unit_calls", sql=_COUNTS.format(language="python", imports=f"2 + coalesce(c.n, 0) + {_B('u.fn % 6 = 0')} + {_B('u.fn % 21 = 0 OR u.fn % 22 = 0')}", functions=f"1 + {_B('u.helps')} + {_B('u.shares')} + {_B('u.fn = 1')} + {_B('u.stores')}", classes=_B("u.stores"), exports=f"1 + {_B('u.shares')} + {_B('u.fn = 1')} + 2 * {_B('u.stores')}"))
 def s_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(spark, sf_dir, "python")
 
@@ -388,7 +388,7 @@ def s_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("path", "language").join(bad, "path", "left").groupBy("language").agg(F.count("*").alias("files"), F.count("e").alias("unreadable"))
 
 
-@native("t_20_functions", "units", sql="SELECT path, concat(CASE WHEN language = 'go' THEN concat('T', CAST(fn AS VARCHAR), '.F') ELSE 'f' END, CAST(fn AS VARCHAR)) AS qualified_name, CASE language WHEN 'python' THEN 'a,cursor' WHEN 'go' THEN 'a,b' ELSE 'a,el' END AS params FROM {units} UNION ALL SELECT path, concat('_h', CAST(fn AS VARCHAR)), 'v,flag' FROM {units} WHERE helps UNION ALL SELECT path, 'shared', 'v' FROM {units} WHERE shares UNION ALL SELECT path, 'only_here', 'v' FROM {units} WHERE fn = 1")
+@native("t_20_functions", "units", sql="SELECT path, concat(CASE WHEN language = 'go' THEN concat('T', CAST(fn AS VARCHAR), '.F') ELSE 'f' END, CAST(fn AS VARCHAR)) AS qualified_name, CASE language WHEN 'python' THEN 'a,cursor' WHEN 'go' THEN 'a,b' ELSE 'a,el' END AS params FROM {units} UNION ALL SELECT path, concat('_h', CAST(fn AS VARCHAR)), 'v,flag' FROM {units} WHERE helps UNION ALL SELECT path, 'shared', 'v' FROM {units} WHERE shares UNION ALL SELECT path, 'only_here', 'v' FROM {units} WHERE fn = 1 UNION ALL SELECT path, 'Store.save', 'self,v' FROM {units} WHERE stores")
 def t_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(source_files(spark, sf_dir)).where("kind = 'function'").select("path", F.col("name").alias("qualified_name"), F.col("detail").alias("params"))
 
@@ -512,7 +512,7 @@ _TIERS = f"""SELECT u.path, concat('f', CAST(c.callee AS VARCHAR)) AS callee, 'I
 UNION ALL SELECT path, concat('_h', CAST(fn AS VARCHAR)), 'SAME_FILE' FROM {{units}} WHERE helps
 UNION ALL SELECT path, 'shared', CASE WHEN (SELECT count(*) FROM {{units}} WHERE shares) > 1 THEN 'AMBIGUOUS' ELSE 'UNIQUE' END FROM {{units}} WHERE asks
 UNION ALL SELECT path, 'only_here', CASE WHEN fn = 1 THEN 'SAME_FILE' ELSE 'UNIQUE' END FROM {{units}} WHERE asks UNION ALL SELECT path, 'nowhere', 'MISSING_IMPORT' FROM {{units}} WHERE asks
-UNION ALL SELECT path, 'Store', 'MISSING_IMPORT' FROM {{units}} WHERE stores UNION ALL SELECT path, 'ValueError', 'MISSING_IMPORT' FROM {{units}} WHERE validated
+UNION ALL SELECT path, 'Store', 'MISSING_IMPORT' FROM {{units}} WHERE stores UNION ALL SELECT path, 's.save', 'EXTERNAL_MODULE' FROM {{units}} WHERE stores UNION ALL SELECT path, 'ValueError', 'MISSING_IMPORT' FROM {{units}} WHERE validated
 UNION ALL SELECT path, 'int', 'MISSING_IMPORT' FROM {{units}} WHERE {_PY} AND sanitised UNION ALL SELECT path, 'x.isdigit', 'EXTERNAL_MODULE' FROM {{units}} WHERE {_PY} AND guarded
 UNION ALL SELECT path, 'cursor.execute', 'EXTERNAL_MODULE' FROM {{units}} WHERE {_PY} AND sink = 0 UNION ALL SELECT path, 'os.system', 'EXTERNAL_MODULE' FROM {{units}} WHERE {_PY} AND (sink = 1 OR dead)
 UNION ALL SELECT path, 'eval', 'MISSING_IMPORT' FROM {{units}} WHERE {_PY} AND fn % 19 = 0 UNION ALL SELECT path, 'hashlib.md5', 'EXTERNAL_MODULE' FROM {{units}} WHERE {_PY} AND (fn % 21 = 0 OR fn % 22 = 0)
@@ -535,7 +535,7 @@ def a_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j_09(spark, sf_dir).agg(F.count("*").alias("sites"), F.count_if(F.col("tier") == "SAME_FILE").alias("local_calls"), F.count_if(F.col("tier") == "IMPORTED").alias("imported"), F.round(found / F.count("*"), 4).alias("rate"))
 
 
-_ORPHANS = f"SELECT path, concat('f', CAST(fn AS VARCHAR)) AS name FROM {{units}} WHERE language <> 'go' AND fn NOT IN (SELECT callee FROM {{unit_calls}}) UNION ALL SELECT path, 'shared' FROM {{units}} WHERE shares UNION ALL SELECT path, 'only_here' FROM {{units}} WHERE fn = 1 UNION ALL SELECT path, 'Store' FROM {{units}} WHERE stores UNION ALL SELECT path, concat('T', CAST(fn AS VARCHAR)) FROM {{units}} WHERE language = 'go' UNION ALL SELECT path, concat('F', CAST(fn AS VARCHAR)) FROM {{units}} WHERE language = 'go'"
+_ORPHANS = f"SELECT path, concat('f', CAST(fn AS VARCHAR)) AS name FROM {{units}} WHERE language <> 'go' AND fn NOT IN (SELECT callee FROM {{unit_calls}}) UNION ALL SELECT path, 'shared' FROM {{units}} WHERE shares UNION ALL SELECT path, 'only_here' FROM {{units}} WHERE fn = 1 UNION ALL SELECT path, 'Store' FROM {{units}} WHERE stores UNION ALL SELECT path, 'save' FROM {{units}} WHERE stores UNION ALL SELECT path, concat('T', CAST(fn AS VARCHAR)) FROM {{units}} WHERE language = 'go' UNION ALL SELECT path, concat('F', CAST(fn AS VARCHAR)) FROM {{units}} WHERE language = 'go'"
 
 
 @native("j_11_orphan_exports", "units", "unit_calls", sql=_ORPHANS)
@@ -641,12 +641,12 @@ def t_18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _objects(spark, sf_dir, "field")
 
 
-@native("t_19_types", "units", sql="SELECT path, concat('f', CAST(fn AS VARCHAR)) AS function, n AS name, 'Store' AS detail FROM {units}, (VALUES ('s'), ('t')) v(n) WHERE stores UNION ALL SELECT path, concat('f', CAST(fn AS VARCHAR)), 'x', 'int' FROM {units} WHERE language = 'python' AND sanitised UNION ALL SELECT path, concat('T', CAST(fn AS VARCHAR), '.F', CAST(fn AS VARCHAR)), n, 'int' FROM {units}, (VALUES ('a'), ('b')) v(n) WHERE language = 'go'")
+@native("t_19_types", "units", sql="SELECT path, concat('f', CAST(fn AS VARCHAR)) AS function, n AS name, 'Store' AS detail FROM {units}, (VALUES ('s'), ('t')) v(n) WHERE stores UNION ALL SELECT path, concat('f', CAST(fn AS VARCHAR)), 'x', 'int' FROM {units} WHERE language = 'python' AND sanitised UNION ALL SELECT path, concat('T', CAST(fn AS VARCHAR), '.F', CAST(fn AS VARCHAR)), n, 'int' FROM {units}, (VALUES ('a'), ('b')) v(n) WHERE language = 'go' UNION ALL SELECT path, concat('f', CAST(fn AS VARCHAR)), 'n', k FROM {units}, (VALUES ('int'), ('str')) v(k) WHERE language = 'python' AND fn % 29 = 0")
 def t_19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _objects(spark, sf_dir, "type")
 
 
-@native("t_22_def_use", "units", sql="SELECT path, 's' AS name, CAST(1 AS BIGINT) AS uses FROM {units} WHERE stores UNION ALL SELECT path, 'flag', CAST(1 AS BIGINT) FROM {units} WHERE helps")
+@native("t_22_def_use", "units", sql="SELECT path, 's' AS name, CAST(2 AS BIGINT) AS uses FROM {units} WHERE stores UNION ALL SELECT path, 'flag', CAST(1 AS BIGINT) FROM {units} WHERE helps")
 def t_22(spark: SparkSession, sf_dir: str) -> DataFrame:
     uses = mapped(source_files(spark, sf_dir), USES, lambda path, m: iter(objects.definitions(m)))
     return uses.where("name in ('s', 'flag')").groupBy("path", "name").agg(F.count("*").alias("uses"))
@@ -689,3 +689,91 @@ def c_11(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashes = lambda x, name: mapped(x, OBJECTS, lambda path, m: iter(contracts.contracts(m))).where(r"kind = 'hash' and function rlike '^f[0-9]+$'").select("path", "function", F.col("name").alias(name))
     some = (number % 3 == 1) & (F.col("language") != "go")
     return hashes(files.where(some), "old").join(hashes(after.where(some), "new"), ["path", "function"]).select("path", "function", (F.col("old") == F.col("new")).alias("skip_callers"))
+
+
+# what contracts and types say at call sites
+
+
+@native("c_08_postcondition_binding", "unit_calls", "units", sql="SELECT a.path, concat('f', CAST(c.callee AS VARCHAR)) AS callee, 'ARGUMENT' AS bound, 'not_none' AS fact FROM {unit_calls} c JOIN {units} a ON a.fn = c.caller JOIN {units} b ON b.fn = c.callee WHERE b.validated")
+def c_08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a call returns, what its contract ensures of a parameter holds of the argument."""
+    _, f, imports = _resolution(spark, sf_dir)
+    files = source_files(spark, sf_dir)
+    ensured = mapped(files, OBJECTS, lambda path, m: iter(contracts.contracts(m))).where("kind = 'ensures'").select(F.col("path").alias("to_path"), F.col("function").alias("to"), F.col("name").cast("int").alias("i"), F.col("detail").alias("fact"))
+    targets = resolved_calls(f, imports).where("target is not null").select("path", "callee", F.col("target_path").alias("to_path"), F.col("target").alias("to")).distinct()
+    given = flows(files).where("kind = 'argument'").select(F.col("path").alias("p"), F.col("target").alias("c"), F.col("position").alias("j")).distinct()
+    met = targets.join(ensured, ["to_path", "to"]).join(given, (F.col("path") == F.col("p")) & (F.col("callee") == F.col("c")) & (F.col("i") == F.col("j")))
+    return met.select("path", "callee", F.lit("ARGUMENT").alias("bound"), "fact").distinct()
+
+
+@native("a_29_contract_conflicts", "units", sql="SELECT path, concat('f', CAST(fn AS VARCHAR)) AS function, 'n' AS name FROM {units} WHERE language = 'python' AND fn % 29 = 0")
+def a_29(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables that are claimed to be a number and a text."""
+    types = mapped(source_files(spark, sf_dir), OBJECTS, lambda path, m: iter(objects.facts(m))).where("kind = 'type'")
+    return types.groupBy("path", "function", "name").agg(F.collect_set("detail").alias("t")).where("array_contains(t, 'int') and array_contains(t, 'str')").select("path", "function", "name")
+
+
+@native("j_10_typed_dispatch", "units", sql="SELECT path, 's.save' AS callee, 'Store.save' AS target FROM {units} WHERE stores")
+def j_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Method calls whose receiver has one type, to that type's method."""
+    files = source_files(spark, sf_dir)
+    receivers = mapped(files, OBJECTS, lambda path, m: iter(objects.facts(m))).where("kind = 'receiver'").groupBy("path", F.col("name").alias("callee")).agg(F.min("detail").alias("type"), F.countDistinct("detail").alias("n")).where("n = 1")
+    methods = facts(files).where("kind = 'function'").select(F.col("path").alias("p"), F.col("name").alias("target"))
+    last = F.element_at(F.split("callee", r"\."), -1)
+    return receivers.join(methods, (F.col("path") == F.col("p")) & (F.concat_ws(".", "type", last) == F.col("target"))).select("path", "callee", "target")
+
+
+STATES = "path string, function string, name string, state string"
+_STATE = "CASE WHEN NOT is_source THEN 'UNTAINTED' WHEN clean > 0 THEN 'SANITIZED' ELSE 'TAINTED' END"
+_RANKED = f"SELECT regexp_extract(path, '^src/([^/]+)/', 1) AS package, {_STATE} AS state FROM {{unit_taint}}"
+
+
+def _states(path: str, m: Module) -> Iterator[tuple]:
+    for s in flow.summaries(m):
+        for name, state in s.states.items():
+            yield s.function, name, state
+
+
+def _by_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mapped(source_files(spark, sf_dir), STATES, _states).where(r"name = 'x' and function rlike '^f[0-9]+$'")
+    return rows.select(F.regexp_extract("path", "^src/([^/]+)/", 1).alias("package"), "state")
+
+
+@native("t_01_taint_join", "unit_taint", sql=f"SELECT package, CASE max(CASE state WHEN 'TAINTED' THEN 3 WHEN 'UNKNOWN' THEN 2 WHEN 'SANITIZED' THEN 1 ELSE 0 END) WHEN 3 THEN 'TAINTED' WHEN 2 THEN 'UNKNOWN' WHEN 1 THEN 'SANITIZED' ELSE 'UNTAINTED' END AS state FROM ({_RANKED}) r GROUP BY package")
+def t_01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join of a package's values: the state that stands highest."""
+    place = F.array_position(F.array(*map(F.lit, flow.STATES)), F.col("state"))
+    return _by_package(spark, sf_dir).groupBy("package").agg(F.max_by("state", place).alias("state"))
+
+
+@native("c_04_state_join", "unit_taint", sql=f"SELECT package, CASE WHEN max(CASE WHEN state = 'TAINTED' THEN 1 ELSE 0 END) = 1 THEN 'TAINTED' WHEN min(CASE WHEN state = 'SANITIZED' THEN 1 ELSE 0 END) = 1 THEN 'SANITIZED' ELSE 'UNTAINTED' END AS state FROM ({_RANKED}) r GROUP BY package")
+def c_04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where paths meet: sanitized only if it is so on all of them. Other than the taint join."""
+    state = F.when(F.max(F.col("state") == "TAINTED"), "TAINTED").when(F.min(F.col("state") == "SANITIZED"), "SANITIZED").otherwise("UNTAINTED")
+    return _by_package(spark, sf_dir).groupBy("package").agg(state.alias("state"))
+
+
+def frameworks(files: DataFrame, manifests: DataFrame) -> DataFrame:
+    """(framework, evidence, confidence): kinds of evidence in the sources (path, content) and the manifests (name, content), each counted once."""
+    text = manifests.select(F.lower("content").alias("content"), "name")
+    seen = lambda df, cond, framework, what: df.where(cond).limit(1).select(F.lit(framework).alias("framework"), F.lit(what).alias("what"))
+    c, p = F.col("content"), F.col("path")
+    arms = [
+        seen(text, F.col("name").rlike("(^|/)manage.py$"), "django", "manage.py"), seen(files, p.contains("settings.py"), "django", "settings"), seen(text, c.contains("django"), "django", "declared"), seen(files, c.rlike("(?m)^(from|import) django"), "django", "imported"),
+        seen(text, c.contains("flask"), "flask", "declared"), seen(files, c.contains("from flask import") | c.rlike("(?m)^import flask"), "flask", "imported"),
+        seen(text, c.contains('"react"'), "react", "declared"), seen(text, c.contains('"react-dom"'), "react", "dom declared"), seen(files, p.rlike(r"\.[jt]sx$"), "react", "components"), seen(files, c.rlike("""from ['"]react['"]|import React"""), "react", "imported"),
+        seen(text, c.contains('"express"'), "express", "declared"), seen(text, c.contains("express"), "express", "in a manifest"), seen(files, c.rlike("""require\\(['"]express['"]\\)|from ['"]express['"]"""), "express", "imported"),
+    ]
+    every = arms[0]
+    for a in arms[1:]:
+        every = every.union(a)
+    n, base = F.count("*"), F.when(F.col("framework") == "flask", 0.45).otherwise(0.40)
+    step, most = F.when(F.col("framework").isin("flask", "express"), 0.25).otherwise(0.20), F.when(F.col("framework") == "flask", 0.95).otherwise(0.98)
+    found = every.groupBy("framework").agg(n.alias("evidence"))
+    return found.select("framework", "evidence", F.round(F.least(most, base + step * F.col("evidence")), 2).alias("confidence"))
+
+
+@native("s_09_frameworks", "units", sql="SELECT * FROM (VALUES ('flask', CAST(2 AS BIGINT), 0.95::DOUBLE), ('react', CAST(2 AS BIGINT), 0.80::DOUBLE)) v(framework, evidence, confidence)")
+def s_09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifests = spark.createDataFrame([("requirements.txt", "Flask==3.0\n"), ("package.json", '{"dependencies": {"react": "18"}}')], "name string, content string")
+    return frameworks(source_files(spark, sf_dir), manifests)

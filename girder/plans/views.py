@@ -69,7 +69,7 @@ WHERE s_nationkey <> c_nationkey GROUP BY s_nationkey, c_nationkey""",
         "nation",
         "customer",
         sql="""
-SELECT n_nationkey AS id, n_name AS name, concat('src/', lower(n_name), '.py') AS path, n_regionkey AS component, CAST(count(c_custkey) AS BIGINT) AS loc
+SELECT n_nationkey AS id, n_name AS name, concat('src/', CASE n_nationkey % 6 WHEN 0 THEN 'api' WHEN 1 THEN 'services' WHEN 2 THEN 'domain' WHEN 3 THEN 'db' WHEN 4 THEN 'utils' ELSE 'misc' END, '/', lower(n_name), '.py') AS path, n_regionkey AS component, CAST(count(c_custkey) AS BIGINT) AS loc
 FROM {nation} LEFT JOIN {customer} ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name, n_regionkey""",
     ),
     "repo_dag": _view("edges", sql="SELECT DISTINCT src AS repo, tgt AS needs FROM {edges} WHERE tgt < src"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import girder.functions.scalars
 import girder.operators.code
 import girder.operators.compliance
+import girder.operators.evidence
 import girder.operators.findings
 import girder.operators.governance
 import girder.operators.graph

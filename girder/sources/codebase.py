@@ -42,7 +42,7 @@ concat(
  array_join(transform(callees, c -> concat('from ', CASE WHEN c % 5 = pkg THEN '' ELSE concat('pkg', c % 5) END, '.m', c, ' import f', c, '\\n')), ''),
  CASE WHEN fn % 10 = 0 THEN concat('API_KEY = "', secret, '"\\n') ELSE '' END, CASE WHEN fn % 25 = 0 THEN 'DEBUG = True\\n' ELSE '' END,
  CASE WHEN fn % 23 = 0 THEN 'CORS_ALLOW_ALL_ORIGINS = True\\n' ELSE '' END, CASE WHEN fn % 21 = 0 THEN 'hashlib.md5(b"")\\n' ELSE '' END, CASE WHEN fn % 22 = 0 THEN 'hashlib.md5(b"", usedforsecurity=False)\\n' ELSE '' END,
- CASE WHEN stores THEN 'class Store:\\n    pass\\n' ELSE '' END,
+ CASE WHEN stores THEN 'class Store:\\n    def save(self, v):\\n        return v\\n' ELSE '' END,
  CASE WHEN helps THEN concat('def _h', fn, '(v, flag):\\n    if flag:\\n        return v\\n    return None\\n') ELSE '' END,
  CASE WHEN shares THEN 'def shared(v):\\n    return v\\n' ELSE '' END, CASE WHEN fn = 1 THEN 'def only_here(v):\\n    return v\\n' ELSE '' END,
  CASE WHEN fn % 26 = 0 THEN '@csrf_exempt\\n' ELSE '' END, 'def f', fn, '(a, cursor):\\n', CASE WHEN fn % 19 = 0 THEN '    eval("1")\\n' ELSE '' END,
@@ -51,7 +51,7 @@ concat(
  CASE WHEN is_source THEN '    x = request.args["q"]\\n' ELSE '    x = a\\n' END,
  CASE WHEN sanitised THEN '    x = int(x)\\n' ELSE '' END,
  CASE WHEN guarded THEN '    if not x.isdigit():\\n        return None\\n' ELSE '' END,
- CASE WHEN stores THEN '    s = Store()\\n    t = s\\n    t.value = x\\n' ELSE '' END,
+ CASE WHEN stores THEN '    s = Store()\\n    t = s\\n    t.value = x\\n    s.save(x)\\n' ELSE '' END, CASE WHEN fn % 29 = 0 THEN '    n = 1\\n    n = "one"\\n' ELSE '' END,
  CASE WHEN helps THEN concat('    _h', fn, '(x, True)\\n') ELSE '' END,
  CASE WHEN asks THEN '    shared(x)\\n    only_here(x)\\n    nowhere(x)\\n' ELSE '' END,
  array_join(transform(callees, c -> concat('    f', c, '(x, cursor)\\n')), ''),
