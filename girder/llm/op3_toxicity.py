@@ -28,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from math import lgamma
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from girder.llm.common import crc_fold, table
 from girder.llm.op2_quality_cnn import training_rows
 from girder.llm.textkit import hash_spans, runs, slices, span_sums
 
-TRAIN_ROWS, TRAIN_BYTES = 16000, 64 << 20
+TRAIN_ROWS, TRAIN_BYTES = 8000, 24 << 20
 THRESHOLD = 0.7
 WINDOW, NEAR = 20, 5
 TREES, DEPTH, BINS, RATE, LEAST = 80, 3, 32, 0.15, 8
@@ -245,14 +246,23 @@ def _tail(t: int, n: int, share: float) -> float:
     return (top + np.log(sum(np.exp(x - top) for x in terms))) / np.log(10)
 
 
+def _keys(words: set[str]) -> set[str]:
+    """Words and their stems, which are written with a leading ^."""
+    return words | {"^" + x[:k] for x in words for k in STEMS if len(x) >= k}
+
+
 def learn_lexicon(words: list[set[str]], labels: np.ndarray) -> frozenset[str]:
-    """Words tied to the label; stems are written with a leading ^."""
+    """Words and stems tied to the label. Only those that enough toxic texts hold are counted in the clean ones."""
     toxic, clean = Counter(), Counter()
     for w, y in zip(words, labels, strict=True):
-        (toxic if y else clean).update(w)
-        (toxic if y else clean).update({"^" + x[:k] for x in w for k in STEMS if len(x) >= k})
+        if y:
+            toxic.update(_keys(w))
+    toxic = {w: t for w, t in toxic.items() if t >= 4 and len(w) > 2}
+    for w, y in zip(words, labels, strict=True):
+        if not y:
+            clean.update(toxic.keys() & _keys(w))
     share = float(np.clip(labels.mean(), 0.01, 0.99))
-    found = {w for w, t in toxic.items() if len(w) > 2 and t >= 4 and t > 3 * clean[w] * share / (1 - share) and t >= 0.6 * (t + clean[w]) and _tail(t, t + clean[w], share) < -5}
+    found = {w for w, t in toxic.items() if t > 3 * clean[w] * share / (1 - share) and t >= 0.6 * (t + clean[w]) and _tail(t, t + clean[w], share) < -5}
     return SEED_WORDS | found
 
 
@@ -340,7 +350,7 @@ class Model:
 def fit(texts: list[str], y: np.ndarray) -> Model | None:
     if not len(y) or y.min() == y.max():
         return None
-    words = [set(_WORD.findall(t.lower())) for t in texts]
+    words = [set(map(intern, _WORD.findall(t.lower()))) for t in texts]
     column = pa.array(texts, pa.large_string())
     fold = np.random.Generator(np.random.PCG64(5)).integers(0, FOLDS, len(y))
     x, z = np.empty((len(y), len(NAMES))), np.full(len(y), np.nan)
