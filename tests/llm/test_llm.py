@@ -264,6 +264,17 @@ def test_op4_canonical_forms(spark):
     assert op4.scan(d.where("false"), op4.known_digests(spark)).count() == 0
 
 
+def test_op4_known_texts(spark, tmp_path):
+    names = [a for a, _ in op4.KNOWN]
+    assert {"BSD-2-Clause", "BSD-3-Clause", "MIT-0", "BSL-1.0", "Unlicense", "MPL-2.0"} <= set(names)
+    bsd = dict(op4.KNOWN)["BSD-3-Clause"]
+    d = docs(spark, ["Copyright (c) 2001, Someone\n\n" + bsd.replace("copyright holder", "copyright owner"), bsd + " but not for fun"])
+    assert [x["license"] for x in sorted(op4.scan(d, op4.known_digests(spark)).collect(), key=lambda x: x["doc_id"])] == ["BSD-3-Clause", None]
+    (tmp_path / "Own-1.0.txt").write_text("My own licence, in full.\nDo as you like.")
+    got = op4.scan(docs(spark, ["my own LICENSE in full; do as you like"]), op4.known_folder(spark, str(tmp_path))).first()
+    assert got["license"] == "Own-1.0"
+
+
 # op5
 
 
