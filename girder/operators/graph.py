@@ -186,7 +186,7 @@ def g_05(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, scc): the smallest node that is reachable both ways.
 
-    Nodes without an edge in or out are trimmed, round by round. Of the rest each takes the smallest node that reaches it as its
+    In each round nodes without an edge in or out are trimmed, and each of the rest takes the smallest node that reaches it as its
     colour; the nodes that reach their colour's own node within the colour are a component, and go. Tables hold nodes and
     edges, never pairs of nodes that reach each other.
     """
@@ -197,11 +197,9 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     while rest.take(1):
         k += 1
         live = rest.select("a").distinct().intersect(rest.select(F.col("b").alias("a")).distinct())
-        both = rest.join(live, "a", "left_semi").join(live.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
-        both = scratch.save(both, f"trimmed-{k}")
-        if both.count() < rest.count():
-            rest = both
-            continue
+        rest = scratch.save(rest.join(live, "a", "left_semi").join(live.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b"), f"trimmed-{k}")
+        if not rest.take(1):
+            break
         # the smallest node that reaches each node: only what changed is passed on
         colour = scratch.save(rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct().withColumn("c", F.col("id")), f"colour-{k}-0")
         new, r = colour, 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from girder.operators import graph, project as operators, source_code
 from girder.operators.governance import CONTROLS, POLICIES
 from girder.plans.operator import REGISTRY
+from girder.plans import scratch
 from girder.sources import project, sinks
 
 CONFIG = "version: 1\nanalysis:\n  max_call_depth: 7   # deeper\n  disabled_rules: [ARC-002, SEC-JS-006]\n  fail_on: high\npaths:\n  exclude:\n    - node_modules\n    - 'a # b'\n"
@@ -198,3 +199,13 @@ def test_run_tables_and_sheets(spark, tmp_path):
     assert any(r["cells"].split("|")[2].startswith("'=x") for r in sinks.sheet_rows(f).where("sheet = 'Findings'").collect())
     said = operators.terminal(f, 2)
     assert said.startswith("3 findings: 2 HIGH, 1 LOW") and said.endswith("and 1 more\n") and "\033[" in operators.terminal(f, 2, colour=True)
+
+
+def test_scratch_is_cleared(spark):
+    s = scratch.Scratch(spark, "cleared")
+    assert s.save(spark.range(3), "t").count() == 3
+    kept, scratch.BEGUN[:] = scratch.BEGUN[:], [s.folder]
+    assert scratch.clear(spark) == 1
+    scratch.BEGUN[:] = [x for x in kept if x != s.folder]
+    with pytest.raises(Exception):
+        spark.read.parquet(f"{s.folder}/t")
