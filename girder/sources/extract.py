@@ -1,20 +1,20 @@
-"""Source text to rows: file scans, Python syntax facts, imports, functions, taint inside functions.
+"""Files to rows: the scan of a folder, and facts of Python syntax as the rules over facts take them.
 
-Python code is parsed with the standard library inside Arrow batches (``mapInArrow``), a file a row in and a
-fact a row out; everything after that is relational. JavaScript and Go have no parser here and are read by
-line patterns, which is said in the README.
+Code is parsed inside Arrow batches (``mapInArrow``), a file a row in and a fact a row out; everything after that
+is relational. The analyses of ``girder.code`` work on whole modules of three languages.
 """
 
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from girder.code import flow, python
+
 FACTS = "path string, kind string, name string, detail string, line int, end_line int, scope string"
 _SCHEMA = pa.schema([("path", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("detail", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("scope", pa.string())])
 
@@ -87,25 +87,6 @@ def facts(files: DataFrame, parse: Callable[[str], Iterator[tuple]] = python_fac
     return files.select("path", "content").mapInArrow(run, FACTS)
 
 
-#: Line patterns of the reduced JavaScript and Go readers.
-_JS = ((re.compile(r"""^\s*import\s+(.*?)\s+from\s+['"]([^'"]+)['"]"""), "import"), (re.compile(r"""require\(\s*['"]([^'"]+)['"]\s*\)"""), "require"), (re.compile(r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let)\s+(\w+)"), "export"), (re.compile(r"^\s*(?:async\s+)?function\s+(\w+)\s*\(([^)]*)\)"), "function"))
-_GO = ((re.compile(r"^\s*func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(([^)]*)\)"), "function"), (re.compile(r"^\s*type\s+(\w+)\s+(\w+)"), "class"), (re.compile(r'^\s*(?:import\s+)?(?:\w+\s+)?"([^"]+)"\s*$'), "import"))
-
-
-def line_facts(patterns: tuple) -> Callable[[str], Iterator[tuple]]:
-    def parse(source: str) -> Iterator[tuple]:
-        for n, line in enumerate(source.splitlines(), 1):
-            for pattern, kind in patterns:
-                if m := pattern.search(line):
-                    g = m.groups()
-                    yield kind, g[-1] if kind == "import" and len(g) > 1 else g[0], g[0] if kind == "import" else (g[1] if len(g) > 1 else ""), n, n, ""
-
-    return parse
-
-
-javascript_facts, go_facts = line_facts(_JS), line_facts(_GO)
-
-
 # rules over facts: a relation in, findings out
 
 
@@ -133,105 +114,14 @@ def security_findings(f: DataFrame) -> DataFrame:
     return out
 
 
-# taint inside a function: a fold over its statements
+# taint inside a function
 
 TAINT = "path string, function string, sink string, category string, line int, state string, trace string"
-#: Sources, sinks and sanitizers of the fold.
-_SOURCE = re.compile(r"\b(request\.(args|form|json|values|GET|POST)|input\(|os\.environ|sys\.argv)")
-_SINK = {"execute": "SQL", "executemany": "SQL", "raw": "SQL", "system": "COMMAND", "popen": "COMMAND", "Popen": "COMMAND", "eval": "EVAL", "exec": "EVAL"}
-_CLEAN = {"int": {"SQL", "COMMAND", "EVAL"}, "float": {"SQL", "COMMAND", "EVAL"}, "quote": {"COMMAND"}, "escape": {"DOM"}}
-#: Order of the lattice: a join takes the largest.
-UNTAINTED, SANITIZED, UNKNOWN, TAINTED = range(4)
-MOST_DEPTH, MOST_SYMBOLS = 25, 100
-
-
-class _Fold(ast.NodeVisitor):
-    """State of each symbol: (lattice value, categories it is clean for, trace)."""
-
-    def __init__(self):
-        self.env: dict[str, tuple[int, frozenset[str], tuple[str, ...]]] = {}
-        self.hits: list[tuple[str, str, int, str, str]] = []
-
-    def value(self, x: ast.AST) -> tuple[int, frozenset[str], tuple[str, ...]]:
-        if _SOURCE.search(ast.unparse(x)) and isinstance(x, ast.Attribute | ast.Subscript | ast.Call) and not self._sanitizer(x):
-            return TAINTED, frozenset(), (f"source:{getattr(x, 'lineno', 0)}",)
-        if isinstance(x, ast.Name):
-            return self.env.get(x.id, (UNTAINTED, frozenset(), ()))
-        parts = [self.value(c) for c in ast.iter_child_nodes(x) if isinstance(c, ast.expr | ast.keyword | ast.FormattedValue)]
-        best = max(parts, key=lambda p: p[0], default=(UNTAINTED, frozenset(), ()))
-        if name := self._sanitizer(x):
-            return (SANITIZED if best[0] else UNTAINTED), best[1] | _CLEAN[name], (*best[2], f"{name}:{x.lineno}")
-        return best
-
-    def _sanitizer(self, x: ast.AST) -> str:
-        name = ast.unparse(x.func).split(".")[-1] if isinstance(x, ast.Call) else ""
-        return name if name in _CLEAN else ""
-
-    def assign(self, targets: list[ast.AST], value: ast.AST | None, line: int) -> None:
-        v = self.value(value) if value is not None else (UNTAINTED, frozenset(), ())
-        for t in targets:
-            if isinstance(t, ast.Name) and (t.id in self.env or len(self.env) < MOST_SYMBOLS):
-                self.env[t.id] = (v[0], v[1], (*v[2], f"{t.id}:{line}")[:MOST_DEPTH])
-
-    def sinks(self, x: ast.AST) -> None:
-        for c in ast.walk(x):
-            if isinstance(c, ast.Call) and (name := ast.unparse(c.func).split(".")[-1]) in _SINK and c.args:
-                state, clean, trace = self.value(c.args[0])  # bound parameters beside the query are safe
-                if state >= UNKNOWN and _SINK[name] not in clean:
-                    self.hits.append((name, _SINK[name], c.lineno, "TAINTED" if state == TAINTED else "UNKNOWN", ">".join(trace)))
-
-    def run(self, body: list[ast.stmt]) -> bool:
-        """Folds the statements; true if the block always leaves."""
-        for s in body:
-            if isinstance(s, ast.Assign):
-                self.sinks(s.value)
-                self.assign(s.targets, s.value, s.lineno)
-            elif isinstance(s, ast.AugAssign | ast.AnnAssign):
-                self.assign([s.target], s.value if isinstance(s, ast.AnnAssign) else ast.BinOp(s.target, s.op, s.value, lineno=s.lineno, col_offset=0), s.lineno)
-            elif isinstance(s, ast.If):
-                self.branch([s.body, s.orelse])
-            elif isinstance(s, ast.For | ast.While):
-                for _ in range(2):
-                    self.branch([s.body, []])
-            elif isinstance(s, ast.Try):
-                self.branch([s.body, *[h.body for h in s.handlers]])
-                self.run(s.finalbody)
-            elif isinstance(s, ast.With):
-                self.run(s.body)
-            elif isinstance(s, ast.Return | ast.Raise | ast.Continue | ast.Break):
-                self.sinks(s)
-                return True
-            elif isinstance(s, ast.Expr):
-                self.sinks(s.value)
-        return False
-
-    def branch(self, arms: list[list[ast.stmt]]) -> None:
-        """Arms that leave drop out; of the others each symbol takes the largest state and the facts that all hold."""
-        start, ends = dict(self.env), []
-        for arm in arms:
-            self.env = dict(start)
-            if not self.run(arm):
-                ends.append(self.env)
-        self.env = start
-        for k in {k for e in ends for k in e}:
-            states = [e.get(k, (UNTAINTED, frozenset(), ())) for e in ends]
-            top = max(states, key=lambda v: v[0])
-            self.env[k] = (top[0], frozenset.intersection(*[v[1] for v in states if v[0] >= SANITIZED] or [frozenset()]), top[2])
 
 
 def taint_paths(source: str) -> list[tuple[str, str, str, int, str, str]]:
-    """(function, sink, category, line, state, trace) of each tainted sink; functions are folded one by one."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    out = []
-    for f in ast.walk(tree):
-        if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef):
-            fold = _Fold()
-            fold.run(f.body)
-            out += [(f.name, *h) for h in dict.fromkeys(fold.hits)]
-    return out
+    """(function, sink, category, line, state, trace) of each source that reaches a sink inside one function."""
+    return [(name, h.sink, h.category, h.line, "TAINTED", ">".join(h.trace)) for name, h in flow.findings(python.read(source))]
 
 
 def taint(files: DataFrame) -> DataFrame:
