@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from girder.code import registry
+from girder.code import registry, rules
 from girder.plans.operator import Dialect, operator
 
 #: Names, globs and markers of ignored and generated files.
@@ -74,13 +74,23 @@ def f_03(d: Dialect) -> str:
 
 
 def entropy(d: Dialect, x: str) -> str:
-    """Bits a character of the lower-case hexadecimal alphabet of x."""
-    n = f"CAST(length({x}) AS DOUBLE)"
-    terms = " + ".join(f"CASE WHEN length({x}) > length(replace({x}, '{c}', '')) THEN -((length({x}) - length(replace({x}, '{c}', ''))) / {n}) * ln((length({x}) - length(replace({x}, '{c}', ''))) / {n}) / ln(2.0) ELSE 0.0 END" for c in "0123456789abcdef")
-    return f"CASE WHEN length({x}) = 0 THEN 0.0 ELSE {terms} END"
+    """Bits a character of x; the characters are taken in order, so that sums come out alike everywhere."""
+    share = f"CAST(length({x}) - length(replace({x}, c, '')) AS DOUBLE) / length({x})"
+    if d.name == "spark":
+        return f"aggregate(array_sort(array_distinct(filter(split({x}, ''), c -> c <> ''))), CAST(0 AS DOUBLE), (acc, c) -> acc - {share} * log2({share}))"
+    return f"coalesce(list_sum(list_transform(list_sort(list_distinct(string_split({x}, ''))), lambda c: -({share}) * log2({share}))), 0.0)"
+
+
+#: Prefixes of known secrets, and literals that are none.
+SECRET_PREFIXES, PLACEHOLDERS = rules.SECRET_PREFIXES, tuple(sorted(rules.PLACEHOLDERS))
+TOKEN = "(?:token|secret|password|api_key)[ ]*[=:][ ]*[\"']([^\"']+)[\"']"
 
 
-TOKEN = '(?:token|secret|password) *= *"([0-9a-f]+)"'
+def likely_secret(d: Dialect, x: str) -> str:
+    """No placeholder and no reference to a variable; a known prefix, or length and entropy."""
+    known = " OR ".join(f"{x} LIKE '{p.replace('_', '!_')}%' ESCAPE '!'" for p in SECRET_PREFIXES)
+    benign = ", ".join(f"'{p}'" for p in PLACEHOLDERS)
+    return f"(lower(trim({x})) NOT IN ({benign}) AND NOT ({x} LIKE '$%' AND position(' ' IN {x}) = 0) AND ({known} OR (length({x}) >= {rules.LEAST_LENGTH} AND round({entropy(d, x)}, 3) >= {rules.LEAST_ENTROPY})))"
 
 
 def _tokens(d: Dialect) -> str:
@@ -92,22 +102,25 @@ def _tokens(d: Dialect) -> str:
 
 @operator("p_12_shannon_entropy", "texts")
 def p_12(d: Dialect) -> str:
-    return f"SELECT doc_id, round(CAST({entropy(d, 'secret')} AS DOUBLE), 3) AS bits FROM ({_tokens(d)}) t WHERE secret <> ''"
+    return f"SELECT doc_id, round({entropy(d, 'secret')}, 3) AS bits FROM ({_tokens(d)}) t"
 
 
 @operator("p_13_secret_predicate", "texts")
 def p_13(d: Dialect) -> str:
-    return f"SELECT doc_id, length(secret) >= 12 AND ({entropy(d, 'secret')}) >= 3.0 AND NOT {d.has('lower(secret)', '^(changeme|example|placeholder|x+)$')} AS is_secret FROM ({_tokens(d)}) t WHERE secret <> ''"
+    return f"SELECT doc_id, {likely_secret(d, 'secret')} AS is_secret FROM ({_tokens(d)}) t"
+
+
+REDACTED = "CASE WHEN length(secret) <= 6 THEN '***' ELSE concat(substr(secret, 1, 3), '...', substr(secret, length(secret) - 1)) END"
 
 
 @operator("sec_py_001_secrets", "texts")
 def sec_py_001(d: Dialect) -> str:
-    return f"SELECT doc_id, concat(substr(secret, 1, 3), '...', substr(secret, length(secret) - 1)) AS redacted, 'HIGH' AS severity FROM ({_tokens(d)}) t WHERE length(secret) >= 12 AND ({entropy(d, 'secret')}) >= 3.0"
+    return f"SELECT doc_id, {REDACTED} AS redacted, 'HIGH' AS severity FROM ({_tokens(d)}) t WHERE {likely_secret(d, 'secret')}"
 
 
 @operator("p_14_redact_secret", "texts")
 def p_14(d: Dialect) -> str:
-    return f"SELECT doc_id, CASE WHEN length(secret) <= 6 THEN '***' ELSE concat(substr(secret, 1, 3), '...', substr(secret, length(secret) - 1)) END AS redacted FROM ({_tokens(d)}) t WHERE secret <> ''"
+    return f"SELECT doc_id, {REDACTED} AS redacted FROM ({_tokens(d)}) t"
 
 
 #: Ordered replacements of the scrubber.

@@ -126,15 +126,24 @@ def f_16(d: Dialect) -> str:
     return f"SELECT repo_id, CASE WHEN max({rank('severity')}) >= 5 THEN 2 ELSE 0 END AS exit_code FROM {{findings}} GROUP BY repo_id"
 
 
-for _id, _order in (
-    ("o_01_engine_order", "file_path, line, coalesce(col, 0), rule_id, input_pos"),
-    ("o_02_cli_order", f"{rank('severity')} DESC, file_path, line, rule_id, input_pos"),
-    ("o_10_console_sort", "rule_id, line, input_pos"),
+for _id, _first, _rest in (
+    ("o_01_engine_order", "file_path", "line, coalesce(col, 0), rule_id, input_pos"),
+    ("o_02_cli_order", f"{rank('severity')} DESC, file_path", "line, rule_id, input_pos"),
+    ("o_10_console_sort", "rule_id, line", "input_pos"),
 ):
 
     @operator(_id, "findings")
-    def _ordered(d: Dialect, order: str = _order) -> str:
-        return f"SELECT user_id, input_pos, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS place FROM {{findings}}"
+    def _ordered(d: Dialect, first: str = _first, rest: str = _rest) -> str:
+        """The place of each finding in the order of the whole run: findings of the groups before, and its rank in its own group."""
+        by = first.replace(" DESC", "")
+        names = [f"k{i}" for i in range(len(by.split(", ")))]
+        keys = ", ".join(f"{x} AS {n}" for x, n in zip(by.split(", "), names, strict=True))
+        order = ", ".join(n + (" DESC" if " DESC" in x else "") for x, n in zip(first.split(", "), names, strict=True))
+        same = " AND ".join(f"f.{n} = b.{n}" for n in names)
+        return f"""
+WITH keyed AS (SELECT *, {keys} FROM {{findings}}),
+before AS (SELECT {", ".join(names)}, coalesce(sum(n) OVER (ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM (SELECT {", ".join(names)}, count(*) AS n FROM keyed GROUP BY {", ".join(names)}) g)
+SELECT f.input_pos, CAST(b.ahead + row_number() OVER (PARTITION BY {", ".join("f." + n for n in names)} ORDER BY {rest}) AS BIGINT) AS place FROM keyed f JOIN before b ON {same}"""
 
 
 @operator("o_08_report_top_k", "findings")
