@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages, each a function of (spark, docs, sf_dir) that gives the next stage its documents."""
+"""The corpus pipeline: five stages, each a function of (spark, docs, sf_dir) that gives the next stage its documents.
+
+Each stage takes documents with any further columns and gives them on as they were; the last gives each document's place.
+Nulls: a null text is scored as an empty one, has no near copies, holds no benchmark item, and weighs nothing in the mix, so a
+source that is cut takes it by its hash like any other; a null doc_id or source is a value of its own. Rows that repeat are
+near copies of each other, of which one stays; those without words all stay. An empty table gives an empty one. Without
+labels the classifier rejects nothing; without a benchmark nothing is a leak.
+"""
 
 from __future__ import annotations
 
