@@ -58,3 +58,28 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
     placed = stages["sharding"](spark, mixed, sf).collect()
     assert len(placed) == mixed.count() and {x["law"] for x in placed} == {"bytes"}
+
+
+def test_stages_on_odd_documents(spark, tmp_path):
+    r = random.Random(7)
+    schema = SCHEMA + ", score double, `__id` string, copies int"
+    own = lambda i, t, s="a": (i, t, "en", s, None if t is None else len(t), 0.5, "k", 1)
+    long = " ".join(words(6000, r))
+    rows = [own(i, " ".join(words(r.randint(5, 60), r)), ("a", "b", None)[i % 3]) for i in range(60)]
+    rows += [own(None, None), own(None, ""), own(None, None), own(3, None, None), own(7, long), own(None, long), own(8, long), own(9, "one"), own(9, "one"), own(9, "two words", "b")]
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(i, 1, 0) for i in range(0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for start in (docs, docs.where("false")):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, str(tmp_path))
+            if name != "sharding":
+                assert out.columns == docs.columns, name
+                out.write.mode("overwrite").parquet(str(tmp_path / f"after-{name}"))
+                now = spark.read.schema(docs.schema).parquet(str(tmp_path / f"after-{name}"))
+            if name == "near_duplicates" and start is docs:
+                kept = [(x["doc_id"], x["text"]) for x in now.collect()]
+                assert sum(t == long for _, t in kept) == 1 and (7, long) in kept and sum(t == "one" for _, t in kept) == 1 and sum(not t for _, t in kept) == 4
+        placed = out.collect()
+        assert len(placed) == now.count() and (placed or start is not docs)
