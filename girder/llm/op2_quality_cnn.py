@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.llm.common import crc_fold, table
-from girder.llm.textkit import SLICE, _bytes_of
+from girder.llm.textkit import SLICE, utf8
 
 TRAIN_ROWS, TRAIN_BYTES = 2000, 16 << 20
 EMBED, FILTERS, STEP, TAPS = 4, 16, 4, 3
@@ -53,7 +53,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
     A chunk holds OVERLAP bytes more than its windows begin in, so every window that a whole text has lies in
     one of its chunks; only where the text ends is it filled up with zeros.
     """
-    raw, off = _bytes_of(texts)
+    raw, off = utf8(texts)
     size = SLICE // 4
     i, n = 0, len(off) - 1
     while i < n:

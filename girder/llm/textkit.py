@@ -83,7 +83,7 @@ def _words(raw: np.ndarray, starts: np.ndarray, space: np.ndarray = _SPACE) -> t
     return hash_spans(span_sums(raw), s, e) if len(s) else np.empty(0, _U), s, e
 
 
-def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and the offsets of its texts (null: empty)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
@@ -99,7 +99,7 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(texts: pa.Array, space: np.ndarray = _SPACE, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Run after run of texts as (first text, texts, bytes, offsets); a text longer than ``most`` bytes comes in several pieces, which end at white space."""
-    raw, off = _bytes_of(texts)
+    raw, off = utf8(texts)
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
