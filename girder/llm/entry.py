@@ -16,6 +16,9 @@ from girder.llm import op7_secrets as op7
 from girder.llm import op8_mixing as op8
 from girder.llm import op9_decontamination as op9
 from girder.llm import op10_ngram_jaccard as op10
+from girder.llm import op11_warc as op11
+from girder.llm import op12_prefix_trie as op12
+from girder.llm import op13_fim as op13
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +39,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8.op8_mixing,
     "op9_decontamination": op9.op9_decontamination,
     "op10_ngram_jaccard": op10.op10_ngram_jaccard,
+    "op11_warc": op11.op11_warc,
+    "op12_prefix_trie": op12.op12_prefix_trie,
+    "op13_fim": op13.op13_fim,
     "pipeline": pipeline,
 }
 
@@ -45,4 +51,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": op5.SQL,
     "op7_secrets": op7.SQL,
     "op8_mixing": op8.SQL,
+    "op11_warc": op11.SQL,
+    "op12_prefix_trie": op12.SQL,
+    "op13_fim": op13.SQL,
 }
