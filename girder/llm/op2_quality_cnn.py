@@ -3,12 +3,13 @@
 Bytes are embedded (a learned table); one more input plane marks bytes that end a repetition, that is whose last
 SAME bytes stood up to LAG bytes earlier too: a window of 12 bytes can't see that. Learned filters, 12 bytes
 wide and 4 bytes apart, run over overlapping chunks that cover the whole document, and give what one pass over the
-whole text would give, whatever the chunk size; each filter's responses are max-pooled over all chunks, and one logistic unit combines the
+whole text would give, whatever the chunk size: scoring takes the parameters as multiples of 2**-GRID in float64, where all
+sums of a window are exact, so their order can't matter; each filter's responses are max-pooled over all chunks, and one logistic unit combines the
 maxima into a probability. Training follows the maxima back to their windows (Adam, fixed seed).
 
 Training rows: at most ``TRAIN_ROWS`` labelled rows whose texts have ``TRAIN_BYTES`` bytes together at most,
-in a hash order of their ids, none of the held-out fold; a text of any length is taken while it fits. That
-bound is what the driver holds; scoring covers every byte of every document, one batch at a time.
+in a hash order of their ids, none of the held-out fold; the text that reaches the bound is the last, and is taken whole
+however long it is. That bound and one text are what the driver holds; scoring covers every byte of every document, one batch at a time.
 
 Nulls: a null text scores as an empty one; labels that are null don't train; a doc_id labelled more than
 once trains with its largest label; a null doc_id is scored and never trains (its fold is null: not held
@@ -34,6 +35,8 @@ OVERLAP = STEP * (TAPS - 1)
 EPOCHS, BATCH, RATE = 10, 32, 0.01
 SAME, LAG = 6, 32
 PLANES = STEP * EMBED + 1
+#: Parameters of up to 2**4 on this grid make products of 36 bits after the point, and sums of fewer than 53 bits.
+GRID, LARGEST = 18, 16.0
 
 
 def repeats(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -93,11 +96,17 @@ class Network:
         self.p["embed"][0] = 0
 
     def blocks(self, buf: np.ndarray, again: np.ndarray) -> np.ndarray:
-        x = np.empty((len(buf) // STEP, PLANES), np.float32)
+        x = np.empty((len(buf) // STEP, PLANES), self.p["embed"].dtype)
         x[:, :-1] = self.p["embed"][buf].reshape(-1, STEP * EMBED)
         x[:, -1] = again.reshape(-1, STEP).mean(1)
         return x
 
+    def exact(self) -> Network:
+        """The same network with parameters on the grid, in float64."""
+        out = Network.__new__(Network)
+        out.p = {k: np.clip(np.rint(x.astype(np.float64) * 2**GRID) / 2**GRID, -LARGEST, LARGEST) for k, x in self.p.items()}
+        return out
+
     def responses(self, x: np.ndarray) -> np.ndarray:
         """One row a block; the last TAPS - 1 rows of a chunk would run into the next and stay out."""
         out = x @ self.p["w"][0] + self.p["b"]
@@ -106,18 +115,19 @@ class Network:
         return out
 
     def pooled(self, texts: pa.Array) -> np.ndarray:
-        best = np.zeros((len(texts), FILTERS), np.float32)
+        net = self.exact()
+        best = np.zeros((len(texts), FILTERS))
         for docs, first, windows, buf, again in chunks(texts):
-            out = self.responses(self.blocks(buf, again))
+            out = net.responses(net.blocks(buf, again))
             some = windows > 0
             if some.any():
                 edges = np.column_stack([first[some], first[some] + windows[some]]).ravel()
-                top = np.maximum.reduceat(np.vstack([out, np.zeros((1, FILTERS), np.float32)]), edges, axis=0)[::2]
+                top = np.maximum.reduceat(np.vstack([out, np.zeros((1, FILTERS))]), edges, axis=0)[::2]
                 np.maximum.at(best, docs[some], top)
         return best
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        z = self.pooled(texts).astype(np.float64) @ self.p["v"] + self.p["c"]
+        z = (self.pooled(texts) * self.p["v"]).sum(1) + self.p["c"]  # not a matrix product, whose order of sums follows the batch
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def fit(self, texts: list[str], labels: np.ndarray, seed: int = 3) -> None:
@@ -171,7 +181,7 @@ class Network:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int) -> tuple[list[str], np.ndarray]:
     """At most ``rows`` labelled texts of ``most_bytes`` together, outside the held-out fold, in a hash order of their ids, on the driver.
 
-    Sizes are looked at first, a number a row; a text that no longer fits is passed over. Of several texts
+    Sizes are looked at first, a number a row; the row that reaches the bound is the last, whatever its size. Of several texts
     under one doc_id the first in order trains.
     """
     spark = docs.sparkSession
@@ -182,7 +192,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, mos
     sizes = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).groupBy("__id", "__y").agg(F.min(F.struct(F.md5(F.col("__text").cast("binary")).alias("md5"), F.octet_length("__text").alias("n"))).alias("t"))
     left, taken = most_bytes, []
     for r in sizes.orderBy(F.xxhash64("__id"), "__id").collect():
-        if r["t"]["n"] <= left:
+        if left > 0:
             left -= r["t"]["n"]
             taken.append((r["__id"], r["t"]["md5"], float(r["__y"] > 0)))
     wanted = spark.createDataFrame(taken, "__id long, __md5 string, __y double")
