@@ -1,13 +1,11 @@
-"""Operators over source text, and those that need Python by their nature: parsing, uuid5, Merkle, chains, models."""
+"""Operators over source text, and those that need Python by their nature: uuid5, chains, models."""
 
 from __future__ import annotations
 
 import hashlib
-import hmac
 import json
 import unicodedata
 import uuid
-from base64 import b64encode
 
 import pandas as pd
 import pyarrow as pa
@@ -87,49 +85,7 @@ def p_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "files").select("pos", normalise_path(F.concat(F.lit("./x/../"), "path")).alias("norm"))
 
 
-# Merkle roots, chains, attestations
-
-
-def merkle_root(leaves: list[bytes]) -> str:
-    """Leaves under 00, inner nodes under 01; an odd node pairs with itself; a fixed root for none."""
-    level = [hashlib.sha256(b"\x00" + x).digest() for x in leaves]
-    if not level:
-        return hashlib.sha256(b"").hexdigest()
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\x01" + level[i] + level[min(i + 1, len(level) - 1)]).digest() for i in range(0, len(level), 2)]
-    return level[0].hex()
-
-
-def merkle_by_group(df: DataFrame, group: str, leaf: Column, buckets: int = 256) -> DataFrame:
-    """(group, root) over the sorted leaves of each group.
-
-    Leaves are cut into ranges of their own hash, each with a root of its own; the group's root is over the
-    range roots in order, so that no task holds a whole group.
-    """
-    keyed = df.select(group, F.sha2(leaf.cast("string"), 256).alias("leaf")).withColumn("b", (F.conv(F.substring("leaf", 1, 4), 16, 10).cast("int") % buckets).cast("int"))
-
-    def root(t: pa.Table) -> pa.Table:
-        return pa.table({"g": t.column(group).slice(0, 1), "b": t.column("b").slice(0, 1), "root": [merkle_root([bytes.fromhex(x) for x in sorted(t.column("leaf").to_pylist())])]})
-
-    kind = df.schema[group].dataType.simpleString()
-    low = keyed.groupBy(group, "b").applyInArrow(root, f"g {kind}, b int, root string")
-
-    def top(t: pa.Table) -> pa.Table:
-        roots = [r for _, r in sorted(zip(t.column("b").to_pylist(), t.column("root").to_pylist(), strict=True))]
-        return pa.table({group: t.column("g").slice(0, 1), "merkle_root": [merkle_root([bytes.fromhex(x) for x in roots])]})
-
-    return low.groupBy("g").applyInArrow(top, f"{group} {kind}, merkle_root string")
-
-
-@native("a_23_merkle_root")
-def a_23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle_by_group(view(spark, sf_dir, "findings"), "repo_id", F.concat_ws(":", "rule_id", "file_path", F.col("input_pos").cast("string")))
-
-
-@native("a_24_workspace_merkle_root")
-def a_24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = a_23(spark, sf_dir).withColumn("workspace", F.lit("all"))
-    return merkle_by_group(roots, "workspace", F.concat_ws(":", "repo_id", "merkle_root"), 1)
+# chains
 
 
 def chain_append(events: DataFrame) -> DataFrame:
@@ -156,35 +112,6 @@ def w_09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_append(view(spark, sf_dir, "turns"))
 
 
-def sign(statement: dict, key: bytes, kind: str = "application/vnd.in-toto+json") -> dict:
-    """A DSSE envelope; the key must be given."""
-    if not key:
-        raise ValueError("a signing key is required")
-    body = canonical_json(statement).encode()
-    pae = b"DSSEv1 %d %s %d %s" % (len(kind), kind.encode(), len(body), body)
-    return {"payloadType": kind, "payload": b64encode(body).decode(), "signatures": [{"sig": hmac.new(key, pae, hashlib.sha256).hexdigest()}]}
-
-
-def verify(envelope: dict, key: bytes) -> bool:
-    from base64 import b64decode
-
-    body, kind = b64decode(envelope["payload"]), envelope["payloadType"]
-    pae = b"DSSEv1 %d %s %d %s" % (len(kind), kind.encode(), len(body), body)
-    return any(hmac.compare_digest(s["sig"], hmac.new(key, pae, hashlib.sha256).hexdigest()) for s in envelope["signatures"])
-
-
-@native("m_03_attestation")
-def m_03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A signed statement a repository: the digest of its findings under a key."""
-
-    @F.pandas_udf(StringType())
-    def signed(repo: pd.Series, root: pd.Series) -> pd.Series:
-        return pd.Series([sign({"subject": a, "root": b}, b"query key")["signatures"][0]["sig"] for a, b in zip(repo, root, strict=True)])
-
-    roots = a_23(spark, sf_dir)
-    return roots.select("repo_id", signed("repo_id", "merkle_root").alias("signature"))
-
-
 # models
 
 

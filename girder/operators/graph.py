@@ -37,7 +37,7 @@ def a_08(d: Dialect) -> str:
 @operator("a_09_component_edge_weight", "edges", "modules")
 def a_09(d: Dialect) -> str:
     return f"""
-SELECT a.component AS source, b.component AS target, count(*) AS weight, {d.joined("concat(lpad(CAST(e.src AS STRING), 4, '0'), '>', lpad(CAST(e.tgt AS STRING), 4, '0'))")} AS file_edges
+SELECT a.component AS source, b.component AS target, count(*) AS weight, {d.joined("concat(lpad(CAST(e.src AS STRING), 12, '0'), '>', lpad(CAST(e.tgt AS STRING), 12, '0'))")} AS file_edges
 FROM {{edges}} e JOIN {{modules}} a ON a.id = e.src JOIN {{modules}} b ON b.id = e.tgt WHERE a.component <> b.component GROUP BY a.component, b.component"""
 
 
@@ -105,20 +105,34 @@ def arc_005(d: Dialect) -> str:
     return f"SELECT concat('ARC-005:', CAST(src AS STRING), '>', CAST(tgt AS STRING)) AS finding, 'HIGH' AS severity FROM ({g_16.text(d)}) v"
 
 
+#: The thresholds of the architecture rules.
+FAN_OUT = 10
+GOD_SMALL, GOD_LARGE = {"loc": 500, "fan_out": 8, "fan_in": 5}, {"loc": 800, "fan_out": 10}
+STABLE, UNSTABLE, LEAST_CA = 0.30, 0.70, 2
+BETWEENNESS, LEAST_COMPONENTS, LEAST_FILES = 0.35, 5, 2
+
+
 @operator("arc_002_coupling", "edges", "modules")
 def arc_002(d: Dialect) -> str:
-    return f"SELECT id, fan_out, 'MEDIUM' AS severity FROM ({a_03.text(d)}) f WHERE fan_out > 1"
+    return f"SELECT id, fan_out, 'MEDIUM' AS severity FROM ({a_03.text(d)}) f WHERE fan_out > {FAN_OUT}"
 
 
 @operator("arc_003_god_module", "edges", "modules")
 def arc_003(d: Dialect) -> str:
-    return f"SELECT f.id, m.loc, f.fan_in, f.fan_out FROM ({a_03.text(d)}) f JOIN {{modules}} m ON m.id = f.id WHERE (m.loc > 50 AND f.fan_out > 1 AND f.fan_in > 1) OR (m.loc > 80 AND f.fan_out > 1)"
+    small = " AND ".join(f"{k} > {v}" for k, v in GOD_SMALL.items())
+    large = " AND ".join(f"{k} > {v}" for k, v in GOD_LARGE.items())
+    return f"""
+SELECT *, CASE WHEN {small} THEN 'condition_1' ELSE 'condition_2' END AS matched
+FROM (SELECT f.id, m.loc, f.fan_in, f.fan_out FROM ({a_03.text(d)}) f JOIN {{modules}} m ON m.id = f.id) x WHERE ({small}) OR ({large})"""
 
 
 @operator("arc_007_sdp_violation", "component_edges", "modules")
 def arc_007(d: Dialect) -> str:
+    """Edges from a stable component, on which others rest, to an unstable one."""
     return f"""
-SELECT e.src, e.tgt FROM {{component_edges}} e JOIN ({a_10.text(d)}) s ON s.component = e.src JOIN ({a_10.text(d)}) t ON t.component = e.tgt WHERE s.instability <= t.instability AND s.ca >= 2"""
+SELECT e.src, e.tgt, s.ca AS src_ca, s.instability AS src_i, t.instability AS tgt_i
+FROM {{component_edges}} e JOIN ({a_10.text(d)}) s ON s.component = e.src JOIN ({a_10.text(d)}) t ON t.component = e.tgt
+WHERE s.instability <= {STABLE} AND s.ca >= {LEAST_CA} AND t.instability >= {UNSTABLE}"""
 
 
 @operator("g_18_contract_graph", "calls", "functions")
@@ -183,6 +197,10 @@ def g_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strong_components(_edges(spark, sf_dir), view(spark, sf_dir, "modules").select("id"))
 
 
+#: Steps along edges in one job.
+HOPS = 3
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, scc): the smallest node that is reachable both ways.
 
@@ -205,8 +223,12 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         new, r = colour, 0
         while new.take(1):
             r += 1
-            sent = new.join(rest, new["id"] == rest["a"]).groupBy(F.col("b").alias("id")).agg(F.min("c").alias("n"))
-            merged = scratch.save(colour.join(sent, "id", "left").select("id", F.least("c", F.coalesce("n", "c")).alias("c"), (F.col("n") < F.col("c")).alias("moved")), f"colour-{k}-{r}")
+            sent = new
+            for _ in range(HOPS):  # what changed is passed on several times before anything is written
+                passed = sent.join(rest, sent["id"] == rest["a"]).groupBy(F.col("b").alias("id")).agg(F.min("c").alias("c"))
+                sent = sent.union(passed).groupBy("id").agg(F.min("c").alias("c"))
+            met = colour.join(sent.withColumnRenamed("c", "n"), "id", "left")
+            merged = scratch.save(met.select("id", F.least("c", F.coalesce("n", "c")).alias("c"), (F.col("n") < F.col("c")).alias("moved")), f"colour-{k}-{r}")
             colour, new = merged.select("id", "c"), merged.where("moved").select("id", "c")
         inside = rest.join(colour.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").select("a", "b")
         inside = scratch.save(inside, f"inside-{k}")
@@ -215,7 +237,9 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         r = 0
         while new.take(1):
             r += 1
-            back = inside.join(new.select(F.col("id").alias("b"), "c"), "b").select(F.col("a").alias("id"), "c").distinct()
+            back = new
+            for _ in range(HOPS):
+                back = back.union(inside.join(back.select(F.col("id").alias("b"), "c"), "b").select(F.col("a").alias("id"), "c")).distinct()
             new = scratch.save(back.join(member, ["id", "c"], "left_anti"), f"member-{k}-{r}")
             member = member.union(new)
         member = scratch.save(member, f"members-{k}")
@@ -228,9 +252,19 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("c", "id").alias("scc"))
 
 
-@native("arc_006_component_cycle", "edges", "modules", sql="WITH RECURSIVE r AS (SELECT src AS a, tgt AS b FROM {edges} UNION SELECT r.a, e.tgt FROM r JOIN {edges} e ON r.b = e.src), s AS (SELECT m.id, least(m.id, coalesce(min(x.b), m.id)) AS scc FROM {modules} m LEFT JOIN r x ON x.a = m.id AND EXISTS (SELECT 1 FROM r y WHERE y.a = x.b AND y.b = x.a) GROUP BY m.id) SELECT scc, count(*) AS members FROM s GROUP BY scc HAVING count(*) >= 2")
+def _component_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "component_edges").select(F.col("src").alias("a"), F.col("tgt").alias("b"))
+
+
+def component_cycles(edges: DataFrame) -> DataFrame:
+    """(scc, members) of strong components of two or more."""
+    parts = strong_components(edges, edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct())
+    return parts.groupBy("scc").agg(F.count("*").alias("members")).where("members >= 2")
+
+
+@native("arc_006_component_cycle", "component_edges", sql="WITH RECURSIVE r AS (SELECT src AS a, tgt AS b FROM {component_edges} UNION SELECT r.a, e.tgt FROM r JOIN {component_edges} e ON r.b = e.src), s AS (SELECT x.a AS id, min(x.b) AS scc FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a) SELECT scc, count(*) AS members FROM s GROUP BY scc HAVING count(*) >= 2")
 def arc_006(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g_05(spark, sf_dir).groupBy("scc").agg(F.count("*").alias("members")).where("members >= 2")
+    return component_cycles(_component_edges(spark, sf_dir))
 
 
 @native("g_08_reverse_closure", "edges", sql="WITH RECURSIVE r AS (SELECT tgt AS a, src AS b FROM {edges} WHERE tgt IN (3, 5) UNION SELECT r.a, e.src FROM r JOIN {edges} e ON r.b = e.tgt) SELECT DISTINCT b AS affected FROM r")
@@ -285,46 +319,64 @@ def waves(dag: DataFrame, nodes: DataFrame, name: str = "waves") -> DataFrame:
     return done if done is not None else nodes.select("id").withColumn("wave", F.lit(0))
 
 
-_WAVES = "WITH RECURSIVE w AS (SELECT id, 0 AS wave FROM {modules} WHERE id NOT IN (SELECT repo FROM {repo_dag}) UNION SELECT d.repo, w.wave + 1 FROM w JOIN {repo_dag} d ON d.needs = w.id) SELECT id, max(wave) AS wave FROM w GROUP BY id"
+_WAVES = "WITH RECURSIVE w AS (SELECT id, 0 AS wave FROM {repositories} WHERE id NOT IN (SELECT repo FROM {repo_dag}) UNION SELECT d.repo, w.wave + 1 FROM w JOIN {repo_dag} d ON d.needs = w.id) SELECT id, max(wave) AS wave FROM w GROUP BY id"
 
 
-@native("g_12_execution_waves", "repo_dag", "modules", sql=_WAVES)
+@native("g_12_execution_waves", "repo_dag", "repositories", sql=_WAVES)
 def g_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return waves(view(spark, sf_dir, "repo_dag").select(F.col("repo").alias("id"), "needs"), view(spark, sf_dir, "modules").select("id"))
+    return waves(view(spark, sf_dir, "repo_dag").select(F.col("repo").alias("id"), "needs"), view(spark, sf_dir, "repositories"))
 
 
-@native("y_07_wave_sizes", "repo_dag", "modules", sql=f"SELECT wave, count(*) AS n FROM ({_WAVES}) x GROUP BY wave")
+@native("y_07_wave_sizes", "repo_dag", "repositories", sql=f"SELECT wave, count(*) AS n FROM ({_WAVES}) x GROUP BY wave")
 def y_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g_12(spark, sf_dir).groupBy("wave").agg(F.count("*").alias("n"))
 
 
-@native("g_07_longest_path", "repo_dag", "modules", sql=f"SELECT max(wave) AS depth FROM ({_WAVES}) x")
+@native("g_07_longest_path", "repo_dag", "repositories", sql=f"SELECT max(wave) AS depth FROM ({_WAVES}) x")
 def g_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g_12(spark, sf_dir).agg(F.max("wave").alias("depth"))
 
 
-@native("arc_004_deep_chain", "repo_dag", "modules", sql=f"SELECT max(wave) AS depth, 'LOW' AS severity FROM ({_WAVES}) x HAVING max(wave) > 5")
+@native("arc_004_deep_chain", "repo_dag", "repositories", sql=f"SELECT max(wave) AS depth, 'LOW' AS severity FROM ({_WAVES}) x HAVING max(wave) > 5")
 def arc_004(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g_07(spark, sf_dir).where("depth > 5").withColumn("severity", F.lit("LOW"))
 
 
+def returning(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, v): the nodes v > a from which a can be reached over nodes that are larger than a."""
+    back = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    new = known = scratch.save(edges.where("a > b").select(F.col("b").alias("a"), F.col("a").alias("v")), "back-0")
+    for k in count(1):
+        step = new.join(back, "v").where("u > a").select("a", F.col("u").alias("v")).distinct()
+        new = scratch.save(step.join(known, ["a", "v"], "left_anti"), f"back-{k}")
+        if not new.take(1):
+            return known
+        known = scratch.save(known.union(new), f"returning-{k}")
+
+
 def simple_cycles(edges: DataFrame, name: str = "cycles") -> DataFrame:
-    """(cycle, length): elementary cycles from their smallest node; paths grow by one edge a round and never revisit, until none is open."""
+    """(cycle, length): elementary cycles from their smallest node; paths grow by one edge a round and never revisit, until none is open.
+
+    Only edges within a strong component count, and a path from a goes on only to nodes that lead back to a over nodes
+    larger than a, so paths that cannot close are not grown: in a layered graph with many paths and few cycles the work follows the cycles.
+    """
     scratch = Scratch(edges.sparkSession, name)
-    # a cycle lies within one strong component
     parts = strong_components(edges, edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct())
     parts = scratch.save(parts, "parts")
     e = edges.where("a <> b").select("a", "b").distinct().join(parts.select(F.col("id").alias("a"), F.col("scc").alias("x")), "a").join(parts.select(F.col("id").alias("b"), F.col("scc").alias("y")), "b")
     e = scratch.save(e.where("x = y").select("a", "b"), "edges")
-    paths = e.where("b > a").select("a", F.array("a", "b").alias("path"), F.col("b").alias("end"))
+    back = returning(e, scratch)
+    step = e.select(F.col("a").alias("end"), F.col("b").alias("next"))
+    first = e.where("b > a").join(back.withColumnRenamed("v", "b"), ["a", "b"])
+    paths = scratch.save(first.select("a", F.array("a", "b").alias("path"), F.col("b").alias("end")), "paths-2")
     found: DataFrame | None = None
-    k, paths = 2, scratch.save(paths, "paths-2")
+    k = 2
     while found is None or paths.take(1):
-        step = e.select(F.col("a").alias("end"), F.col("b").alias("next"))
         grown = paths.join(step, "end")
         closed = grown.where("next = a").select(F.array_join("path", ">").alias("cycle"), F.size("path").alias("length"))
         found = closed if found is None else found.union(closed)
-        k, paths = k + 1, grown.where("next > a and not array_contains(path, next)").select("a", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("end"))
+        open_now = grown.where("next > a and not array_contains(path, next)").join(back.withColumnRenamed("v", "next"), ["a", "next"])
+        k, paths = k + 1, open_now.select("a", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("end"))
         paths = scratch.save(paths, f"paths-{k}")
     return found
 
@@ -410,23 +462,37 @@ def betweenness(edges: DataFrame, nodes: DataFrame, name: str = "bc") -> DataFra
     return joined.select("id", F.round(F.coalesce("x", zero) / pairs, 4).alias("betweenness"), F.round(F.coalesce("i", F.lit(0)) / other, 4).alias("in_degree"), F.round(F.coalesce("o", F.lit(0)) / other, 4).alias("out_degree"))
 
 
-_BFS = """WITH RECURSIVE walk AS (SELECT src AS s, tgt AS v, 1 AS level, [src, tgt] AS path FROM {edges} UNION ALL SELECT w.s, e.tgt, w.level + 1, list_append(w.path, e.tgt) FROM walk w JOIN {edges} e ON w.v = e.src WHERE NOT list_contains(w.path, e.tgt) ),
+_BFS = """WITH RECURSIVE walk AS (SELECT src AS s, tgt AS v, 1 AS level, [src, tgt] AS path FROM {component_edges} UNION ALL SELECT w.s, e.tgt, w.level + 1, list_append(w.path, e.tgt) FROM walk w JOIN {component_edges} e ON w.v = e.src WHERE NOT list_contains(w.path, e.tgt) ),
 near AS (SELECT s, v, min(level) AS level FROM walk GROUP BY s, v), short AS (SELECT w.* FROM walk w JOIN near n ON w.s = n.s AND w.v = n.v AND w.level = n.level),
 total AS (SELECT s, v, count(*) AS paths FROM short GROUP BY s, v), through AS (SELECT s, v, unnest(path[2:-2]) AS mid FROM short),
 dep AS (SELECT t.mid AS id, sum(1.0::DOUBLE / total.paths) AS x FROM through t JOIN total ON total.s = t.s AND total.v = t.v GROUP BY t.mid)
-SELECT m.id, round(coalesce(x, 0) / ((SELECT count(*) FROM {modules}) - 1) / ((SELECT count(*) FROM {modules}) - 2), 4) AS betweenness,
- round((SELECT count(*) FROM {edges} e WHERE e.tgt = m.id)::DOUBLE / ((SELECT count(*) FROM {modules}) - 1), 4) AS in_degree, round((SELECT count(*) FROM {edges} e WHERE e.src = m.id)::DOUBLE / ((SELECT count(*) FROM {modules}) - 1), 4) AS out_degree
-FROM {modules} m LEFT JOIN dep USING (id)"""
+SELECT m.id, round(coalesce(x, 0) / ((SELECT count(*) FROM {repositories}) - 1) / ((SELECT count(*) FROM {repositories}) - 2), 4) AS betweenness,
+ round((SELECT count(*) FROM {component_edges} e WHERE e.tgt = m.id)::DOUBLE / ((SELECT count(*) FROM {repositories}) - 1), 4) AS in_degree, round((SELECT count(*) FROM {component_edges} e WHERE e.src = m.id)::DOUBLE / ((SELECT count(*) FROM {repositories}) - 1), 4) AS out_degree
+FROM {repositories} m LEFT JOIN dep USING (id)"""
 
 
-@native("g_06_centrality", "edges", "modules", sql=_BFS)
+@native("g_06_centrality", "component_edges", "repositories", sql=_BFS)
 def g_06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return betweenness(_edges(spark, sf_dir), view(spark, sf_dir, "modules"))
+    return betweenness(_component_edges(spark, sf_dir), view(spark, sf_dir, "repositories"))
 
 
-@native("arc_009_centrality", "edges", "modules", sql=f"SELECT id, betweenness FROM ({_BFS}) c WHERE betweenness >= 0.05")
+def central_components(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(component, betweenness, file_count) of components that many shortest paths pass. files: (component) of each file."""
+    sizes = files.groupBy("component").agg(F.count("*").alias("file_count"))
+    central = betweenness(edges, sizes.select(F.col("component").alias("id")), name="arc009").where(F.col("betweenness") >= BETWEENNESS)
+    enough = sizes.agg(F.count("*").alias("components")).where(F.col("components") >= LEAST_COMPONENTS)
+    return central.join(sizes.where(F.col("file_count") >= LEAST_FILES), F.col("id") == F.col("component")).join(F.broadcast(enough), F.lit(True)).select("component", "betweenness", "file_count")  # one row at most
+
+
+@native(
+    "arc_009_centrality",
+    "component_edges",
+    "repositories",
+    "modules",
+    sql=f"SELECT id AS component, betweenness, n AS file_count FROM ({_BFS}) c JOIN (SELECT component, count(*) AS n FROM {{modules}} GROUP BY component) f ON f.component = c.id WHERE betweenness >= {BETWEENNESS} AND n >= {LEAST_FILES} AND (SELECT count(*) FROM {{repositories}}) >= {LEAST_COMPONENTS}",
+)
 def arc_009(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return betweenness(_edges(spark, sf_dir), view(spark, sf_dir, "modules"), name="arc009").where("betweenness >= 0.05").select("id", "betweenness")
+    return central_components(_component_edges(spark, sf_dir), view(spark, sf_dir, "modules").select("component"))
 
 
 @native("t_13_summary_fixpoint", "calls", sql="WITH RECURSIVE r AS (SELECT caller AS fn FROM {calls} WHERE callee % 20 = 0 UNION SELECT c.caller FROM r JOIN {calls} c ON c.callee = r.fn) SELECT fn FROM r")

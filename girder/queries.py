@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import girder.functions.scalars
+import girder.operators.attestation
 import girder.operators.code
 import girder.operators.compliance
 import girder.operators.evidence
