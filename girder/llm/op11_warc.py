@@ -334,11 +334,11 @@ def with_types(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_
     is_first = F.col("id").eqNullSafe(F.col("__first.id"))
     ties = F.col("__all").isNotNull() & is_first & (F.col("__first.n") > 1)
     first_of = F.lit(0).cast("long")
-    met = met.withColumn("__k", first_of)
+    met = met.withColumn("__copy", first_of)
     if not is_empty(first.where("__first.n > 1")):
-        tied = numbered(met.where(ties).drop("__k"), "payload_digest", scratch, "tied", "__k")
+        tied = numbered(met.where(ties).drop("__copy"), "payload_digest", scratch, "tied", "__copy")
         met = met.where(~ties).unionByName(tied.select(met.columns))
-    revisit = F.col("__all").isNotNull() & ~(is_first & (F.col("__k") == 0))
+    revisit = F.col("__all").isNotNull() & ~(is_first & (F.col("__copy") == 0))
     return met.select("id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("__first.id")).alias("refers_to"))
 
 
