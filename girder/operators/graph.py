@@ -493,18 +493,3 @@ def central_components(edges: DataFrame, files: DataFrame) -> DataFrame:
 )
 def arc_009(spark: SparkSession, sf_dir: str) -> DataFrame:
     return central_components(_component_edges(spark, sf_dir), view(spark, sf_dir, "modules").select("component"))
-
-
-@native("t_13_summary_fixpoint", "calls", sql="WITH RECURSIVE r AS (SELECT caller AS fn FROM {calls} WHERE callee % 20 = 0 UNION SELECT c.caller FROM r JOIN {calls} c ON c.callee = r.fn) SELECT fn FROM r")
-def t_13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions whose summary says that they reach a sink: rounds until no summary changes."""
-    scratch = Scratch(spark, "t13")
-    calls = scratch.save(view(spark, sf_dir, "calls").select("caller", "callee").distinct(), "calls")
-    new = known = scratch.save(calls.where("callee % 20 = 0").select(F.col("caller").alias("fn")).distinct(), "reach-0")
-    k = 0
-    while new.take(1):
-        k += 1
-        more = calls.join(new.select(F.col("fn").alias("callee")), "callee", "left_semi").select(F.col("caller").alias("fn")).distinct()
-        new = scratch.save(more.join(known, "fn", "left_anti"), f"reach-{k}")
-        known = known.union(new)
-    return known

@@ -18,6 +18,7 @@ import girder.operators.matching
 import girder.operators.progress
 import girder.operators.project
 import girder.operators.source_code
+import girder.operators.summaries
 import girder.sources.sinks
 from girder.plans.operator import NATIVE, REGISTRY
 
