@@ -1,25 +1,17 @@
 """Sinks: table writers, and report documents built from findings.
 
-Anything that grows with the findings is written by Spark (a JSON or text row a finding, in files). Reports
-that are one document by their format take all rows in report order through the driver, a partition at a time.
+Anything that grows with the findings is written by Spark: a JSON or text row a finding, in files, or one document
+written by tasks (``report``).
 """
 
 from __future__ import annotations
 
-import html
-import json
-import zipfile
-from collections.abc import Iterator
-from io import BytesIO
-from itertools import islice
-from xml.sax.saxutils import escape
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from girder.plans.operator import native, view
 from girder.plans.scratch import Scratch
+from girder.sources import report
 
 #: Rows a sheet may hold.
 SHEET_ROWS = 1_048_576
@@ -33,11 +25,6 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy("file_path", "line", F.coalesce("col", F.lit(0)), "rule_id", "input_pos")
 
 
-def every(findings: DataFrame) -> Iterator[dict]:
-    """All rows in report order."""
-    return (r.asDict() for r in ordered(findings).toLocalIterator())
-
-
 def top(findings: DataFrame, n: int) -> list[dict]:
     """The first rows in report order: a top-k, not a sort of all rows."""
     return [r.asDict() for r in ordered(findings).limit(n).collect()]
@@ -49,27 +36,21 @@ def json_rows(findings: DataFrame) -> DataFrame:
     return findings.select("input_pos", F.to_json(F.struct(*cols)).alias("value"))
 
 
-def sarif_rows(findings: DataFrame) -> DataFrame:
+def sarif_rows(findings: DataFrame, key: str = "input_pos") -> DataFrame:
     level = F.create_map(*[F.lit(x) for p in LEVEL.items() for x in p])[F.col("severity")]
     region = F.struct(F.col("line").alias("startLine"), (F.col("col") + 1).alias("startColumn"))
     place = F.array(F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
-    return findings.select("input_pos", F.to_json(F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.col("snippet").alias("text")).alias("message"), place.alias("locations"))).alias("value"))
+    return findings.select(key, F.to_json(F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.col("snippet").alias("text")).alias("message"), place.alias("locations"))).alias("value"))
 
 
-def gitlab_rows(findings: DataFrame) -> DataFrame:
+def gitlab_rows(findings: DataFrame, key: str = "input_pos") -> DataFrame:
     place = F.struct(F.col("file_path").alias("path"), F.struct(F.col("line").alias("begin")).alias("lines"))
-    return findings.select("input_pos", F.to_json(F.struct(F.col("snippet").alias("description"), F.col("rule_id").alias("check_name"), F.col("id").alias("fingerprint"), F.lower("severity").alias("severity"), place.alias("location"))).alias("value"))
+    return findings.select(key, F.to_json(F.struct(F.col("snippet").alias("description"), F.col("rule_id").alias("check_name"), F.col("id").alias("fingerprint"), F.lower("severity").alias("severity"), place.alias("location"))).alias("value"))
 
 
-def cyclonedx_rows(findings: DataFrame) -> DataFrame:
+def cyclonedx_rows(findings: DataFrame, key: str = "input_pos") -> DataFrame:
     cwe = F.create_map(*[F.lit(x) for p in CWE.items() for x in p])[F.col("rule_id")]
-    return findings.select("input_pos", F.to_json(F.struct(F.col("id"), F.array(cwe).alias("cwes"), F.array(F.struct(F.lower("severity").alias("severity"))).alias("ratings"))).alias("value"))
-
-
-def sarif(findings: DataFrame) -> str:
-    rules = [{"id": r["rule_id"]} for r in findings.select("rule_id").distinct().orderBy("rule_id").collect()]
-    results = [{"ruleId": x["rule_id"], "level": LEVEL[x["severity"]], "message": {"text": x["snippet"]}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": x["file_path"]}, "region": {"startLine": x["line"]}}}]} for x in every(findings)]
-    return json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "girder", "rules": rules}}, "results": results}]}, sort_keys=True)
+    return findings.select(key, F.to_json(F.struct(F.col("id"), F.array(cwe).alias("cwes"), F.array(F.struct(F.lower("severity").alias("severity"))).alias("ratings"))).alias("value"))
 
 
 def markdown(findings: DataFrame, n: int = 25) -> str:
@@ -77,64 +58,6 @@ def markdown(findings: DataFrame, n: int = 25) -> str:
     return "\n".join(lines + [f"| {x['severity']} | {x['rule_id']} | {x['file_path']}:{x['line']} |" for x in top(findings, n)]) + "\n"
 
 
-def html_page(findings: DataFrame) -> str:
-    cells = "".join(f"<tr><td>{html.escape(x['severity'])}</td><td>{html.escape(x['rule_id'])}</td><td>{html.escape(x['file_path'])}:{x['line']}</td></tr>" for x in every(findings))
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Findings</title></head><body><table>{cells}</table></body></html>"
-
-
-def junit(findings: DataFrame, threshold: str = "HIGH") -> str:
-    over = [k for k, v in RANK.items() if v >= RANK[threshold]]
-    total, failed = findings.agg(F.count("*"), F.count_if(F.col("severity").isin(over))).first()
-    cases = [f"<testcase name={json.dumps(escape(x['rule_id'] + ' ' + x['file_path'] + ':' + str(x['line'])))}>" + (f"<failure message={json.dumps(escape(x['severity']))}/>" if RANK[x["severity"]] >= RANK[threshold] else "") + "</testcase>" for x in every(findings)]
-    return f"<?xml version='1.0'?><testsuite tests='{max(total, 1)}' failures='{failed}'>{''.join(cases) or '<testcase name=' + chr(34) + 'clean' + chr(34) + '/>'}</testsuite>"
-
-
-def cell(text: str) -> str:
-    """Without characters that XML forbids; a leading quote keeps formulas from running."""
-    clean = "".join(c for c in str(text) if c >= " " or c in "\t\n\r")
-    return "'" + clean if clean[:1] in ("=", "+", "-", "@", "\t", "\r") and clean else clean
-
-
-def excel(findings: DataFrame) -> bytes:
-    """A workbook with inline strings; a further sheet where one is full."""
-    head, rows, sheets = ("Severity", "Rule", "File", "Line"), every(findings), []
-    while (part := list(islice(rows, SHEET_ROWS - 1))) or not sheets:
-        cells = [head, *[(x["severity"], x["rule_id"], x["file_path"], x["line"]) for x in part]]
-        sheets.append("".join(f"<row r='{i}'>" + "".join(f"<c t='inlineStr'><is><t>{escape(cell(v))}</t></is></c>" for v in r) + "</row>" for i, r in enumerate(cells, 1)))
-    names = {k: "Findings" if k == 1 else f"Findings {k}" for k in range(1, len(sheets) + 1)}
-    ns = "http://schemas.openxmlformats.org"
-    parts = {
-        "[Content_Types].xml": f"<Types xmlns='{ns}/package/2006/content-types'><Default Extension='rels' ContentType='application/vnd.openxmlformats-package.relationships+xml'/><Override PartName='/xl/workbook.xml' ContentType='application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml'/>" + "".join(f"<Override PartName='/xl/worksheets/sheet{k}.xml' ContentType='application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml'/>" for k in names) + "</Types>",
-        "_rels/.rels": f"<Relationships xmlns='{ns}/package/2006/relationships'><Relationship Id='r1' Type='{ns}/officeDocument/2006/relationships/officeDocument' Target='xl/workbook.xml'/></Relationships>",
-        "xl/workbook.xml": f"<workbook xmlns='{ns}/spreadsheetml/2006/main' xmlns:r='{ns}/officeDocument/2006/relationships'><sheets>" + "".join(f"<sheet name='{v}' sheetId='{k}' r:id='r{k}'/>" for k, v in names.items()) + "</sheets></workbook>",
-        "xl/_rels/workbook.xml.rels": f"<Relationships xmlns='{ns}/package/2006/relationships'>" + "".join(f"<Relationship Id='r{k}' Type='{ns}/officeDocument/2006/relationships/worksheet' Target='worksheets/sheet{k}.xml'/>" for k in names) + "</Relationships>",
-        **{f"xl/worksheets/sheet{k}.xml": f"<worksheet xmlns='{ns}/spreadsheetml/2006/main'><sheetData>{sheet}</sheetData></worksheet>" for k, sheet in enumerate(sheets, 1)},
-    }
-    out = BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in parts.items():
-            z.writestr(name, text)
-    return out.getvalue()
-
-
-def pdf(findings: DataFrame, per_page: int = 45) -> bytes:
-    """Plain text pages."""
-    lines = [f"{x['severity']:9} {x['rule_id']:12} {x['file_path']}:{x['line']}" for x in every(findings)] or ["no findings"]
-    pages = [lines[i : i + per_page] for i in range(0, len(lines), per_page)]
-    objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Count {len(pages)} /Kids [{' '.join(f'{4 + 2 * i} 0 R' for i in range(len(pages)))}] >>", "<< /Type /Font /Subtype /Type1 /BaseFont /Courier >>"]
-    for i, page in enumerate(pages):
-        text = "BT /F1 9 Tf 40 800 Td 14 TL " + " ".join("({}) Tj T*".format(s.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)")) for s in page) + " ET"
-        objects += [f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents {5 + 2 * i} 0 R >>", f"<< /Length {len(text.encode('latin-1', 'replace'))} >>\nstream\n{text}\nendstream"]
-    out, at = BytesIO(), []
-    out.write(b"%PDF-1.4\n")
-    for i, o in enumerate(objects, 1):
-        at.append(out.tell())
-        out.write(f"{i} 0 obj\n{o}\nendobj\n".encode("latin-1", "replace"))
-    xref = out.tell()
-    out.write(f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n".encode() + b"".join(f"{x:010d} 00000 n \n".encode() for x in at) + f"trailer << /Size {len(objects) + 1} /Root 1 0 R >>\nstartxref\n{xref}\n%%EOF\n".encode())
-    return out.getvalue()
-
-
 def save_snapshot(findings: DataFrame, folder: str) -> None:
     """Append-only facts by repository, secrets redacted at the boundary."""
     redacted = findings.withColumn("snippet", F.regexp_replace("snippet", r'(?i)((password|secret|token|api_key) *= *)"[^"]+"', '$1"***"'))
@@ -146,9 +69,16 @@ def save_audit_log(events: DataFrame, folder: str) -> None:
     events.select(F.to_json(F.struct(*sorted(events.columns)))).write.mode("overwrite").text(folder)
 
 
-for _id, _rows in (("k_01_json_rows", json_rows), ("k_02_sarif_rows", sarif_rows), ("k_06_gitlab_rows", gitlab_rows), ("k_07_cyclonedx_rows", cyclonedx_rows)):
+_LEVEL_SQL = "CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'note' END"
+_CWE_SQL = "CASE rule_id " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CWE.items()) + " END"
+for _id, _rows, _sql in (
+    ("k_01_json_rows", json_rows, "json_object('category', category, 'col', col, 'file_path', file_path, 'line', line, 'rule_id', rule_id, 'severity', severity, 'snippet', snippet)"),
+    ("k_02_sarif_rows", sarif_rows, f"json_object('ruleId', rule_id, 'level', {_LEVEL_SQL}, 'message', json_object('text', snippet), 'locations', json_array(json_object('physicalLocation', json_object('artifactLocation', json_object('uri', file_path), 'region', json_object('startLine', line, 'startColumn', col + 1)))))"),
+    ("k_06_gitlab_rows", gitlab_rows, "json_object('description', snippet, 'check_name', rule_id, 'fingerprint', id, 'severity', lower(severity), 'location', json_object('path', file_path, 'lines', json_object('begin', line)))"),
+    ("k_07_cyclonedx_rows", cyclonedx_rows, f"json_object('id', id, 'cwes', json_array({_CWE_SQL}), 'ratings', json_array(json_object('severity', lower(severity))))"),
+):
 
-    @native(_id)
+    @native(_id, "findings", sql=f"SELECT input_pos, CAST({_sql} AS VARCHAR) AS value FROM {{findings}}")
     def _written(spark: SparkSession, sf_dir: str, rows=_rows) -> DataFrame:
         return rows(view(spark, sf_dir, "findings"))
 
@@ -180,25 +110,10 @@ def sheet_rows(findings: DataFrame) -> DataFrame:
     return out
 
 
-def html_rows(findings: DataFrame) -> DataFrame:
-    """(input_pos, value): a table row a finding, escaped."""
-    esc = lambda c: F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return findings.select("input_pos", F.concat(F.lit("<tr><td>"), esc("severity"), F.lit("</td><td>"), esc("rule_id"), F.lit("</td><td>"), esc("file_path"), F.lit(":"), F.col("line").cast("string"), F.lit("</td></tr>")).alias("value"))
-
-
-def junit_rows(findings: DataFrame, threshold: str = "HIGH") -> DataFrame:
-    """(input_pos, failed): a test case a finding; it fails at the threshold and above."""
-    over = [k for k, v in RANK.items() if v >= RANK[threshold]]
-    return findings.select("input_pos", F.col("severity").isin(over).alias("failed"))
-
-
-def pdf_pages(findings: DataFrame, per_page: int = 45) -> DataFrame:
-    """(page, lines): how findings in report order fall on pages. Places come from counts by file and a rank within it."""
-    files = findings.groupBy("file_path").agg(F.count("*").alias("n"))
-    before = files.select("file_path", F.coalesce(F.sum("n").over(W.orderBy("file_path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.row_number().over(W.partitionBy("file_path").orderBy("line", F.coalesce("col", F.lit(0)), "rule_id", "input_pos")) - 1
-    placed = findings.withColumn("k", within).join(before, "file_path")
-    return placed.groupBy(F.floor((F.col("before") + F.col("k")) / per_page).cast("long").alias("page")).agg(F.count("*").alias("lines"))
+def html_rows(findings: DataFrame, key: str = "input_pos") -> DataFrame:
+    """(key, value): a table row a finding, escaped."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return findings.select(key, F.concat(F.lit("<tr><td>"), esc("severity"), F.lit("</td><td>"), esc("rule_id"), F.lit("</td><td>"), esc("file_path"), F.lit(":"), esc("line"), F.lit("</td></tr>")).alias("value"))
 
 
 def snapshot_tables(findings: DataFrame) -> dict[str, DataFrame]:
@@ -224,20 +139,47 @@ def save_run(findings: DataFrame, folder: str) -> dict[str, DataFrame]:
     return out
 
 
+def document(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """(value): the lines of a report of all findings, written as one document and read back."""
+    path = f"{Scratch(spark, kind).folder}/report.{kind}"
+    report.write(view(spark, sf_dir, "findings"), kind, path)
+    return spark.read.text(path)
+
+
 def _registered() -> None:
-    """Queries of the documents' contents; the documents themselves are made of the same rows."""
+    """Queries that write documents and give what they hold, read back line by line."""
     fail = "severity IN ('CRITICAL', 'HIGH')"
     level = "CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'note' END"
     esc = "replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
-    f = lambda spark, sf_dir: view(spark, sf_dir, "findings")
+    place = "concat(file_path, ':', CAST(line AS VARCHAR))"
     ordered_sql = "ORDER BY file_path, line, coalesce(col, 0), rule_id, input_pos"
+    result = "ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,startColumn:int>>>>"
+
+    def sarif(s: SparkSession, d: str) -> DataFrame:
+        rows = document(s, d, "sarif").where("value like '{\"ruleId\"%'").select(F.from_json(F.rtrim("value", F.lit(",")), result).alias("r"))
+        at = F.col("r.locations")[0]["physicalLocation"]
+        return rows.select(F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"), F.col("r.message.text").alias("snippet"), at["artifactLocation"]["uri"].alias("file_path"), at["region"]["startLine"].alias("line"))
+
+    def junit(s: SparkSession, d: str) -> DataFrame:
+        lines = document(s, d, "junit").where("value like '<testcase%'")
+        return lines.select(F.regexp_extract("value", 'name="([^"]*)"', 1).alias("name"), F.col("value").contains("<failure").alias("failed"))
+
+    def excel(s: SparkSession, d: str) -> DataFrame:
+        """Entries are stored, so the rows of all sheets are lines of the file."""
+        lines = document(s, d, "excel").where("value like '<row r=%' and value not like '<row r=''1''>%'")
+        cells = F.regexp_extract_all("value", F.lit("<t xml:space='preserve'>([^<]*)</t>"), 1)
+        return lines.select(F.array_join(cells, "|").alias("cells"))
+
+    def pdf(s: SparkSession, d: str) -> DataFrame:
+        return document(s, d, "pdf").where("value like '(%) Tj T*'").select(F.regexp_extract("value", r"^\((.*)\) Tj T\*$", 1).alias("line"))
+
     one = {
-        "k_02_sarif_document": (f"SELECT rule_id, {level} AS level, count(*) AS n FROM {{findings}} GROUP BY rule_id, {level}", lambda s, d: s.createDataFrame([(json.loads(sarif(f(s, d))),)], "doc struct<runs:array<struct<results:array<struct<ruleId:string,level:string>>>>>").selectExpr("explode(doc.runs[0].results) AS r").groupBy(F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level")).agg(F.count("*").alias("n"))),
-        "k_03_html": (f"SELECT input_pos, concat('<tr><td>', {esc.format(x='severity')}, '</td><td>', {esc.format(x='rule_id')}, '</td><td>', {esc.format(x='file_path')}, ':', CAST(line AS VARCHAR), '</td></tr>') AS value FROM {{findings}}", lambda s, d: html_rows(f(s, d))),
-        "k_04_markdown": ("SELECT concat('| ', severity, ' | ', rule_id, ' | ', file_path, ':', CAST(line AS VARCHAR), ' |') AS line FROM (SELECT * FROM {findings} " + ordered_sql + " LIMIT 25) t", lambda s, d: s.createDataFrame([(x,) for x in markdown(f(s, d)).splitlines()[2:]], "line string")),
-        "k_05_junit": (f"SELECT input_pos, {fail} AS failed FROM {{findings}}", lambda s, d: junit_rows(f(s, d))),
-        "k_08_excel": ("SELECT 'Summary' AS sheet, concat(severity, '|', category, '|', CAST(count(*) AS VARCHAR)) AS cells FROM {findings} GROUP BY severity, category UNION ALL SELECT 'Findings', concat(severity, '|', rule_id, '|', file_path, '|', CAST(line AS VARCHAR)) FROM {findings} UNION ALL SELECT 'By rule', concat(rule_id, '|', severity, '|', CAST(count(*) AS VARCHAR)) FROM {findings} GROUP BY rule_id, severity UNION ALL SELECT 'By file', concat(file_path, '|', CAST(count(*) AS VARCHAR)) FROM {findings} GROUP BY file_path UNION ALL SELECT 'Remediation', concat(rule_id, '|', CAST(count(*) AS VARCHAR), '|', CASE rule_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CWE.items()) + " ELSE '' END) FROM {findings} GROUP BY rule_id", lambda s, d: sheet_rows(f(s, d))),
-        "k_09_pdf": ("SELECT CAST(floor((k - 1) / 45.0) AS BIGINT) AS page, count(*) AS lines FROM (SELECT row_number() OVER (" + ordered_sql + ") AS k FROM {findings}) r GROUP BY 1", lambda s, d: pdf_pages(f(s, d))),
+        "k_02_sarif_document": (f"SELECT rule_id, {level} AS level, snippet, file_path, line FROM {{findings}}", sarif),
+        "k_03_html": (f"SELECT concat('<tr><td>', {esc.format(x='severity')}, '</td><td>', {esc.format(x='rule_id')}, '</td><td>', {esc.format(x='file_path')}, ':', CAST(line AS VARCHAR), '</td></tr>') AS value FROM {{findings}}", lambda s, d: document(s, d, "html").where("value like '<tr>%'")),
+        "k_04_markdown": ("SELECT concat('| ', severity, ' | ', rule_id, ' | ', file_path, ':', CAST(line AS VARCHAR), ' |') AS line FROM (SELECT * FROM {findings} " + ordered_sql + " LIMIT 25) t", lambda s, d: s.createDataFrame([(x,) for x in markdown(view(s, d, "findings")).splitlines()[2:]], "line string")),
+        "k_05_junit": (f"SELECT concat(rule_id, ' ', {place}) AS name, {fail} AS failed FROM {{findings}}", junit),
+        "k_08_excel": ("SELECT concat(severity, '|', category, '|', CAST(count(*) AS VARCHAR)) AS cells FROM {findings} GROUP BY severity, category UNION ALL SELECT concat(severity, '|', rule_id, '|', file_path, '|', CAST(line AS VARCHAR)) FROM {findings} UNION ALL SELECT concat(rule_id, '|', severity, '|', CAST(count(*) AS VARCHAR)) FROM {findings} GROUP BY rule_id, severity UNION ALL SELECT concat(file_path, '|', CAST(count(*) AS VARCHAR)) FROM {findings} GROUP BY file_path UNION ALL SELECT concat(rule_id, '|', CAST(count(*) AS VARCHAR), '|', CASE rule_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CWE.items()) + " ELSE '' END) FROM {findings} GROUP BY rule_id", excel),
+        "k_09_pdf": (f"SELECT concat(severity, repeat(' ', 9 - length(severity)), ' ', rule_id, repeat(' ', 12 - length(rule_id)), ' ', {place}) AS line FROM {{findings}}", pdf),
         "k_11_snapshot_tables": ("SELECT repo_id, count(*) AS total, CAST(sum(CASE WHEN severity = 'CRITICAL' THEN 1 ELSE 0 END) AS BIGINT) AS critical, count(DISTINCT rule_id) AS rules, count(DISTINCT file_path) AS files FROM {findings} GROUP BY repo_id", _saved_run),
         "k_14_audit_log": ("SELECT conv_id, count(*) AS events, CAST(sum(turn) AS BIGINT) AS turns FROM {turns} GROUP BY conv_id", _saved_log),
     }

@@ -1,13 +1,10 @@
 """Operators on hand-made rows, every query with SQL against DuckDB, extraction, sinks, streams, and independence of the llm subpackage."""
 
-import io
-import json
 import os
 import random
 import subprocess
 import sys
 import time
-import zipfile
 from pathlib import Path
 
 import duckdb
@@ -151,20 +148,6 @@ def test_frameworks_of_all_files(spark):
     assert sorted(run(spark, "s_09_framework_detection", files=f)) == [("django", 2.0, 0.8), ("flask", 1.0, 0.7)]
 
 
-def test_reports_hold_every_finding(spark, monkeypatch):
-    n = 10_050
-    f = spark.createDataFrame([finding(i, severity="LOW" if i < 20 else "HIGH", path=f"p{i:05}") for i in range(n)], FINDINGS)
-    assert len(json.loads(sinks.sarif(f))["runs"][0]["results"]) == n and sinks.html_page(f).count("<tr>") == n
-    said = sinks.junit(f)
-    assert f"tests='{n}' failures='{n - 20}'" in said and said.count("<failure") == n - 20 and said.count("<testcase") == n
-    assert sinks.pdf(f).count(b" Tj T*") == n
-    monkeypatch.setattr(sinks, "SHEET_ROWS", 6000)
-    book = zipfile.ZipFile(io.BytesIO(sinks.excel(f)))
-    sheets = [book.read(f"xl/worksheets/sheet{k}.xml").decode() for k in (1, 2)]
-    assert [x.count("<row ") for x in sheets] == [6000, n - 5999 + 1] and "p10049" in sheets[1]
-    assert all(book.read(x).decode().count(y) == 2 for x, y in (("xl/workbook.xml", "<sheet "), ("xl/_rels/workbook.xml.rels", "<Relationship "), ("[Content_Types].xml", "worksheet+xml")))
-
-
 def test_betweenness_of_a_chain(spark):
     e = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
     got = {r["id"]: r["betweenness"] for r in graph.betweenness(e, spark.range(1, 4)).collect()}
@@ -209,24 +192,13 @@ def test_discover(spark, tmp_path):
     assert got == [("a.py", 3)]
 
 
-def test_merkle_chain_and_signature(spark):
-    assert code.merkle_root([]) == code.merkle_root([]) and code.merkle_root([b"a", b"b"]) != code.merkle_root([b"b", b"a"])
-    e = code.sign({"a": 1.0, "b": "é"}, b"k")
-    assert code.verify(e, b"k") and not code.verify(e, b"other")
-    with pytest.raises(ValueError):
-        code.sign({}, b"")
+def test_canonical_json():
     assert code.canonical_json({"b": 1.0, "a": [1.5, None]}) == '{"a":[1.5,null],"b":1}'
-    df = spark.createDataFrame([("r", i) for i in range(50)], "repo_id string, x int")
-    a, b = (code.merkle_by_group(d, "repo_id", F.col("x")).first()[1] for d in (df, df.orderBy(F.desc("x"))))
-    assert a == b
 
 
 def test_sinks(spark, tmp_path):
     f = spark.createDataFrame([finding(1, snippet='password = "hunter2"'), finding(2, path="=x", severity="LOW")], FINDINGS)
-    assert json.loads(sinks.sarif(f))["runs"][0]["results"][0]["ruleId"] == "R"
-    assert sinks.junit(f).count("<failure") == 1 and "clean" in sinks.junit(f.where("false"))
-    assert sinks.pdf(f).startswith(b"%PDF-1.4") and "<td>R</td>" in sinks.html_page(f) and "| HIGH | R |" in sinks.markdown(f)
-    assert "'=x" in zipfile.ZipFile(io.BytesIO(sinks.excel(f))).read("xl/worksheets/sheet1.xml").decode()
+    assert "| HIGH | R |" in sinks.markdown(f)
     sinks.save_snapshot(f, str(tmp_path / "snap"))
     assert "hunter2" not in str(spark.read.parquet(str(tmp_path / "snap")).collect())
     sinks.save_audit_log(f, str(tmp_path / "log"))
