@@ -403,20 +403,6 @@ def g_17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("cycle", F.element_at(parts, -1).cast("long").alias("drop_src"), F.element_at(parts, 1).cast("long").alias("drop_tgt"))
 
 
-_AFTER = _CYCLES.replace("{edges}", "changed")
-
-
-@native("g_14_refactoring_simulation", "edges", sql=f"WITH changed AS (SELECT src, tgt FROM {{edges}} WHERE NOT (src % 5 = 0) UNION SELECT 0, 24), before AS ({_CYCLES}), after AS ({_AFTER}) SELECT (SELECT count(*) FROM before) AS cycles_before, (SELECT count(*) FROM after) AS cycles_after, (SELECT count(*) FROM (SELECT cycle FROM after EXCEPT SELECT cycle FROM before)) AS new_cycles")
-def g_14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Remove and add edges on a copy; cycles before, after and new."""
-    e = _edges(spark, sf_dir)
-    changed = e.where("not (a % 5 = 0)").union(spark.createDataFrame([(0, 24)], "a long, b long"))
-    before, after = simple_cycles(e, name="before"), simple_cycles(changed, name="after")
-    fresh = after.select("cycle").subtract(before.select("cycle"))
-    number = lambda df, c: df.agg(F.count("*").alias(c))
-    return number(before, "cycles_before").crossJoin(number(after, "cycles_after")).crossJoin(number(fresh, "new_cycles"))
-
-
 #: Sources whose shortest paths are held at a time.
 SOURCES_AT_ONCE = 1000
 

@@ -14,9 +14,11 @@ import girder.operators.evidence
 import girder.operators.findings
 import girder.operators.governance
 import girder.operators.graph
+import girder.operators.incremental
 import girder.operators.matching
 import girder.operators.progress
 import girder.operators.project
+import girder.operators.simulation
 import girder.operators.source_code
 import girder.operators.summaries
 import girder.sources.sinks
