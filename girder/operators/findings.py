@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from girder.plans.operator import Dialect, operator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from girder.plans.operator import Dialect, native, operator, view
+from girder.plans.ordered import placed
+from girder.plans.scratch import Scratch
 
 #: Ranks and penalties of severities.
 RANK = "CASE {x} WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 2 ELSE 1 END"
@@ -126,24 +131,25 @@ def f_16(d: Dialect) -> str:
     return f"SELECT repo_id, CASE WHEN max({rank('severity')}) >= 5 THEN 2 ELSE 0 END AS exit_code FROM {{findings}} GROUP BY repo_id"
 
 
-for _id, _first, _rest in (
-    ("o_01_engine_order", "file_path", "line, coalesce(col, 0), rule_id, input_pos"),
-    ("o_02_cli_order", f"{rank('severity')} DESC, file_path", "line, rule_id, input_pos"),
-    ("o_10_console_sort", "rule_id, line", "input_pos"),
-):
-
-    @operator(_id, "findings")
-    def _ordered(d: Dialect, first: str = _first, rest: str = _rest) -> str:
-        """The place of each finding in the order of the whole run: findings of the groups before, and its rank in its own group."""
-        by = first.replace(" DESC", "")
-        names = [f"k{i}" for i in range(len(by.split(", ")))]
-        keys = ", ".join(f"{x} AS {n}" for x, n in zip(by.split(", "), names, strict=True))
-        order = ", ".join(n + (" DESC" if " DESC" in x else "") for x, n in zip(first.split(", "), names, strict=True))
-        same = " AND ".join(f"f.{n} = b.{n}" for n in names)
-        return f"""
-WITH keyed AS (SELECT *, {keys} FROM {{findings}}),
-before AS (SELECT {", ".join(names)}, coalesce(sum(n) OVER (ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM (SELECT {", ".join(names)}, count(*) AS n FROM keyed GROUP BY {", ".join(names)}) g)
-SELECT f.input_pos, CAST(b.ahead + row_number() OVER (PARTITION BY {", ".join("f." + n for n in names)} ORDER BY {rest}) AS BIGINT) AS place FROM keyed f JOIN before b ON {same}"""
+#: The orders of the engine, the command line and the console.
+ORDERS = {
+    "o_01_engine_order": ("file_path", "line", "coalesce(col, 0)", "rule_id", "input_pos"),
+    "o_02_cli_order": (f"-{rank('severity')}", "file_path", "line", "rule_id", "input_pos"),
+    "o_10_console_sort": ("rule_id", "line", "input_pos"),
+}
+
+
+def in_order(findings: DataFrame, order: str) -> DataFrame:
+    """(input_pos, place): the place of each finding in an order of the whole run, from 1."""
+    rows = placed(findings, Scratch(findings.sparkSession, "order"), "findings", [F.expr(x) for x in ORDERS[order]])
+    return rows.select("input_pos", (F.col("place") + 1).alias("place"))
+
+
+for _id, _keys in ORDERS.items():
+
+    @native(_id, "findings", sql=f"SELECT input_pos, row_number() OVER (ORDER BY {', '.join(_keys)}) AS place FROM {{findings}}")
+    def _ordered(spark: SparkSession, sf_dir: str, order: str = _id) -> DataFrame:
+        return in_order(view(spark, sf_dir, "findings"), order)
 
 
 @operator("o_08_report_top_k", "findings")

@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from girder.operators import summaries
 from girder.operators.findings import rank
 from girder.operators.graph import closure
 from girder.operators.matching import j_16, j_20
 from girder.plans.operator import Dialect, native, operator, view
+from girder.plans.ordered import placed
 from girder.plans.scratch import Scratch
 from girder.sources import project
 
@@ -263,12 +265,44 @@ WHERE k = 1"""
 # budgets, features, feedback
 
 
-@operator("o_09_bounded_budgets", "functions", "calls")
-def o_09(d: Dialect) -> str:
-    """Functions a file and calls a run up to their limits, in order; what lies beyond is counted, not lost from sight."""
-    return """
-SELECT file_id, kept, total - kept AS beyond FROM (SELECT file_id, CAST(sum(CASE WHEN k <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS kept, count(*) AS total
-FROM (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY line_start, fn) AS k FROM {functions}) f GROUP BY file_id) s"""
+#: Functions a file and in all, calls, and paths between functions that a run keeps.
+FUNCTIONS_A_FILE, FUNCTIONS, CALLS, PATHS = 200, 5_000, 20_000, 50
+
+
+def budgets(functions: DataFrame, calls: DataFrame, paths: DataFrame, limits: tuple[int, int, int, int] = (FUNCTIONS_A_FILE, FUNCTIONS, CALLS, PATHS)) -> DataFrame:
+    """(budget, file_id, kept, beyond): limits within limits, each in one order over all tasks; what lies beyond is counted, not lost from sight.
+
+    Functions go by line within their file, those kept go by file in all; calls count between kept functions, and paths from kept ones.
+    """
+    a_file, in_all, most_calls, most_paths = limits
+    scratch = Scratch(functions.sparkSession, "budgets")
+    by_file = scratch.save(placed(functions, scratch, "file", ["line_start", "fn"], ["file_id"]), "by-file")
+    places = scratch.save(placed(by_file.where(F.col("place") < a_file).drop("place"), scratch, "all", ["file_id", "line_start", "fn"]), "in-all")
+    kept = scratch.save(places.where(F.col("place") < in_all).select("fn"), "kept")
+    of = lambda df, *ends: [df := df.join(kept.withColumnRenamed("fn", c), c, "left_semi") for c in ends][-1]
+    edges = placed(of(calls, "caller", "callee"), scratch, "calls", ["caller", "callee", "from_param", "to_param"])
+    ways = placed(of(paths, "source_fn"), scratch, "paths", ["source_fn", "callee", "category"])
+
+    def counted(df: DataFrame, name: str, most: int, *by: str) -> DataFrame:
+        n = df.groupBy(*by).agg(F.count_if(F.col("place") < most).alias("kept"), F.count_if(F.col("place") >= most).alias("beyond"))
+        return n.select(F.lit(name).alias("budget"), (F.col(by[0]) if by else F.lit(None)).cast("int").alias("file_id"), "kept", "beyond")
+
+    return counted(by_file, "functions of a file", a_file, "file_id").union(counted(places, "functions", in_all)).union(counted(edges, "calls", most_calls)).union(counted(ways, "paths", most_paths))
+
+
+def _budget_sql() -> str:
+    return f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_start, fn) AS k FROM {{functions}}),
+g AS (SELECT *, row_number() OVER (ORDER BY file_id, line_start, fn) AS n FROM f WHERE k <= {FUNCTIONS_A_FILE}), h AS (SELECT fn FROM g WHERE n <= {FUNCTIONS}),
+c AS (SELECT row_number() OVER (ORDER BY caller, callee, from_param, to_param) AS n FROM {{calls}} WHERE caller IN (SELECT fn FROM h) AND callee IN (SELECT fn FROM h)),
+p AS (SELECT row_number() OVER (ORDER BY source_fn, callee, category) AS n FROM ({summaries._PATHS}) x WHERE source_fn IN (SELECT fn FROM h))
+SELECT 'functions of a file' AS budget, file_id, count(*) FILTER (k <= {FUNCTIONS_A_FILE}) AS kept, count(*) FILTER (k > {FUNCTIONS_A_FILE}) AS beyond FROM f GROUP BY file_id
+UNION ALL SELECT 'functions', NULL, count(*) FILTER (n <= {FUNCTIONS}), count(*) FILTER (n > {FUNCTIONS}) FROM g UNION ALL SELECT 'calls', NULL, count(*) FILTER (n <= {CALLS}), count(*) FILTER (n > {CALLS}) FROM c
+UNION ALL SELECT 'paths', NULL, count(*) FILTER (n <= {PATHS}), count(*) FILTER (n > {PATHS}) FROM p"""
+
+
+@native("o_09_bounded_budgets", "functions", "calls", "own_flows", "call_flows", "source_calls", sql=_budget_sql())
+def o_09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budgets(view(spark, sf_dir, "functions"), view(spark, sf_dir, "calls"), summaries.t_14(spark, sf_dir))
 
 
 #: Marks of test files.
