@@ -19,6 +19,7 @@ from girder.plans.operator import Dialect, native, operator, view
 from girder.plans.ordered import placed
 from girder.plans.scratch import Scratch
 from girder.sources import project
+from girder.sources.cache import Cache, envelope
 
 # configuration and workspace
 
@@ -89,7 +90,6 @@ def s_12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: What each layer's key is made of besides the namespace.
 LAYERS = {1: ("path",), 2: ("composite", "'parsing'"), 3: ("repo_hash", "'dependency'"), 4: ("function", "content_hash", "'dataflow'"), 5: ("function", "l4", "'dataflow'"), 6: ("repo_hash", "'callgraph'"), 7: ("function", "content_hash", "'contract'"), 8: ("content_hash", "composite", "'composition'"), 9: ("findings_hash", "'rules'"), 10: ("content_hash", "composite", "path", "'1'", "'model'", "'provider'")}
-SCHEMA_VERSION = "1"
 
 
 @operator("p_10_cache_keys", "files")
@@ -101,36 +101,6 @@ def p_10(d: Dialect) -> str:
     return f"SELECT pos, ns, {', '.join(f'{key(i)} AS l{i}' for i in LAYERS if i != 4)}, l4 FROM (SELECT *, {key(4)} AS l4 FROM ({base}) b) k"
 
 
-def envelope(payload: Column) -> list[Column]:
-    """What a cache holds of an entry beside its key."""
-    return [payload.alias("payload"), F.sha2(payload, 256).alias("checksum"), F.lit(SCHEMA_VERSION).alias("version"), F.octet_length(payload).cast("long").alias("size")]
-
-
-class Cache:
-    """Layers of entries in one table, partitioned by layer; a put replaces entries, a get believes only what its checksum and version prove."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def put(self, layer: str, entries: DataFrame, written: Column | None = None) -> None:
-        """Appends (key, payload). Readers take the newest entry of a key, so a write that dies leaves the old ones as they were."""
-        rows = entries.select("key", *envelope(F.col("payload")), (written if written is not None else F.current_timestamp()).alias("written"), F.lit(layer).alias("layer"))
-        rows.write.mode("append").partitionBy("layer").parquet(self.folder)
-
-    def get(self, layer: str, keys: DataFrame | None = None) -> DataFrame:
-        """(key, payload) of the sound entries; a damaged or outdated one is a miss."""
-        rows = self.spark.read.parquet(self.folder).where(F.col("layer") == layer)
-        if keys is not None:
-            rows = rows.join(keys.select("key").distinct(), "key", "left_semi")
-        newest = rows.groupBy("key").agg(F.max_by(F.struct("payload", "checksum", "version"), "written").alias("e")).select("key", "e.*")
-        return newest.where((F.col("version") == SCHEMA_VERSION) & (F.sha2("payload", 256) == F.col("checksum"))).select("key", "payload")
-
-    def victims(self, most_bytes: int, most_entries: int) -> DataFrame:
-        """(layer, key): the oldest entries beyond either limit."""
-        rows = self.spark.read.parquet(self.folder)
-        return evicted(rows, most_bytes, most_entries).select("layer", "key")
-
-
 def evicted(rows: DataFrame, most_bytes: int, most_entries: int) -> DataFrame:
     """Entries (key, layer, written, size) that a cache of that size gives up, oldest first.
 
@@ -153,26 +123,23 @@ def _entries(files: DataFrame) -> DataFrame:
     return files.select(F.sha2(F.concat_ws(":", F.lit("L1"), "path"), 256).alias("key"), F.to_json(F.struct("path", "content_hash", "size_bytes")).alias("payload"), "pos")
 
 
-@native("s_13_cache_read", "files", sql="SELECT sha256(concat('L1:', path)) AS key, size_bytes FROM {files} WHERE pos % 10 <> 0")
+@native("s_13_cache_read", "files", sql="SELECT sha256(concat('L1:', path)) AS key, size_bytes FROM {files} WHERE NOT regexp_matches(path, '(^|[^0-9])[0-9]*0[.]')")
 def s_13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries written, some of them damaged, and read back: the damaged ones are misses."""
-    scratch = Scratch(spark, "cache")
-    cache = Cache(spark, f"{scratch.folder}/table")
-    cache.put("L1", _entries(view(spark, sf_dir, "files")), F.timestamp_seconds(F.col("pos")))
-    rows = spark.read.parquet(cache.folder)
-    damaged = rows.withColumn("payload", F.when(F.get_json_object("payload", "$.path").rlike("(^|[^0-9])[0-9]*0[.]"), F.concat("payload", F.lit(" "))).otherwise(F.col("payload")))
-    broken = Cache(spark, f"{scratch.folder}/broken")
-    damaged.write.partitionBy("layer").parquet(broken.folder)
-    return broken.get("L1").select("key", F.get_json_object("payload", "$.size_bytes").cast("long").alias("size_bytes"))
+    cache = Cache(spark, Scratch(spark, "cache").folder)
+    rows = envelope(_entries(view(spark, sf_dir, "files")))
+    cache.add("L1", rows.withColumn("payload", F.when(F.get_json_object("payload", "$.path").rlike("(^|[^0-9])[0-9]*0[.]"), F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))))
+    return cache.get("L1").select("key", F.get_json_object("payload", "$.size_bytes").cast("long").alias("size_bytes"))
 
 
 @native("k_13_cache_write", "files", sql="SELECT count(*) AS entries, count(DISTINCT path) AS files, CAST(sum(size_bytes + CASE WHEN pos % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS bytes FROM {files}")
 def k_13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second write of some entries replaces them for readers."""
+    """A second write of some entries replaces them for readers, also after compaction."""
     cache = Cache(spark, Scratch(spark, "cache").folder)
     files = view(spark, sf_dir, "files")
-    cache.put("L1", _entries(files), F.timestamp_seconds(F.lit(1)))
-    cache.put("L1", _entries(files.where("pos % 5 = 0").withColumn("size_bytes", F.col("size_bytes") + 1)), F.timestamp_seconds(F.lit(2)))
+    cache.put("L1", _entries(files))
+    cache.put("L1", _entries(files.where("pos % 5 = 0").withColumn("size_bytes", F.col("size_bytes") + 1)))
+    cache.compact("L1")
     got = cache.get("L1")
     return got.agg(F.count("*").alias("entries"), F.countDistinct(F.get_json_object("payload", "$.path")).alias("files"), F.sum(F.get_json_object("payload", "$.size_bytes").cast("long")).alias("bytes"))
 

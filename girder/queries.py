@@ -21,6 +21,7 @@ import girder.operators.project
 import girder.operators.simulation
 import girder.operators.source_code
 import girder.operators.summaries
+import girder.sources.cache
 import girder.sources.sinks
 from girder.plans.operator import NATIVE, REGISTRY
 

@@ -75,16 +75,7 @@ def test_baseline(spark, tmp_path):
     assert [(r["input_pos"], r["id"], r["line"], r["col"], r["snippet"]) for r in rows] == [(0, "F1", 3, 0, ""), (1, "F2", 3, 0, "")]
 
 
-def test_cache(spark, tmp_path):
-    cache = operators.Cache(spark, str(tmp_path / "c"))
-    rows = spark.createDataFrame([(f"k{i}", f"v{i}", i) for i in range(10)], "key string, payload string, i int")
-    cache.put("L1", rows, F.timestamp_seconds(F.col("i")))
-    cache.put("L2", rows.limit(1))
-    cache.put("L1", spark.createDataFrame([("k3", "new", 99)], rows.schema), F.timestamp_seconds(F.lit(99)))
-    got = {r["key"]: r["payload"] for r in cache.get("L1").collect()}
-    assert len(got) == 10 and got["k3"] == "new" and cache.get("L1", rows.where("i < 2")).count() == 2 and cache.get("L9").count() == 0
-    spark.read.parquet(cache.folder).withColumn("payload", F.when(F.col("key") == "k1", "x").otherwise(F.col("payload"))).withColumn("version", F.when(F.col("key") == "k2", "0").otherwise(F.col("version"))).write.partitionBy("layer").parquet(str(tmp_path / "bad"))
-    assert {f"k{i}" for i in range(10)} - {r["key"] for r in operators.Cache(spark, str(tmp_path / "bad")).get("L1").collect()} == {"k1", "k2"}
+def test_eviction_and_packing(spark):
     old = spark.createDataFrame([(f"k{i}", "L", i * 1800, 10) for i in range(20)], "key string, layer string, at long, size long").withColumn("written", F.timestamp_seconds("at"))
     assert {r["key"] for r in operators.evicted(old, 75, 100).collect()} == {f"k{i}" for i in range(13)}
     assert {r["key"] for r in operators.evicted(old, 10_000, 3).collect()} == {f"k{i}" for i in range(17)} and operators.evicted(old, 200, 20).count() == 0
