@@ -225,7 +225,7 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             r += 1
             sent = new
             for _ in range(HOPS):  # what changed is passed on several times before anything is written
-                passed = sent.join(rest, sent["id"] == rest["a"]).groupBy(F.col("b").alias("id")).agg(F.min("c").alias("c"))
+                passed = sent.join(rest, sent["id"] == rest["a"]).select(F.col("b").alias("id"), "c")
                 sent = sent.union(passed).groupBy("id").agg(F.min("c").alias("c"))
             met = colour.join(sent.withColumnRenamed("c", "n"), "id", "left")
             merged = scratch.save(met.select("id", F.least("c", F.coalesce("n", "c")).alias("c"), (F.col("n") < F.col("c")).alias("moved")), f"colour-{k}-{r}")
@@ -347,7 +347,9 @@ def returning(edges: DataFrame, scratch: Scratch) -> DataFrame:
     back = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     new = known = scratch.save(edges.where("a > b").select(F.col("b").alias("a"), F.col("a").alias("v")), "back-0")
     for k in count(1):
-        step = new.join(back, "v").where("u > a").select("a", F.col("u").alias("v")).distinct()
+        step = new
+        for _ in range(HOPS):
+            step = step.union(step.join(back, "v").where("u > a").select("a", F.col("u").alias("v"))).distinct()
         new = scratch.save(step.join(known, ["a", "v"], "left_anti"), f"back-{k}")
         if not new.take(1):
             return known

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import girder.functions.extension
 import girder.functions.scalars
 import girder.operators.attestation
 import girder.operators.code

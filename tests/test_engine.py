@@ -45,7 +45,7 @@ def duck():
     return c
 
 
-SLOW = {"g_04_weak_components", "g_06_centrality", "arc_009_centrality", "g_14_refactoring_simulation"}
+SLOW: set[str] = set()
 
 
 @pytest.mark.parametrize("name", sorted(set(engine.oracle_sql()) - SLOW))
