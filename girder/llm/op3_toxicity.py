@@ -13,7 +13,7 @@ hashes of their spans; no Python code runs for a word. A text longer than a slic
 at white space, and its hits and counts are put together before windows are looked at.
 
 Training rows: at most ``TRAIN_ROWS`` labelled rows whose texts have ``TRAIN_BYTES`` bytes together at most,
-in a hash order of their ids, none of the held-out fold; a text of any length is taken while it fits. That
+in a hash order of their ids, none of the held-out fold; the text that reaches the bound is the last, and is taken whole. That
 bound is what the driver holds. Scoring covers every whole text, one batch at a time.
 
 Nulls: a null text scores as an empty one; null labels don't train; a doc_id labelled more than once
