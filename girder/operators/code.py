@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from girder.plans.operator import native, view
+from girder.plans.views import VIEWS, View
 
 #: Small Python files for tests of the readers.
 TEMPLATES = (
@@ -73,16 +74,30 @@ def normalise_path(path: Column) -> Column:
     start = F.array().cast("array<string>")
 
     def step(acc: Column, x: Column) -> Column:
-        out = F.when((x == "") | (x == "."), acc).when((x == "..") & (F.size(acc) == 0), F.array(F.lit("..")))
+        out = F.when((x == "") | (x == ".") | F.array_contains(acc, ".."), acc).when((x == "..") & (F.size(acc) == 0), F.array(F.lit("..")))  # once out of the root, out for good
         return out.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
 
     parts = F.aggregate(F.split(F.translate(path, "\\", "/"), "/"), start, step)
     return F.when(~F.array_contains(parts, ".."), F.array_join(parts, "/"))
 
 
-@native("p_03_normalise_relative_path", "files", sql="SELECT pos, path AS norm FROM {files} WHERE path NOT LIKE '%//%'")
+#: Paths as configurations and imports spell them: with dots, doubled and backward slashes, up and down again, some out of their root.
+VIEWS["spelled_paths"] = View(
+    ("files",),
+    r"""
+SELECT pos, CASE language WHEN 'python' THEN concat('./', replace(path, '/', '/./')) WHEN 'typescript' THEN concat(replace(path, '/', '/x/../'), '//') WHEN 'javascript' THEN concat('a/b/../../', replace(path, '/', chr(92)))
+       ELSE concat(CASE WHEN size_bytes > 1000 THEN '../../' ELSE 'lib/../../lib/' END, path, '/..') END AS path
+FROM {files}""".strip(),
+)
+
+
+@native(
+    "p_03_normalise_relative_path",
+    "spelled_paths",
+    sql="SELECT pos, CASE WHEN n <> '!' THEN substr(n, 2) END AS norm FROM (SELECT pos, list_reduce(list_prepend('', string_split(replace(path, chr(92), '/'), '/')), lambda acc, x: CASE WHEN acc = '!' THEN acc WHEN x IN ('', '.') THEN acc WHEN x = '..' AND acc = '' THEN '!' WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') ELSE concat(acc, '/', x) END) AS n FROM {spelled_paths}) r",
+)
 def p_03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "files").select("pos", normalise_path(F.concat(F.lit("./x/../"), "path")).alias("norm"))
+    return view(spark, sf_dir, "spelled_paths").select("pos", normalise_path(F.col("path")).alias("norm"))
 
 
 # chains
