@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from girder.code import registry, rules
 from girder.plans.operator import Dialect, operator
+from girder.plans.views import VIEWS, View
 
 #: Names, globs and markers of ignored and generated files.
 EXCLUDED_DIRS = ("node_modules", "dist", "build", "vendor", "__pycache__")
@@ -68,9 +69,27 @@ def f_02(d: Dialect) -> str:
     return f"SELECT f.pos, r.rule_id FROM {{files}} f JOIN ({rules}) r ON (r.language = '' OR r.language = lower(f.language)) AND (r.framework IN ('', 'general') OR r.framework = 'react')"
 
 
-@operator("f_03_rule_activation", "findings")
+#: What repositories ask for: rules whose findings weigh much are switched on, those whose findings weigh little off; some name rules that there are not.
+VIEWS["rule_settings"] = View(
+    ("findings",),
+    """
+SELECT repo_id, rule_id, CASE WHEN avg(value) > 51 THEN 'ENABLE' ELSE 'DISABLE' END AS action FROM {findings} GROUP BY repo_id, rule_id HAVING avg(value) > 51 OR avg(value) < 49
+UNION ALL SELECT repo_id, lower(concat(category, '-', max(severity))), 'ENABLE' FROM {findings} GROUP BY repo_id, category HAVING avg(value) > 50""".strip(),
+)
+
+
+@operator("f_03_rule_activation", "findings", "rule_settings")
 def f_03(d: Dialect) -> str:
-    return "SELECT DISTINCT rule_id FROM {findings} WHERE rule_id IN ('click', 'view', 'error') EXCEPT SELECT 'view'"
+    """Of each repository the rules of the registry with whether they run: those it enables, or all if it enables none that there is, without those it disables; ids that no rule has are rejected."""
+    return """
+WITH registry AS (SELECT DISTINCT rule_id FROM {findings}), repos AS (SELECT DISTINCT repo_id FROM {findings}),
+known AS (SELECT s.repo_id, s.rule_id, s.action FROM {rule_settings} s JOIN registry r ON r.rule_id = s.rule_id),
+named AS (SELECT repo_id, max(CASE WHEN action = 'ENABLE' THEN 1 ELSE 0 END) AS some FROM known GROUP BY repo_id)
+SELECT p.repo_id, r.rule_id, (coalesce(n.some, 0) = 0 OR e.rule_id IS NOT NULL) AND x.rule_id IS NULL AS active, false AS rejected
+FROM repos p JOIN registry r ON true LEFT JOIN named n ON n.repo_id = p.repo_id
+LEFT JOIN (SELECT DISTINCT repo_id, rule_id FROM known WHERE action = 'ENABLE') e ON e.repo_id = p.repo_id AND e.rule_id = r.rule_id
+LEFT JOIN (SELECT DISTINCT repo_id, rule_id FROM known WHERE action = 'DISABLE') x ON x.repo_id = p.repo_id AND x.rule_id = r.rule_id
+UNION ALL SELECT DISTINCT s.repo_id, s.rule_id, false, true FROM {rule_settings} s LEFT JOIN registry r ON r.rule_id = s.rule_id WHERE r.rule_id IS NULL"""
 
 
 def entropy(d: Dialect, x: str) -> str:

@@ -143,6 +143,14 @@ def test_diff_order_is_whole(spark):
     assert got == [*((i, -1, "NEW") for i in range(110)), (200, 300, "MODIFIED"), (201, 301, "UNCHANGED"), (-1, 302, "RESOLVED")]
 
 
+def test_rule_activation(spark):
+    f = spark.createDataFrame([finding(i, rule=r, repo=p) for i, (p, r) in enumerate([("a", "R1"), ("b", "R2"), ("c", "R3")])], FINDINGS)
+    s = spark.createDataFrame([("a", "R1", "ENABLE"), ("a", "R2", "ENABLE"), ("a", "R2", "DISABLE"), ("b", "R3", "DISABLE"), ("b", "GONE", "ENABLE")], "repo_id string, rule_id string, action string")
+    got = run(spark, "f_03_rule_activation", findings=f, rule_settings=s)
+    assert sorted(x[:2] for x in got if x[2]) == [("a", "R1"), ("b", "R1"), ("b", "R2"), ("c", "R1"), ("c", "R2"), ("c", "R3")]
+    assert [x for x in got if x[3]] == [("b", "GONE", False, True)] and len(got) == 10
+
+
 def test_frameworks_of_all_files(spark):
     f = spark.createDataFrame([(59, "src/a.py", "python"), (60, "src/b.py", "python"), (9000, "c.py", "python")], "pos long, path string, language string")
     assert sorted(run(spark, "s_09_framework_detection", files=f)) == [("django", 2.0, 0.8), ("flask", 1.0, 0.7)]
