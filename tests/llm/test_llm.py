@@ -618,13 +618,16 @@ def test_entries_have_their_columns_and_agree_with_their_sql(spark):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     columns = {
         "op1_exact_topk": "query_id bigint, rank int, vec_id bigint, score bigint", "op2_quality_cnn": "doc_id bigint, held_out boolean, score double, predicted int",
         "op3_toxicity": "doc_id bigint, held_out boolean, score double, predicted int", "op6_kdtree_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
         "op7_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string", "op8_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
         "op10_ngram_jaccard": "doc_id bigint, n_shingles bigint, component_id bigint",
+        "op11_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+        "op12_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
+        "op13_fim": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
     }
     plain = lambda v: round(v, 6) if isinstance(v, float) else v
     for name in sorted({*columns, *entry.ORACLE_SQL}):
