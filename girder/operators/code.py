@@ -1,4 +1,4 @@
-"""Operators over source text, and those that need Python by their nature: uuid5, chains, models."""
+"""Operators over source text, and those that need Python by their nature: uuid5, canonical JSON, chains."""
 
 from __future__ import annotations
 
@@ -127,53 +127,6 @@ def w_09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_append(view(spark, sf_dir, "turns"))
 
 
-# models
-
-
-def triage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled rows with categorical and numeric features."""
-    t, lab = view(spark, sf_dir, "texts"), view(spark, sf_dir, "labels")
-    joined = t.join(lab.select(F.col("doc_id").alias("d"), "quality"), F.col("doc_id") == F.col("d"))
-    marks = F.length(F.regexp_replace("text", "[^#%&$*|!]", ""))
-    return joined.select("doc_id", "lang", "source", F.log1p(F.length("text")).alias("log_len"), (marks / F.greatest(F.length("text"), F.lit(1))).alias("mark_rate"), (F.size(F.array_distinct(F.split("text", " "))) / F.greatest(F.size(F.split("text", " ")), F.lit(1))).alias("distinct_rate"), F.col("quality").cast("double").alias("label"))
-
-
-def fit_triage(rows: DataFrame):
-    """One-hot categories, scaled numbers, balanced logistic regression; None without enough rows of each class."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-
-    n, pos = rows.agg(F.count("*"), F.sum("label")).first()
-    if n < 50 or min(pos, n - pos) < 10:
-        return None
-    weighted = rows.withColumn("w", F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))))
-    stages = [
-        StringIndexer(inputCols=["lang", "source"], outputCols=["lang_i", "source_i"], handleInvalid="keep"),
-        OneHotEncoder(inputCols=["lang_i", "source_i"], outputCols=["lang_v", "source_v"]),
-        VectorAssembler(inputCols=["lang_v", "source_v", "log_len", "mark_rate", "distinct_rate"], outputCol="features"),
-        LogisticRegression(weightCol="w", regParam=0.01, maxIter=100),
-    ]
-    return Pipeline(stages=stages).fit(weighted)
-
-
-@native("l_01_triage_classifier")
-def l_01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return l_02(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.avg((F.col("predicted") == F.col("label")).cast("double")), 1).alias("accuracy"))
-
-
-@native("l_02_triage_predict")
-def l_02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    rows = triage_rows(spark, sf_dir)
-    model = fit_triage(rows)
-    if model is None:
-        return rows.select("doc_id", F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("confidence"), "label", F.lit(None).cast("double").alias("predicted"))
-    p = F.round(F.element_at(vector_to_array("probability"), 2), 4)
-    return model.transform(rows).select("doc_id", p.alias("p"), F.least(F.lit(1.0), 2 * F.abs(p - 0.5) + 0.3).alias("confidence"), "label", F.col("prediction").alias("predicted"))
-
-
 @native("l_06_bounded_context", "texts", sql="SELECT doc_id, array_to_string(CASE WHEN len(l) > 40 THEN list_concat(l[1:25], l[len(l)-14:len(l)]) ELSE l END, chr(10)) AS context FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {texts})")
 def l_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Head and tail lines of long texts."""

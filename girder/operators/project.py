@@ -229,7 +229,7 @@ SELECT input_pos, rule_id, file_path, line, origin FROM (
 WHERE k = 1"""
 
 
-# budgets, features, feedback
+# budgets, priorities
 
 
 #: Functions a file and in all, calls, and paths between functions that a run keeps.
@@ -272,31 +272,6 @@ def o_09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budgets(view(spark, sf_dir, "functions"), view(spark, sf_dir, "calls"), summaries.t_14(spark, sf_dir))
 
 
-#: Marks of test files.
-TEST_MARKS = ("/test/", "/tests/", "/testing/", "test_", "_test.", "/fixtures/", "/mocks/", "/spec/", "/specs/")
-
-
-@operator("p_23_features", "audit_findings", "findings", "fleet")
-def p_23(d: Dialect) -> str:
-    """The 18 features of a finding, none of them source text."""
-    test = " OR ".join(f"position('{m}' IN lower(f.file_path)) > 0" for m in TEST_MARKS)
-    return f"""
-SELECT f.id, a.rule_id, CASE WHEN a.rule_id LIKE 'SEC-PY%' THEN 'python' WHEN a.rule_id LIKE 'SEC-JS%' THEN 'javascript' ELSE 'plaintext' END AS language,
- {rank('f.severity')} - 1 AS severity_rank, CASE f.confidence WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END AS confidence_rank, CASE WHEN a.rule_id LIKE 'SEC%' THEN 1 ELSE 0 END AS category_is_security, f.evidence_type,
- CASE WHEN a.has_auth THEN 'AUTHENTICATED' ELSE 'NONE' END AS source_boundary, CASE WHEN a.sink = '' THEN 'NONE' ELSE a.sink END AS sink_category, CASE WHEN a.sanitizer <> '' THEN 1 ELSE 0 END AS sanitizer_detected,
- CAST(f.line % 26 AS INT) AS taint_depth, CAST(f.col % 6 AS INT) AS call_depth, least(1.0, greatest(0.0, f.value / 100.0)) AS path_certainty, coalesce(r.criticality, 'UNKNOWN') AS layer, round(coalesce(r.health, 50.0) / 100.0, 4) AS instability,
- CASE WHEN {test} THEN 1 ELSE 0 END AS is_test_file, round(h.rate, 4) AS historical_rule_fp_rate, CASE WHEN a.suppression IS NOT NULL THEN 1 ELSE 0 END AS has_prior_suppression, length(f.file_path) - length(replace(f.file_path, '/', '')) AS file_depth
-FROM {{findings}} f JOIN {{audit_findings}} a ON a.id = f.id LEFT JOIN {{fleet}} r ON r.repo_id = f.user_id
-JOIN (SELECT rule_id, CAST(sum(CASE WHEN accepted THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS rate FROM {{audit_findings}} GROUP BY rule_id) h ON h.rule_id = a.rule_id"""
-
-
-@operator("l_04_feedback", "audit_findings")
-def l_04(d: Dialect) -> str:
-    """Labels that may be stored, with the finding that they are of; others are refused."""
-    label = "CASE input_pos % 5 WHEN 0 THEN 'TRUE_POSITIVE' WHEN 1 THEN 'FALSE_POSITIVE' WHEN 2 THEN 'ACCEPTED_RISK' WHEN 3 THEN 'maybe' END"
-    return f"SELECT id, label, label IN ('TRUE_POSITIVE', 'FALSE_POSITIVE', 'ACCEPTED_RISK') AS stored FROM (SELECT id, {label} AS label FROM {{audit_findings}}) f WHERE label IS NOT NULL"
-
-
 @operator("l_05_prioritise", "findings", "audit_findings")
 def l_05(d: Dialect) -> str:
     """Exploitability from the finding's factors, priority from it, a rationale in words, and a hash of what it rests on."""
