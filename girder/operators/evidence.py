@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from girder.operators.findings import deductions
 from girder.plans.operator import Dialect, native, operator, view
 from girder.plans.views import VIEWS, View
 
-#: What in an expression gives which properties.
+#: What an expression starts with, or has in it, for which properties. A range takes one of each of two lists.
+TYPE_CASTS, TYPED = ("int(", "float(", "bool(", "Number(", "parseInt(", "parseFloat("), ("VALIDATED_TYPE", "TYPE_COERCED", "SQL_SAFE")
+RANGES, RANGED = ((">=", "<=", ">", "<"), ("and", "&&")), ("VALIDATED_RANGE",)
 PROPERTIES = (
-    (r"^\s*(int|float|bool|Number|parseInt|parseFloat)[(]", ("VALIDATED_TYPE", "TYPE_COERCED", "SQL_SAFE")),
-    (r"[<>].*(and|&&)|(and|&&).*[<>]", ("VALIDATED_RANGE",)),
-    (r" in |[.]includes[(]|[.]has[(]", ("VALIDATED_ENUM",)),
-    (r"quote[(]", ("COMMAND_SAFE", "SHELL_QUOTED")),
-    (r"escape[(]|DOMPurify[.]sanitize[(]", ("HTML_SAFE", "HTML_ESCAPED")),
-    (r"urllib[.]parse[.]quote[(]|encodeURIComponent[(]", ("URL_SAFE",)),
-    (r"sql[.]Literal[(]", ("SQL_SAFE",)),
-    (r"os[.]path[.]basename[(]|path[.]basename[(]|os[.]path[.]abspath[(]", ("PATH_SAFE", "PATH_NORMALIZED")),
+    ((" in ", ".includes(", ".has("), ("VALIDATED_ENUM",)),
+    (("shlex.quote(", "quote("), ("COMMAND_SAFE", "SHELL_QUOTED")),
+    (("html.escape(", "escape(", "DOMPurify.sanitize("), ("HTML_SAFE", "HTML_ESCAPED")),
+    (("urllib.parse.quote(", "encodeURIComponent("), ("URL_SAFE",)),
+    (("psycopg2.sql.Literal(", "sql.Literal("), ("SQL_SAFE",)),
+    (("os.path.basename(", "path.basename(", "os.path.abspath("), ("PATH_SAFE", "PATH_NORMALIZED")),
 )
 #: Properties of which any makes a value safe for a sink.
 SAFE = (
@@ -28,40 +32,112 @@ SAFE = (
     ("CODE_EVAL", ("VALIDATED_TYPE", "TYPE_COERCED", "VALIDATED_FORMAT", "VALIDATED_ENUM")),
     ("FILE_PATH", ("VALIDATED_TYPE", "TYPE_COERCED", "PATH_SAFE", "PATH_NORMALIZED", "VALIDATED_ENUM")),
 )
-_EXPRESSIONS = ("int(a)", "shlex.quote(a)", "html.escape(a)", "a in ALLOWED", "a > 1 and a < 5", "encodeURIComponent(a)", "psycopg2.sql.Literal(a)", "os.path.basename(a)", "a + b", "parseInt(a, 10)")
-#: What each of those expressions has, for the oracle.
-_EXPECTED = ("SQL_SAFE,TYPE_COERCED,UNTRUSTED,VALIDATED_TYPE", "COMMAND_SAFE,SHELL_QUOTED,UNTRUSTED", "HTML_ESCAPED,HTML_SAFE,UNTRUSTED", "UNTRUSTED,VALIDATED_ENUM", "UNTRUSTED,VALIDATED_RANGE", "UNTRUSTED,URL_SAFE", "SQL_SAFE,UNTRUSTED", "PATH_NORMALIZED,PATH_SAFE,UNTRUSTED", "UNTRUSTED", "SQL_SAFE,TYPE_COERCED,UNTRUSTED,VALIDATED_TYPE")
+#: Properties that hold where branches meet if they hold on any of them, and the objects that a name may stand for.
+UNSAFE, MOST_OBJECTS = ("UNTRUSTED", "UNKNOWN"), 4
+
+# a line of an order is a branch, and the order the place where its branches meet: what the line's value went through, from within, what it
+# may stand for, and what a test of it showed
+VIEWS["branches"] = View(
+    ("lineitem",),
+    """
+SELECT l_orderkey AS point, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS INT) AS branch,
+       concat('p', CAST(l_partkey AS STRING)) AS part, concat('s', CAST(l_suppkey AS STRING)) AS supplier, l_returnflag = 'R' AS escaped, l_returnflag = 'A' AS quoted, l_tax > 0.06 AS cast_type, l_linestatus = 'F' AS based,
+       l_discount > 0.08 AS listed, l_quantity > 45 AS ranged, CASE WHEN l_tax > 0.06 THEN 'int' WHEN l_tax > 0.02 THEN 'str' END AS refined_type, l_quantity > 20 AS is_numeric
+FROM {lineitem}""".strip(),
+)
+_WRITTEN = """
+SELECT *, concat(CASE WHEN based THEN 'os.path.basename(' ELSE '' END, CASE WHEN cast_type THEN ' int(' ELSE '' END, CASE WHEN escaped THEN 'html.escape(' WHEN quoted THEN 'shlex.quote(' ELSE '' END, part,
+ CASE WHEN escaped OR quoted THEN ')' ELSE '' END, CASE WHEN cast_type THEN ')' ELSE '' END, CASE WHEN based THEN ')' ELSE '' END, CASE WHEN listed THEN ' in ALLOWED' ELSE '' END, CASE WHEN ranged THEN ' > 1 and true' ELSE '' END) AS expr
+FROM {branches}"""
+#: The properties of a branch by what its value went through, for the oracles: a cast counts only where nothing is around it.
+_HELD = """SELECT b.*, list_sort(list_filter(['UNTRUSTED', CASE WHEN cast_type AND NOT based THEN 'VALIDATED_TYPE' END, CASE WHEN cast_type AND NOT based THEN 'TYPE_COERCED' END, CASE WHEN cast_type AND NOT based THEN 'SQL_SAFE' END, CASE WHEN ranged THEN 'VALIDATED_RANGE' END, CASE WHEN listed THEN 'VALIDATED_ENUM' END,
+ CASE WHEN quoted THEN 'COMMAND_SAFE' END, CASE WHEN quoted THEN 'SHELL_QUOTED' END, CASE WHEN escaped THEN 'HTML_SAFE' END, CASE WHEN escaped THEN 'HTML_ESCAPED' END, CASE WHEN based THEN 'PATH_SAFE' END, CASE WHEN based THEN 'PATH_NORMALIZED' END], lambda x: x IS NOT NULL)) AS properties FROM {branches} b"""
+
 
-_case = lambda by, values: f"CASE {by} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
-VIEWS["expressions"] = View(("part",), f"SELECT p_partkey AS fn, p_brand AS branch, {_case(f'p_partkey % {len(_EXPRESSIONS)}', _EXPRESSIONS)} AS expr, {_case(f'p_partkey % {len(_EXPRESSIONS)}', _EXPECTED)} AS expected FROM {{part}}")
+def properties(expr: Column | str = "expr", before: Column | None = None) -> Column:
+    """The sorted set of properties that an expression's text shows, with those held before; what came in is untrusted. A null text shows none."""
+    text = F.trim(F.col(expr) if isinstance(expr, str) else expr)
+    some = lambda words: reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+    tests = [(reduce(or_, [F.startswith(text, F.lit(w)) for w in TYPE_CASTS]), TYPED), (some(RANGES[0]) & some(RANGES[1]), RANGED), *((some(words), names) for words, names in PROPERTIES)]
+    held = [F.when(test, F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>")) for test, names in tests]
+    return F.array_sort(F.array_distinct(F.concat(F.array(F.lit("UNTRUSTED")) if before is None else before, *held)))
 
 
-def properties(expr: str = "expr"):
-    """The sorted set of properties that an expression's text shows; what came in is untrusted."""
-    held = [F.when(F.col(expr).rlike(p), F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>")) for p, names in PROPERTIES]
-    return F.array_sort(F.array_distinct(F.concat(F.array(F.lit("UNTRUSTED")), *held)))
+def safe_for(held: Column) -> Column:
+    """(sink, safe) for each kind of sink: whether any of the properties is held that make a value safe for it."""
+    return F.array(*[F.struct(F.lit(k).alias("sink"), F.arrays_overlap(held, F.array(*map(F.lit, ps))).alias("safe")) for k, ps in SAFE])
 
 
-@native("p_27_security_properties", "expressions", sql="SELECT fn, expected AS properties FROM {expressions}")
+def met_properties(states: DataFrame) -> DataFrame:
+    """(point, property) where the branches (point, properties) meet: an unsafe one on any of them stays, all others must hold on all."""
+    n = states.groupBy("point").agg(F.count("*").alias("n"))
+    held = states.select("point", F.explode(F.array_distinct("properties")).alias("property")).groupBy("point", "property").agg(F.count("*").alias("k"))
+    return held.join(n, "point").where(F.col("property").isin(*UNSAFE) | (F.col("k") == F.col("n"))).select("point", "property")
+
+
+def met_objects(objects: DataFrame, most: int = MOST_OBJECTS) -> DataFrame:
+    """(point, name, objects, unknown, ambiguous, truncated) of rows (point, name, object, unknown, ambiguous, truncated): the first of the united objects, in order.
+
+    A branch whose name stands for nothing known has a row with a null object. The order of merges does not matter: the first few of a
+    union are the first few of the parts' first few, so no point's objects meet in one task before all but these are gone.
+    """
+    flags = objects.groupBy("point", "name").agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("unknown", "ambiguous", "truncated")])
+    place = F.row_number().over(W.partitionBy("point", "name").orderBy("object"))
+    first = objects.where("object is not null").select("point", "name", "object").distinct().withColumn("place", place).where(F.col("place") <= most + 1)
+    few = first.groupBy("point", "name").agg(F.array_sort(F.collect_list("object")).alias("all"))
+    size = F.coalesce(F.size("all"), F.lit(0))
+    kept = F.coalesce(F.slice("all", 1, most), F.array().cast("array<string>"))
+    return flags.join(few, ["point", "name"], "left").select("point", "name", kept.alias("objects"), "unknown", (F.col("ambiguous") | (F.least(size, F.lit(most)) > 1)).alias("ambiguous"), (F.col("truncated") | (size > most)).alias("truncated"))
+
+
+def met_facts(states: DataFrame, facts: DataFrame) -> DataFrame:
+    """(point, name, refined_type, is_numeric): of the first branch of a point, the facts that every other one confirms.
+
+    ``states``: (point, branch), a row a branch; ``facts``: (point, branch, name, refined_type, is_numeric). A branch confirms a fact with one on the
+    same name and type, or if both say that it is a number in digits.
+    """
+    n = states.groupBy("point").agg(F.count("*").alias("n"), F.min("branch").alias("branch"))
+    first = facts.join(n, ["point", "branch"]).select("point", "name", "refined_type", "is_numeric", "n").distinct()
+    said = facts.select("point", "name", F.col("branch").alias("b"), F.col("refined_type").alias("t"), F.col("is_numeric").alias("d")).distinct()
+    met = first.join(said, ["point", "name"]).where((F.col("t") == F.col("refined_type")) | (F.col("d") & F.col("is_numeric")))
+    keys = ["point", "name", "refined_type", "is_numeric", "n"]
+    own = first.where("n = 1").select(*keys[:-1])
+    return own.unionByName(met.where("n > 1").select(*keys, "b").distinct().groupBy(*keys).agg(F.count("*").alias("k")).where("k = n").select(*keys[:-1])).distinct()
+
+
+def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_WRITTEN, branches=view(spark, sf_dir, "branches"))
+
+
+@native("p_27_security_properties", "branches", sql=f"SELECT point, branch, array_to_string(properties, ',') AS properties FROM ({_HELD}) h")
 def p_27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "expressions").select("fn", F.array_join(properties(), ",").alias("properties"))
+    return _branches(spark, sf_dir).select("point", "branch", F.array_join(properties(), ",").alias("properties"))
 
 
-@native("p_28_sink_safety", "expressions", sql="SELECT e.fn, s.sink, max(CASE WHEN list_contains(string_split(e.expected, ','), s.p) THEN 1 ELSE 0 END) = 1 AS safe FROM {expressions} e, (VALUES " + ", ".join(f"('{k}', '{p}')" for k, ps in SAFE for p in ps) + ") s(sink, p) GROUP BY e.fn, s.sink")
+@native("p_28_sink_safety", "branches", sql=f"SELECT h.point, h.branch, s.sink, bool_or(list_contains(h.properties, s.p)) AS safe FROM ({_HELD}) h, (VALUES " + ", ".join(f"('{k}', '{p}')" for k, ps in SAFE for p in ps) + ") s(sink, p) GROUP BY h.point, h.branch, s.sink")
 def p_28(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether an expression is safe for each kind of sink: it has any of the properties that make it so."""
-    held = view(spark, sf_dir, "expressions").select("fn", properties().alias("p"))
-    each = F.array(*[F.struct(F.lit(k).alias("sink"), F.arrays_overlap("p", F.array(*map(F.lit, ps))).alias("safe")) for k, ps in SAFE])
-    return held.select("fn", F.explode(each).alias("s")).select("fn", "s.*")
+    """Whether a value is safe for each kind of sink."""
+    return _branches(spark, sf_dir).select("point", "branch", F.explode(safe_for(properties())).alias("s")).select("point", "branch", "s.*")
+
+
+_MET = f"""WITH h AS ({_HELD}), o AS (SELECT point, list_sort(list_distinct(list_concat(list(part), list(supplier)))) AS l FROM {{branches}} GROUP BY point)
+SELECT point, 'property' AS kind, p AS value FROM (SELECT point, unnest(properties) AS p FROM h) x GROUP BY point, p HAVING p IN ('UNTRUSTED', 'UNKNOWN') OR count(*) = (SELECT count(*) FROM {{branches}} b WHERE b.point = x.point)
+UNION ALL SELECT point, 'object', unnest(l[1:{MOST_OBJECTS}]) FROM o UNION ALL SELECT point, 'points-to', 'ambiguous' FROM o WHERE len(l) > 1 UNION ALL SELECT point, 'points-to', 'truncated' FROM o WHERE len(l) > {MOST_OBJECTS}
+UNION ALL SELECT f.point, 'fact', f.refined_type FROM {{branches}} f WHERE f.branch = 1 AND f.refined_type IS NOT NULL
+ AND NOT EXISTS (SELECT 1 FROM {{branches}} s WHERE s.point = f.point AND s.branch > 1 AND NOT coalesce(s.refined_type = f.refined_type OR (s.refined_type IS NOT NULL AND s.is_numeric AND f.is_numeric), false))"""
 
 
-@native("u_07_refinement_join", "expressions", sql="SELECT e.branch, p, CAST(least(4, max(e.n)) AS INTEGER) AS candidates FROM (SELECT branch, unnest(string_split(expected, ',')) AS p, count(*) OVER (PARTITION BY branch) AS n FROM {expressions}) e GROUP BY e.branch, p HAVING p IN ('UNTRUSTED', 'UNKNOWN') OR count(*) = (SELECT count(*) FROM {expressions} x WHERE x.branch = e.branch)")
+@native("u_07_refinement_join", "branches", sql=_MET)
 def u_07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where branches meet: what is unsafe on any stays, what is safe must be so on all; candidates are united up to four."""
-    e = view(spark, sf_dir, "expressions").select("branch", "fn", properties().alias("p"))
-    size = e.groupBy("branch").agg(F.count("*").alias("n"))
-    held = e.select("branch", F.explode("p").alias("p")).groupBy("branch", "p").agg(F.count("*").alias("k"))
-    return held.join(size, "branch").where("p in ('UNTRUSTED', 'UNKNOWN') or k = n").select("branch", "p", F.least(F.lit(4), F.col("n")).cast("int").alias("candidates"))
+    """Where branches meet: properties that stay, the objects that are left of the united ones, and facts that all branches confirm."""
+    b = _branches(spark, sf_dir)
+    held = met_properties(b.select("point", properties().alias("properties"))).select("point", F.lit("property").alias("kind"), F.col("property").alias("value"))
+    none = [F.lit(False).alias(c) for c in ("unknown", "ambiguous", "truncated")]
+    o = met_objects(b.select("point", F.lit("v").alias("name"), F.explode(F.array("part", "supplier")).alias("object"), *none))
+    flags = F.array_compact(F.array(F.when(F.col("ambiguous"), "ambiguous"), F.when(F.col("truncated"), "truncated")))
+    facts = met_facts(b.select("point", "branch"), b.where("refined_type is not null").select("point", "branch", F.lit("v").alias("name"), "refined_type", "is_numeric"))
+    parts = [o.select("point", F.lit("object").alias("kind"), F.explode("objects").alias("value")), o.select("point", F.lit("points-to").alias("kind"), F.explode(flags).alias("value")), facts.select("point", F.lit("fact").alias("kind"), F.col("refined_type").alias("value"))]
+    return reduce(DataFrame.unionByName, parts, held)
 
 
 # evidence chains
