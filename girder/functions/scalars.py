@@ -197,6 +197,44 @@ def s_14(d: Dialect) -> str:
     return "SELECT o_orderkey, o_totalprice FROM {orders_v} WHERE o_orderstatus = 'P' AND o_totalprice > 100000"
 
 
+# responses: what a model could have said of the finding in a document's file. What it cites are the first two words of a document that may be the same
+VIEWS["responses"] = View(
+    ("documents", "files"),
+    """
+SELECT d.doc_id AS response_id, concat('F', CAST(d.doc_id AS STRING)) AS target_id, CASE WHEN length(d.text) % 9 > 0 THEN concat('F', CAST(d.doc_id - d.doc_id % 4 AS STRING)) END AS finding_id, f.path AS target_path,
+       CASE length(d.text) % 7 WHEN 0 THEN NULL WHEN 1 THEN concat(' ', replace(f.path, '/', chr(92)), ' ') WHEN 2 THEN concat('/', f.path) ELSE f.path END AS patch_path, length(d.text) / 500.0 - 0.5 AS confidence,
+       concat(CASE WHEN length(d.text) % 5 = 0 THEN '' ELSE concat('--- a/', f.path, chr(10)) END, '+++ b/', f.path, chr(10), '@@ -1 +1 @@') AS unified_diff, d.text AS snippet, CAST(length(d.text) % 40 AS INT) AS line_start,
+       CASE WHEN d.lang = 'en' THEN CAST(length(d.source) * 4 AS INT) END AS line_end, coalesce(o.text, d.text) AS cites, d.text AS enclosing
+FROM {documents} d LEFT JOIN {files} f ON f.pos = d.doc_id + 1 LEFT JOIN {documents} o ON o.doc_id = d.doc_id + length(d.text) % 2""".strip(),
+)
+
+
+@operator("l_08_response_validation", "responses", "files")
+def l_08_response(d: Dialect) -> str:
+    """What is left of a model's response about a finding: its id set right, confidence within bounds, the patch or why it is dropped, and what is not grounded.
+
+    ``patch`` is KEPT, NONE where there is none, or the first test that it fails: it is of another file (OTHER_FILE), leaves the repository (TRAVERSAL), its
+    file is not there (NO_FILE), the diff has no header (NO_HEADER), or the new text holds what looks like a secret (SECRET). Null texts are empty.
+    ``problems``: lines that cannot be (LINES), no such file (FILE), and symbols that the code does not hold (SYMBOLS); ``unknown_symbols`` are the
+    distinct ones, first words of ``cites``, in order. A null confidence counts as 0.
+    """
+    clean = lambda x: f"trim(replace({x}, chr(92), '/'))"
+    secret = " OR ".join(d.has("coalesce(r.snippet, '')", pattern) for pattern, _ in SCRUB)
+    words = d.split("coalesce(r.cites, '')", " ")
+    cited = f"array_distinct(filter(array({d.at(words, '1')}, {d.at(words, '2')}), c -> trim(coalesce(c, '')) <> '' AND position(trim(c) IN coalesce(r.enclosing, '')) = 0))"
+    if d.name == "duckdb":
+        cited = f"list_filter([{d.at(words, '1')}, CASE WHEN {d.at(words, '2')} <> {d.at(words, '1')} THEN {d.at(words, '2')} END], lambda c: trim(coalesce(c, '')) <> '' AND position(trim(c) IN coalesce(r.enclosing, '')) = 0)"
+    text = "array_join(u, ',')" if d.name == "spark" else "array_to_string(u, ',')"
+    size = "size(u)" if d.name == "spark" else "len(u)"
+    return f"""
+SELECT response_id, target_id AS finding_id, finding_id IS NOT NULL AND finding_id <> target_id AS corrected, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), CAST(coalesce(confidence, 0) AS DOUBLE))) AS confidence,
+ CASE WHEN patch_path IS NULL THEN 'NONE' WHEN p <> coalesce(t, '') THEN 'OTHER_FILE' WHEN position('..' IN p) > 0 OR p LIKE '/%' THEN 'TRAVERSAL' WHEN NOT there THEN 'NO_FILE'
+      WHEN position('--- a/' IN coalesce(unified_diff, '')) = 0 OR position('+++ b/' IN coalesce(unified_diff, '')) = 0 THEN 'NO_HEADER' WHEN secret THEN 'SECRET' ELSE 'KEPT' END AS patch,
+ concat_ws(',', CASE WHEN coalesce(line_start, 0) < 1 OR coalesce(line_end < line_start, false) THEN 'LINES' END, CASE WHEN NOT there THEN 'FILE' END, CASE WHEN {size} > 0 THEN 'SYMBOLS' END) AS problems, {text} AS unknown_symbols
+FROM (SELECT r.*, {clean("r.patch_path")} AS p, {clean("r.target_path")} AS t, f.path IS NOT NULL AS there, {secret} AS secret, {cited} AS u
+      FROM {{responses}} r LEFT JOIN (SELECT DISTINCT path FROM {{files}}) f ON f.path = {clean("r.target_path")}) x"""
+
+
 @operator("l_08_patch_validation", "files")
 def l_08(d: Dialect) -> str:
     return f"SELECT pos, {d.has('path', '[.][.]')} OR path LIKE '/%' AS traversal, {d.has('path', '[.](py|ts|js|go)$')} AS known_kind FROM {{files}}"

@@ -202,17 +202,21 @@ FROM {{audit_findings}} f JOIN ({accepted}) b ON b.rule_id = f.rule_id LEFT JOIN
 LEFT JOIN ({accepted}) a ON a.rule_id = f.rule_id AND a.category = c.category LEFT JOIN ({types}) t ON t.rule_id = f.rule_id AND t.value_type = f.value_type LEFT JOIN ({formats}) o ON o.rule_id = f.rule_id AND o.value_format = f.value_format"""
 
 
-@operator("c_12_affected_boundary_rules", "audit_findings")
-def c_12(d: Dialect) -> str:
-    """Boundary rules that a change of a sanitizer's or sink's category touches: it is among what they accept, or is their sink."""
-    accepted = _rows([(r, a) for r, a, _, _, _ in BOUNDARIES], "rule_id, category")
-    return f"SELECT a.rule_id, count(*) AS findings FROM ({accepted}) a JOIN {{audit_findings}} f ON f.sink = a.category OR (f.sink = '' AND f.rule_id = a.rule_id) GROUP BY a.rule_id"
-
-
 VIEWS["policy_catalog"] = View(
     ("supplier",),
     f"SELECT s_suppkey AS policy_id, {_pick(SINKS, 's_nationkey % 4')} AS sink, CAST(s_nationkey AS INT) AS boundary, s_acctbal > 0 AS require_auth, CAST(s_suppkey % 3 AS INT) AS version FROM {{supplier}}",
 )
+VIEWS["sanitizer_changes"] = View(("policy_catalog",), "SELECT policy_id AS change_id, CASE WHEN boundary % 5 = 4 THEN 'FILE_PATH' ELSE sink END AS category FROM {policy_catalog} WHERE version > 0")
+
+
+@operator("c_12_affected_boundary_rules", "sanitizer_changes", "audit_findings")
+def c_12(d: Dialect) -> str:
+    """Boundary rules that a change of a sanitizer or sink touches, as its category is among those that the rule accepts or is the rule's sink, and how many findings are to be looked at again.
+
+    A rule without findings counts none; a category of no rule touches none. Findings are counted a rule before changes meet them.
+    """
+    accepted = _rows([(r, a) for r, accepts, _, _, _ in BOUNDARIES for a in accepts.split()], "rule_id, category")
+    return f"SELECT c.change_id, c.category, a.rule_id, coalesce(n.findings, 0) AS findings FROM {{sanitizer_changes}} c JOIN ({accepted}) a ON a.category = c.category LEFT JOIN (SELECT rule_id, count(*) AS findings FROM {{audit_findings}} GROUP BY rule_id) n ON n.rule_id = a.rule_id"
 
 
 @operator("a_28_policy_conflicts", "policy_catalog")
