@@ -6,6 +6,7 @@ import hashlib
 import json
 import unicodedata
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -30,12 +31,21 @@ TEMPLATES = (
 # ids and canonical forms
 
 
-@F.pandas_udf(StringType())
-def uuid5(names: pd.Series) -> pd.Series:
-    return names.map(lambda x: None if x is None else str(uuid.uuid5(uuid.NAMESPACE_URL, x)))
+def uuid5(name: Column, namespace: uuid.UUID = uuid.NAMESPACE_URL) -> Column:
+    """Version 5 of a name in a namespace; null for a null name: SHA-1 of both, 16 bytes of it, with the version and the variant set."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.hex)), F.encode(name, "UTF-8")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
+    parts = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    return F.when(name.isNotNull(), parts)
+
+
+_NAME = "concat_ws(':', rule_id, file_path, CAST(line AS VARCHAR), CAST(col AS VARCHAR))"
+
 
+_HASHED = f"SELECT input_pos, sha1(unhex('{uuid.NAMESPACE_URL.hex}') || encode({_NAME})) AS h FROM {{findings}}"
 
-@native("p_07_uuid5")
+
+@native("p_07_uuid5", "findings", sql=f"SELECT input_pos, concat_ws('-', h[1:8], h[9:12], concat('5', h[14:16]), concat(substr('89ab', CAST(concat('0x', h[17]) AS INTEGER) % 4 + 1, 1), h[18:20]), h[21:32]) AS uuid FROM ({_HASHED}) f")
 def p_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = view(spark, sf_dir, "findings")
     return f.select("input_pos", uuid5(F.concat_ws(":", "rule_id", "file_path", F.col("line").cast("string"), F.col("col").cast("string"))).alias("uuid"))
@@ -63,7 +73,10 @@ def canonical(rows: pd.Series) -> pd.Series:
     return rows.map(lambda t: None if t is None else canonical_json(json.loads(t)))
 
 
-@native("p_26_canonical_json")
+_CANONICAL = """concat('{"file_path":"', file_path, '","line":', CAST(line AS VARCHAR), ',"rule_id":"', rule_id, '","value":', CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END, '}')"""
+
+
+@native("p_26_canonical_json", "findings", sql=f"SELECT input_pos, sha256({_CANONICAL}) AS digest FROM {{findings}}")
 def p_26(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = view(spark, sf_dir, "findings")
     return f.select("input_pos", F.sha2(canonical(F.to_json(F.struct("rule_id", "file_path", "line", "value"))), 256).alias("digest"))
@@ -104,18 +117,26 @@ def p_03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chain_append(events: DataFrame) -> DataFrame:
-    """(conv_id, turn, prev_hash, event_hash): each chain folded in order; chains are independent groups."""
-
-    def fold(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t.column("turn").to_pylist(), t.column("role").to_pylist(), t.column("text").to_pylist(), strict=True), key=lambda r: r[0])
-        prev, out = "0" * 64, []
-        for turn, role, text in rows:
-            h = hashlib.sha256(f"{turn}|{role}|{text}|{prev}".encode()).hexdigest()
-            out.append((turn, prev, h))
-            prev = h
-        return pa.table({"conv_id": pa.array([t.column("conv_id")[0].as_py()] * len(out), pa.int64()), "turn": pa.array([r[0] for r in out], pa.int64()), "prev_hash": [r[1] for r in out], "event_hash": [r[2] for r in out]})
-
-    return events.select("conv_id", "turn", "role", "text").groupBy("conv_id").applyInArrow(fold, "conv_id long, turn long, prev_hash string, event_hash string")
+    """(conv_id, turn, prev_hash, event_hash): each chain folded in order of turn, role and text; chains are independent.
+
+    A hash needs the one before, so a chain passes one task, but as a sorted stream: what a task holds of it is a batch and the last hash.
+    Nulls count as the word None; chains without an id are one chain.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, prev = object(), ""
+        for b in batches:
+            before, after = [], []
+            for conv, turn, role, text in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                if conv != chain:
+                    chain, prev = conv, "0" * 64
+                before.append(prev)
+                prev = hashlib.sha256(f"{turn}|{role}|{text}|{prev}".encode()).hexdigest()
+                after.append(prev)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(before, pa.string()), pa.array(after, pa.string())], ["conv_id", "turn", "prev_hash", "event_hash"])
+
+    rows = events.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(fold, "conv_id long, turn long, prev_hash string, event_hash string")
 
 
 @native(

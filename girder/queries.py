@@ -24,6 +24,7 @@ import girder.operators.source_code
 import girder.operators.summaries
 import girder.operators.triage
 import girder.sources.cache
+import girder.sources.extract
 import girder.sources.sinks
 from girder.plans.operator import NATIVE, REGISTRY
 

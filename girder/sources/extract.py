@@ -14,27 +14,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.code import flow, python
+from girder.plans.operator import native, view
+from girder.plans.views import VIEWS, View
 
 FACTS = "path string, kind string, name string, detail string, line int, end_line int, scope string"
 _SCHEMA = pa.schema([("path", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("detail", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("scope", pa.string())])
 
 #: Limits of a scan.
 MOST_BYTES, MINIFIED_CHARS = 5_000_000, 8000
-EXTENSIONS = ("py", "js", "jsx", "ts", "tsx", "go")
+LANGUAGES = {"py": "PYTHON", "js": "JAVASCRIPT", "jsx": "JAVASCRIPT", "mjs": "JAVASCRIPT", "cjs": "JAVASCRIPT", "ts": "TYPESCRIPT", "tsx": "TYPESCRIPT", "go": "GO"}
+MANIFESTS = ("package.json", "requirements.txt", "pyproject.toml", "pipfile", "manage.py")
 EXCLUDED = ("node_modules", ".git", "dist", "build", "vendor", "__pycache__", ".venv")
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """(path, extension, size_bytes, content, line_count) of the source files below a folder, by Spark's binary reader."""
+def catalogued(listing: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Of files (relative_path, size_bytes, content as bytes), with whatever else is known of them, those that an audit reads: with extension, language, line_count, is_source and is_manifest.
+
+    Files below an excluded folder are left out. A source file has a known extension, is not larger than the bound, has no zero byte among its first
+    1,024 and a line end among its first 8,000 characters, if it has as many; its content comes as text, with bytes that are no UTF-8 replaced. A
+    manifest goes by its name; one that is no source file as well has neither text nor lines. Null contents are empty.
+    """
+    parts = F.split("relative_path", "/")
+    ext = F.lower(F.regexp_extract("relative_path", r"[^/][.]([^./]+)$", 1))
+    name = F.element_at(parts, -1)
+    bytes_ = F.coalesce(F.col("content"), F.lit(b""))
+    text = F.make_valid_utf8(bytes_.cast("string"))
+    language = F.element_at(F.create_map(*[F.lit(v) for pair in LANGUAGES.items() for v in pair]), ext)
+    excluded = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, EXCLUDED)))
+    binary = F.position(F.lit(b"\0"), F.substring(bytes_, 1, 1024)) > 0
+    minified = (F.length(text) >= MINIFIED_CHARS) & ~F.contains(F.substring(text, 1, MINIFIED_CHARS), F.lit("\n"))
+    source = F.coalesce(language.isNotNull() & (F.col("size_bytes") <= most_bytes) & ~binary & ~minified, F.lit(False))
+    # names and sizes are looked at before any content
+    rows = listing.where(~excluded & (language.isNotNull() | F.lower(name).isin(*MANIFESTS)))
+    rows = rows.withColumns({"extension": ext, "language": language, "is_source": source, "is_manifest": F.lower(name).isin(*MANIFESTS)}).where("is_source or is_manifest")
+    held = F.when(F.col("is_source"), text)
+    return rows.withColumn("line_count", F.when(F.col("is_source"), F.length(held) - F.length(F.replace(held, F.lit("\n"), F.lit(""))) + 1)).withColumn("content", held)
+
+
+def discover(spark: SparkSession, root: str, most_files: int | None = None) -> DataFrame:
+    """The source files and manifests below a folder (``catalogued``), by Spark's binary reader; beyond ``most_files`` files of any kind, an error."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.col("path")
-    ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    dirs = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
-    kept = raw.where(ext.isin(*EXTENSIONS) & (F.col("length") <= MOST_BYTES) & ~F.arrays_overlap(dirs, F.array(*map(F.lit, EXCLUDED))))
-    kept = kept.where(F.expr("position(X'00' IN substring(content, 1, 1024)) = 0"))
-    text = kept.select(path.alias("path"), ext.alias("extension"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("content"))
-    text = text.where(~((F.length("content") >= MINIFIED_CHARS) & ~F.substring("content", 1, MINIFIED_CHARS).contains("\n")))
-    return text.withColumn("line_count", F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1)
+    if most_files is not None and raw.select("path").limit(most_files + 1).count() > most_files:
+        raise ValueError(f"more than {most_files} files below {root}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    return catalogued(raw.select("path", F.substr("path", F.lit(len(base) + 2)).alias("relative_path"), F.col("length").alias("size_bytes"), "content"))
+
+
+# a repository of the documents and pages: their texts as files of many kinds and places
+VIEWS["repository_files"] = View(
+    ("documents", "pages"),
+    """
+SELECT concat(CASE length(t) % 5 WHEN 0 THEN 'node_modules/x/' WHEN 1 THEN 'src/' WHEN 2 THEN 'pkg/build/' WHEN 3 THEN '' ELSE 'a/b.c/d/' END, 'd', CAST(doc_id AS STRING),
+ CASE length(t) % 7 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.MJS' WHEN 3 THEN '.txt' WHEN 4 THEN '' WHEN 5 THEN '.test.go' ELSE '.jsx' END) AS relative_path, t AS text FROM (SELECT doc_id, coalesce(text, '') AS t FROM {documents}) d
+UNION ALL SELECT concat('web/p', CAST(page_id AS STRING), '/', CASE length(t) % 3 WHEN 0 THEN 'package.json' WHEN 1 THEN 'manage.py' ELSE 'bundle.js' END), t FROM (SELECT page_id, coalesce(html, '') AS t FROM {pages}) p""".strip(),
+)
+_KNOWN = ", ".join(f"('{e}', '{x}')" for e, x in LANGUAGES.items())
+_CATALOG = f"""SELECT relative_path, size_bytes, extension, language, is_source, is_manifest, CASE WHEN is_source THEN lines END AS line_count FROM (
+ SELECT f.*, k.language, size_bytes <= {MOST_BYTES} AND k.language IS NOT NULL AND NOT (length(text) >= {MINIFIED_CHARS} AND position(chr(10) IN substr(text, 1, {MINIFIED_CHARS})) = 0) AS is_source FROM (
+  SELECT relative_path, text, octet_length(encode(text)) AS size_bytes, lower(regexp_extract(relative_path, '[^/][.]([^./]+)$', 1)) AS extension, len(string_split(text, chr(10))) AS lines, regexp_extract(relative_path, '[^/]+$') IN {MANIFESTS} AS is_manifest
+  FROM {{repository_files}} WHERE NOT regexp_matches(relative_path, '(^|/)({"|".join(EXCLUDED).replace(".", "[.]")})/')) f LEFT JOIN (VALUES {_KNOWN}) k(e, language) ON k.e = f.extension) x WHERE is_source OR is_manifest"""
+
+
+@native("s_01_discovery", "repository_files", sql=_CATALOG)
+def s_01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of a repository is read: its source files and manifests."""
+    files = view(spark, sf_dir, "repository_files").select("relative_path", F.octet_length("text").alias("size_bytes"), F.encode("text", "UTF-8").alias("content"))
+    return catalogued(files).drop("content")
 
 
 def python_facts(source: str) -> Iterator[tuple[str, str, str, int, int, str]]:
