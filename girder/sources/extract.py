@@ -52,7 +52,11 @@ def catalogued(listing: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
 
 
 def discover(spark: SparkSession, root: str, most_files: int | None = None) -> DataFrame:
-    """The source files and manifests below a folder (``catalogued``), by Spark's binary reader; beyond ``most_files`` files of any kind, an error."""
+    """The source files and manifests below a folder (``catalogued``), by Spark's binary reader; beyond ``most_files`` files of any kind, an error.
+
+    That reader passes over empty files and over names that begin with a dot or an underscore (``__init__.py`` too); where those count, give
+    ``catalogued`` a listing of your own.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     if most_files is not None and raw.select("path").limit(most_files + 1).count() > most_files:
         raise ValueError(f"more than {most_files} files below {root}")
