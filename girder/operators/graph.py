@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from girder.plans.operator import Dialect, native, operator, view
 from girder.plans.scratch import Scratch
+from girder.plans.views import VIEWS, View
 
 @operator("a_03_fan_in_out", "edges", "modules")
 def a_03(d: Dialect) -> str:
@@ -262,9 +263,20 @@ def component_cycles(edges: DataFrame) -> DataFrame:
     return parts.groupBy("scc").agg(F.count("*").alias("members")).where("members >= 2")
 
 
-@native("arc_006_component_cycle", "component_edges", sql="WITH RECURSIVE r AS (SELECT src AS a, tgt AS b FROM {component_edges} UNION SELECT r.a, e.tgt FROM r JOIN {component_edges} e ON r.b = e.src), s AS (SELECT x.a AS id, min(x.b) AS scc FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a) SELECT scc, count(*) AS members FROM s GROUP BY scc HAVING count(*) >= 2")
+# every import between packages that third parts make, whichever way it goes
+VIEWS["component_imports"] = View(
+    ("lineitem", "modules"),
+    """
+SELECT a.component AS src, b.component AS tgt, count(*) AS weight
+FROM {lineitem} x JOIN {lineitem} y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 JOIN {modules} a ON a.id = x.l_partkey JOIN {modules} b ON b.id = y.l_partkey
+WHERE x.l_linenumber = 3 AND x.l_returnflag = 'R' AND x.l_linestatus = 'F' AND a.component <> b.component GROUP BY a.component, b.component""".strip(),
+)
+
+
+@native("arc_006_component_cycle", "component_imports", sql="WITH RECURSIVE r AS (SELECT src AS a, tgt AS b FROM {component_imports} UNION SELECT r.a, e.tgt FROM r JOIN {component_imports} e ON r.b = e.src), s AS (SELECT x.a AS id, min(x.b) AS scc FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a) SELECT scc, count(*) AS members FROM s GROUP BY scc HAVING count(*) >= 2")
 def arc_006(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return component_cycles(_component_edges(spark, sf_dir))
+    """Cycles of components, over imports both to earlier packages and to later ones."""
+    return component_cycles(view(spark, sf_dir, "component_imports").select(F.col("src").alias("a"), F.col("tgt").alias("b")))
 
 
 @native("g_08_reverse_closure", "edges", sql="WITH RECURSIVE r AS (SELECT tgt AS a, src AS b FROM {edges} WHERE tgt IN (3, 5) UNION SELECT r.a, e.src FROM r JOIN {edges} e ON r.b = e.tgt) SELECT DISTINCT b AS affected FROM r")
