@@ -15,15 +15,17 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
+import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -327,6 +329,44 @@ def excel(findings: DataFrame, path: str, sheet_rows: int | None = None) -> None
     put(laid.select("entry", (F.col("at") + base).alias("at"), "data").union(small), path, sum(x[2] for x in entries), entries)
 
 
+def sheet_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(sheet, value): the lines of each sheet of a workbook, by ranges of bytes; the driver reads the archive's directory alone."""
+    fs, at = pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+    ranges = []
+    with fs.open_input_file(at) as f, zipfile.ZipFile(f) as book:
+        names = re.findall(r"<sheet name='([^']*)'", book.read("xl/workbook.xml").decode())
+        for k, name in enumerate(names, 1):
+            entry = book.getinfo(f"xl/worksheets/sheet{k}.xml")
+            start = entry.header_offset + header_bytes(entry.filename)
+            ranges += [(name, begin, min(begin + BUFFER, start + entry.file_size), start, start + entry.file_size) for begin in range(start, start + entry.file_size, BUFFER)]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+        with fs.open_input_file(at) as f:
+            for b in batches:
+                for name, begin, end, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    # the lines that begin in the range: the first one begins after a line's end, the last one may go on beyond
+                    f.seek(max(begin - 1, first))
+                    data = f.read(end - max(begin - 1, first))
+                    if begin > first:
+                        _, found, data = data.partition(b"\n")
+                        if not found:
+                            continue
+                    if not data:
+                        continue
+                    while not data.endswith(b"\n") and f.tell() < last:
+                        more = f.read(min(1 << 16, last - f.tell()))
+                        line, found, _ = more.partition(b"\n")
+                        data += line + found
+                        if found:
+                            break
+                    lines = data.decode().split("\n")
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array(lines)], ["sheet", "value"])
+
+    rows = spark.createDataFrame(ranges, "name string, begin long, end long, first long, last long").repartition(len(ranges))
+    return rows.mapInArrow(read, "sheet string, value string").where("value <> ''")
+
+
 #: What the format asks for beside the sheets.
 _NS = "http://schemas.openxmlformats.org"
 
