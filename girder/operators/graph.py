@@ -417,43 +417,52 @@ def g_17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("cycle", F.element_at(parts, -1).cast("long").alias("drop_src"), F.element_at(parts, 1).cast("long").alias("drop_tgt"))
 
 
-#: Sources whose shortest paths are held at a time.
-SOURCES_AT_ONCE = 1000
+#: Sources of the first batch, and pairs of a source and a node that a later batch is to have.
+SOURCES_AT_ONCE, PAIRS_AT_ONCE = 1000, 40_000_000
+#: Sources are dealt to batches by ranges of a hash below this.
+HASHES = 1 << 30
 
 
 def betweenness(edges: DataFrame, nodes: DataFrame, name: str = "bc") -> DataFrame:
     """(id, betweenness, in_degree, out_degree), directed, unweighted, normalised.
 
     Batches of sources: breadth-first levels forward as (source, node, level, paths), then each level's dependencies
-    backward from those of the next, so that every step is a join with the edges and nothing holds pairs of pairs.
+    backward from those of the next, so that every step is a join with the edges and nothing holds pairs of pairs. A batch has as many
+    sources as the pairs that the one before has met allow, so where ways are short all sources go in a few.
     """
     scratch = Scratch(edges.sparkSession, name)
     e = scratch.save(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    nodes = scratch.save(nodes.select("id").distinct(), "nodes")
+    nodes = scratch.save(nodes.select("id").distinct().withColumn("h", F.pmod(F.xxhash64("id"), F.lit(HASHES))), "nodes")
     n = nodes.count()
-    batches = max(1, -(-n // SOURCES_AT_ONCE))
     total: DataFrame | None = None
-    for batch in range(batches):
-        begin = nodes.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch)
+    begun, width, batch = 0, min(HASHES, -(-HASHES * SOURCES_AT_ONCE // max(n, 1))), 0
+    while begun < HASHES:
+        begin = nodes.where((F.col("h") >= begun) & (F.col("h") < begun + width))
         front = begin.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("level"), F.lit(1.0).alias("paths"))
         levels = [scratch.save(front, f"level-{batch}-0")]
-        known = levels[0].select("s", "v")
         while True:
             k = len(levels)
             step = levels[-1].join(e.select(F.col("a").alias("v"), "b"), "v").groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
+            known = levels[0].select("s", "v")
+            for x in levels[1:]:
+                known = known.union(x.select("s", "v"))
             step = scratch.save(step.join(known, ["s", "v"], "left_anti").select("s", "v", F.lit(k).alias("level"), "paths"), f"level-{batch}-{k}")
             if not step.take(1):
                 break
             levels.append(step)
-            known = scratch.save(known.union(step.select("s", "v")), f"known-{batch}-{k}")
-        later = levels[-1].select("s", F.col("v").alias("w"), F.col("paths").alias("pw"), F.lit(0.0).alias("dw"))
+        # what each node of a level owes to those of the next is summed up on its way back, before it meets the node's own paths
+        later = levels[-1].select("s", "v", (1 / F.col("paths")).alias("y"))
         for k in range(len(levels) - 2, 0, -1):
-            share = levels[k].join(e.select(F.col("a").alias("v"), F.col("b").alias("w")), "v").join(later, ["s", "w"])
-            share = share.groupBy("s", "v").agg(F.sum(F.col("paths") / F.col("pw") * (1 + F.col("dw"))).alias("x"))
-            mine = scratch.save(levels[k].join(share, ["s", "v"], "left").select("s", "v", "paths", F.coalesce("x", F.lit(0.0)).alias("x")), f"share-{batch}-{k}")
+            back = later.join(e.select("a", F.col("b").alias("v")), "v").groupBy("s", F.col("a").alias("v")).agg(F.sum("y").alias("y"))
+            mine = levels[k].join(back, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("y", F.lit(0.0))).alias("x"))
+            mine = scratch.save(mine, f"share-{batch}-{k}")
             part = mine.where("x > 0").groupBy(F.col("v").alias("id")).agg(F.sum("x").alias("x"))
             total = part if total is None else total.union(part)
-            later = mine.select("s", F.col("v").alias("w"), F.col("paths").alias("pw"), F.col("x").alias("dw"))
+            later = mine.select("s", "v", ((1 + F.col("x")) / F.col("paths")).alias("y"))
+        begun, batch = begun + width, batch + 1
+        if begun < HASHES:
+            pairs = sum(x.count() for x in levels)
+            width = max(1, min(HASHES - begun, width * PAIRS_AT_ONCE // max(pairs, 1)))
     share = total.groupBy("id").agg(F.sum("x").alias("x")) if total is not None else nodes.select("id", F.lit(0.0).alias("x"))
     pairs, other = max((n - 1) * (n - 2), 1), max(n - 1, 1)
     out_d, in_d = e.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("o")), e.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("i"))

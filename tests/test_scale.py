@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from girder.operators import source_code
+from girder.operators import graph, source_code
 from girder.queries import oracle_sql, queries
 from girder.sources import report
 from girder.sources.codebase import source_files
@@ -74,3 +74,24 @@ def test_rows_of_a_workbook_with_their_sheets(spark, tmp_path, monkeypatch, size
             book.writestr(name, text)
     monkeypatch.setattr(report, "BUFFER", size)
     assert sorted(map(tuple, report.sheet_lines(spark, path).collect())) == sorted((n, x) for n, lines in sheets.items() for x in lines)
+
+
+def test_betweenness_takes_all_sources_in_few_batches(spark, monkeypatch):
+    """The first batch shows how little a source meets; the second takes the rest, and batches change no value."""
+    edges = spark.createDataFrame([(3 * k, 3 * k + 1) for k in range(80)] + [(3 * k + 1, 3 * k + 2) for k in range(80)], "a long, b long")
+    nodes, saved, save = spark.range(240), [], graph.Scratch.save
+    monkeypatch.setattr(graph.Scratch, "save", lambda self, df, name: saved.append(name) or save(self, df, name))
+    monkeypatch.setattr(graph, "SOURCES_AT_ONCE", 10)
+    got = {r["id"]: r["betweenness"] for r in graph.betweenness(edges, nodes).collect()}
+    assert len([x for x in saved if x.startswith("level-") and x.endswith("-0")]) <= 2
+    assert got == {k: round(1 / (239 * 238), 4) if k % 3 == 1 else 0.0 for k in range(240)}
+    monkeypatch.setattr(graph, "PAIRS_AT_ONCE", 60)  # many small batches
+    small = [(1, 2), (2, 3), (3, 4), (1, 5), (5, 3), (4, 1)]
+    few, many = (sorted(map(tuple, graph.betweenness(spark.createDataFrame(small, "a long, b long"), spark.range(1, 6)).collect())) for _ in monkeypatch_sources(monkeypatch))
+    assert few == many and max(r[1] for r in few) > 0
+
+
+def monkeypatch_sources(monkeypatch):
+    for n in (1000, 1):
+        monkeypatch.setattr(graph, "SOURCES_AT_ONCE", n)
+        yield n
