@@ -77,13 +77,9 @@ def g_13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @native("s_12_baseline", "baseline_findings", sql="SELECT rule_id, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM {baseline_findings} GROUP BY rule_id")
 def s_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result is saved as one document and read back as the rows that comparison takes."""
-    b = view(spark, sf_dir, "baseline_findings")
-    place = F.struct("file_path", F.col("line").alias("line_start"), F.col("col").alias("col_start"))
-    # one document by its format: its rows meet in one writer, as the file is one
-    doc = b.select(F.struct("id", "rule_id", "severity", "category", F.col("snippet").alias("code_snippet"), place.alias("location")).alias("f")).agg(F.to_json(F.struct(F.collect_list("f").alias("findings"))).alias("value"))
-    folder = Scratch(spark, "baseline").folder
-    doc.write.text(folder)
-    return project.baseline(spark, folder).groupBy("rule_id").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
+    path = f"{Scratch(spark, 'baseline').folder}/baseline.json"
+    project.save_baseline(view(spark, sf_dir, "baseline_findings"), path)
+    return project.baseline(spark, path).groupBy("rule_id").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
 
 
 # caches
