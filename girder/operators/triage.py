@@ -96,7 +96,10 @@ def captured(reviews: DataFrame, featured: DataFrame) -> DataFrame:
     snapshot = featured.select("finding_id", F.struct(*CATEGORICAL, *NUMERIC).alias("features"))
     label = F.upper(F.trim("label"))
     status = F.when(~F.coalesce(label.isin(*LABELS), F.lit(False)), "UNKNOWN_LABEL").when(F.col("features").isNull(), "UNKNOWN_FINDING").otherwise("STORED")
-    rows = reviews.select("review_id", "finding_id", label.alias("label")).join(snapshot, "finding_id", "left").withColumn("status", status)
+    rows = reviews.select("review_id", "finding_id", label.alias("label"))
+    # most reviews may be of no finding: without a key they match nothing, and would meet in one task
+    none = rows.where("finding_id is null").withColumn("features", F.lit(None).cast(snapshot.schema["features"].dataType))
+    rows = rows.where("finding_id is not null").join(snapshot, "finding_id", "left").unionByName(none).withColumn("status", status)
     return rows.select("review_id", "finding_id", "label", "status", F.when(F.col("status") == "STORED", F.col("features")).alias("features"))
 
 
