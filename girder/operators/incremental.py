@@ -82,6 +82,57 @@ def applied(closure: DataFrame, lost: DataFrame, gained: DataFrame) -> DataFrame
     return closure.select(*PAIR).join(lost, PAIR, "left_anti").union(gained)
 
 
+# closures as words: a row (a, word, bits) holds which of the 64 nodes from 64 * word on a leads to
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("a", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def words(edges: DataFrame, name: str, start: DataFrame | None = None) -> DataFrame:
+    """The closure of edges (a, b) from 0 on, in words; with ``start``, words that nodes outside of the edges' beginnings already have.
+
+    Rounds pass on new bits alone.
+    """
+    scratch = Scratch(edges.sparkSession, name)
+    e = scratch.save(edges.select(F.col("a").alias("to"), F.col("b").alias("a")), "edges")  # what a leads to, to leads to as well
+    own = edges.select("a", F.floor(F.col("b") / 64).alias("word"), F.expr("shiftleft(1L, int(pmod(b, 64)))").alias("bits"))
+    if start is not None:
+        own = own.union(e.join(start, "a").select(F.col("to").alias("a"), "word", "bits"))
+    new = known = scratch.save(_merged(own), "new-0")
+    for k in count(1):
+        step = _merged(e.join(new, "a").select(F.col("to").alias("a"), "word", "bits"))
+        met = step.join(known.withColumnRenamed("bits", "had"), ["a", "word"], "left")
+        new = scratch.save(met.select("a", "word", F.expr("bits & ~coalesce(had, 0L)").alias("bits")).where("bits <> 0"), f"new-{k}")
+        if not new.take(1):
+            return known
+        known = scratch.save(_merged(known.union(new)), f"known-{k}")
+
+
+def pairs(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of words."""
+    bit = F.explode(F.expr("filter(sequence(0, 63), i -> getbit(bits, i) = 1)")).alias("bit")
+    return rows.select("a", "word", bit).select("a", (F.col("word") * 64 + F.col("bit")).alias("b"))
+
+
+def changed_words(old: DataFrame, new: DataFrame, closure: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that the closure (words of the old edges) loses and gains. Only nodes that lead to a changed edge are computed anew."""
+    scratch = Scratch(old.sparkSession, "changed-words")
+    tails = scratch.save(old.join(new, PAIR, "left_anti").union(new.join(old, PAIR, "left_anti")).select("a").distinct(), "tails")
+    back = scratch.save(old.union(new).distinct().select(F.col("b").alias("a"), F.col("a").alias("x")), "back")
+    front = hit = tails
+    for k in count(1):
+        front = scratch.save(back.join(front, "a", "left_semi").select(F.col("x").alias("a")).distinct().join(hit, "a", "left_anti"), f"front-{k}")
+        if not front.take(1):
+            break
+        hit = scratch.save(hit.union(front), f"hit-{k}")
+    before = closure.join(hit, "a", "left_semi")
+    after = words(new.join(hit, "a", "left_semi"), "changed", closure.join(hit, "a", "left_anti"))
+    both = scratch.save(before.withColumnRenamed("bits", "x").join(after.withColumnRenamed("bits", "y"), ["a", "word"], "full"), "both")
+    only = lambda x, y: pairs(both.select("a", "word", F.expr(f"coalesce({x}, 0L) & ~coalesce({y}, 0L)").alias("bits")).where("bits <> 0"))
+    return only("x", "y"), only("y", "x")
+
+
 # a commit takes small modules away and brings others
 VIEWS["old_edges"] = View(("edges", "modules"), "SELECT e.src AS a, e.tgt AS b FROM {edges} e JOIN {modules} m ON m.id = e.tgt JOIN {modules} s ON s.id = e.src WHERE NOT (m.loc BETWEEN 400 AND 430) AND NOT (s.loc BETWEEN 400 AND 430)")
 VIEWS["new_edges"] = View(("edges", "modules"), "SELECT e.src AS a, e.tgt AS b FROM {edges} e JOIN {modules} m ON m.id = e.tgt JOIN {modules} s ON s.id = e.src WHERE m.loc >= 50 AND s.loc >= 50")
@@ -95,9 +146,7 @@ VIEWS["new_edges"] = View(("edges", "modules"), "SELECT e.src AS a, e.tgt AS b F
 )
 def i_03_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a commit changes in which module depends on which, directly or not."""
-    from girder.operators.graph import closure
-
     scratch = Scratch(spark, "i03")
     old, new = (scratch.save(view(spark, sf_dir, f"{x}_edges").select(*PAIR).distinct(), x) for x in ("old", "new"))
-    lost, gained, _ = changes(old, closure(old, name="i03-old"), new.join(old, PAIR, "left_anti"), old.join(new, PAIR, "left_anti"))
+    lost, gained = changed_words(old, new, words(old, "i03-old"))
     return lost.withColumn("change", F.lit("LOST")).union(gained.withColumn("change", F.lit("GAINED")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from girder.operators import graph, source_code, triage
+from girder.operators import graph, incremental, source_code, triage
 from girder.plans.operator import REGISTRY
 from girder.queries import oracle_sql, queries
 from girder.sources import cache, project, report
@@ -150,3 +150,27 @@ def test_an_entry_moves_once_on_its_way_into_the_cache(spark, tmp_path, monkeypa
     plan = seen[0]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in plan
     assert sorted(map(tuple, c.get("L8").collect())) == [("a", "22"), ("b", "3")]
+
+
+def test_closure_in_words_and_what_a_change_does_to_it(spark):
+    n = 80
+    old = {(k, k + d) for d in (1, 9) for k in range(n - 9)} | {(50, 20)}
+    new = (old - {(50, 20), (61, 62), (53, 62)}) | {(5, 75), (79, 3)}
+
+    def plain(edges):
+        to, out = {}, set()
+        for a, b in edges:
+            to.setdefault(a, []).append(b)
+        for a in to:
+            todo = list(to[a])
+            while todo:
+                if (a, b := todo.pop()) not in out:
+                    out.add((a, b))
+                    todo += to.get(b, [])
+        return out
+
+    frames = [spark.createDataFrame(sorted(x), "a long, b long") for x in (old, new)]
+    closed = incremental.words(frames[0], "test-words")
+    assert closed.count() <= 2 * n and {tuple(r) for r in incremental.pairs(closed).collect()} == plain(old)
+    lost, gained = ({tuple(r) for r in x.collect()} for x in incremental.changed_words(*frames, closed))
+    assert lost == plain(old) - plain(new) and gained == plain(new) - plain(old)
