@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from girder.code import python
 from girder.operators import graph, incremental, source_code, triage
 from girder.plans.operator import REGISTRY
 from girder.queries import oracle_sql, queries
@@ -174,3 +175,40 @@ def test_closure_in_words_and_what_a_change_does_to_it(spark):
     assert closed.count() <= 2 * n and {tuple(r) for r in incremental.pairs(closed).collect()} == plain(old)
     lost, gained = ({tuple(r) for r in x.collect()} for x in incremental.changed_words(*frames, closed))
     assert lost == plain(old) - plain(new) and gained == plain(new) - plain(old)
+
+
+@pytest.mark.parametrize("name", ["c_09_composition", "c_08_postcondition_binding", "t_16_constant_branches", "a_20_resolution_stats", "j_06_import_resolution", "g_01_import_graph"])
+def test_files_are_read_once_a_query(spark, monkeypatch, name):
+    """All that a query asks of the texts comes from one reading, which is kept: nothing reads them again when the result is taken."""
+    frame, read = type(spark.range(1)), []
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: read.append(1) or plain(self, *a, **k))
+    out = queries()[name](spark, "/root/testdata/sf0.001")
+    assert len(read) == 1 and "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, by_sql(name)))
+
+
+def test_an_import_is_looked_up_once_a_folder(spark, monkeypatch):
+    asked, plain = [], source_code._by_group
+    monkeypatch.setattr(source_code, "_by_group", lambda candidates, *a: asked.append(candidates) or plain(candidates, *a))
+    files = spark.createDataFrame([(f"src/{d}/m{k}.py", "python", "from .near import x\nimport os, gone\n") for d in "ab" for k in range(30)] + [("src/a/near.py", "python", "")], "path string, language string, content string")
+    got = {(r["path"][4], r["name"], r["category"], r["resolved"]) for r in source_code.python_imports(source_code.facts(files), files).collect()}
+    assert got == {(d, "os", "STDLIB", None) for d in "ab"} | {(d, "gone", "EXTERNAL", None) for d in "ab"} | {("a", ".near", "LOCAL", "src/a/near.py"), ("b", ".near", "UNRESOLVED", None)}
+    assert asked[0].select("folder", "name").distinct().count() == 6 and asked[0].groupBy("folder", "name", "ord").count().where("count > 1").count() == 0
+
+
+def test_imports_are_read_without_expressions():
+    text = "import os, a.b as c\nfrom ..x import y as z\ndef f():\n    try:\n        import t\n    except E:\n        from h import *\n    finally:\n        import w\nclass K:\n    match v:\n        case 1:\n            import m\n    for i in j:\n        with k:\n            import n\n    else:\n        import e\n"
+    whole, alone = python.read(text), python.read_imports(text)
+    assert alone.imports == whole.imports and len(alone.imports) == 9 and not alone.body and not alone.functions
+    by_call = text + "q = __import__('late')\n"
+    assert python.read_imports(by_call).imports == python.read(by_call).imports and python.read_imports("def broken(:\n").errors == python.read("def broken(:\n").errors
+
+
+def test_a_call_that_two_imports_bind_and_names_of_other_objects(spark):
+    """Each import that binds a name is followed; the own file comes first, then imports, then the one file that defines a name."""
+    texts = {"a.py": "from b import g\nfrom gone import g\nimport b\ndef own():\n    own()\n    g()\n    b.g()\n    lone()\n    twice()\n    none()\n    b.none()\nclass K:\n    def m(self):\n        self.m()\n        self.n()\n", "b.py": "def g():\n    pass\ndef twice():\n    pass\n", "c.py": "def lone():\n    pass\ndef twice():\n    pass\n"}
+    files = spark.createDataFrame([(p, "python", t) for p, t in texts.items()], "path string, language string, content string")
+    f = source_code.facts(files)
+    got = {(r["callee"], r["tier"], r["target_path"], r["target"]) for r in source_code.resolved_calls(f, source_code.all_imports(f, files)).collect()}
+    assert got == {("own", "SAME_FILE", "a.py", "own"), ("g", "IMPORTED", "b.py", "g"), ("b.g", "MODULE", "b.py", "g"), ("lone", "UNIQUE", "c.py", "lone"), ("twice", "AMBIGUOUS", None, None), ("none", "MISSING_IMPORT", None, None), ("b.none", "EXTERNAL_MODULE", None, None), ("self.m", "METHOD", "a.py", "K.m"), ("self.n", "EXTERNAL_MODULE", None, None)}
