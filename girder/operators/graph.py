@@ -368,29 +368,35 @@ def returning(edges: DataFrame, scratch: Scratch) -> DataFrame:
         known = scratch.save(known.union(new), f"returning-{k}")
 
 
-def simple_cycles(edges: DataFrame, name: str = "cycles") -> DataFrame:
+def within(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """The edges (a, b, and what else they have) with both ends in one of the parts (id, scc)."""
+    e = edges.join(parts.select(F.col("id").alias("a"), F.col("scc").alias("x")), "a").join(parts.select(F.col("id").alias("b"), F.col("scc").alias("y")), "b")
+    return e.where("x = y").select(*edges.columns)
+
+
+def simple_cycles(edges: DataFrame, name: str = "cycles", parts: DataFrame | None = None) -> DataFrame:
     """(cycle, length): elementary cycles from their smallest node; paths grow by one edge a round and never revisit, until none is open.
 
-    Only edges within a strong component count, and a path from a goes on only to nodes that lead back to a over nodes
-    larger than a, so paths that cannot close are not grown: in a layered graph with many paths and few cycles the work follows the cycles.
+    Only edges within a strong component count, or within one of the parts (id, scc) if parts that no cycle leaves are given, and a path from a goes
+    on only to nodes that lead back to a over nodes larger than a, so paths that cannot close are not grown: in a layered graph with many
+    paths and few cycles the work follows the cycles. A path's end is known to have an edge to a or not, so what is written of the rounds holds the cycles.
     """
     scratch = Scratch(edges.sparkSession, name)
-    parts = strong_components(edges, edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct())
-    parts = scratch.save(parts, "parts")
-    e = edges.where("a <> b").select("a", "b").distinct().join(parts.select(F.col("id").alias("a"), F.col("scc").alias("x")), "a").join(parts.select(F.col("id").alias("b"), F.col("scc").alias("y")), "b")
-    e = scratch.save(e.where("x = y").select("a", "b"), "edges")
-    back = returning(e, scratch)
+    if parts is None:
+        parts = scratch.save(strong_components(edges, edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()), "parts")
+    e = scratch.save(within(edges.where("a <> b").select("a", "b").distinct(), parts), "edges")
+    closing = e.where("a > b").select(F.col("b").alias("a"), F.col("a").alias("next"), F.lit(True).alias("closes"))
+    back = scratch.save(returning(e, scratch).withColumnRenamed("v", "next").join(closing, ["a", "next"], "left").na.fill(False, ["closes"]), "back")
     step = e.select(F.col("a").alias("end"), F.col("b").alias("next"))
-    first = e.where("b > a").join(back.withColumnRenamed("v", "b"), ["a", "b"])
-    paths = scratch.save(first.select("a", F.array("a", "b").alias("path"), F.col("b").alias("end")), "paths-2")
+    first = e.where("b > a").withColumnRenamed("b", "next").join(back, ["a", "next"])
+    paths = scratch.save(first.select("a", F.array("a", "next").alias("path"), F.col("next").alias("end"), "closes"), "paths-2")
     found: DataFrame | None = None
     k = 2
     while found is None or paths.take(1):
-        grown = paths.join(step, "end")
-        closed = grown.where("next = a").select(F.array_join("path", ">").alias("cycle"), F.size("path").alias("length"))
+        closed = paths.where("closes").select(F.array_join("path", ">").alias("cycle"), F.size("path").alias("length"))
         found = closed if found is None else found.union(closed)
-        open_now = grown.where("next > a and not array_contains(path, next)").join(back.withColumnRenamed("v", "next"), ["a", "next"])
-        k, paths = k + 1, open_now.select("a", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("end"))
+        grown = paths.drop("closes").join(step, "end").where("next > a and not array_contains(path, next)").join(back, ["a", "next"])
+        k, paths = k + 1, grown.select("a", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("end"), "closes")
         paths = scratch.save(paths, f"paths-{k}")
     return found
 

@@ -1,9 +1,9 @@
 """Refactoring proposals simulated on the component graph, all of them in one plan.
 
-A proposal removes and adds edges. Edges carry the proposal that they hold for, so nothing is copied: a walk of a proposal takes the
-graph's edges that it does not remove, and those that it adds. Cycles of the graph are found once. A proposal loses those
-that hold one of its removed edges; new ones must hold an added edge, so they are searched from those alone, over nodes that lead back to the edge's
-beginning. Couplings change by the proposal's own edges only: deltas are sums over these.
+A proposal removes and adds edges. Cycles of the graph are found once. A proposal loses those that hold one of its removed edges; new ones
+must hold an added edge, so they are searched from those alone, over nodes that lead back to the edge's beginning. No cycle leaves a strong
+component of the graph with the added edges of all proposals, so a proposal takes no more of the graph than the components of its added
+edges. Couplings change by the proposal's own edges only: deltas are sums over these.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.operators.graph import simple_cycles
+from girder.operators.graph import HOPS, simple_cycles, strong_components, within
 from girder.plans.operator import native, view
 from girder.plans.scratch import Scratch
 from girder.plans.views import VIEWS, View
@@ -49,49 +49,55 @@ def simulate(edges: DataFrame, mutations: DataFrame, affected: DataFrame | None
         affected = named.select("p", F.explode(F.array("a", "b")).alias("node"))
     affected = scratch.save(affected.select("p", "node").distinct(), "affected")
 
-    def walk(front: DataFrame, at: str, to: str) -> DataFrame:
-        """The rows of a front with each next node of its proposal's graph; from ``at`` along edges, or against them if ``to`` is "a"."""
-        other = "b" if to == "a" else "a"
-        kept = front.join(e.select(F.col(other).alias(at), F.col(to).alias("next")), at)
-        out = removed.select("p", F.col(other).alias(at), F.col(to).alias("next"))
-        kept = kept.join(out, ["p", at, "next"], "left_anti").select(*front.columns, "next")
-        return kept.union(front.join(added.select("p", F.col(other).alias(at), F.col(to).alias("next")), ["p", at]).select(*front.columns, "next"))
+    # no proposal has a cycle that leaves a strong component of the graph with the added edges of all
+    every = scratch.save(e.union(added.select("a", "b")).distinct(), "every")
+    parts = scratch.save(strong_components(every, every.select(F.col("a").alias("id")).union(every.select("b")).distinct()), "parts")
+    inner = scratch.save(within(e, parts), "inner")
+    goal = scratch.save(within(added, parts).select("p", F.col("a").alias("u"), F.col("b").alias("v")), "goal")
+    # what a proposal makes of the components of its added edges
+    about = goal.join(parts.withColumnRenamed("id", "u"), "u").select("p", "scc").distinct()
+    own = inner.join(parts.withColumnRenamed("id", "a"), "a").join(about, "scc").select("p", "a", "b").join(removed, ["p", "a", "b"], "left_anti")
+    own = scratch.save(own.union(goal), "own")
 
     # nodes that lead to the beginning u of an added edge (u, v)
-    goal = added.select("p", F.col("a").alias("u"), F.col("b").alias("v"))
+    toward = own.select("p", F.col("b").alias("x"), F.col("a").alias("next"))
     new = back = scratch.save(goal.select(*KEY, F.col("u").alias("x")), "back-0")
     for k in count(1):
+        reached = new
+        for _ in range(HOPS):
+            reached = reached.union(reached.join(toward, ["p", "x"]).select(*KEY, F.col("next").alias("x"))).distinct()
+        new = scratch.save(reached.join(back, [*KEY, "x"], "left_anti"), f"back-{k}")
         if not new.take(1):
             break
-        step = walk(new, "x", "a").select(*KEY, F.col("next").alias("x")).distinct()
-        new = scratch.save(step.join(back, [*KEY, "x"], "left_anti"), f"back-{k}")
-        back = scratch.save(back.union(new), f"backs-{k}")
-    paths = scratch.save(goal.select(*KEY, F.array("u", "v").alias("path"), F.col("v").alias("x")).join(back, [*KEY, "x"], "left_semi").select(*KEY, "path", "x"), "paths-0")
+        back = back.union(new)
+    closing = own.select("p", F.col("b").alias("u"), F.col("a").alias("x"), F.lit(True).alias("closes"))
+    ends = scratch.save(back.where("x <> u").join(closing, ["p", "u", "x"], "left").na.fill(False, ["closes"]).select(*KEY, "x", "closes"), "ends")
+    onward = own.withColumnRenamed("b", "next").join(ends.withColumnRenamed("x", "next"), ["p", "next"]).where("a <> u and next <> v")
+    onward = scratch.save(onward.select(*KEY, F.col("a").alias("x"), "next", "closes"), "onward")
+    paths = scratch.save(ends.where("x = v").select(*KEY, F.array("u", "v").alias("path"), "x", "closes"), "paths-0")
     found = None
     for k in count(1):
-        step = walk(paths, "x", "b")
-        closed = step.where("next = u").select("p", _rotated(F.col("path")).alias("cycle"))
+        closed = paths.where("closes").select("p", _rotated(F.col("path")).alias("cycle"))
         found = closed if found is None else found.union(closed)
-        onward = step.where("not array_contains(path, next)").select(*KEY, F.concat("path", F.array("next")).alias("path"), F.col("next").alias("x"))
-        paths = scratch.save(onward.join(back, [*KEY, "x"], "left_semi").select(*KEY, "path", "x"), f"paths-{k}")
+        grown = paths.drop("closes").join(onward, [*KEY, "x"]).where("not array_contains(path, next)")
+        paths = scratch.save(grown.select(*KEY, F.concat("path", F.array("next")).alias("path"), F.col("next").alias("x"), "closes"), f"paths-{k}")
         if not paths.take(1):
             break
-    fresh = scratch.save(found.distinct(), "fresh")
+    fresh = scratch.save(found.distinct().withColumn("id", F.xxhash64("cycle")), "fresh")
 
     kind = e.schema["a"].dataType.simpleString()
-    cycles = scratch.save(simple_cycles(e, "simulation-cycles").select(F.split("cycle", ">").cast(f"array<{kind}>").alias("cycle")).withColumn("id", F.xxhash64("cycle")), "cycles")
+    cycles = scratch.save(simple_cycles(inner, "simulation-cycles", parts).select(F.split("cycle", ">").cast(f"array<{kind}>").alias("cycle")).withColumn("id", F.xxhash64("cycle")), "cycles")
     total = cycles.count()
     turns = cycles.select("id", F.explode(F.arrays_zip(F.col("cycle").alias("a"), F.concat(F.slice("cycle", 2, F.size("cycle")), F.slice("cycle", 1, 1)).alias("b"))).alias("x")).select("id", "x.a", "x.b")
     lost = scratch.save(turns.join(removed, ["a", "b"]).select("p", "id").distinct(), "lost")
     touching = cycles.select("id", F.explode("cycle").alias("node")).join(affected, "node").select("p", "id").distinct()
-    left = touching.join(lost, ["p", "id"], "left_anti").groupBy("p").agg(F.count("*").alias("left"))
-    touched = touching.groupBy("p").agg(F.count("*").alias("touched"))
-    hit = fresh.select("p", "cycle", F.explode("cycle").alias("node")).join(affected, ["p", "node"]).groupBy("p").agg(F.count_distinct("cycle").alias("hit"))
+    touched = touching.join(lost.withColumn("gone", F.lit(1)), ["p", "id"], "left").groupBy("p").agg(F.count("*").alias("touched"), F.count(F.when(F.col("gone").isNull(), 1)).alias("left"))
+    hit = fresh.select("p", "id", F.explode("cycle").alias("node")).join(affected, ["p", "node"]).select("p", "id").distinct().groupBy("p").agg(F.count("*").alias("hit"))
 
     sdp = couplings(e, added, removed)
     worse = added.join(sdp.select("p", F.col("node").alias("a"), F.col("after").alias("ia")), ["p", "a"]).join(sdp.select("p", F.col("node").alias("b"), F.col("after").alias("ib")), ["p", "b"]).where("ia < ib").groupBy("p").agg(F.count("*").alias("sdp"))
     out = proposals
-    for part in (lost.groupBy("p").agg(F.count("*").alias("lost")), fresh.groupBy("p").agg(F.count("*").alias("fresh")), touched, left, hit, worse):
+    for part in (lost.groupBy("p").agg(F.count("*").alias("lost")), fresh.groupBy("p").agg(F.count("*").alias("fresh")), touched, hit, worse):
         out = out.join(part, "p", "left")
     out = out.na.fill(0)
     after = F.lit(total) - F.col("lost") + F.col("fresh")

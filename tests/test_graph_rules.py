@@ -178,6 +178,29 @@ def test_simulation_without_cycles(spark):
     assert {x["p"]: (x["new_cycles"], x["status"]) for x in got} == {1: (0, "VERIFIED_SIMULATION"), 2: (1, "UNVERIFIED_SIMULATION")}
 
 
+def test_simulation_stays_within_the_components_of_its_added_edges(spark, monkeypatch):
+    """Nodes in a chain lead to each beginning of an added edge, and others lead away from its end; none of them is on a cycle, so none is walked."""
+    r = random.Random(7)
+    near = {(a, b) for a, b in ((r.randrange(6), r.randrange(6)) for _ in range(11)) if a != b}
+    pairs = near | {(100 + i, 101 + i) for i in range(5)} | {(105, x) for x in range(6)} | {(x, 200) for x in range(6)} | {(200, 201)}
+    proposals = {p: [("ADD", *r.sample(range(6), 2)) for _ in range(2)] + [("REMOVE", *r.choice(sorted(near)))] for p in range(3)}
+    proposals[9] = [("ADD", 5, 104), ("ADD", 104, 201), ("REMOVE", 100, 101)]
+    rows = [(p, *m) for p, ms in proposals.items() for m in ms]
+    walked, save = [], simulation.Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        if name.split("-")[0] in ("back", "ends", "paths") and "p" in out.columns:
+            walked.extend(x["x"] for x in out.select("x").collect())
+        return out
+
+    monkeypatch.setattr(simulation.Scratch, "save", counted)
+    got = {x["p"]: tuple(x)[1:] for x in simulation.simulate(ab(spark, pairs), spark.createDataFrame(rows, "p long, action string, a long, b long")).collect()}
+    assert got == {p: plain_simulation(pairs, ms, {x for _, a, b in ms for x in (a, b)}) for p, ms in proposals.items()}
+    # proposal 9 leads from the others' component to the last two nodes of the chain
+    assert 104 in walked and set(walked) <= {*range(6), 104, 105}
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_summaries_against_a_plain_fixpoint(spark, seed):
     """On a cyclic call graph, with sanitised and returned calls."""
