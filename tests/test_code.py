@@ -6,6 +6,7 @@ import pytest
 
 from girder.code import cfg, contracts, flow, go, guards, javascript, objects, python, rules
 from girder.code.ir import show, statements
+from girder.operators import source_code
 
 
 def hits(source, language="python"):
@@ -274,3 +275,35 @@ def test_python_rules(source, want):
 )
 def test_javascript_rules(source, want):
     assert found(source, "javascript") == want
+
+
+CHOICES = (
+    ("python", "def h(v, flag):\n    if flag:\n        return v\ndef f(a):\n    x = a\n    g(x)\n    h(x, True)\n    return x\n    h(x, False)\n"),
+    ("python", "def h(v, flag):\n    while flag:\n        break\ndef f(a):\n    h(\n        a,\n        False,\n    )\n    k(a).b = h(a, True)\n    return k(a).b or h(1, True)\n"),
+    ("python", "def system(v, flag):\n    if flag:\n        return v\nother()\nsystem('x', True)\n"),
+    ("python", "def system(v, flag):\n    if flag:\n        return v\nsystem('x', True)\n"),
+    ("python", "class K:\n    on = h(1, True)\n    def m(self, flag):\n        try:\n            with o(True) as q:\n                self.m(True)\n        except E:\n            raise E(False)\n        x += n(True)\n        y: bool = n(False)\n        def inner(z):\n            if not z:\n                inner(True)\n        assert p(True), q(False)\n"),
+    ("python", "def h(v, flag):\r    if flag:\r        return v\rdef f(a):\r    a\r    h(a, True)\r"),
+    ("python", "def h(v, flag):\n    \"\"\"\n    True\n    \"\"\"\n    if flag: h(v, flag=False); h(lambda: h(1, True), True)\n"),
+    ("python", "def f(:\n    h(True)\n"),
+    ("javascript", "function h(v, flag) { if (flag) { return v } }\nfunction f(a) { h(a, true); g(a) }\n"),
+)
+
+
+@pytest.mark.parametrize(("language", "text"), CHOICES)
+def test_constants_of_branches_without_the_values_of_other_statements(language, text):
+    def rows(m, given):
+        named = list(source_code._facts("p", source_code.Module(m.language, functions=m.functions)))
+        return sorted(map(repr, given)), [r for r in named if r[0] == "function"], list(source_code._guards("p", m)), m.errors
+
+    whole, thin = source_code.parse(language, text), source_code.parse_choices(language, text)
+    assert rows(thin, source_code._choices("p", thin)) == rows(whole, [r for r in source_code._flows("p", whole) if r[1] == "constant" and r[3] in ("True", "False")])
+
+
+def test_functions_without_constants_are_not_folded(monkeypatch):
+    """In a file with one call of a constant, only that call is read as a value, and only its function and the module are folded."""
+    folded, plain = [], source_code.flow.Fold
+    monkeypatch.setattr(source_code.flow, "Fold", lambda language, f: folded.append(f.name) or plain(language, f))
+    m = source_code.parse_choices("python", "def h(v, flag):\n    if flag:\n        return v\ndef f(a):\n    g(a)\n    x = k(a)\n    h(x, True)\n    return g(x)\n")
+    assert [r[3:5] for r in source_code._choices("p", m)] == [("True", "h")] and folded == ["f", "<module>"]
+    assert [s.value is not None for s in m.functions[1].body] == [False, False, True, False]
