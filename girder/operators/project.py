@@ -265,7 +265,7 @@ UNION ALL SELECT 'paths', NULL, count(*) FILTER (n <= {PATHS}), count(*) FILTER
 
 @native("o_09_bounded_budgets", "functions", "calls", "own_flows", "call_flows", "source_calls", sql=_budget_sql())
 def o_09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return budgets(view(spark, sf_dir, "functions"), view(spark, sf_dir, "calls"), summaries.t_14(spark, sf_dir))
+    return budgets(view(spark, sf_dir, "functions"), view(spark, sf_dir, "calls"), summaries.nearest(spark, sf_dir))
 
 
 @operator("l_05_prioritise", "findings", "audit_findings")

@@ -61,6 +61,12 @@ def test_every_sink_that_a_source_reaches(spark):
     assert max(map(len, of_source.values())) > 1
 
 
+def test_budgets_count_the_nearest_paths(spark):
+    got = [tuple(r) for r in queries()["o_09_bounded_budgets"](spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got, key=repr) == sorted(by_sql("o_09_bounded_budgets"), key=repr)
+    assert [r for r in got if r[0] == "paths" and r[2] > 0]
+
+
 def test_component_cycles_over_imports_both_ways(spark):
     got = [tuple(r) for r in queries()["arc_006_component_cycle"](spark, "/root/testdata/sf0.001").collect()]
     assert got and sorted(got) == sorted(by_sql("arc_006_component_cycle"))
