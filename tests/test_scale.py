@@ -67,6 +67,27 @@ def test_budgets_count_the_nearest_paths(spark):
     assert [r for r in got if r[0] == "paths" and r[2] > 0]
 
 
+def test_sources_travel_together_and_rules_count_them(spark, monkeypatch):
+    """200 sources go into f, over it to g and h: a round holds a row for each 64 of them, and every pair comes out."""
+    held, save = {}, source_code.Scratch.save
+    monkeypatch.setattr(source_code.Scratch, "save", lambda self, df, name: held.setdefault(name, save(self, df, name)))
+    flow = lambda path, function, kind, origin_kind, origin, target="", position=0, category="", clean=0: (path, function, kind, origin_kind, origin, target, position, category, clean, 1)
+    into = [flow(f"s{k}", "s", "argument", "source", "q", "f", 0, "", 4 if k % 2 else 0) for k in range(200)]
+    rest = [flow("f", "f", "argument", "param", "0", "g"), flow("f", "f", "argument", "param", "0", "h", 1), flow("f", "f", "hit", "param", "0", "execute", 0, "SQL"), flow("g", "g", "argument", "param", "0", "h", 1), flow("h", "h", "hit", "param", "1", "innerHTML", 0, "DOM"), flow("h", "h", "hit", "param", "1", "execute", 0, "SQL")]
+    summary = spark.createDataFrame(into + rest, source_code.FLOWS)
+    sites = [(f"s{k}", "f", "f", "f") for k in range(200)] + [("f", "g", "g", "g"), ("f", "h", "h", "h"), ("g", "h", "h", "h")]
+    resolved = spark.createDataFrame(sites, "path string, callee string, target_path string, target string")
+    got = [tuple(r) for r in source_code.interprocedural(spark, summary, resolved).collect()]
+    want = [(f"s{k}", "s", sink, sink, c, d) for k in range(200) for sink, c, d in (("f", "SQL", 1), ("h", "SQL", 2), ("h", "DOM", 2)) if c == "SQL" or k % 2 == 0]
+    assert sorted(got) == sorted(want)
+    rounds = {name: df.count() for name, df in held.items() if name.startswith("state-")}
+    assert rounds and max(rounds.values()) < 200
+    held.clear()
+    assert sorted(map(tuple, source_code.sources_by_sink(spark, summary, resolved, "DOM").collect())) == [("h", "h", 100)]
+    held.clear()
+    assert sorted(map(tuple, source_code.sources_by_sink(spark, summary, resolved, "SQL").collect())) == [("f", "f", 200), ("h", "h", 200)]
+
+
 def test_component_cycles_over_imports_both_ways(spark):
     got = [tuple(r) for r in queries()["arc_006_component_cycle"](spark, "/root/testdata/sf0.001").collect()]
     assert got and sorted(got) == sorted(by_sql("arc_006_component_cycle"))
