@@ -123,6 +123,18 @@ def test_calls_taint_and_contracts_across_files(spark, code):
     assert states == {("main", "save"): "VIOLATED", ("run", "deep"): "UNKNOWN", ("f", "c"): "UNKNOWN"}
 
 
+def test_calls_linked_once_a_file_and_name(spark, code):
+    """One row a file and name, whatever the number of calls, the same as the calls one by one."""
+    more = [("a/x.py", "python", "def run(v):\n    return v\n"), ("a/y.py", "python", "def run(v):\n    return v\n"), ("a/z.py", "python", "from a.y import run\nfrom a.x import run\nfrom a.y import run as go\nclass C:\n    def help(self):\n        pass\n    def f(self, v):\n        self.help()\n        run(v)\n        run(v)\n        go(v)\nclass D:\n    def help(self):\n        pass\n    def f(self, v):\n        self.help()\n        nothing(v)\n")]
+    files = code[0].union(spark.createDataFrame(more, "path string, language string, content string"))
+    f, links = source_code.together(files, "linked-test", facts=(source_code.FACTS, source_code._named), links=(source_code.LINKS, source_code._linking))
+    got = [tuple(r) for r in source_code.linked_calls(links, f.where("kind = 'function'"), source_code.all_imports(f, files)).collect()]
+    every = source_code.facts(files)
+    each = source_code.resolved_calls(every, source_code.all_imports(every, files)).where("target is not null")
+    assert sorted(got) == sorted(tuple(r) for r in each.select("path", "callee", "target_path", "target").distinct().collect())
+    assert [r for r in got if r[:2] == ("a/z.py", "run")] == [("a/z.py", "run", "a/x.py", "run")] and len([r for r in got if r[:2] == ("a/z.py", "self.help")]) == 2
+
+
 def test_results_that_carry_a_source(spark):
     files = spark.createDataFrame([("a.py", "python", "from b import read\ndef f(x):\n    y = read()\n    os.system(y)\n    g(y)\ndef g(z):\n    cursor.execute(z)\n"), ("b.py", "python", "def read():\n    return inner()\ndef inner():\n    return request.args['a']\n")], "path string, language string, content string")
     f = source_code.facts(files)
