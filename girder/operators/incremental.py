@@ -8,8 +8,11 @@ looked up, by joins whose small side is the change.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,6 +136,74 @@ def changed_words(old: DataFrame, new: DataFrame, closure: DataFrame) -> tuple[D
     return only("x", "y"), only("y", "x")
 
 
+# the same by blocks of 256 nodes that are led to, each found on its own by a task that has the edges
+
+#: Edges of both graphs together that tasks hold whole, 8 bytes each; beyond them rounds go over DataFrames.
+MOST_EDGES = 16_000_000
+WORDS = 4
+#: Pairs in a batch of the result, about.
+PAIRS_AT_ONCE = 1 << 16
+
+
+def into(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) by b: where each node's begin, and what leads to it."""
+    order = np.argsort(b, kind="stable")
+    return np.searchsorted(b[order], np.arange(n + 1)), a[order]
+
+
+def led_to(begins: np.ndarray, tails: np.ndarray, bits: np.ndarray, block: int) -> np.ndarray:
+    """Sets in ``bits`` (a row a node, a bit a node of the block) what leads to the block's nodes; the rows that are set. Rounds pass on new bits alone."""
+    n, size = len(bits), 64 * WORDS
+    at = np.arange(block * size, min(n, (block + 1) * size))
+    new = np.zeros((len(at), WORDS), np.uint64)
+    new[np.arange(len(at)), np.arange(len(at)) // 64] = np.uint64(1) << (np.arange(len(at)) % 64).astype(np.uint64)
+    touched = []
+    while len(at):
+        many = begins[at + 1] - begins[at]
+        edge = np.arange(many.sum()) + np.repeat(begins[at] - np.cumsum(many) + many, many)
+        to, sent = tails[edge], np.repeat(new, many, axis=0)
+        order = np.argsort(to, kind="stable")
+        at, first = np.unique(to[order], return_index=True)
+        if not len(at):
+            break
+        new = np.bitwise_or.reduceat(sent[order], first, axis=0) & ~bits[at]
+        some = new.any(axis=1)
+        at, new = at[some], new[some]
+        bits[at] |= new
+        touched.append(at)
+    return np.unique(np.concatenate(touched)) if touched else np.zeros(0, np.int64)
+
+
+def changed_blocks(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(a, b, change): pairs that the closure loses and gains. ``old`` and ``new`` have no more than MOST_EDGES together."""
+    spark = old.sparkSession
+    ends = [[t.column(c).to_numpy() for c in PAIR] for t in (old.toArrow(), new.toArrow())]
+    nodes = np.unique(np.concatenate([x for pair in ends for x in pair]))
+    graphs = [into(*(np.searchsorted(nodes, x).astype(np.int32) for x in pair), len(nodes)) for pair in ends]
+    sent = spark.sparkContext.broadcast((nodes, graphs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, graphs = sent.value
+        both = [np.zeros((len(nodes), WORDS), np.uint64) for _ in graphs]
+        for block in (k for b in batches for k in b.column(0).to_pylist()):
+            rows = np.unique(np.concatenate([led_to(*g, bits, block) for g, bits in zip(graphs, both, strict=True)]))
+            before, after = (bits[rows] for bits in both)
+            for change, only in (("LOST", before & ~after), ("GAINED", after & ~before)):
+                some = only.any(axis=1)
+                source, words = rows[some], only[some]
+                step = max(1, PAIRS_AT_ONCE // (64 * WORDS))
+                for k in range(0, len(source), step):
+                    i, j = np.nonzero(np.unpackbits(words[k : k + step].astype("<u8").view(np.uint8), axis=1, bitorder="little"))
+                    a, b = nodes[source[k : k + step][i]], nodes[block * 64 * WORDS + j]
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([change] * len(a), pa.string())], ["a", "b", "change"])
+            for bits in both:
+                bits[rows] = 0
+
+    blocks = -(-len(nodes) // (64 * WORDS))
+    tasks = max(1, min(blocks, 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, blocks, 1, tasks).mapInArrow(run, "a long, b long, change string")
+
+
 # a commit takes small modules away and brings others
 VIEWS["old_edges"] = View(("edges", "modules"), "SELECT e.src AS a, e.tgt AS b FROM {edges} e JOIN {modules} m ON m.id = e.tgt JOIN {modules} s ON s.id = e.src WHERE NOT (m.loc BETWEEN 400 AND 430) AND NOT (s.loc BETWEEN 400 AND 430)")
 VIEWS["new_edges"] = View(("edges", "modules"), "SELECT e.src AS a, e.tgt AS b FROM {edges} e JOIN {modules} m ON m.id = e.tgt JOIN {modules} s ON s.id = e.src WHERE m.loc >= 50 AND s.loc >= 50")
@@ -148,5 +219,7 @@ def i_03_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a commit changes in which module depends on which, directly or not."""
     scratch = Scratch(spark, "i03")
     old, new = (scratch.save(view(spark, sf_dir, f"{x}_edges").select(*PAIR).distinct(), x) for x in ("old", "new"))
+    if old.count() + new.count() <= MOST_EDGES:
+        return changed_blocks(old, new)
     lost, gained = changed_words(old, new, words(old, "i03-old"))
     return lost.withColumn("change", F.lit("LOST")).union(gained.withColumn("change", F.lit("GAINED")))
