@@ -88,6 +88,34 @@ def test_sources_travel_together_and_rules_count_them(spark, monkeypatch):
     assert sorted(map(tuple, source_code.sources_by_sink(spark, summary, resolved, "SQL").collect())) == [("f", "f", 200), ("h", "h", 200)]
 
 
+def test_closure_changes_by_blocks(spark, monkeypatch):
+    """600 nodes, so three blocks, with cycles; batches of few pairs."""
+    monkeypatch.setattr(incremental, "PAIRS_AT_ONCE", 512)
+    old = {(k, (k * 7 + 3) % 600) for k in range(0, 600, 2)} | {(k, k + 1) for k in range(590)} - {(300, 301)}
+    new = old - {(100, 101), (13, 14)} | {(300, 301), (599, 5)}
+
+    def closed(edges):
+        then, out = {}, set()
+        for a, b in edges:
+            then.setdefault(a, []).append(b)
+        for a in then:
+            seen, todo = set(), list(then[a])
+            while todo:
+                if (b := todo.pop()) not in seen:
+                    seen.add(b)
+                    todo += then.get(b, ())
+            out |= {(a, b) for b in seen}
+        return out
+
+    shifted = lambda edges: spark.createDataFrame([(10 * a, 10 * b) for a, b in edges], "a long, b long")  # noqa: E731  numbers need not be dense
+    got = [tuple(r) for r in incremental.changed_blocks(shifted(old), shifted(new)).collect()]
+    before, after = closed(old), closed(new)
+    want = [(10 * a, 10 * b, c) for c, pairs in (("LOST", before - after), ("GAINED", after - before)) for a, b in pairs]
+    assert {r[2] for r in got} == {"LOST", "GAINED"} and sorted(got) == sorted(want)
+    empty = spark.createDataFrame([], "a long, b long")
+    assert incremental.changed_blocks(empty, empty).collect() == []
+
+
 def test_component_cycles_over_imports_both_ways(spark):
     got = [tuple(r) for r in queries()["arc_006_component_cycle"](spark, "/root/testdata/sf0.001").collect()]
     assert got and sorted(got) == sorted(by_sql("arc_006_component_cycle"))
